@@ -48,13 +48,22 @@ def strip(c) -> Column:
     return F.trim(_text(c), F.lit(SPACE_CHARS))
 
 
+def find_emojis(c: Column) -> Column:
+    """All emoji characters of a text, concatenated."""
+    return F.array_join(F.regexp_extract_all(c, F.lit(EMOJI_RUN), F.lit(0)), "")
+
+
+def blank_emojis(c: Column) -> Column:
+    """Each run of emojis becomes one space."""
+    return F.regexp_replace(c, EMOJI_RUN, " ")
+
+
 def extract_emojis(c) -> Column:
-    """All emoji characters of the text, concatenated."""
-    return F.array_join(F.regexp_extract_all(strip(c), F.lit(EMOJI_RUN), F.lit(0)), "")
+    return find_emojis(strip(c))
 
 
 def remove_emojis(c) -> Column:
-    return F.regexp_replace(strip(c), EMOJI_RUN, " ")
+    return blank_emojis(strip(c))
 
 
 def excess_punct_count(c) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import INTENTS, KEYWORD_DEFAULT, KEYWORDS, NB_ALPHA
+from ..functions.rows import inline_rows
 from ..functions.scores import argmax, label_at
-from .features import MAX_FEATURES, TfidfModel, fit_tfidf, literal_doubles
+from .features import TfidfModel, literal_doubles
 
 
 def keyword_scores(keywords: dict[str, list[str]], lowered: Column) -> Column:
@@ -62,19 +63,18 @@ class NaiveBayesModel:
 
     def scores(self, df: DataFrame, text_col: str = "clean_text", out: str = "scores") -> DataFrame:
         """Add the joint log likelihood per class, row by row."""
-        wide = self.tfidf.transform(df, text_col)
-        wide = wide.withColumn("_pairs", F.arrays_zip("indices", "weights")).drop("indices", "weights")
+        wide = self.tfidf.pairs(df, text_col)
 
 
         def joint(row: Column, prior: float) -> Column:
             return F.aggregate(
-                "_pairs",
+                "pairs",
                 F.lit(float(prior)),
                 lambda acc, x: acc + x["weights"] * F.element_at(row, x["indices"] + 1),
             )
 
         per_class = [joint(literal_doubles(row), prior) for row, prior in zip(self.log_likelihood, self.log_prior)]
-        return wide.withColumn(out, F.array(*per_class)).drop("_pairs")
+        return wide.withColumn(out, F.array(*per_class)).drop("pairs")
 
     def predict(self, df: DataFrame, text_col: str = "clean_text", out: str = "predicted_intent") -> DataFrame:
         scored = self.scores(df, text_col, "_scores")
@@ -82,28 +82,25 @@ class NaiveBayesModel:
 
 
 def fit_naive_bayes(
-    df: DataFrame,
+    counted: DataFrame,
+    tfidf: TfidfModel,
     labels: list[str] = INTENTS,
     alpha: float = NB_ALPHA,
-    max_features: int = MAX_FEATURES,
-    text_col: str = "clean_text",
     label_col: str = "intent",
-    tfidf: TfidfModel | None = None,
 ) -> NaiveBayesModel:
     """Multinomial naive Bayes on TF-IDF weights in closed form.
 
-    Weights are summed per (class, term) with map-side combine; at most classes
-    times vocabulary sums reach the driver.
+    ``counted`` holds training rows with term counts (or texts).  Weights are
+    summed per (class, term) with map-side combine; at most classes times
+    vocabulary sums reach the driver.
     """
-    tfidf = tfidf or fit_tfidf(df, max_features, False, text_col)
     size = len(tfidf.vocab)
-    n_class = {r[label_col]: r["n"] for r in df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_class = {r[label_col]: r["n"] for r in counted.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     present = [c for c in labels if n_class.get(c)]
     total = sum(n_class[c] for c in present)
     sums = {c: [0.0] * size for c in present}
     per_term = (
-        tfidf.transform(df.select(label_col, text_col), text_col)
-        .select(label_col, F.inline(F.arrays_zip("indices", "weights")))
+        inline_rows(tfidf.pairs(counted), [label_col], "pairs", "indices")
         .groupBy(label_col, "indices")
         .agg(F.sum("weights").alias("w"))
     )

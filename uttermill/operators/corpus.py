@@ -69,17 +69,19 @@ def assign_fallback_id(
 def with_clean_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add clean_text, emojis and excess_punct_count.
 
-    Each step is its own projection, so shared work runs once per row.
+    Each step is its own projection, so shared work runs once per row, and texts
+    without emojis or repeated punctuation skip the passes that would change nothing.
     """
+    plain, punct = F.col("_plain"), F.col("excess_punct_count")
     return (
-        df.withColumn("_plain", tx.remove_emojis(text_col))
-        .withColumn("emojis", tx.extract_emojis(text_col))
+        df.withColumn("_text", tx.strip(text_col))
+        .withColumn("_emo", F.col("_text").rlike(tx.EMOJI_RUN))
+        .withColumn("emojis", F.when(F.col("_emo"), tx.find_emojis(F.col("_text"))).otherwise(""))
+        .withColumn("_plain", F.when(F.col("_emo"), tx.blank_emojis(F.col("_text"))).otherwise(F.col("_text")))
         .withColumn("excess_punct_count", F.regexp_count("_plain", F.lit(tx.PUNCT_RUN)))
-        .withColumn(
-            "clean_text",
-            tx.collapse_spaces(tx.squeeze_elongation(tx.squeeze_punct(F.col("_plain")))),
-        )
-        .drop("_plain")
+        .withColumn("_plain", F.when(punct > 0, tx.squeeze_punct(plain)).otherwise(plain))
+        .withColumn("clean_text", tx.collapse_spaces(tx.squeeze_elongation(plain)))
+        .drop("_text", "_emo", "_plain")
     )
 
 

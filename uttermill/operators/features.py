@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as tx
+from ..functions.rows import divide_all, explode_rows, inline_rows
 from ..plans.staging import stage
 
 MAX_FEATURES = 5_000
@@ -36,8 +36,7 @@ def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "clean_te
     """
     by_doc = df.select(id_col, text_col).repartition(id_col)
     return (
-        with_ngrams(by_doc, text_col)
-        .select(id_col, F.explode("ngrams").alias("term"))
+        explode_rows(with_ngrams(by_doc, text_col), [id_col], "ngrams", "term")
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -46,8 +45,7 @@ def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "clean_te
 def vocabulary(df: DataFrame, max_features: int = MAX_FEATURES, text_col: str = "clean_text") -> DataFrame:
     """The ``max_features`` most frequent n-grams of the corpus, ties by term."""
     return (
-        with_ngrams(df.select(text_col), text_col)
-        .select(F.explode("ngrams").alias("term"))
+        explode_rows(with_ngrams(df.select(text_col), text_col), [], "ngrams", "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("corpus_tf"))
         .orderBy(F.desc("corpus_tf"), "term")
@@ -60,6 +58,27 @@ def literal_doubles(values) -> Column:
     return F.from_json(F.lit(json.dumps(list(values))), "array<double>")
 
 
+def fit_vocabulary(df: DataFrame, max_features: int = MAX_FEATURES, text_col: str = "clean_text") -> list[str]:
+    """Vocabulary terms, most frequent first; at most ``max_features`` strings."""
+    vocab = [r["term"] for r in vocabulary(df, max_features, text_col).collect()]
+    if not vocab:
+        raise ValueError("empty vocabulary: the training texts hold no words")
+    return vocab
+
+
+def with_counts(df: DataFrame, vocab: list[str], text_col: str = "clean_text") -> DataFrame:
+    """Add ``indices`` and ``counts`` of the vocabulary terms; row by row, no shuffle."""
+    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="_ngrams", outputCol="_tf")
+    counted = counter.transform(with_ngrams(df, text_col, "_ngrams")).drop("_ngrams")
+    counted = counted.withColumn("_tf", F.unwrap_udt("_tf"))
+    return counted.withColumns({"indices": F.col("_tf.indices"), "counts": F.col("_tf.values")}).drop("_tf")
+
+
+def stage_counts(df: DataFrame, vocab: list[str], keep: list[str], text_col: str = "clean_text") -> DataFrame:
+    """Term counts of all rows, staged: fits and predictions then leave the texts alone."""
+    return stage(with_counts(df.select(*keep, text_col), vocab, text_col).drop(text_col), "term-counts")
+
+
 @dataclass
 class TfidfModel:
     """Vocabulary and idf of a training corpus; both bounded by ``max_features``."""
@@ -68,50 +87,59 @@ class TfidfModel:
     idf: list[float]
     sublinear: bool = False
 
+    def variant(self, max_features: int, sublinear: bool) -> TfidfModel:
+        """The same fit with fewer terms (the most frequent ones) or another tf scale."""
+        return TfidfModel(self.vocab[:max_features], self.idf[:max_features], sublinear)
+
     def transform(self, df: DataFrame, text_col: str = "clean_text") -> DataFrame:
-        """Add ``indices`` and L2-normalised ``weights``; row by row, no shuffle."""
-        counter = CountVectorizerModel.from_vocabulary(self.vocab, inputCol="_ngrams", outputCol="_tf")
-        counted = counter.transform(with_ngrams(df, text_col, "_ngrams")).drop("_ngrams")
-        counted = counted.withColumn("_tf", F.unwrap_udt("_tf"))
+        """Add ``indices`` and L2-normalised ``weights``, from counts where present."""
+        counted = df if "counts" in df.columns else with_counts(df, self.vocab, text_col)
+        size = len(self.vocab)
         idf = literal_doubles(self.idf)
         scale = (lambda tf: F.log(tf) + 1.0) if self.sublinear else (lambda tf: tf)
+        raw = F.col("_raw")
         return (
-            counted.withColumn("indices", F.col("_tf.indices"))
+            # indices ascend, so the terms of a smaller vocabulary come first
+            counted.withColumn("indices", F.filter("indices", lambda i: i < size))
             .withColumn(
                 "_raw",
                 F.zip_with(
-                    F.col("_tf.indices"), F.col("_tf.values"), lambda i, tf: scale(tf) * F.element_at(idf, i + 1)
+                    F.col("indices"),
+                    F.slice("counts", F.lit(1), F.size("indices")),
+                    lambda i, tf: scale(tf) * F.element_at(idf, i + 1),
                 ),
             )
-            .withColumn("_norm", F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, w: acc + w * w)))
-            .withColumn("weights", F.transform("_raw", lambda w: w / F.col("_norm")))
-            .drop("_tf", "_raw", "_norm")
+            .withColumn("weights", divide_all(raw, F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, w: acc + w * w))))
+            .drop("counts", "_raw")
         )
 
+    def pairs(self, df: DataFrame, text_col: str = "clean_text") -> DataFrame:
+        """Add ``pairs``, an array of struct(indices, weights)."""
+        wide = self.transform(df, text_col)
+        return wide.withColumn("pairs", F.arrays_zip("indices", "weights")).drop("indices", "weights")
+
     def long(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "clean_text") -> DataFrame:
         """One row per (document, term) with its weight."""
         terms = F.from_json(F.lit(json.dumps(self.vocab)), "array<string>")
-        return (
-            self.transform(df.select(id_col, text_col), text_col)
-            .select(id_col, F.inline(F.arrays_zip("indices", "weights")))
-            .select(id_col, F.element_at(terms, F.col("indices") + 1).alias("term"), F.col("weights").alias("weight"))
+        return inline_rows(self.pairs(df, text_col), [id_col], "pairs", "indices").select(
+            id_col, F.element_at(terms, F.col("indices") + 1).alias("term"), F.col("weights").alias("weight")
         )
 
 
+def fit_idf(counted: DataFrame, vocab: list[str], sublinear: bool = False) -> TfidfModel:
+    """Smoothed idf ``ln((1+n)/(1+df)) + 1``; one count per term reaches the driver."""
+    n = counted.count()
+    per_term = explode_rows(counted, [], "indices", "i").groupBy("i").agg(F.count(F.lit(1)).alias("df"))
+    df = {r["i"]: r["df"] for r in per_term.collect()}
+    return TfidfModel(vocab, [math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(vocab))], sublinear)
+
+
 def fit_tfidf(
     df: DataFrame, max_features: int = MAX_FEATURES, sublinear: bool = False, text_col: str = "clean_text"
 ) -> TfidfModel:
-    """Vocabulary by corpus frequency and smoothed idf ``ln((1+n)/(1+df)) + 1``."""
-    vocab = [r["term"] for r in vocabulary(df, max_features, text_col).collect()]
-    if not vocab:
-        raise ValueError("empty vocabulary: the training texts hold no words")
-    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="_ngrams", outputCol="_tf")
-    counted = counter.transform(with_ngrams(df.select(text_col), text_col, "_ngrams"))
-    got = counted.agg(
-        F.count(F.lit(1)).alias("n"), Summarizer.numNonZeros(F.col("_tf")).alias("df")
-    ).first()
-    idf = [math.log((1 + got["n"]) / (1 + d)) + 1 for d in got["df"].toArray()]
-    return TfidfModel(vocab, idf, sublinear)
+    """Vocabulary by corpus frequency and its idf, from texts."""
+    vocab = fit_vocabulary(df, max_features, text_col)
+    return fit_idf(with_counts(df.select(text_col), vocab, text_col), vocab, sublinear)
 
 
 def as_vectors(df: DataFrame, size: int, keep: list[str], name: str = "features") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BACKBONE_COST, DEFAULT_TOKENS_PER_TEXT, DEFAULT_TOKENS_PER_WORD
 from ..functions import text as tx
+from ..functions.rows import explode_rows
 from ..plans.staging import stage
 
 Tokenizer = Callable[[DataFrame], DataFrame]
@@ -22,7 +23,7 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     Splitting into tokens then costs one call per distinct word.
     """
     return (
-        df.select(F.explode(tx.all_words(text_col)).alias("word"))
+        explode_rows(df.select(tx.all_words(text_col).alias("_words")), [], "_words", "word")
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
     )

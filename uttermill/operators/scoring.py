@@ -19,6 +19,7 @@ from ..constants import (
     SCORING_BATCH,
 )
 from ..functions import text as tx
+from ..functions.rows import divide_all
 from ..functions.scores import all_scores, label_at, ranked
 from .classify import with_keyword_scores
 
@@ -77,12 +78,12 @@ def python_scorer(predict: Callable[[pd.Series], "object"], batch_size: int = SC
 
 def with_probabilities(df: DataFrame, scores_col: str = "scores", out: str = "probs") -> DataFrame:
     """Softmax of a score array; maximum and sum are taken once per row."""
+    top = F.array_repeat(F.array_max(scores_col), F.size(scores_col))
+    exps = F.col("_exp")
     return (
-        df.withColumn("_top", F.array_max(scores_col))
-        .withColumn("_exp", F.transform(scores_col, lambda s: F.exp(s - F.col("_top"))))
-        .withColumn("_sum", F.aggregate("_exp", F.lit(0.0), lambda acc, x: acc + x))
-        .withColumn(out, F.transform("_exp", lambda x: x / F.col("_sum")))
-        .drop("_top", "_exp", "_sum")
+        df.withColumn("_exp", F.zip_with(scores_col, top, lambda s, m: F.exp(s - m)))
+        .withColumn(out, divide_all(exps, F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)))
+        .drop("_exp")
     )
 
 

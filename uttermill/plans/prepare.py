@@ -1,17 +1,22 @@
-"""From raw corpus to labelled, cleaned, deduplicated and split rows."""
+"""From raw corpus to labelled, cleaned, deduplicated and split rows.
+
+Texts are cleaned once and staged.  Ids, deduplication and the split are worked
+out on a manifest: narrow rows of order value, class, id and content digest.  The
+wide rows meet the manifest in one join on the unique order value, of which Spark
+reads and moves only the columns that a consumer uses.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import INTENTS, SEED, SPLIT_RATIOS, VARIATIONS
+from ..constants import INTENTS, MIN_CLEAN_CHARS, SEED, SPLIT_RATIOS, VARIATIONS
 from ..operators.augment import augment
 from ..operators.corpus import (
     assign_base_id,
     assign_fallback_id,
     encode_label,
-    filter_short,
     filter_valid_labels,
     require_columns,
     with_clean_columns,
@@ -23,24 +28,46 @@ from .staging import stage
 PROCESSED = ["ord", "base_id", "text", "intent", "clean_text", "emojis", "excess_punct_count", "label"]
 
 
-def prepare_corpus(df: DataFrame, labels=INTENTS, order_col: str = "ord", name: str = "clean") -> DataFrame:
-    """Valid labels, ids, cleaning, label ids, length filter, keep-first dedup.
+def clean_stage(df: DataFrame, labels=INTENTS, name: str = "clean") -> DataFrame:
+    """Rows with a valid label, cleaned and staged with length and content digest."""
+    require_columns(df, "text", "intent", "ord")
+    cleaned = encode_label(with_clean_columns(filter_valid_labels(df, labels)), labels)
+    ids = ["base_id"] if "base_id" in df.columns else []
+    wide = cleaned.select(*[c for c in PROCESSED if c != "base_id"], *ids)
+    return stage(
+        wide.withColumn("_chars", F.length("clean_text")).withColumn("_key", content_key(*KEYS)), name
+    )
+
 
-    Texts are cleaned once: the cleaned rows are staged with the digest of their
-    content, and every later step reads only the columns it needs.
+def kept_ids(cleaned: DataFrame, id_prefix: str | None = None) -> DataFrame:
+    """Manifest of the rows to keep: ord, intent and base_id.
+
+    ``id_prefix`` numbers each class; without it ids follow the global position.
+    Short texts keep their number, and then leave with the duplicates.
     """
-    require_columns(df, "text", "intent", order_col)
-    valid = filter_valid_labels(df, labels)
-    if "base_id" not in df.columns:
-        valid = assign_fallback_id(valid, order_col)
-    cleaned = encode_label(with_clean_columns(valid), labels)
-    staged = stage(
-        cleaned.select(*[c for c in PROCESSED if c != "ord"], F.col(order_col).alias("ord")).withColumn(
-            "_key", content_key(*KEYS)
-        ),
-        name,
-    )
-    return dedup_first(filter_short(staged), order_col="ord", key_col="_key").select(*PROCESSED)
+    if "base_id" in cleaned.columns:
+        manifest = cleaned.select("ord", "intent", "base_id", "_chars", "_key")
+    else:
+        manifest = cleaned.select("ord", "intent", "_chars", "_key")
+        if id_prefix is None:
+            manifest = assign_fallback_id(manifest)
+        else:
+            manifest = assign_base_id(manifest, prefix=id_prefix)
+    long_enough = manifest.filter(F.col("_chars") >= MIN_CLEAN_CHARS)
+    return dedup_first(long_enough, key_col="_key").select("ord", "intent", "base_id")
+
+
+def attach(cleaned: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Wide rows of a manifest; its extra columns are kept."""
+    extra = [c for c in manifest.columns if c not in ("ord", "intent", "base_id")]
+    wide = cleaned.drop("base_id", "_chars", "_key")
+    return wide.join(manifest.drop("intent"), "ord").select(*PROCESSED, *extra)
+
+
+def prepare_corpus(df: DataFrame, labels=INTENTS, id_prefix: str | None = None, name: str = "corpus") -> DataFrame:
+    """Valid labels, ids, cleaning, label ids, length filter, keep-first dedup."""
+    cleaned = clean_stage(df, labels, f"{name}-clean")
+    return attach(cleaned, stage(kept_ids(cleaned, id_prefix), f"{name}-kept"))
 
 
 def prepare_splits(
@@ -54,11 +81,11 @@ def prepare_splits(
 
     In-domain and OOD rows get their ids and are deduplicated separately.
     """
-    rows = stratified_group_split(
-        prepare_corpus(assign_base_id(in_domain), labels, name="in-domain"), ratios=ratios, seed=seed
-    )
+    cleaned = clean_stage(in_domain, labels, "in-domain-clean")
+    manifest = stage(kept_ids(cleaned, ""), "in-domain-kept")
+    rows = attach(cleaned, stage(stratified_group_split(manifest, ratios=ratios, seed=seed), "in-domain-split"))
     if ood is not None:
-        held_out = prepare_corpus(assign_base_id(ood, prefix="ood_"), labels, name="ood")
+        held_out = prepare_corpus(ood, labels, "ood_", "ood")
         rows = rows.unionByName(held_out.withColumn("split", F.lit("ood")))
     return rows
 

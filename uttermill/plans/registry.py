@@ -65,11 +65,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split rows with keyword class and softmax confidence."""
     rows = with_keyword_scores(classified(splits(spark, sf_dir)), LANG_KEYWORDS)
-    return (
+    scored = (
         scoring.with_probabilities(rows)
         .withColumn("confidence", F.round(F.array_max("probs"), 4))
-        .drop("scores", "probs")
+        .drop("scores", "probs", "text", "emojis", "excess_punct_count")
     )
+    return stage(scored, "scored")
 
 
 def keyword_variants(rows: DataFrame) -> DataFrame:
@@ -321,8 +322,9 @@ def vocab_topk(spark, sf_dir):
 
 def _tfidf(spark, sf_dir, sublinear):
     docs = documents(spark, sf_dir, "doc_id", "text")
-    model = features.fit_tfidf(docs, sublinear=sublinear, text_col="text")
-    return model.long(docs, text_col="text").withColumn("weight", F.round("weight", 6))
+    vocab = features.fit_vocabulary(docs, text_col="text")
+    counts = features.stage_counts(docs, vocab, ["doc_id"], "text")
+    return features.fit_idf(counts, vocab, sublinear).long(counts).withColumn("weight", F.round("weight", 6))
 
 
 @query
@@ -348,9 +350,9 @@ QUERIES["keyword_classify"] = QUERIES.pop("keyword_classify_")
 
 @query
 def nb_predict(spark, sf_dir):
-    rows = splits(spark, sf_dir)
-    model = fit_naive_bayes(rows.filter("split = 'train'"), LABELS)
-    return model.predict(rows.filter("split <> 'train'")).select("ord", "split", "intent", "predicted_intent")
+    store = models.FeatureStore(splits(spark, sf_dir), LABELS)
+    model = fit_naive_bayes(store.train_counts, store.tfidf, LABELS)
+    return model.predict(store.held_out_counts).select("ord", "split", "intent", "predicted_intent")
 
 
 def _fit(spec):
@@ -450,7 +452,8 @@ def misclassified(spark, sf_dir):
 
 @query
 def error_reason(spark, sf_dir):
-    wrong = flagship(spark, sf_dir).filter("intent <> predicted_intent")
+    scored = stage(flagship(spark, sf_dir).select("ord", "intent", "predicted_intent", "clean_text"), "predicted")
+    wrong = scored.filter("intent <> predicted_intent")
     reason = errors.error_reason(F.col("clean_text"), F.col("intent"), F.col("predicted_intent"), pairs=LANG_ERROR_PAIRS)
     return wrong.select("ord", reason.alias("failure_analysis"))
 
@@ -479,7 +482,7 @@ def class_lookup(spark, sf_dir):
 @query
 def metrics_json(spark, sf_dir):
     """Nested metrics per split, written as JSON and read back."""
-    rows = stage(evaluated(spark, sf_dir).select("split", "intent", "predicted_intent"), "predicted")
+    rows = evaluated(spark, sf_dir)
     doc = reports.metrics_document(
         metrics.overall_metrics(rows, LABELS, by=("split",)), metrics.per_class_metrics(rows, LABELS, by=("split",)), "split"
     )

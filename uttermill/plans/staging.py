@@ -47,12 +47,13 @@ def stage(df: DataFrame, name: str, schema: StructType | None = None) -> DataFra
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute an input that has fewer splits than the session has cores.
+    """Hash-distribute an input with fewer than two splits per core.
 
-    A table of many files already fills the cluster and is returned as it is.
+    Such an input may leave cores idle, as a split need not hold a row group.  A
+    table of many files fills the cluster by itself and is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores, key)
 
