@@ -38,6 +38,16 @@ def test_vocabulary_order_and_cap(spark):
     assert got == sorted(total.items(), key=lambda kv: (-kv[1], kv[0]))[:4]
 
 
+@pytest.mark.parametrize("size", [1, 3, 5, 9, 100])
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_pruned_vocabulary_is_the_same(spark, size, broadcast_rows):
+    rng = random.Random(size)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "ff", "gg"], [9, 7, 5, 3, 2, 1, 1], k=rng.randrange(0, 9))) for _ in range(60)]
+    plain = ft.vocabulary(docs(spark, texts), size).collect()
+    pruned = ft.vocabulary(docs(spark, texts), size, prune_above=0, broadcast_rows=broadcast_rows).collect()
+    assert [tuple(r) for r in plain] == [tuple(r) for r in pruned]
+
+
 def test_term_counts(spark):
     got = {(r.doc_id, r.term): r.tf for r in ft.term_counts(docs(spark)).collect()}
     assert got == {(d, g): n for d, t in enumerate(TEXTS) for g, n in grams(t).items()}

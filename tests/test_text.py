@@ -52,11 +52,6 @@ def test_cleaning_is_idempotent(spark, texts):
     assert twice.filter("clean_text <> text or emojis <> '' or excess_punct_count <> 0").count() == 0
 
 
-def test_clean_or_raw_keeps_text_that_cleans_to_nothing(spark):
-    got = [r[0] for r in rows(spark, [" 😀 ", "hi  you"]).orderBy("id").select(tx.clean_or_raw("text")).collect()]
-    assert got == ["😀", "hi you"]
-
-
 def test_words_and_bigrams(spark):
     df = rows(spark, ["A bc, de_f  été 12", "x", ""]).withColumn("w", tx.words("text"))
     got = df.withColumn("b", tx.bigrams(F.col("w"))).orderBy("id").collect()

@@ -88,12 +88,6 @@ def clean_text(c) -> Column:
     return collapse_spaces(squeeze_elongation(squeeze_punct(remove_emojis(c))))
 
 
-def clean_or_raw(c) -> Column:
-    """Cleaned text, or the stripped raw text where cleaning leaves nothing."""
-    clean = clean_text(c)
-    return F.when(clean == "", strip(c)).otherwise(clean)
-
-
 def words(c) -> Column:
     """Lower-case words of two or more word characters."""
     return F.regexp_extract_all(F.lower(_text(c)), F.lit(WORD), F.lit(0))
@@ -104,20 +98,19 @@ def all_words(c) -> Column:
     return F.regexp_extract_all(F.lower(_text(c)), F.lit(ANY_WORD), F.lit(0))
 
 
-def bigrams(tokens: Column) -> Column:
-    """Adjacent pairs of an array of tokens, joined by a space."""
+def _neighbours(tokens: Column, combine) -> Column:
     n = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(tokens, F.lit(1), n),
-        F.slice(tokens, F.lit(2), n),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
+    return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), combine)
 
 
-def word_ngrams(c) -> Column:
-    """Word 1-grams followed by word 2-grams."""
-    tokens = words(c)
-    return F.concat(tokens, bigrams(tokens))
+def adjacent(tokens: Column) -> Column:
+    """Adjacent tokens as struct(first, second)."""
+    return _neighbours(tokens, lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+
+
+def bigrams(tokens: Column) -> Column:
+    """Adjacent tokens joined by a space."""
+    return _neighbours(tokens, lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def truncate_tokens(tokens: Column, max_tokens: int) -> Column:

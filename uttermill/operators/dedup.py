@@ -34,14 +34,13 @@ def dedup_first(
     work = df if key_col else df.withColumn("_key", content_key(*keys))
     key = key_col or "_key"
     groups = work.groupBy(key).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    first = stage(groups, "first-of-key")
-    repeated = first.filter("_n > 1").select(key, "_first")
+    repeated = stage(groups.filter("_n > 1").select(key, "_first"), "repeated-keys")
     if is_small(repeated, broadcast_rows):
         kept = work.join(F.broadcast(repeated), key, "left").filter(
             F.col("_first").isNull() | (F.col("_first") == F.col(order_col))
         )
         return kept.select(*df.columns)
-    winners = first.select(F.col("_first").alias(order_col))
+    winners = groups.select(F.col("_first").alias(order_col))
     return work.join(winners, order_col, "left_semi").select(*df.columns)
 
 

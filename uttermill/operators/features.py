@@ -14,9 +14,10 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as tx
 from ..functions.rows import divide_all, explode_rows, inline_rows
-from ..plans.staging import stage
+from ..plans.staging import BROADCAST_ROWS, is_small, stage
 
 MAX_FEATURES = 5_000
+PRUNE_ABOVE = 1_000_000
 
 
 def with_ngrams(df: DataFrame, text_col: str = "clean_text", out: str = "ngrams") -> DataFrame:
@@ -42,15 +43,45 @@ def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "clean_te
     )
 
 
-def vocabulary(df: DataFrame, max_features: int = MAX_FEATURES, text_col: str = "clean_text") -> DataFrame:
-    """The ``max_features`` most frequent n-grams of the corpus, ties by term."""
-    return (
-        explode_rows(with_ngrams(df.select(text_col), text_col), [], "ngrams", "term")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("corpus_tf"))
-        .orderBy(F.desc("corpus_tf"), "term")
-        .limit(max_features)
-    )
+def _top(counts: DataFrame, max_features: int) -> DataFrame:
+    return counts.orderBy(F.desc("corpus_tf"), "term").limit(max_features)
+
+
+def _count(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("corpus_tf"))
+
+
+def vocabulary(
+    df: DataFrame,
+    max_features: int = MAX_FEATURES,
+    text_col: str = "clean_text",
+    prune_above: int = PRUNE_ABOVE,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The ``max_features`` most frequent n-grams of the corpus, ties by term.
+
+    Up to ``prune_above`` texts all n-grams are counted in one pass.  Beyond that
+    nearly all distinct 2-grams are rare and would only swell the shuffle, so
+    words are counted first.  A 2-gram is at most as frequent as its words, and
+    the k-th most frequent word bounds the result from below; hence only 2-grams
+    of two words that reach this bound are counted.  The result is the same.
+    """
+    texts = df.select(text_col)
+    if df.count() > prune_above:
+        words = texts.select(tx.words(text_col).alias("_words"))
+        singles = stage(_count(explode_rows(words, [], "_words", "term")), "word-counts")
+        bound = _top(singles, max_features).agg(F.min("corpus_tf")).first()[0]
+        if bound is not None:
+            frequent = singles.filter(F.col("corpus_tf") >= bound)
+            if is_small(frequent, broadcast_rows):
+                member = F.broadcast(frequent.select("term"))
+                pairs = words.select(tx.adjacent(F.col("_words")).alias("_pairs"))
+                pairs = inline_rows(pairs, [], "_pairs", "first")
+                pairs = pairs.join(member.withColumnRenamed("term", "first"), "first", "left_semi")
+                pairs = pairs.join(member.withColumnRenamed("term", "second"), "second", "left_semi")
+                doubles = _count(pairs.select(F.concat("first", F.lit(" "), "second").alias("term")))
+                return _top(frequent.unionByName(doubles), max_features)
+    return _top(_count(explode_rows(with_ngrams(texts, text_col), [], "ngrams", "term")), max_features)
 
 
 def literal_doubles(values) -> Column:

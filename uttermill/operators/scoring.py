@@ -52,6 +52,16 @@ def check_batch_size(df: DataFrame, limit: int = MAX_BATCH_TEXTS) -> int:
     return n
 
 
+def with_cleaned_text(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``cleaned_text``: the cleaned text, or the stripped raw text where that is empty."""
+    clean = F.col("_clean")
+    return (
+        df.withColumn("_clean", tx.clean_text(text_col))
+        .withColumn("cleaned_text", F.when(clean == "", tx.strip(text_col)).otherwise(clean))
+        .drop("_clean")
+    )
+
+
 KeywordTable = dict[str, list[str]]
 
 
@@ -116,7 +126,7 @@ def score_batch(
     """Clean, score and label every text; works on batch and streaming frames."""
     check_threshold(threshold)
     scorer = scorer or keyword_scorer()
-    scored = scorer(df.withColumn("cleaned_text", tx.clean_or_raw(text_col)))
+    scored = scorer(with_cleaned_text(df, text_col))
     probs = with_probabilities(scored)
     return (
         with_fallback(with_top2(probs, labels), threshold)

@@ -41,16 +41,16 @@ class GroupSplit:
             stratum = F.coalesce(F.col("_stratum"), F.col(self.class_col))
         else:
             stratum = F.col(self.class_col)
-        key = split_key(self.id_col, self.seed)
-        split = F.lit(None).cast("string")
+        df = df.withColumn("_class", stratum).withColumn("_key", split_key(self.id_col, self.seed))
+        key, split = F.col("_key"), F.lit(None).cast("string")
         for c in self.cuts:
             part = F.lit("test")
             if c["val_cut"] is not None:
                 part = F.when(key <= c["val_cut"], "val").otherwise(part)
             if c["train_cut"] is not None:
                 part = F.when(key <= c["train_cut"], "train").otherwise(part)
-            split = F.when(stratum == c["_stratum"], part).otherwise(split)
-        return df.withColumn(out, split).drop("_stratum")
+            split = F.when(F.col("_class") == c["_stratum"], part).otherwise(split)
+        return df.withColumn(out, split).drop("_stratum", "_class", "_key")
 
 
 def fit_group_split(

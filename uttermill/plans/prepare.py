@@ -8,6 +8,9 @@ reads and moves only the columns that a consumer uses.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,24 +73,44 @@ def prepare_corpus(df: DataFrame, labels=INTENTS, id_prefix: str | None = None,
     return attach(cleaned, stage(kept_ids(cleaned, id_prefix), f"{name}-kept"))
 
 
-def prepare_splits(
+@dataclass
+class Prepared:
+    """Cleaned rows and the manifest of those kept, for one corpus."""
+
+    cleaned: DataFrame
+    manifest: DataFrame
+
+    def rows(self) -> DataFrame:
+        return attach(self.cleaned, self.manifest)
+
+
+def plan_splits(
     in_domain: DataFrame,
     ood: DataFrame | None = None,
     labels=INTENTS,
     ratios=SPLIT_RATIOS,
     seed: int = SEED,
-) -> DataFrame:
-    """Processed rows with a ``split`` column: train, val, test and, if given, ood.
-
-    In-domain and OOD rows get their ids and are deduplicated separately.
-    """
+) -> list[Prepared]:
+    """Manifests with a ``split`` column; in-domain and OOD rows are treated apart."""
     cleaned = clean_stage(in_domain, labels, "in-domain-clean")
     manifest = stage(kept_ids(cleaned, ""), "in-domain-kept")
-    rows = attach(cleaned, stage(stratified_group_split(manifest, ratios=ratios, seed=seed), "in-domain-split"))
+    split = stratified_group_split(manifest, ratios=ratios, seed=seed)
+    parts = [Prepared(cleaned, stage(split, "in-domain-split"))]
     if ood is not None:
-        held_out = prepare_corpus(ood, labels, "ood_", "ood")
-        rows = rows.unionByName(held_out.withColumn("split", F.lit("ood")))
-    return rows
+        cleaned = clean_stage(ood, labels, "ood-clean")
+        held_out = kept_ids(cleaned, "ood_").withColumn("split", F.lit("ood"))
+        parts.append(Prepared(cleaned, stage(held_out, "ood-kept")))
+    return parts
+
+
+def split_manifest(*args, **kw) -> DataFrame:
+    """ord, intent, base_id and split of every kept row; the texts stay unread."""
+    return reduce(DataFrame.unionByName, [p.manifest for p in plan_splits(*args, **kw)])
+
+
+def prepare_splits(*args, **kw) -> DataFrame:
+    """Processed rows with a ``split`` column: train, val, test and, if given, ood."""
+    return reduce(DataFrame.unionByName, [p.rows() for p in plan_splits(*args, **kw)])
 
 
 def augment_train(rows: DataFrame, variations=VARIATIONS) -> DataFrame:

@@ -26,7 +26,7 @@ from ..sources.tables import in_domain, out_of_domain, requests, table, utteranc
 from ..streaming.scoring import read_stream, route_stream, score_stream
 from .oracles import CORPUS_TOKENIZERS, KS, SCORED_COLUMNS
 from .prepare import augment_train as with_augmented_train
-from .prepare import prepare_corpus, prepare_splits
+from .prepare import prepare_corpus, prepare_splits, split_manifest
 from .staging import spread, stage, staging_path
 
 LABELS = LANG_LABELS
@@ -52,6 +52,11 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_splits(in_domain(docs), out_of_domain(docs), LABELS)
 
 
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = utterances(spark, sf_dir)
+    return split_manifest(in_domain(docs), out_of_domain(docs), LABELS)
+
+
 def classified(df: DataFrame, k: int | None = None, out: str = "predicted_intent") -> DataFrame:
     words = {x: LANG_KEYWORDS[x][:k] for x in LABELS}
     return keyword_classify(df, words, LANG_DEFAULT, out=out)
@@ -233,7 +238,7 @@ def distinct_base(spark, sf_dir):
 
 @query
 def stratified_split(spark, sf_dir):
-    return splits(spark, sf_dir).filter("split <> 'ood'").select("base_id", "intent", "split")
+    return manifest(spark, sf_dir).filter("split <> 'ood'").select("base_id", "intent", "split")
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -280,7 +285,7 @@ def prepared_counts(spark, sf_dir):
 
 @query
 def leak_ids(spark, sf_dir):
-    return leakage.overlap_report(splits(spark, sf_dir), kinds=("base_id",))
+    return leakage.overlap_report(manifest(spark, sf_dir), kinds=("base_id",))
 
 
 @query
@@ -521,7 +526,7 @@ def validate_requests(spark, sf_dir):
 
 @query
 def softmax(spark, sf_dir):
-    rows = requests(spark, sf_dir).withColumn("cleaned_text", tx.clean_or_raw("text"))
+    rows = scoring.with_cleaned_text(requests(spark, sf_dir))
     probs = scoring.with_probabilities(scoring.keyword_scorer(LANG_KEYWORDS)(rows))
     return probs.select("conv_id", "turn", *[F.round(F.col("probs")[i], 6).alias(f"p_{x}") for i, x in enumerate(LABELS)])
 
