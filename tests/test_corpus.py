@@ -6,7 +6,7 @@ from uttermill.constants import INTENTS
 from uttermill.operators import corpus
 from uttermill.operators.augment import augment
 from uttermill.operators.dedup import dedup_counts, dedup_first, distinct_base
-from uttermill.plans.prepare import augment_train, prepare_corpus, prepare_splits
+from uttermill.plans.prepare import augment_train, plan_splits, prepare_corpus
 from uttermill.plans.ranking import with_ordinal
 
 RAW = "ord bigint, text string, intent string"
@@ -116,11 +116,11 @@ def test_augment_drops_equal_results(spark):
 
 def test_pipeline_splits_then_augments_train_only(spark):
     main = spark.createDataFrame([(i, f"text number {i}", INTENTS[i % 6]) for i in range(120)], RAW)
-    ood = spark.createDataFrame([(i, f"other text {i}", INTENTS[i % 6]) for i in range(12)], RAW)
-    rows = prepare_splits(main, ood)
+    ood = spark.createDataFrame([(1000 + i, f"text number {i}" if i < 3 else f"other text {i}", INTENTS[i % 6]) for i in range(12)], RAW)
+    rows = plan_splits(main, ood).rows()
     before = {r.split: r["count"] for r in rows.groupBy("split").count().collect()}
     assert before == {"train": 84, "val": 18, "test": 18, "ood": 12}
     after = augment_train(rows)
     assert {r.split: r["count"] for r in after.groupBy("split").count().collect()} == {"train": 672, "val": 18, "test": 18, "ood": 12}
-    assert after.select("ord").distinct().count() <= after.count()
+    assert after.select("ord").distinct().count() == after.count()
     assert after.filter("split = 'ood' and base_id not like 'ood\\_%'").count() == 0

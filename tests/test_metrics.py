@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from uttermill.operators import errors, leakage, metrics, reports
-from uttermill.constants import ERROR_DEFAULT, ERROR_NEGATION, ERROR_PAIRS
+from uttermill.constants import ERROR_DEFAULT, ERROR_NEGATION, ERROR_PAIRS, ERROR_SOURCE_OOD, ERROR_SOURCE_TEST
 
 ABC = ["a", "b", "c"]
 
@@ -86,7 +86,7 @@ def test_error_table(spark):
     ood = _pred(spark, [("z", "b", "a", 0.8)])
     table = errors.error_table(errors.misclassified(test, ood))
     assert table.columns == errors.ERROR_COLUMNS
-    assert [(r.clean_text, r.benchmark_source) for r in table.collect()] == [("z", errors.OOD), ("x", errors.IN_DOMAIN)]
+    assert [(r.clean_text, r.benchmark_source) for r in table.collect()] == [("z", ERROR_SOURCE_OOD), ("x", ERROR_SOURCE_TEST)]
     top = errors.top_confusions(errors.misclassified(test, ood), 1).collect()
     assert len(top) == 1 and top[0].n == 1
 

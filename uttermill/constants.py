@@ -111,6 +111,9 @@ NEGATIONS = ["nahi", "no", "mat"]
 ERROR_NEGATION = "Negation Ambiguity: Sentence contains negative particles leading to confusion."
 ERROR_DEFAULT = "Code-Mixed Lexical Ambiguity: Multi-intent phrases or colloquial transliteration overlap."
 
+ERROR_SOURCE_TEST = "In-Domain (test.csv)"
+ERROR_SOURCE_OOD = "OOD Benchmark (test_ood.csv)"
+
 # --- fixed values: next action and marker per intent ---------------------------
 ACTIONS = {
     "price_negotiation": (
@@ -177,6 +180,9 @@ BACKBONE_COST = [
 DEFAULT_TOKENS_PER_WORD = 2.50
 DEFAULT_TOKENS_PER_TEXT = 16.0
 
+STATUS_BASELINE = "Baseline"
+STATUS_TUNED = "Fine-Tuned Production Model"
+
 # --- fixed values: columns of the reports --------------------------------------
 ERROR_COLUMNS = [
     "clean_text", "intent", "predicted_intent", "confidence",

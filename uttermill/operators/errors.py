@@ -7,10 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ERROR_COLUMNS, ERROR_DEFAULT, ERROR_NEGATION, ERROR_PAIRS, NEGATIONS
-
-IN_DOMAIN = "In-Domain (test.csv)"
-OOD = "OOD Benchmark (test_ood.csv)"
+from ..constants import (
+    ERROR_COLUMNS,
+    ERROR_DEFAULT,
+    ERROR_NEGATION,
+    ERROR_PAIRS,
+    ERROR_SOURCE_OOD,
+    ERROR_SOURCE_TEST,
+    NEGATIONS,
+)
 
 
 def error_reason(
@@ -38,9 +43,9 @@ def misclassified(test: DataFrame, ood: DataFrame | None = None, **rules) -> Dat
     def wrong(df: DataFrame, source: str) -> DataFrame:
         return with_is_correct(df).filter(~F.col("is_correct")).withColumn("benchmark_source", F.lit(source))
 
-    rows = wrong(test, IN_DOMAIN)
+    rows = wrong(test, ERROR_SOURCE_TEST)
     if ood is not None:
-        rows = rows.unionByName(wrong(ood, OOD), allowMissingColumns=True)
+        rows = rows.unionByName(wrong(ood, ERROR_SOURCE_OOD), allowMissingColumns=True)
     return rows.withColumn(
         "failure_analysis",
         error_reason(F.col("clean_text"), F.col("intent"), F.col("predicted_intent"), **rules),

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import RUN_COLUMNS
-
-BASELINE = "Baseline"
-TUNED = "Fine-Tuned Production Model"
+from ..constants import RUN_COLUMNS, STATUS_BASELINE, STATUS_TUNED
 
 
 def append_runs(log: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -35,11 +32,11 @@ def best_run(log: DataFrame, defaults: dict | None = None, **kw) -> DataFrame:
 
 
 def _percent(c: str):
-    return F.coalesce(F.format_string("%.1f%%", F.round(F.col(c) * 100, 1)), F.lit("N/A"))
+    return F.format_string("%.1f%%", F.round(F.col(c) * 100, 1))
 
 
 def _figure(c: str):
-    return F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("N/A"))
+    return F.format_string("%.4f", F.col(c))
 
 
 def comparison_table(test: DataFrame, ood: DataFrame, tuned: list[str], model_col: str = "model") -> DataFrame:
@@ -60,7 +57,7 @@ def comparison_table(test: DataFrame, ood: DataFrame, tuned: list[str], model_co
         pick("_tf", _figure).alias("test_macro_f1"),
         pick("_oa", _percent).alias("ood_accuracy"),
         pick("_of", _figure).alias("ood_macro_f1"),
-        F.when(F.col(model_col).isin(tuned), TUNED).otherwise(BASELINE).alias("status"),
+        F.when(F.col(model_col).isin(tuned), STATUS_TUNED).otherwise(STATUS_BASELINE).alias("status"),
     )
 
 

@@ -12,6 +12,8 @@ from ..constants import (
     CONFIDENCE_THRESHOLD,
     ERROR_DEFAULT,
     ERROR_NEGATION,
+    ERROR_SOURCE_OOD,
+    ERROR_SOURCE_TEST,
     LANG_ACTIONS,
     LANG_DEFAULT,
     LANG_ERROR_PAIRS,
@@ -24,6 +26,8 @@ from ..constants import (
     NEGATIONS,
     PUNCTUATION,
     SEED,
+    STATUS_BASELINE,
+    STATUS_TUNED,
     VARIATIONS,
 )
 from ..functions.text import ANY_WORD, EMOJI_RUN, SPACE_RUN, TAG, WORD
@@ -360,7 +364,7 @@ REASON_CASE = (
 ERRORS = [
     *EVALUATED,
     "errors AS (SELECT ord, clean_text, intent, predicted_intent, round(greatest(" + ", ".join(f"p_{x}" for x in LABELS)
-    + "), 4) AS confidence, CASE split WHEN 'ood' THEN 'OOD Benchmark (test_ood.csv)' ELSE 'In-Domain (test.csv)' END AS benchmark_source, "
+    + f"), 4) AS confidence, CASE split WHEN 'ood' THEN {q(ERROR_SOURCE_OOD)} ELSE {q(ERROR_SOURCE_TEST)} END AS benchmark_source, "
     + REASON_CASE + " AS failure_analysis FROM scored WHERE split IN ('test', 'ood') AND intent <> predicted_intent)",
 ]
 
@@ -487,7 +491,7 @@ def oracle_sql() -> dict[str, str]:
             "o AS (SELECT split_part(key, '/', 1) AS model, round(accuracy, 4) AS accuracy, round(macro_f1, 4) AS macro_f1 FROM m_a WHERE key LIKE '%/ood')",
             "table_ AS (SELECT t.model, printf('%.1f%%', round(t.accuracy * 100, 1)) AS test_accuracy, printf('%.4f', t.macro_f1) AS test_macro_f1, "
             "coalesce(printf('%.1f%%', round(o.accuracy * 100, 1)), 'N/A') AS ood_accuracy, coalesce(printf('%.4f', o.macro_f1), 'N/A') AS ood_macro_f1, "
-            "CASE t.model WHEN 'keywords_4' THEN 'Fine-Tuned Production Model' ELSE 'Baseline' END AS status FROM t LEFT JOIN o USING (model))",
+            f"CASE t.model WHEN 'keywords_4' THEN {q(STATUS_TUNED)} ELSE {q(STATUS_BASELINE)} END AS status FROM t LEFT JOIN o USING (model))",
             select="SELECT '| ' || concat_ws(' | ', model, test_accuracy, test_macro_f1, ood_accuracy, ood_macro_f1, status) || ' |' AS line FROM table_",
         ),
         "class_lookup": with_(

@@ -24,63 +24,62 @@ from ..operators.corpus import (
     require_columns,
     with_clean_columns,
 )
-from ..operators.dedup import KEYS, content_key, dedup_first
-from ..operators.split import stratified_group_split
+from ..operators.dedup import content_key, dedup_first
+from ..operators.split import fit_group_split
 from .staging import stage
 
 PROCESSED = ["ord", "base_id", "text", "intent", "clean_text", "emojis", "excess_punct_count", "label"]
 
 
-def clean_stage(df: DataFrame, labels=INTENTS, name: str = "clean") -> DataFrame:
-    """Rows with a valid label, cleaned and staged with length and content digest."""
+def clean_stage(df: DataFrame, labels=INTENTS, name: str = "clean", group_col: str = "intent") -> DataFrame:
+    """Rows with a valid label, cleaned and staged with length and content digest.
+
+    Equal texts count as duplicates within ``group_col``.
+    """
     require_columns(df, "text", "intent", "ord")
     cleaned = encode_label(with_clean_columns(filter_valid_labels(df, labels)), labels)
-    ids = ["base_id"] if "base_id" in df.columns else []
-    wide = cleaned.select(*[c for c in PROCESSED if c != "base_id"], *ids)
-    return stage(
-        wide.withColumn("_chars", F.length("clean_text")).withColumn("_key", content_key(*KEYS)), name
-    )
+    extra = [c for c in ("base_id", group_col) if c in df.columns and c != "intent"]
+    wide = cleaned.select(*[c for c in PROCESSED if c != "base_id"], *extra)
+    key = content_key("clean_text", group_col)
+    return stage(wide.withColumn("_chars", F.length("clean_text")).withColumn("_key", key), name)
 
 
-def kept_ids(cleaned: DataFrame, id_prefix: str | None = None) -> DataFrame:
+def kept_ids(cleaned: DataFrame, group_col: str = "intent", by_position: bool = False) -> DataFrame:
     """Manifest of the rows to keep: ord, intent and base_id.
 
-    ``id_prefix`` numbers each class; without it ids follow the global position.
-    Short texts keep their number, and then leave with the duplicates.
+    Ids number each group, or all rows ``by_position``, unless the rows bring
+    their own.  Short texts keep their number, and then leave with the duplicates.
     """
-    if "base_id" in cleaned.columns:
-        manifest = cleaned.select("ord", "intent", "base_id", "_chars", "_key")
-    else:
-        manifest = cleaned.select("ord", "intent", "_chars", "_key")
-        if id_prefix is None:
-            manifest = assign_fallback_id(manifest)
-        else:
-            manifest = assign_base_id(manifest, prefix=id_prefix)
+    own = ["base_id"] if "base_id" in cleaned.columns else []
+    manifest = cleaned.select(*dict.fromkeys(["ord", "intent", group_col, *own, "_chars", "_key"]))
+    if not own:
+        manifest = assign_fallback_id(manifest) if by_position else assign_base_id(manifest, label_col=group_col)
     long_enough = manifest.filter(F.col("_chars") >= MIN_CLEAN_CHARS)
-    return dedup_first(long_enough, key_col="_key").select("ord", "intent", "base_id")
+    return dedup_first(long_enough, key_col="_key").drop("_chars", "_key")
 
 
 def attach(cleaned: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Wide rows of a manifest; its extra columns are kept."""
-    extra = [c for c in manifest.columns if c not in ("ord", "intent", "base_id")]
-    wide = cleaned.drop("base_id", "_chars", "_key")
-    return wide.join(manifest.drop("intent"), "ord").select(*PROCESSED, *extra)
+    """Wide rows of a manifest; its ``split`` column, if any, is kept."""
+    extra = [c for c in manifest.columns if c == "split"]
+    wide = cleaned.select(*[c for c in PROCESSED if c != "base_id"])
+    return wide.join(manifest.select("ord", "base_id", *extra), "ord").select(*PROCESSED, *extra)
 
 
-def prepare_corpus(df: DataFrame, labels=INTENTS, id_prefix: str | None = None, name: str = "corpus") -> DataFrame:
+def prepare_corpus(df: DataFrame, labels=INTENTS) -> DataFrame:
     """Valid labels, ids, cleaning, label ids, length filter, keep-first dedup."""
-    cleaned = clean_stage(df, labels, f"{name}-clean")
-    return attach(cleaned, stage(kept_ids(cleaned, id_prefix), f"{name}-kept"))
+    cleaned = clean_stage(df, labels)
+    return attach(cleaned, stage(kept_ids(cleaned, by_position=True), "kept"))
 
 
 @dataclass
 class Prepared:
-    """Cleaned rows and the manifest of those kept, for one corpus."""
+    """Cleaned rows, and the manifest of those kept: ord, intent, base_id, split."""
 
     cleaned: DataFrame
     manifest: DataFrame
 
     def rows(self) -> DataFrame:
+        """Processed rows with a ``split`` column: train, val, test and, if given, ood."""
         return attach(self.cleaned, self.manifest)
 
 
@@ -90,27 +89,22 @@ def plan_splits(
     labels=INTENTS,
     ratios=SPLIT_RATIOS,
     seed: int = SEED,
-) -> list[Prepared]:
-    """Manifests with a ``split`` column; in-domain and OOD rows are treated apart."""
-    cleaned = clean_stage(in_domain, labels, "in-domain-clean")
-    manifest = stage(kept_ids(cleaned, ""), "in-domain-kept")
-    split = stratified_group_split(manifest, ratios=ratios, seed=seed)
-    parts = [Prepared(cleaned, stage(split, "in-domain-split"))]
-    if ood is not None:
-        cleaned = clean_stage(ood, labels, "ood-clean")
-        held_out = kept_ids(cleaned, "ood_").withColumn("split", F.lit("ood"))
-        parts.append(Prepared(cleaned, stage(held_out, "ood-kept")))
-    return parts
-
+) -> Prepared:
+    """Clean both corpora in one pass and split the in-domain one.
 
-def split_manifest(*args, **kw) -> DataFrame:
-    """ord, intent, base_id and split of every kept row; the texts stay unread."""
-    return reduce(DataFrame.unionByName, [p.manifest for p in plan_splits(*args, **kw)])
-
-
-def prepare_splits(*args, **kw) -> DataFrame:
-    """Processed rows with a ``split`` column: train, val, test and, if given, ood."""
-    return reduce(DataFrame.unionByName, [p.rows() for p in plan_splits(*args, **kw)])
+    Ids and duplicates are worked out per corpus and class; OOD ids start with
+    ``ood_``.  ``ord`` must be unique over both corpora.
+    """
+    group = F.col("intent")
+    frames = [in_domain.withColumn("_group", group)]
+    if ood is not None:
+        frames.append(ood.withColumn("_group", F.concat(F.lit("ood_"), group)))
+    cleaned = clean_stage(reduce(DataFrame.unionByName, frames), labels, group_col="_group")
+    kept = stage(kept_ids(cleaned, "_group"), "kept")
+    is_main = F.col("_group") == F.col("intent")
+    fitted = fit_group_split(kept.filter(is_main), ratios=ratios, seed=seed)
+    split = fitted.assign(kept).withColumn("split", F.when(is_main, F.col("split")).otherwise("ood"))
+    return Prepared(cleaned, stage(split.drop("_group"), "split"))
 
 
 def augment_train(rows: DataFrame, variations=VARIATIONS) -> DataFrame:

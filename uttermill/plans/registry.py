@@ -26,7 +26,7 @@ from ..sources.tables import in_domain, out_of_domain, requests, table, utteranc
 from ..streaming.scoring import read_stream, route_stream, score_stream
 from .oracles import CORPUS_TOKENIZERS, KS, SCORED_COLUMNS
 from .prepare import augment_train as with_augmented_train
-from .prepare import prepare_corpus, prepare_splits, split_manifest
+from .prepare import Prepared, plan_splits, prepare_corpus
 from .staging import spread, stage, staging_path
 
 LABELS = LANG_LABELS
@@ -47,14 +47,18 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select(*cols), "doc_id")
 
 
-def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planned(spark: SparkSession, sf_dir: str) -> Prepared:
     docs = utterances(spark, sf_dir)
-    return prepare_splits(in_domain(docs), out_of_domain(docs), LABELS)
+    return plan_splits(in_domain(docs), out_of_domain(docs), LABELS)
+
+
+def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planned(spark, sf_dir).rows()
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = utterances(spark, sf_dir)
-    return split_manifest(in_domain(docs), out_of_domain(docs), LABELS)
+    """ord, intent, base_id and split of every kept row; the texts stay unread."""
+    return planned(spark, sf_dir).manifest
 
 
 def classified(df: DataFrame, k: int | None = None, out: str = "predicted_intent") -> DataFrame:
