@@ -80,6 +80,7 @@ def compare(df, con, sql: str) -> str | None:
 
 def main(sf_dir: str, only: list[str]) -> int:
     import __spark_entry__ as entry
+    from uttermill.plans.staging import drop_staged
 
     spark, con = session(), connect(sf_dir)
     oracle, bad = entry.oracle_sql(), 0
@@ -97,6 +98,7 @@ def main(sf_dir: str, only: list[str]) -> int:
             diff = note = f"{type(e).__name__}: {str(e)[:1500]}"
             spark_time = time.time() - start
         bad += diff is not None
+        drop_staged(spark)
         print(f"{name:24s} build {spark_time:6.1f}s total {time.time() - start:6.1f}s  {note}", flush=True)
     missing = set(oracle) - set(entry.queries())
     print(f"{bad} differ; SQL without query: {sorted(missing)}")

@@ -124,3 +124,10 @@ def test_pipeline_splits_then_augments_train_only(spark):
     assert {r.split: r["count"] for r in after.groupBy("split").count().collect()} == {"train": 672, "val": 18, "test": 18, "ood": 12}
     assert after.select("ord").distinct().count() == after.count()
     assert after.filter("split = 'ood' and base_id not like 'ood\\_%'").count() == 0
+
+
+def test_ood_is_optional(spark):
+    main = spark.createDataFrame([(i, f"text number {i}", INTENTS[i % 6]) for i in range(60)], RAW)
+    rows = plan_splits(main).rows()
+    assert {r.split for r in rows.select("split").distinct().collect()} == {"train", "val", "test"}
+    assert rows.count() == 60

@@ -7,7 +7,7 @@ from oracle import compare, connect
 import __spark_entry__ as entry
 
 SQL = entry.oracle_sql()
-NO_SQL = {"fit_lr", "fit_svm", "fit_rf", "fit_predict_eval", "baseline_summary", "sweep_runs", "metrics_json"}
+NO_SQL = {"fit_lr", "fit_svm", "fit_rf", "fit_predict_eval", "baseline_summary", "sweep_runs"}
 
 
 @pytest.fixture(scope="module")
@@ -27,8 +27,3 @@ def test_query_equals_sql(spark, con, name):
 def test_entry(spark):
     r = entry.entry(spark).collect()
     assert len(r) == 1 and r[0].accuracy > 0.9
-
-
-def test_metrics_json(spark):
-    rows = entry.queries()["metrics_json"](spark, SF).collect()
-    assert {r.split for r in rows} == {"train", "val", "test", "ood"} and all(len(r.per_class) == 4 for r in rows)

@@ -47,14 +47,15 @@ def test_softmax_of_large_scores(spark):
 
 
 def test_plug_in_model(spark):
-    sizes = [1.0, 2.0, 3.0]
+    def make_predict():
+        def predict(texts):
+            assert len(texts) <= 2
+            return np.array([[len(t) % 3 == k for k in range(3)] for t in texts], dtype=float) * 5
 
-    def predict(texts):
-        assert len(texts) <= 2
-        return np.array([[len(t) % 3 == k for k in range(3)] for t in texts], dtype=float) * 5
+        return predict
 
-    got = scoring.score_batch(asked(spark), ["x", "y", "z"], scoring.python_scorer(predict, batch_size=2)).collect()
-    assert len(sizes) == 3 and all(r.intent == "xyz"[len(r.cleaned_text) % 3] for r in got)
+    got = scoring.score_batch(asked(spark), ["x", "y", "z"], scoring.python_scorer(make_predict, batch_size=2)).collect()
+    assert len(got) == 4 and all(r.intent == "xyz"[len(r.cleaned_text) % 3] for r in got)
 
 
 def test_single_class(spark):

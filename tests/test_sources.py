@@ -2,7 +2,7 @@ import pytest
 
 from uttermill.operators import fertility
 from uttermill.operators.scoring import keyword_scorer, score_batch
-from uttermill.plans.staging import broadcast_if_small, is_small, stage, staging_path, staging_root
+from uttermill.plans.staging import is_small, salted_left_join, stage, staging_path, staging_root
 from uttermill.sources import files
 from uttermill.streaming.scoring import read_stream, route_stream, score_stream
 
@@ -39,11 +39,16 @@ def test_stage_reads_back_and_cuts_lineage(spark):
     assert staging_path(spark, "a").startswith(staging_root(spark))
 
 
-def test_broadcast_only_below_the_limit(spark):
-    df = spark.range(10)
-    assert is_small(df, 10) and not is_small(df, 9)
-    assert "broadcast" in broadcast_if_small(df, 10)._jdf.queryExecution().logical().toString().lower()
-    assert broadcast_if_small(df, 9) is df
+def test_row_count_check(spark):
+    assert is_small(spark.range(10), 10) and not is_small(spark.range(10), 9)
+
+
+def test_salted_join_is_a_left_join(spark):
+    rows = spark.range(300).selectExpr("id AS ord", "IF(id % 3 = 0, 'hot', concat('k', id % 7)) AS k")
+    narrow = spark.createDataFrame([("hot", 1), ("k1", 2), ("unused", 3)], "k string, v int")
+    got = {r.ord: r.v for r in salted_left_join(rows, narrow, "k", "ord", 4).collect()}
+    want = {r.ord: {"hot": 1, "k1": 2}.get(r.k) for r in rows.collect()}
+    assert got == want
 
 
 @pytest.fixture()

@@ -95,6 +95,7 @@ def fit_naive_bayes(
     vocabulary sums reach the driver.
     """
     size = len(tfidf.vocab)
+    counted = counted.filter(F.col(label_col).isin(list(labels)))
     n_class = {r[label_col]: r["n"] for r in counted.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     present = [c for c in labels if n_class.get(c)]
     total = sum(n_class[c] for c in present)
@@ -105,8 +106,7 @@ def fit_naive_bayes(
         .agg(F.sum("weights").alias("w"))
     )
     for r in per_term.collect():
-        if r[label_col] in sums:
-            sums[r[label_col]][r["indices"]] = r["w"]
+        sums[r[label_col]][r["indices"]] = r["w"]
     prior, table = [], []
     for c in present:
         mass = math.fsum(sums[c]) + alpha * size

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import Callable
 
-import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..constants import (
     ACTIONS,
@@ -70,19 +71,14 @@ def keyword_scorer(keywords: KeywordTable = KEYWORDS) -> Callable[[DataFrame], D
     return lambda df: with_keyword_scores(df, keywords, "cleaned_text", "scores")
 
 
-def python_scorer(predict: Callable[[pd.Series], "object"], batch_size: int = SCORING_BATCH) -> Callable[[DataFrame], DataFrame]:
-    """Scorer from a plug-in model: texts in, a matrix of raw class scores out.
+def python_scorer(make_predict: Callable[[], Callable], batch_size: int = SCORING_BATCH) -> Callable[[DataFrame], DataFrame]:
+    """Scorer from a plug-in model.
 
-    The model sees Arrow batches cut to ``batch_size`` texts inside each task.
+    ``make_predict`` runs once per Python worker, loads the model and returns a
+    function from an array of texts to a matrix of raw class scores.  Spark sends
+    it Arrow batches of ``batch_size`` texts.
     """
-
-    @F.pandas_udf("array<double>")
-    def apply(texts: pd.Series) -> pd.Series:
-        rows = []
-        for start in range(0, len(texts), batch_size):
-            rows.extend([float(x) for x in row] for row in predict(texts.iloc[start : start + batch_size]))
-        return pd.Series(rows, index=texts.index, dtype=object)
-
+    apply = predict_batch_udf(make_predict, return_type=ArrayType(DoubleType()), batch_size=batch_size)
     return lambda df: df.withColumn("scores", apply("cleaned_text"))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SEED, SPLIT_RATIOS
-from ..plans.staging import broadcast_if_small, is_small, stage
+from ..plans.staging import BROADCAST_ROWS, is_small, salted_left_join, stage
 
+MAX_CLASSES = 10_000
 PARTS = 10_000  # ratios are held as whole parts of this, to keep quotas in integers
 
 
@@ -32,12 +33,21 @@ class GroupSplit:
     mixed: DataFrame | None
     id_col: str
     class_col: str
+    order_col: str
     seed: int
+    broadcast_rows: int = BROADCAST_ROWS
 
     def assign(self, df: DataFrame, out: str = "split") -> DataFrame:
-        """Add the split of each row; a comparison with literals, no shuffle."""
+        """Add the split of each row by comparison with literals.
+
+        Only ids with several classes are looked up: from a broadcast if they are
+        few, else by a salted join, as one id may have very many rows.
+        """
         if self.mixed is not None:
-            df = df.join(broadcast_if_small(self.mixed), self.id_col, "left")
+            if is_small(self.mixed, self.broadcast_rows):
+                df = df.join(F.broadcast(self.mixed), self.id_col, "left")
+            else:
+                df = salted_left_join(df, self.mixed, self.id_col, self.order_col)
             stratum = F.coalesce(F.col("_stratum"), F.col(self.class_col))
         else:
             stratum = F.col(self.class_col)
@@ -61,6 +71,7 @@ def fit_group_split(
     ratios=SPLIT_RATIOS,
     seed: int = SEED,
     digits: int = 4,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> GroupSplit:
     """Exact per-class quotas over distinct base ids, without sorting a class.
 
@@ -81,6 +92,10 @@ def fit_group_split(
         .withColumn("_bucket", F.substring("_key", 1, digits)),
         "split-ids",
     )
+    ids = ids.filter(F.col("_stratum").isNotNull())
+    classes = [r[0] for r in ids.select("_stratum").distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"a stratified split takes at most {MAX_CLASSES} classes")
     running = Window.partitionBy("_stratum").orderBy("_bucket")
     hist = (
         ids.groupBy("_stratum", "_bucket")
@@ -118,10 +133,11 @@ def fit_group_split(
         .pivot("_cut", ["train_cut", "val_cut"])
         .agg(F.first("_key"))
     )
-    classes = ids.select("_stratum").distinct()
-    cuts = sorted(classes.join(found, "_stratum", "left").collect(), key=lambda r: r["_stratum"])
+    cut = {r["_stratum"]: r.asDict() for r in found.collect()}
+    none = {"train_cut": None, "val_cut": None}
+    cuts = [{**none, **cut.get(c, {}), "_stratum": c} for c in sorted(classes)]
     mixed = ids.filter("_mixed").select(id_col, "_stratum")
-    return GroupSplit(cuts, None if is_small(mixed, 0) else mixed, id_col, class_col, seed)
+    return GroupSplit(cuts, None if is_small(mixed, 0) else mixed, id_col, class_col, order_col, seed, broadcast_rows)
 
 
 def stratified_group_split(df: DataFrame, out: str = "split", **kw) -> DataFrame:

@@ -452,6 +452,12 @@ def oracle_sql() -> dict[str, str]:
             select="SELECT label, round(\"precision\", 10) AS \"precision\", round(recall, 10) AS recall, round(f1_score, 10) AS f1_score, support FROM report",
         ),
         "metrics_by_split": with_(*EVALUATED, "held AS (SELECT * FROM scored WHERE split <> 'train')", *metric_ctes("held", "m", "split"), select=f"SELECT split, {OVERALL} FROM m_a"),
+        "metrics_json": with_(
+            *EVALUATED,
+            *metric_ctes("scored", "m", "split"),
+            select="SELECT m.split, round(accuracy, 4) AS accuracy, round(macro_f1, 4) AS macro_f1, dataset_size, label, round(\"precision\", 4) AS \"precision\", "
+            "round(recall, 4) AS recall, round(f1_score, 4) AS f1_score, support FROM m JOIN m_a USING (split)",
+        ),
         "class_balance": with_(
             *AUGMENTED,
             GRID,
@@ -527,6 +533,7 @@ def oracle_sql() -> dict[str, str]:
             select="SELECT conv_id, turn, intent, replace(intent, '_', ' ') AS display_intent, action, regexp_replace(action, '<[^>]*>', '', 'g') AS action_text, marker, "
             "CASE WHEN fallback THEN replace(secondary_intent, '_', ' ') || ' (' || round(secondary_confidence * 100)::INTEGER || '%)' END AS fallback_intent FROM routed",
         ),
+        "score_plugin": with_(*RANKED, select=f"SELECT {SCORED_COLUMNS} FROM flagged"),
         "stream_score": with_(*RANKED, select=f"SELECT {SCORED_COLUMNS} FROM flagged"),
         "stream_reject": with_(
             *RANKED,

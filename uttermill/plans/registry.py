@@ -497,7 +497,10 @@ def metrics_json(spark, sf_dir):
     )
     path = staging_path(spark, "metrics-json")
     files.write_json(doc, path)
-    return files.read_json(spark, path, files.METRICS_SCHEMA, required="accuracy")
+    back = files.read_json(spark, path, files.METRICS_SCHEMA, required="accuracy")
+    return back.select("split", "accuracy", "macro_f1", "dataset_size", F.explode("per_class").alias("label", "m")).select(
+        "split", "accuracy", "macro_f1", "dataset_size", "label", "m.*"
+    )
 
 
 @query
@@ -559,6 +562,25 @@ def score_batch(spark, sf_dir):
     return scored_requests(spark, sf_dir).select(*SCORED_COLUMNS.split(", "))
 
 
+def _keyword_model():
+    """A plug-in model: keyword hits counted in Python."""
+    import numpy as np
+
+    words = [LANG_KEYWORDS[x] for x in LABELS]
+
+    def predict(texts):
+        return np.array([[sum(w in t.lower() for w in ws) for ws in words] for t in texts], dtype="float64")
+
+    return predict
+
+
+@query
+def score_plugin(spark, sf_dir):
+    """Batch scoring with a model that runs in Python workers."""
+    scorer = scoring.python_scorer(_keyword_model)
+    return scoring.score_batch(requests(spark, sf_dir), LABELS, scorer).select(*SCORED_COLUMNS.split(", "))
+
+
 @query
 def score_ranking(spark, sf_dir):
     return scoring.score_ranking(scored_requests(spark, sf_dir), ["conv_id", "turn"])

@@ -29,8 +29,18 @@ def staging_root(spark: SparkSession) -> str:
     return _local_root[0]
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete this application's staged tables; frames read from them become unusable."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
@@ -63,6 +73,11 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count; larger sides are left to a shuffled join."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def salted_left_join(df: DataFrame, narrow: DataFrame, key: str, spread_col: str, salts: int = 32) -> DataFrame:
+    """Left join in which the rows of one key are spread over ``salts`` tasks.
+
+    ``narrow`` has one small row per key and is repeated once per salt.
+    """
+    copies = narrow.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_col), F.lit(salts)).cast("int"))
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
