@@ -55,6 +55,18 @@ def test_rows_of_an_id_stay_together_despite_mixed_classes(spark, broadcast_rows
     assert got.select("base_id", "split").distinct().count() == 40
 
 
+def test_many_classes(spark):
+    df = spark.range(3000).selectExpr("concat('i', id) AS base_id", "concat('c', id % 300) AS intent", "id AS ord")
+    per = stratified_group_split(df).groupBy("intent", "split").count().groupBy("split").agg({"count": "min", "*": "count"})
+    assert {r.split: (r[1], r[2]) for r in per.collect()} == {"train": (7, 300), "val": (2, 300), "test": (1, 300)}
+
+
+def test_unlabelled_rows_get_no_split(spark):
+    df = frame(spark, 24).unionByName(spark.createDataFrame([("none", None, 99)], SCHEMA))
+    got = stratified_group_split(df)
+    assert got.count() == 25 and [r.base_id for r in got.filter("split is null").collect()] == ["none"]
+
+
 def test_zero_ratio(spark):
     got = stratified_group_split(frame(spark), ratios=(0.8, 0.0, 0.2)).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in got} == {"train": 96, "test": 24}

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..constants import SEED, SPLIT_RATIOS
 from ..plans.staging import BROADCAST_ROWS, is_small, salted_left_join, stage
@@ -38,7 +39,7 @@ class GroupSplit:
     broadcast_rows: int = BROADCAST_ROWS
 
     def assign(self, df: DataFrame, out: str = "split") -> DataFrame:
-        """Add the split of each row by comparison with literals.
+        """Add the split of each row by comparison with the cuts of its class.
 
         Only ids with several classes are looked up: from a broadcast if they are
         few, else by a salted join, as one id may have very many rows.
@@ -51,16 +52,30 @@ class GroupSplit:
             stratum = F.coalesce(F.col("_stratum"), F.col(self.class_col))
         else:
             stratum = F.col(self.class_col)
-        df = df.withColumn("_class", stratum).withColumn("_key", split_key(self.id_col, self.seed))
-        key, split = F.col("_key"), F.lit(None).cast("string")
-        for c in self.cuts:
-            part = F.lit("test")
-            if c["val_cut"] is not None:
-                part = F.when(key <= c["val_cut"], "val").otherwise(part)
-            if c["train_cut"] is not None:
-                part = F.when(key <= c["train_cut"], "train").otherwise(part)
-            split = F.when(F.col("_class") == c["_stratum"], part).otherwise(split)
-        return df.withColumn(out, split).drop("_stratum", "_class", "_key")
+        # at most MAX_CLASSES rows
+        cuts = df.sparkSession.createDataFrame(
+            [(c["_stratum"], c["train_cut"], c["val_cut"]) for c in self.cuts],
+            StructType(
+                [
+                    StructField("_class", df.schema[self.class_col].dataType),
+                    StructField("_train_cut", StringType()),
+                    StructField("_val_cut", StringType()),
+                ]
+            ),
+        ).withColumn("_known", F.lit(True))
+        keyed = df.withColumn("_class", stratum).withColumn("_key", split_key(self.id_col, self.seed))
+        # a missing cut compares as null, so its branch is skipped
+        split = F.when(
+            F.col("_known"),
+            F.when(F.col("_key") <= F.col("_train_cut"), "train")
+            .when(F.col("_key") <= F.col("_val_cut"), "val")
+            .otherwise("test"),
+        )
+        return (
+            keyed.join(F.broadcast(cuts), "_class", "left")
+            .withColumn(out, split)
+            .drop("_stratum", "_class", "_key", "_train_cut", "_val_cut", "_known")
+        )
 
 
 def fit_group_split(

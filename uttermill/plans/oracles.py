@@ -406,6 +406,11 @@ def oracle_sql() -> dict[str, str]:
             *quota_split("firsts", "assigned", "base_id", "role"),
             select="SELECT t.conv_id, t.turn, t.role, a.split FROM turns t JOIN assigned a USING (base_id)",
         ),
+        "binary_split": with_(
+            "labelled AS (SELECT doc_id, quality::VARCHAR AS intent, 'doc_' || doc_id AS base_id FROM documents JOIN labels USING (doc_id))",
+            *quota_split("labelled", "assigned", "base_id", "intent"),
+            select="SELECT l.doc_id, l.intent, a.split FROM labelled l JOIN assigned a USING (base_id)",
+        ),
         "hash_split": with_(
             f"h AS (SELECT conv_id, turn, ('0x' || substr(md5(conv_id::VARCHAR || ':{SEED}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM conversations)",
             select="SELECT conv_id, turn, CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split FROM h",
@@ -431,6 +436,11 @@ def oracle_sql() -> dict[str, str]:
         "vocab_topk": with_(*tfidf_ctes()[:5], select="SELECT term, corpus_tf::BIGINT AS corpus_tf FROM vocab"),
         "tfidf": with_(*tfidf_ctes(), select="SELECT doc_id, term, round(weight, 6) AS weight FROM weights"),
         "tfidf_sublinear": with_(*tfidf_ctes(True), select="SELECT doc_id, term, round(weight, 6) AS weight FROM weights"),
+        "tfidf_vectors": with_(
+            *tfidf_ctes(True),
+            "places AS (SELECT term, (row_number() OVER (ORDER BY corpus_tf DESC, term) - 1)::INTEGER AS term_index FROM vocab)",
+            select="SELECT doc_id, term_index, round(weight, 6) AS weight FROM weights JOIN places USING (term)",
+        ),
         # classifiers and metrics
         "keyword_classify": with_(*FLAGSHIP, select="SELECT ord, intent, predicted_intent FROM predicted"),
         "nb_predict": with_(*nb_ctes(), select="SELECT held.ord, held.split, held.intent, best.c AS predicted_intent FROM held JOIN best USING (ord)"),

@@ -258,6 +258,15 @@ def split_rows(spark, sf_dir):
     return split.stratified_group_split(_turns(spark, sf_dir), class_col="role").select("conv_id", "turn", "role", "split")
 
 
+@query
+def binary_split(spark, sf_dir):
+    """Labelled documents split by their quality class."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("intent"))
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id")
+    docs = docs.select("doc_id", "intent", F.concat(F.lit("doc_"), "doc_id").alias("base_id"), F.col("doc_id").alias("ord"))
+    return split.stratified_group_split(docs).select("doc_id", "intent", "split")
+
+
 @query
 def hash_split(spark, sf_dir):
     return split.hash_split(_turns(spark, sf_dir)).select("conv_id", "turn", "split")
@@ -346,6 +355,18 @@ def tfidf_sublinear(spark, sf_dir):
     return _tfidf(spark, sf_dir, True)
 
 
+@query
+def tfidf_vectors(spark, sf_dir):
+    """Entries of the staged model vectors."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = features.fit_tfidf(docs, text_col="text", sublinear=True)
+    vectors = features.as_vectors(model.transform(docs, "text"), len(model.vocab), ["doc_id"])
+    parts = vectors.select("doc_id", F.unwrap_udt("features").alias("v"))
+    return parts.select("doc_id", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e")).select(
+        "doc_id", F.col("e.indices").alias("term_index"), F.round("e.values", 6).alias("weight")
+    )
+
+
 # --- classifiers -------------------------------------------------------------------
 
 

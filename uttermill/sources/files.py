@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.reports import to_markdown
+
 RAW_SCHEMA = "base_id string, text string, intent string"
 SPLIT_SCHEMA = (
     "base_id string, text string, intent string, clean_text string, emojis string, "
@@ -79,3 +81,9 @@ def append_log(df: DataFrame, path: str) -> None:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def write_markdown(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A small final report as one Markdown text file."""
+    text = to_markdown(df)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
