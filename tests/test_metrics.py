@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from uttermill.operators import errors, leakage, metrics, reports
-from uttermill.constants import ERROR_DEFAULT, ERROR_NEGATION, ERROR_PAIRS, ERROR_SOURCE_OOD, ERROR_SOURCE_TEST
+from uttermill.constants import ERROR_DEFAULT, ERROR_NEGATION, ERROR_PAIRS, ERROR_SOURCE_OOD, ERROR_SOURCE_TEST, STATUS_BASELINE, STATUS_TUNED
 
 ABC = ["a", "b", "c"]
 
@@ -117,7 +117,8 @@ def test_rank_falls_back_to_last_column(spark):
 def test_comparison_and_markdown(spark):
     test = spark.createDataFrame([("m1", 0.93651, 0.937), ("m2", 0.5, 0.25)], "model string, accuracy double, macro_f1 double")
     ood = test.filter("model = 'm1'")
-    table = reports.comparison_table(test, ood, ["m2"]).orderBy("model")
+    status = F.when(F.col("model") == "m2", STATUS_TUNED).otherwise(STATUS_BASELINE)
+    table = reports.comparison_table(test, ood, status).orderBy("model")
     text = reports.to_markdown(table).splitlines()
     assert text[2] == "| m1 | 93.7% | 0.9370 | 93.7% | 0.9370 | Baseline |"
     assert text[3] == "| m2 | 50.0% | 0.2500 | N/A | N/A | Fine-Tuned Production Model |"

@@ -1,8 +1,10 @@
+import os
+
 import pytest
 
 from uttermill.operators import fertility
 from uttermill.operators.scoring import keyword_scorer, score_batch
-from uttermill.plans.staging import is_small, salted_left_join, stage, staging_path, staging_root
+from uttermill.plans.staging import drop_staged, is_small, salted_left_join, spread, stage, staging_path, staging_root
 from uttermill.sources import files
 from uttermill.streaming.scoring import read_stream, route_stream, score_stream
 
@@ -109,3 +111,31 @@ def test_fertility_examples(spark):
     words = spark.createDataFrame([("abc", 3), ("de", 1)], "word string, n bigint")
     got = [r.example for r in fertility.fertility_examples(words, {"char": fertility.chunk_tokenizer(1)}, 1).collect()]
     assert got == ["`abc` -> ['a', 'b', 'c']"]
+
+
+class _Session:
+    """Just enough of a session to answer where staged tables go."""
+
+    def __init__(self, master, folder):
+        self.conf = type("C", (), {"get": staticmethod(lambda key, default=None: folder)})
+        self.sparkContext = type("S", (), {"master": master})
+
+
+def test_staging_folder_comes_from_the_session():
+    assert staging_root(_Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging_root(_Session("yarn", None))
+    assert staging_root(_Session("local[2]", None)) == staging_root(_Session("local[2]", None))
+
+
+def test_spread_only_touches_small_inputs(spark):
+    few, many = spark.range(0, 100, 1, 2), spark.range(0, 100, 1, 64)
+    assert spread(many, "id") is many
+    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_drop_staged(spark):
+    path = stage(spark.range(3), "gone").inputFiles()[0].removeprefix("file:").replace("file://", "")
+    assert os.path.exists(path)
+    drop_staged(spark)
+    assert not os.path.exists(path)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import RUN_COLUMNS, STATUS_BASELINE, STATUS_TUNED
+from ..constants import RUN_COLUMNS, STATUS_BASELINE
 
 
 def append_runs(log: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -39,10 +39,11 @@ def _figure(c: str):
     return F.format_string("%.4f", F.col(c))
 
 
-def comparison_table(test: DataFrame, ood: DataFrame, tuned: list[str], model_col: str = "model") -> DataFrame:
+def comparison_table(test: DataFrame, ood: DataFrame, status: Column | str = STATUS_BASELINE, model_col: str = "model") -> DataFrame:
     """One formatted row per model; a model without an OOD result shows N/A.
 
-    ``test`` and ``ood`` hold accuracy and macro_f1 per model.
+    ``test`` and ``ood`` hold accuracy and macro_f1 per model; ``status`` is a
+    text or an expression on the model.
     """
     left = test.select(model_col, F.col("accuracy").alias("_ta"), F.col("macro_f1").alias("_tf"))
     right = ood.select(model_col, F.col("accuracy").alias("_oa"), F.col("macro_f1").alias("_of"))
@@ -57,7 +58,7 @@ def comparison_table(test: DataFrame, ood: DataFrame, tuned: list[str], model_co
         pick("_tf", _figure).alias("test_macro_f1"),
         pick("_oa", _percent).alias("ood_accuracy"),
         pick("_of", _figure).alias("ood_macro_f1"),
-        F.when(F.col(model_col).isin(tuned), STATUS_TUNED).otherwise(STATUS_BASELINE).alias("status"),
+        (F.lit(status) if isinstance(status, str) else status).alias("status"),
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import INTENTS, KEYWORD_DEFAULT, KEYWORDS, SEED, SPLIT_RATIOS, VARIATIONS
+from ..constants import INTENTS, KEYWORD_DEFAULT, KEYWORDS, SEED, SPLIT_RATIOS, STATUS_BASELINE, STATUS_TUNED, VARIATIONS
 from ..operators.corpus import class_counts
 from ..operators.errors import error_table, misclassified
 from ..operators.leakage import assert_no_leakage
@@ -105,10 +105,11 @@ def compare_models(baselines: DataFrame, tuned: DataFrame, out: str) -> DataFram
 
     Both hold model, split, accuracy and macro_f1.
     """
-    cols = ["model", "split", "accuracy", "macro_f1"]
-    both = baselines.select(cols).unionByName(tuned.select(cols))
-    names = [r["model"] for r in tuned.select("model").distinct().limit(100).collect()]
-    table = comparison_table(both.filter("split = 'test'"), both.filter("split = 'ood'"), names)
+
+    def rows(metrics: DataFrame, status: str) -> DataFrame:
+        return comparison_table(metrics.filter("split = 'test'"), metrics.filter("split = 'ood'"), status)
+
+    table = rows(baselines, STATUS_BASELINE).unionByName(rows(tuned, STATUS_TUNED))
     files.write_markdown(table.orderBy("status", "model"), out)
     return table
 

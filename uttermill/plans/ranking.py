@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 200_000
+MAX_BUCKETS = 4_096  # bounds the quantile sketch; beyond it buckets grow and sort on disk
 
 
 def with_ordinal(
@@ -22,11 +23,11 @@ def with_ordinal(
 
     Order values are cut into quantile buckets.  Buckets are counted, the counts
     are summed up to offsets, and rows are numbered inside (class, bucket), so
-    the largest task holds about ``rows_per_bucket`` rows even if one class has
-    most of the table.  The offsets join needs no shuffle of the rows: they are
-    already distributed by (class, bucket).
+    one class with most of the table is still numbered by many tasks.  The offsets
+    join needs no shuffle of the rows: they are already distributed by (class,
+    bucket).  Pass narrow rows: every column of ``df`` is sorted along.
     """
-    n_buckets = math.ceil(df.count() / rows_per_bucket)
+    n_buckets = min(MAX_BUCKETS, math.ceil(df.count() / rows_per_bucket))
     cls: Column = F.col(class_col) if class_col else F.lit("")
     if n_buckets <= 1:
         w = Window.partitionBy("_class").orderBy(order_col)
