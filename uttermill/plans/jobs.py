@@ -48,13 +48,14 @@ def prepare_dataset(
     Nothing is written when the check fails.  Rows land in ``out`` partitioned by
     split, as Parquet or CSV.
     """
-    prepared = plan_splits(raw, ood, labels, ratios, seed)
-    rows = stage(augment_train(prepared.rows(), variations), "processed")
+    # cleaned and augmented texts are staged already, so each use of rows only scans
+    rows = augment_train(plan_splits(raw, ood, labels, ratios, seed).rows(), variations)
     assert_no_leakage(rows)
     if csv:
         files.write_csv(rows.drop("ord"), out, ["split"])
     else:
         files.write_parquet(rows, out, ["split"])
+        rows = raw.sparkSession.read.parquet(out)
     return PreparationReport(class_counts(raw), class_balance(rows, labels), split_summary(rows))
 
 
