@@ -1,9 +1,13 @@
 import os
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from uttermill.operators import fertility
 from uttermill.operators.scoring import keyword_scorer, score_batch
+from uttermill.plans import registry
 from uttermill.plans.staging import drop_staged, is_small, salted_left_join, spread, stage, staging_path, staging_root
 from uttermill.sources import files
 from uttermill.streaming.scoring import read_stream, route_stream, score_stream
@@ -139,3 +143,14 @@ def test_drop_staged(spark):
     assert os.path.exists(path)
     drop_staged(spark)
     assert not os.path.exists(path)
+
+
+def test_worker_functions_need_no_copy_of_the_package(tmp_path):
+    data = tmp_path / "f.bin"
+    data.write_bytes(cloudpickle.dumps((fertility.longest_pieces, registry._keyword_model)))
+    code = (
+        "import sys; from pyspark import cloudpickle; f, g = cloudpickle.loads(open(sys.argv[1], 'rb').read()); "
+        "assert f('aab', frozenset(['aa']), 2) == ['aa', 'b'] and g()(['the end']).shape == (1, 4); "
+        "assert 'uttermill' not in sys.modules"
+    )
+    subprocess.run([sys.executable, "-c", code, str(data)], cwd=tmp_path, check=True, timeout=60)
