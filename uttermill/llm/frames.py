@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 NO_ID = (1 << 63) - 1  # stands for a null id: after every other
 
@@ -31,6 +32,11 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[named(c).alias(c) for c in df.columns]).alias("row")
 
 
+def with_fields(rows: DataFrame, columns: list[str], **fields: DataType) -> StructType:
+    """Schema of some columns of ``rows``, whatever their names, followed by further fields."""
+    return StructType([rows.schema[c] for c in columns] + [StructField(n, t) for n, t in fields.items()])
+
+
 def crc_remainder(id_col: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))

@@ -101,3 +101,32 @@ def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+class RowIndex:
+    """Row numbers of distinct 64-bit keys in one open table; -1 for other keys."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.append(keys.astype(np.int64), 0)  # one more, as an unknown key's row -1 reads it
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(self.keys[:-1])
+        while len(todo):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = todo[free]  # of keys that meet here, the last one stays
+            lost = self.slots[slot] != todo
+            todo, slot = todo[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        spread = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.slots[slot]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
+            out[wrong] = self.slots[slot[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & (self.keys[out[wrong]] != keys[wrong])]
+        return out

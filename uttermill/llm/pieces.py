@@ -6,8 +6,7 @@ between positions; sorted by end position they are relaxed from left to right.
 
 A byte-pair vocabulary has no sums of scores to minimise: its encoding is what merging
 the best pair until none is left gives.  An edge therefore relaxes its end position if
-merging the text of the last piece before it and its own text gives exactly these two
-pieces.  Merges inside one piece do not depend on other pieces, so a sequence whose
+merging the text of the last piece before it and its own text never joins the two.  Merges inside one piece do not depend on other pieces, so a sequence whose
 neighbours all pass this test is the encoding, and every position has one such edge.
 
 A unit is a stretch between two characters that no piece holds side by side (a word
@@ -28,14 +27,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType
 
-from .frames import named, packed
+from .frames import named, packed, with_fields
 from .kernels import chunks
 
 BLANK = "▁"
-CHUNK = 4 << 20
+CHUNK, FRESH = 2 << 20, 1 << 18  # bytes of text, and of units not yet remembered, that are handled at once
 CACHE_UNITS, CACHE_PAIRS = 250_000, 400_000  # remembered by a worker; only speed depends on them
-_DEPTH = 16  # bytes by which suffixes are sorted; longer pieces are compared in full
+_DEPTH = 16  # bytes by which ranges are compared; longer pieces are compared in full
 
 
 class Vocabulary:
@@ -98,6 +98,7 @@ class Encoder:
         self.lone = self.n_ids - 1  # stands for a character without a piece
         self.units: dict[bytes, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.courses: dict[int, list[tuple[float, str, str]]] = {}
         # pieces in byte order, grouped by how they are searched
         self.length = np.array([len(p) for p, _ in vocabulary.usable], np.int64)
         self.ids = np.array([i for _, i in vocabulary.usable], np.int64)
@@ -105,35 +106,73 @@ class Encoder:
         low, high = (np.frombuffer(b"".join(pad(f)), ">u8").reshape(-1, 2).astype(np.uint64) for f in (b"\0", b"\xff"))
         self.low, self.high = low, high
 
-    def _suffixes(self, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Character positions in the order of their first bytes, and those bytes as two numbers."""
+    def _suffixes(self, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Character positions in the order of the eight bytes that begin there, and these bytes as numbers."""
         at = np.flatnonzero((data[:n] != 0) & ((data[:n] & 0xC0) != 0x80))
-        head, tail = _big_endian(data, at), _big_endian(data, at + 8)
-        order = np.lexsort((tail, head))
-        return at[order], head[order], tail[order]
+        head = _big_endian(data, at)
+        order = np.argsort(head)
+        return at[order], head[order]
 
     def _edges(self, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of all occurrences of all pieces."""
-        at, head, tail = self._suffixes(data, n)
+        at, head = self._suffixes(data, n)
         lo = np.searchsorted(head, self.low[:, 0], "left")
         hi = np.searchsorted(head, self.high[:, 0], "right")
-        for k in np.flatnonzero((self.length > 8) & (hi > lo)).tolist():
-            a, b = lo[k], hi[k]
-            lo[k] = a + np.searchsorted(tail[a:b], self.low[k, 1], "left")
-            hi[k] = a + np.searchsorted(tail[a:b], self.high[k, 1], "right")
         found = np.flatnonzero(hi > lo)
         count = hi[found] - lo[found]
         flat = np.repeat(lo[found] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
         start, which = at[flat], np.repeat(found, count)
-        end = start + self.length[which]
-        deep = np.flatnonzero(self.length[which] > _DEPTH)
-        if len(deep):
-            text = data[:n].tobytes()
-            wrong = [k for k in deep.tolist() if text[start[k] : end[k]] != self.v.usable[which[k]][0]]
+        # a range is exact for eight bytes; of longer pieces the rest is compared
+        long = np.flatnonzero(self.length[which] > 8)
+        if len(long):
+            tail, piece = _big_endian(data, start[long] + 8), which[long]
+            wrong = (tail < self.low[piece, 1]) | (tail > self.high[piece, 1])
+            deep = np.flatnonzero(~wrong & (self.length[piece] > _DEPTH))
+            if len(deep):
+                text = data[:n].tobytes()
+                for k in deep.tolist():
+                    full = self.v.usable[piece[k]][0]
+                    wrong[k] = not text.startswith(full, start[long[k]])
             keep = np.ones(len(start), bool)
-            keep[wrong] = False
-            start, end, which = start[keep], end[keep], which[keep]
-        return start, end, self.ids[which]
+            keep[long[wrong]] = False
+            start, which = start[keep], which[keep]
+        return start, start + self.length[which], self.ids[which]
+
+    def _course(self, piece: int) -> list[tuple[float, str, str]]:
+        """Priority of each merge inside a piece, in order, with the piece's first and last part before it."""
+        known = self.courses.get(piece)
+        if known is None:
+            known, parts, score = [], list(self.names[piece]), self.v.score
+            while len(parts) > 1:
+                scores = [score.get(x + y, -np.inf) for x, y in zip(parts, parts[1:])]
+                best = max(scores)
+                at = scores.index(best)
+                known.append((best, parts[0], parts[-1]))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known.append((-np.inf, parts[0], parts[0]))
+            self.courses[piece] = known
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether merging the text of two pieces never joins across their border.
+
+        Both run through their own merges; a merge across wins if it is better than
+        the left piece's next one and not worse than the right piece's (the leftmost
+        of equals is merged first).
+        """
+        one, two, score = self._course(left), self._course(right), self.v.score
+        i = j = 0
+        while True:
+            a, b = one[i], two[j]
+            across = score.get(a[2] + b[1])
+            if across is not None and across > a[0] and across >= b[0]:
+                return False
+            if a[0] == b[0] == -np.inf:
+                return True
+            if a[0] >= b[0]:
+                i += 1
+            else:
+                j += 1
 
     def _fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether merging the texts of two neighbours leaves exactly these two."""
@@ -144,11 +183,7 @@ class Encoder:
             ok = known.get(key)
             if ok is None:
                 a, b = divmod(key, self.n_ids)
-                if self.lone in (a, b):
-                    ok = True
-                else:
-                    a, b = self.names[a], self.names[b]
-                    ok = self.v.merged(a + b) == [a, b]
+                ok = self.lone in (a, b) or self._apart(a, b)
                 known[key] = ok
             out[k] = ok
         return out[back]
@@ -161,28 +196,22 @@ class Encoder:
         begins = np.cumsum(sizes + 1) - sizes - 1
         n = int(begins[-1] + sizes[-1])
         start, end, piece = self._edges(data, n)
-        # characters without a piece of their own
-        chars = np.flatnonzero((data[:n] & 0xC0) != 0x80)
-        size = np.diff(np.append(chars, n))
-        inner = np.zeros(n + 1, bool)
-        inner[np.repeat(begins, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = True
-        chars_in = inner[chars]
-        chars = chars[chars_in]
-        # an unknown character ends before the next character or its unit's end
-        stop = np.minimum(chars + size[chars_in], begins[np.searchsorted(begins, chars, "right") - 1]
-                          + sizes[np.searchsorted(begins, chars, "right") - 1])
+        unit_of = np.repeat(np.arange(len(units)), sizes + 1)  # of each position, the separator after it included
+        # characters without a piece of their own; they end before the next character or at their unit's end
+        chars = np.flatnonzero(((data[: n + 1] & 0xC0) != 0x80) & (np.arange(n + 1) < (begins + sizes)[unit_of]))
+        stop = np.minimum(np.append(chars[1:], n), (begins + sizes)[unit_of[chars]])
+        char_end = np.zeros(n + 1, np.int64)
+        char_end[chars] = stop
         single = np.zeros(n + 1, bool)
-        is_char = np.zeros(n + 1, np.int64)
-        is_char[chars] = stop
-        single[start[end == is_char[start]]] = True
+        single[start[end == char_end[start]]] = True
         lone = ~single[chars]
         start = np.concatenate([start, chars[lone]])
         end = np.concatenate([end, stop[lone]])
         piece = np.concatenate([piece, np.full(int(lone.sum()), self.lone)])
         # relax by distance from the unit's begin: all units at once
-        base = begins[np.searchsorted(begins, start, "right") - 1]
+        base = begins[unit_of[start]]
         far = end - base
-        order = np.argsort(far, kind="stable")
+        order = np.argsort(far.astype(np.uint16) if sizes.max() < 1 << 16 else far, kind="stable")
         start, end, piece, far, base = (x[order] for x in (start, end, piece, far, base))
         last = np.full(n + 1, -1, np.int64)  # piece that ends at a position
         back = np.full(n + 1, -1, np.int64)
@@ -230,15 +259,15 @@ class Encoder:
                 self.units[units[k]] = ids[begin:stop_at].tobytes()
             begin = stop_at
 
-    def encode(self, column: pa.Array) -> Iterator[bytes]:
-        """The ids of each text, as the bytes of 32-bit integers."""
+    def encode_chunks(self, column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+        """(first row, end row, ids of each text as the bytes of 32-bit integers) of consecutive rows."""
         plain = pc.replace_substring(column.cast(pa.large_string()), BLANK, " ")
         for a, b, data, bounds in chunks(plain, CHUNK):
             filled = np.diff(bounds) > 0
             data = np.insert(data, bounds[:-1][filled], 0x20)  # the blank before a text
             bounds = bounds + np.concatenate([[0], np.cumsum(filled)])
             if not len(data):
-                yield from [b""] * (b - a)
+                yield a, b, [b""] * (b - a)
                 continue
             cut = np.ones(len(data) + 1, bool)
             pair = data[:-1].astype(np.int64) << 8 | data[1:]
@@ -253,12 +282,17 @@ class Encoder:
             if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             fresh = list(set(units) - self.units.keys())
-            if fresh:
-                self._encode_units(fresh)
+            sizes = np.cumsum([len(u) for u in fresh])
+            parts = np.searchsorted(sizes, np.arange(0, sizes[-1] + FRESH, FRESH)).tolist() if fresh else []
+            for s, e in zip(parts, [*parts[1:], len(fresh)]):
+                if e > s:
+                    self._encode_units(fresh[s:e])
             of = self.units.__getitem__
             first = np.searchsorted(edges, bounds).tolist()
-            for s, e in zip(first, first[1:]):
-                yield b"".join(map(of, units[s:e]))
+            yield a, b, [b"".join(map(of, units[s:e])) for s, e in zip(first, first[1:])]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        return [ids for _, _, part in self.encode_chunks(column) for ids in part]
 
 
 def decode_ids(ids: list[int], text: dict[int, bytes]) -> str:
@@ -270,44 +304,41 @@ def decode_ids(ids: list[int], text: dict[int, bytes]) -> str:
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (default: all), then n_tokens, token_ids and round_trip (decoding gives the text back)."""
     keep = docs.columns if carry is None else carry
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        pieces = shared.value.text
+        encoder = Encoder(vocabulary)
+        pieces = vocabulary.text
         for batch in batches:
-            texts = batch.column("text")
-            ids = [np.frombuffer(x, np.int32) for x in encoder.encode(texts)]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            same = [decode_ids(i.tolist(), pieces) == (t or "") for i, t in zip(ids, texts.to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    pa.array(sizes),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    pa.array(same, pa.bool_()),
-                ],
-                ["row", "n_tokens", "token_ids", "round_trip"],
-            )
+            for a, b, part in encoder.encode_chunks(batch.column("text")):
+                sizes = np.array([len(x) // 4 for x in part], np.int64)
+                flat = np.frombuffer(b"".join(part), np.int32)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                ids = np.split(flat, offsets[1:-1])
+                same = [decode_ids(i.tolist(), pieces) == (t or "") for i, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("row").slice(a, b - a),
+                        pa.array(sizes),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        pa.array(same, pa.bool_()),
+                    ],
+                    ["row", "n_tokens", "token_ids", "round_trip"],
+                )
 
     rows = docs.select(packed(docs.select(*[named(c) for c in keep])), named(text_col).alias("text"))
-    row = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"row {row}, n_tokens long, token_ids array<int>, round_trip boolean")
+    ids = ArrayType(IntegerType())
+    out = rows.mapInArrow(run, with_fields(rows, ["row"], n_tokens=LongType(), token_ids=ids, round_trip=BooleanType()))
     taken = [F.col("row").getField(c).alias(c) for c in keep if c not in ("n_tokens", "token_ids", "round_trip")]
     return out.select(*taken, "n_tokens", "token_ids", "round_trip")
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids", out: str = "text") -> DataFrame:
     """``rows`` with the text of their ids; null ids give null, unknown ones the library's sign."""
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-
     @F.pandas_udf("string")
     def text_of(ids):
         import pandas as pd
 
-        pieces = shared.value.text
+        pieces = vocabulary.text
         return pd.Series([None if x is None else decode_ids(list(x), pieces) for x in ids], dtype=object)
 
     return rows.withColumn(out, text_of(named(ids_col)))

@@ -8,11 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, line_dedup, pieces, simhash
+from . import (
+    chat_format,
+    decontaminate,
+    language_id,
+    language_model,
+    line_dedup,
+    pieces,
+    pii,
+    quality_pu,
+    quality_rules,
+    simhash,
+)
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_keep(docs, line_dedup.keep_bitmaps(docs))
@@ -26,14 +42,48 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE_
     return pieces.encode(docs, pieces.Vocabulary.load(model_file), carry=["doc_id"])
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_texts(table(spark, sf_dir, "conversations"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_pu.scores(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op3_sentencepiece, op5_decontaminate, op8_simhash)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_line_dedup,
+        op3_sentencepiece,
+        op4_language_model,
+        op5_decontaminate,
+        op6_chat_format,
+        op7_language_id,
+        op8_simhash,
+        op9_quality_pu,
+        op10_pii,
+    )
 }

@@ -46,4 +46,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM dw d LEFT JOIN per_word USING (doc_id) LEFT JOIN per_item USING (doc_id)
 """
 
-SQL = {"op2_line_dedup": OP2, "op5_decontaminate": OP5}
+OP6 = r"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS LAST, role, text) AS turns
+  FROM conversations GROUP BY conv_id
+), prefixes AS (
+  SELECT DISTINCT list_slice(turns, 1, k) AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM c)
+), ends AS (
+  SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns
+)
+SELECT conv_id, CAST(len(e.turns) AS BIGINT) AS n_turns, n_copies,
+       array_to_string(list_transform(e.turns, lambda x: '<|im_start|>' ||
+         regexp_replace(coalesce(x.r, 'unknown'), '<\|(im_start|im_end)\|>', '<\1>', 'g') || chr(10) ||
+         regexp_replace(coalesce(x.t, ''), '<\|(im_start|im_end)\|>', '<\1>', 'g') || '<|im_end|>' || chr(10)), '') AS chat
+FROM ends e ANTI JOIN prefixes p ON e.turns = p.turns
+"""
+
+SQL = {"op2_line_dedup": OP2, "op5_decontaminate": OP5, "op6_chat_format": OP6}
