@@ -46,15 +46,16 @@ def test_base_id_does_not_truncate_large_counts(spark):
     assert "a_1000" in ids and "a_001" in ids and len(ids) == 1200
 
 
+@pytest.mark.parametrize("partitions", [None, 1, 20])
 @pytest.mark.parametrize("class_col", [None, "intent"])
-def test_bucketed_ordinals_equal_brute_force(spark, class_col):
+def test_ordinals_equal_brute_force(spark, class_col, partitions):
     rng = random.Random(7)
     orders = rng.sample(range(10**7), 900)
-    rows = [(o, "t", "hot" if i % 3 else rng.choice("ab")) for i, o in enumerate(orders)]
+    rows = [(o, "t", "hot" if i % 3 else rng.choice(["a", "b", None])) for i, o in enumerate(orders)]
     df = spark.createDataFrame(rows, RAW).repartition(3)
-    got = {r.ord: r.ordinal for r in with_ordinal(df, "ord", class_col, rows_per_bucket=40).collect()}
+    got = {r.ord: r.ordinal for r in with_ordinal(df, "ord", class_col, partitions=partitions).collect()}
     count, want = {}, {}
-    for o, _, c in sorted(rows):
+    for o, _, c in sorted(rows, key=lambda r: r[0]):
         k = c if class_col else ""
         count[k] = count.get(k, 0) + 1
         want[o] = count[k]
@@ -72,17 +73,26 @@ def test_class_counts_sorted(spark):
     assert [tuple(r) for r in corpus.class_counts(df).collect()] == [("b", 2), ("a", 1)]
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_dedup_keeps_first_with_a_hot_text(spark, broadcast_rows):
+def test_dedup_tells_null_from_empty(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, None, "a"), (4, "", None)], "ord bigint, clean_text string, intent string")
+    assert sorted(r.ord for r in dedup_first(df).collect()) == [1, 2, 4]
+    assert tuple(dedup_counts(df).first()) == (4, 3, 1)
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_dedup_keeps_first_with_a_hot_text(spark, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     rng = random.Random(3)
     rows = [(i, "hot" if i % 3 == 0 else f"t{rng.randrange(60)}", rng.choice("ab")) for i in range(600)]
     df = spark.createDataFrame(rows, "ord bigint, clean_text string, intent string").repartition(5)
     first = {}
     for o, t, c in rows:
         first.setdefault((t, c), o)
-    kept = dedup_first(df, broadcast_rows=broadcast_rows)
+    kept = dedup_first(df)
     assert kept.columns == df.columns
-    assert sorted(r.ord for r in kept.collect()) == sorted(first.values())
+    got = sorted(r.ord for r in kept.collect())
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(first.values())
     assert tuple(dedup_counts(df).first()) == (600, len(first), 600 - len(first))
 
 

@@ -39,13 +39,21 @@ def test_vocabulary_order_and_cap(spark):
 
 
 @pytest.mark.parametrize("size", [1, 3, 5, 9, 100])
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_pruned_vocabulary_is_the_same(spark, size, broadcast_rows):
+def test_pruned_vocabulary_is_the_same(spark, size):
     rng = random.Random(size)
     texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "ff", "gg"], [9, 7, 5, 3, 2, 1, 1], k=rng.randrange(0, 9))) for _ in range(60)]
-    plain = ft.vocabulary(docs(spark, texts), size).collect()
-    pruned = ft.vocabulary(docs(spark, texts), size, prune_above=0, broadcast_rows=broadcast_rows).collect()
-    assert [tuple(r) for r in plain] == [tuple(r) for r in pruned]
+    total = sum((grams(t) for t in texts), Counter())
+    pruned = ft.vocabulary(docs(spark, texts), size).collect()
+    assert [tuple(r) for r in pruned] == sorted(total.items(), key=lambda kv: (-kv[1], kv[0]))[:size]
+
+
+def test_vocabulary_of_no_words(spark):
+    assert ft.vocabulary(docs(spark, ["", " "]), 5).count() == 0
+
+
+def test_term_counts_shuffle_nothing(spark):
+    plan = ft.term_counts(docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_term_counts(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import INTENTS, MIN_CLEAN_CHARS
 from ..functions import text as tx
 from ..functions.scores import label_id
-from ..plans.ranking import ROWS_PER_BUCKET, with_ordinal
+from ..plans.ranking import with_ordinal
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -41,11 +41,14 @@ def assign_base_id(
     label_col: str = "intent",
     prefix: str = "",
     out: str = "base_id",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Id from the class and the 1-based running count of the class in input order."""
+    """Id from the class and the 1-based running count of the class in input order.
+
+    Pass narrow rows, as ``with_ordinal`` stages them.
+    """
     return (
-        with_ordinal(df, order_col, label_col, "_k", rows_per_bucket)
+        with_ordinal(df, order_col, label_col, "_k", partitions)
         .withColumn(out, F.format_string(f"{prefix}%s_%03d", F.col(label_col), F.col("_k")))
         .drop("_k")
     )
@@ -56,11 +59,11 @@ def assign_fallback_id(
     order_col: str = "ord",
     label_col: str = "intent",
     out: str = "base_id",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Id from the class and the 0-based position in the whole frame."""
+    """Id from the class and the 0-based position in the whole frame; pass narrow rows."""
     return (
-        with_ordinal(df, order_col, None, "_k", rows_per_bucket)
+        with_ordinal(df, order_col, None, "_k", partitions)
         .withColumn(out, F.format_string("%s_%03d", F.col(label_col), F.col("_k") - 1))
         .drop("_k")
     )

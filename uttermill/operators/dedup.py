@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import BROADCAST_ROWS, is_small, stage
+from ..plans.staging import stage
 
 KEYS = ("clean_text", "intent")
 
 
 def content_key(*cols: str) -> Column:
-    """32-byte digest of the columns: a small, collision-free shuffle key."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    """32-byte digest of the columns: a small shuffle key.  Null and empty text differ."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in cols]
     return F.unhex(F.sha2(F.concat_ws("\u0000", *parts), 256))
 
 
@@ -21,27 +21,21 @@ def dedup_first(
     keys=KEYS,
     order_col: str = "ord",
     key_col: str | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Keep, for each key, the row with the smallest ``order_col`` (a unique bigint).
 
     Only (digest, order) pairs are shuffled, combined on the map side, so a text
     with a third of all rows costs one pair per map task.  Keys that occur once
-    need no lookup.  The repeated keys are staged: when few, they are broadcast
-    and the rows are filtered in place; when many, the rows are joined by their
-    unique order value, which spreads evenly.
+    need no lookup.  The repeated keys are staged, so Spark knows their bytes and
+    picks the join; the rows of a hot key are split among tasks, as the lookup has
+    one row per key.
     """
     work = df if key_col else df.withColumn("_key", content_key(*keys))
     key = key_col or "_key"
     groups = work.groupBy(key).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
     repeated = stage(groups.filter("_n > 1").select(key, "_first"), "repeated-keys")
-    if is_small(repeated, broadcast_rows):
-        kept = work.join(F.broadcast(repeated), key, "left").filter(
-            F.col("_first").isNull() | (F.col("_first") == F.col(order_col))
-        )
-        return kept.select(*df.columns)
-    winners = groups.select(F.col("_first").alias(order_col))
-    return work.join(winners, order_col, "left_semi").select(*df.columns)
+    kept = work.join(repeated, key, "left").filter(F.col("_first").isNull() | (F.col("_first") == F.col(order_col)))
+    return kept.select(*df.columns)
 
 
 def dedup_counts(df: DataFrame, keys=KEYS) -> DataFrame:

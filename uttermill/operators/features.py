@@ -14,10 +14,9 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as tx
 from ..functions.rows import divide_all, explode_rows, inline_rows
-from ..plans.staging import BROADCAST_ROWS, is_small, stage
+from ..plans.staging import stage
 
 MAX_FEATURES = 5_000
-PRUNE_ABOVE = 1_000_000
 
 
 def with_ngrams(df: DataFrame, text_col: str = "clean_text", out: str = "ngrams") -> DataFrame:
@@ -32,15 +31,19 @@ def with_ngrams(df: DataFrame, text_col: str = "clean_text", out: str = "ngrams"
 def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "clean_text") -> DataFrame:
     """Count of every n-gram in every document.
 
-    Texts are distributed by document first, so the much larger set of exploded
-    n-grams is counted where it is made and never shuffled.
+    A document is one row: its n-grams are sorted and equal runs counted inside the
+    row, so nothing is shuffled.
     """
-    by_doc = df.select(id_col, text_col).repartition(id_col)
-    return (
-        explode_rows(with_ngrams(by_doc, text_col), [id_col], "ngrams", "term")
-        .groupBy(id_col, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    grams = with_ngrams(df.select(id_col, text_col), text_col).select(id_col, F.array_sort("ngrams").alias("_s"))
+    s, n = F.col("_s"), F.size("_s")
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2))))
+    runs = F.zip_with(
+        F.col("_starts"),
+        F.concat(F.slice("_starts", F.lit(2), n), F.array(n + 1)),
+        lambda a, b: F.struct(F.get(s, a - 1).alias("term"), (b - a).cast("bigint").alias("tf")),
     )
+    counted = grams.withColumn("_starts", starts).filter("_starts IS NOT NULL")
+    return counted.select(id_col, F.inline(runs))
 
 
 def _top(counts: DataFrame, max_features: int) -> DataFrame:
@@ -51,37 +54,26 @@ def _count(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("corpus_tf"))
 
 
-def vocabulary(
-    df: DataFrame,
-    max_features: int = MAX_FEATURES,
-    text_col: str = "clean_text",
-    prune_above: int = PRUNE_ABOVE,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def vocabulary(df: DataFrame, max_features: int = MAX_FEATURES, text_col: str = "clean_text") -> DataFrame:
     """The ``max_features`` most frequent n-grams of the corpus, ties by term.
 
-    Up to ``prune_above`` texts all n-grams are counted in one pass.  Beyond that
-    nearly all distinct 2-grams are rare and would only swell the shuffle, so
-    words are counted first.  A 2-gram is at most as frequent as its words, and
-    the k-th most frequent word bounds the result from below; hence only 2-grams
-    of two words that reach this bound are counted.  The result is the same.
+    Nearly all distinct 2-grams are rare and would only swell the shuffle, so words
+    are counted first.  A 2-gram is at most as frequent as its words, and the k-th
+    most frequent word bounds the result from below; hence only 2-grams of two
+    words that reach this bound are counted.  The frequent words are staged, so
+    Spark knows their bytes and picks the joins.
     """
-    texts = df.select(text_col)
-    if df.count() > prune_above:
-        words = texts.select(tx.words(text_col).alias("_words"))
-        singles = stage(_count(explode_rows(words, [], "_words", "term")), "word-counts")
-        bound = _top(singles, max_features).agg(F.min("corpus_tf")).first()[0]
-        if bound is not None:
-            frequent = singles.filter(F.col("corpus_tf") >= bound)
-            if is_small(frequent, broadcast_rows):
-                member = F.broadcast(frequent.select("term"))
-                pairs = words.select(tx.adjacent(F.col("_words")).alias("_pairs"))
-                pairs = inline_rows(pairs, [], "_pairs", "first")
-                pairs = pairs.join(member.withColumnRenamed("term", "first"), "first", "left_semi")
-                pairs = pairs.join(member.withColumnRenamed("term", "second"), "second", "left_semi")
-                doubles = _count(pairs.select(F.concat("first", F.lit(" "), "second").alias("term")))
-                return _top(frequent.unionByName(doubles), max_features)
-    return _top(_count(explode_rows(with_ngrams(texts, text_col), [], "ngrams", "term")), max_features)
+    words = df.select(tx.words(text_col).alias("_words"))
+    singles = stage(_count(explode_rows(words, [], "_words", "term")), "word-counts")
+    bound = _top(singles, max_features).agg(F.min("corpus_tf")).first()[0]
+    frequent = stage(singles.filter(F.col("corpus_tf") >= (bound or 0)), "frequent-words")
+    member = frequent.select("term")
+    pairs = words.select(tx.adjacent(F.col("_words")).alias("_pairs"))
+    pairs = inline_rows(pairs, [], "_pairs", "first")
+    pairs = pairs.join(member.withColumnRenamed("term", "first"), "first", "left_semi")
+    pairs = pairs.join(member.withColumnRenamed("term", "second"), "second", "left_semi")
+    doubles = _count(pairs.select(F.concat("first", F.lit(" "), "second").alias("term")))
+    return _top(frequent.unionByName(doubles), max_features)
 
 
 def literal_doubles(values) -> Column:

@@ -65,8 +65,10 @@ def assert_no_leakage(df: DataFrame, split_col: str = "split", sample: int = 5)
     for kind, a, b in checks:
         n = found.get((kind, a, b), 0)
         if n:
-            left = df.filter(F.col(split_col) == a).select(kind)
-            right = df.filter(F.col(split_col) == b).select(kind)
-            shown = [r[0] for r in left.join(right, kind, "left_semi").distinct().limit(sample).collect()]
+            both = sum(1 << splits.index(s) for s in (a, b))
+            shared = overlap_keys(df, split_col, (kind,), splits).filter(F.col("mask").bitwiseAND(both) == both)
+            some = shared.select("key").limit(sample)  # distinct digests; a text is read for these few only
+            rows = df.select(kind).join(F.broadcast(some), content_key(kind) == F.col("key"), "left_semi")
+            shown = [r[0] for r in rows.groupBy(kind).count().select(kind).collect()]
             raise ValueError(f"CRITICAL LEAKAGE: {a} and {b} share {n} {kind} value(s), such as {shown}")
     return True

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import RUN_COLUMNS, STATUS_BASELINE
+from ..plans.ranking import with_ordinal
 
 
 def append_runs(log: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -13,22 +14,23 @@ def append_runs(log: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if log is None else log.unionByName(new, allowMissingColumns=True)
 
 
+def _ranking(log: DataFrame, metric: str, name: str) -> list[Column | str]:
+    sort_col = metric if metric in log.columns else log.columns[-1]
+    return [F.desc_nulls_last(sort_col), *([name] if name in log.columns else [])]
+
+
 def rank_runs(log: DataFrame, columns=RUN_COLUMNS, metric: str = "val_macro_f1", name: str = "run_name") -> DataFrame:
     """Runs ranked 1..n by the metric (or the last column), best first."""
-    sort_col = metric if metric in log.columns else log.columns[-1]
-    ties = [name] if name in log.columns else []
-    order = [F.desc_nulls_last(sort_col), *ties]
-    # a run log has one row per training run
-    ranked = log.withColumn("Rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
+    ranked = with_ordinal(log, _ranking(log, metric, name), out="Rank").withColumn("Rank", F.col("Rank").cast("int"))
     return ranked.orderBy("Rank").select(*[c for c in columns if c in ranked.columns])
 
 
-def best_run(log: DataFrame, defaults: dict | None = None, **kw) -> DataFrame:
+def best_run(log: DataFrame, defaults: dict | None = None, metric: str = "val_macro_f1", name: str = "run_name") -> DataFrame:
     """The best run; ``defaults`` fill fields that are null or absent."""
-    best = rank_runs(log, columns=["Rank", *log.columns], **kw).limit(1)
+    best = log.orderBy(*_ranking(log, metric, name)).limit(1)
     for c, v in (defaults or {}).items():
         best = best.withColumn(c, F.coalesce(c, F.lit(v)) if c in best.columns else F.lit(v))
-    return best.drop("Rank")
+    return best
 
 
 def _percent(c: str):
@@ -78,14 +80,17 @@ def markdown_lines(df: DataFrame, out: str = "line") -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias(out))
 
 
-def to_markdown(df: DataFrame, max_rows: int = 1000) -> str:
-    """A small final report as a Markdown table; refuses anything larger."""
-    lines = [r[0] for r in markdown_lines(df).limit(max_rows + 1).collect()]
-    if len(lines) > max_rows:
-        raise ValueError(f"a Markdown report holds at most {max_rows} rows")
+def markdown_table(df: DataFrame, out: str = "line") -> DataFrame:
+    """Header, rule and rows of a Markdown table, in this order."""
     head = "| " + " | ".join(df.columns) + " |"
     rule = "| " + " | ".join("---" for _ in df.columns) + " |"
-    return "\n".join([head, rule, *lines])
+    lines = df.sparkSession.createDataFrame([(head,), (rule,)], f"`{out}` string").coalesce(1)
+    return lines.union(markdown_lines(df, out))
+
+
+def to_markdown(df: DataFrame) -> str:
+    """A report as a Markdown table, read line by line."""
+    return "\n".join(r[0] for r in markdown_table(df).toLocalIterator())
 
 
 def metrics_document(overall: DataFrame, per_class: DataFrame, by: str) -> DataFrame:

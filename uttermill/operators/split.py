@@ -6,12 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..constants import SEED, SPLIT_RATIOS
-from ..plans.staging import BROADCAST_ROWS, is_small, salted_left_join, stage
+from ..plans.staging import stage
 
-MAX_CLASSES = 10_000
 PARTS = 10_000  # ratios are held as whole parts of this, to keep quotas in integers
 
 
@@ -28,42 +26,26 @@ def split_key(id_col: str, seed: int) -> Column:
 
 @dataclass
 class GroupSplit:
-    """Cut keys per class, plus the ids whose rows carry more than one class."""
+    """Cut keys per class, plus the ids whose rows carry more than one class; both staged."""
 
-    cuts: list
-    mixed: DataFrame | None
+    cuts: DataFrame
+    mixed: DataFrame
     id_col: str
     class_col: str
-    order_col: str
     seed: int
-    broadcast_rows: int = BROADCAST_ROWS
 
     def assign(self, df: DataFrame, out: str = "split") -> DataFrame:
         """Add the split of each row by comparison with the cuts of its class.
 
-        Only ids with several classes are looked up: from a broadcast if they are
-        few, else by a salted join, as one id may have very many rows.
+        Both lookups have one row per key and known sizes, so Spark picks the joins
+        by bytes and splits the rows of a hot id or class among tasks.
         """
-        if self.mixed is not None:
-            if is_small(self.mixed, self.broadcast_rows):
-                df = df.join(F.broadcast(self.mixed), self.id_col, "left")
-            else:
-                df = salted_left_join(df, self.mixed, self.id_col, self.order_col)
-            stratum = F.coalesce(F.col("_stratum"), F.col(self.class_col))
-        else:
-            stratum = F.col(self.class_col)
-        # at most MAX_CLASSES rows
-        cuts = df.sparkSession.createDataFrame(
-            [(c["_stratum"], c["train_cut"], c["val_cut"]) for c in self.cuts],
-            StructType(
-                [
-                    StructField("_class", df.schema[self.class_col].dataType),
-                    StructField("_train_cut", StringType()),
-                    StructField("_val_cut", StringType()),
-                ]
-            ),
-        ).withColumn("_known", F.lit(True))
-        keyed = df.withColumn("_class", stratum).withColumn("_key", split_key(self.id_col, self.seed))
+        stratum = F.coalesce(F.col("_stratum"), F.col(self.class_col))
+        keyed = (
+            df.join(self.mixed, self.id_col, "left")
+            .withColumn("_class", stratum)
+            .withColumn("_key", split_key(self.id_col, self.seed))
+        )
         # a missing cut compares as null, so its branch is skipped
         split = F.when(
             F.col("_known"),
@@ -72,7 +54,7 @@ class GroupSplit:
             .otherwise("test"),
         )
         return (
-            keyed.join(F.broadcast(cuts), "_class", "left")
+            keyed.join(self.cuts, "_class", "left")
             .withColumn(out, split)
             .drop("_stratum", "_class", "_key", "_train_cut", "_val_cut", "_known")
         )
@@ -86,14 +68,13 @@ def fit_group_split(
     ratios=SPLIT_RATIOS,
     seed: int = SEED,
     digits: int = 4,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> GroupSplit:
     """Exact per-class quotas over distinct base ids, without sorting a class.
 
     The stratum of an id is the class of its first row.  Ids are counted per
     (class, hash prefix); the running counts name the prefix that holds each
     quota boundary; only those prefixes are numbered to find the exact cut key.
-    The cuts, two per class, are all that reaches the driver.
+    Nothing reaches the driver.
     """
     check_ratios(ratios)
     train, val = (round(r * PARTS) for r in ratios[:2])
@@ -108,9 +89,6 @@ def fit_group_split(
         "split-ids",
     )
     ids = ids.filter(F.col("_stratum").isNotNull())
-    classes = [r[0] for r in ids.select("_stratum").distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"a stratified split takes at most {MAX_CLASSES} classes")
     running = Window.partitionBy("_stratum").orderBy("_bucket")
     hist = (
         ids.groupBy("_stratum", "_bucket")
@@ -139,7 +117,7 @@ def fit_group_split(
     bounds = bounds.select(
         "_stratum", "_bucket", F.col("_b.cut").alias("_cut"), (F.col("_b.quota") - F.col("_before")).alias("_rank")
     )
-    numbered = ids.join(F.broadcast(bounds), ["_stratum", "_bucket"]).withColumn(
+    numbered = ids.join(bounds, ["_stratum", "_bucket"]).withColumn(
         "_rn", F.row_number().over(Window.partitionBy("_stratum", "_bucket", "_cut").orderBy("_key"))
     )
     found = (
@@ -148,11 +126,15 @@ def fit_group_split(
         .pivot("_cut", ["train_cut", "val_cut"])
         .agg(F.first("_key"))
     )
-    cut = {r["_stratum"]: r.asDict() for r in found.collect()}
-    none = {"train_cut": None, "val_cut": None}
-    cuts = [{**none, **cut.get(c, {}), "_stratum": c} for c in sorted(classes)]
+    classes = ids.select("_stratum").distinct()
+    cuts = classes.join(found, "_stratum", "left").select(
+        F.col("_stratum").alias("_class"),
+        F.col("train_cut").alias("_train_cut"),
+        F.col("val_cut").alias("_val_cut"),
+        F.lit(True).alias("_known"),
+    )
     mixed = ids.filter("_mixed").select(id_col, "_stratum")
-    return GroupSplit(cuts, None if is_small(mixed, 0) else mixed, id_col, class_col, order_col, seed, broadcast_rows)
+    return GroupSplit(stage(cuts, "split-cuts"), stage(mixed, "split-mixed"), id_col, class_col, seed)
 
 
 def stratified_group_split(df: DataFrame, out: str = "split", **kw) -> DataFrame:

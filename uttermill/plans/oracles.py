@@ -89,9 +89,9 @@ OOD_IN = "(" + ", ".join(q(s) for s in LANG_OOD_SOURCES) + ")"
 VALID = "intent IN (" + ", ".join(q(x) for x in LABELS) + ")"
 LABEL_ID = "CASE intent " + " ".join(f"WHEN {q(x)} THEN {i}" for i, x in enumerate(LABELS)) + " END::INTEGER"
 BASED = (
-    "based AS (SELECT *, source IN " + OOD_IN + " AS is_ood, "
-    "CASE WHEN source IN " + OOD_IN + " THEN 'ood_' ELSE '' END || printf('%s_%03d', intent, "
-    "row_number() OVER (PARTITION BY source IN " + OOD_IN + ", intent ORDER BY ord)) AS base_id FROM raw)"
+    "based AS (SELECT *, coalesce(source IN " + OOD_IN + ", FALSE) AS is_ood, "
+    "CASE WHEN coalesce(source IN " + OOD_IN + ", FALSE) THEN 'ood_' ELSE '' END || printf('%s_%03d', intent, "
+    "row_number() OVER (PARTITION BY coalesce(source IN " + OOD_IN + ", FALSE), intent ORDER BY ord)) AS base_id FROM raw)"
 )
 
 DEDUP_ALL = [
@@ -500,7 +500,7 @@ def oracle_sql() -> dict[str, str]:
         "comparison_table": with_(
             *SPLITS,
             *_variants("rows_", KS),
-            "held AS (SELECT * FROM variants WHERE split IN ('test', 'ood') AND NOT (split = 'ood' AND model = 'keywords_1'))",
+            "held AS (SELECT * FROM variants WHERE split IN ('test', 'ood'))",
             "keyed AS (SELECT model || '/' || split AS key, * FROM held)",
             *metric_ctes("keyed", "m", "key"),
             "t AS (SELECT split_part(key, '/', 1) AS model, round(accuracy, 4) AS accuracy, round(macro_f1, 4) AS macro_f1 FROM m_a WHERE key LIKE '%/test')",
@@ -512,7 +512,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "class_lookup": with_(
             *EVALUATED,
-            "held AS (SELECT * FROM scored WHERE split = 'test' AND intent <> 'fr')",
+            "held AS (SELECT * FROM scored WHERE split = 'test')",
             *metric_ctes("held", "m"),
             "wide_labels(label) AS (SELECT label FROM labels UNION ALL VALUES ('it'))",
             select="SELECT w.label, coalesce(round(\"precision\", 4), 0) AS \"precision\", coalesce(round(recall, 4), 0) AS recall, coalesce(round(f1_score, 4), 0) AS f1_score, coalesce(support, 0)::BIGINT AS support FROM wide_labels w LEFT JOIN m USING (label)",

@@ -2,55 +2,43 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 4_096  # bounds the quantile sketch; beyond it buckets grow and sort on disk
+from .staging import stage
 
 
 def with_ordinal(
     df: DataFrame,
-    order_col: str,
+    order: str | list[str | Column],
     class_col: str | None = None,
     out: str = "ordinal",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """1-based position of each row by ``order_col`` (unique), per class or overall.
+    """1-based position of each row by ``order``, per class or overall; null is a class like any other.
 
-    Order values are cut into quantile buckets.  Buckets are counted, the counts
-    are summed up to offsets, and rows are numbered inside (class, bucket), so
-    one class with most of the table is still numbered by many tasks.  The offsets
-    join needs no shuffle of the rows: they are already distributed by (class,
-    bucket).  Pass narrow rows: every column of ``df`` is sorted along.
+    Rows are range-partitioned by class and order and staged with their partition's
+    number.  Partitions are counted per class, the counts are summed up to offsets,
+    and rows are numbered inside (class, partition), so one class with most of the
+    table is still numbered by many tasks.  Pass narrow rows: every column is staged.
     """
-    n_buckets = min(MAX_BUCKETS, math.ceil(df.count() / rows_per_bucket))
-    cls: Column = F.col(class_col) if class_col else F.lit("")
-    if n_buckets <= 1:
-        w = Window.partitionBy("_class").orderBy(order_col)
-        return df.withColumn("_class", cls).withColumn(out, F.row_number().over(w).cast("bigint")).drop("_class")
-
-    # the quantile sketch and the counts read only the order and class columns
-    narrow = df.select(F.col(order_col).cast("double").alias("_order"))
-    model = QuantileDiscretizer(
-        numBuckets=n_buckets, inputCol="_order", outputCol="_bucket", relativeError=1.0 / (4 * n_buckets)
-    ).fit(narrow)
-    bucketed = model.transform(
-        df.withColumn("_class", cls).withColumn("_order", F.col(order_col).cast("double"))
-    ).drop("_order")
-    before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    order = order if isinstance(order, list) else [order]
+    keyed = df.withColumn("_class", F.col(class_col) if class_col else F.lit(""))
+    count = [partitions] if partitions else []
+    ranged = keyed.repartitionByRange(*count, "_class", *order).withColumn("_part", F.spark_partition_id())
+    ranged = stage(ranged, "ranged")
+    before = Window.partitionBy("_class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy("_class", "_bucket")
+        ranged.groupBy("_class", "_part")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_class", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .select(
+            F.col("_class").alias("_c"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        )
     )
-    inside = Window.partitionBy("_class", "_bucket").orderBy(order_col)
+    inside = Window.partitionBy("_class", "_part").orderBy(*order)
+    numbered = ranged.withColumn("_rn", F.row_number().over(inside))
     return (
-        bucketed.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, ["_class", "_bucket"])
+        numbered.join(offsets, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p")))
         .withColumn(out, F.col("_rn") + F.col("_offset"))
-        .drop("_class", "_bucket", "_rn", "_offset")
+        .drop("_class", "_part", "_rn", "_offset", "_c", "_p")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.reports import to_markdown
+from ..operators.reports import markdown_table
 
 RAW_SCHEMA = "base_id string, text string, intent string"
 SPLIT_SCHEMA = (
@@ -64,26 +64,51 @@ def write_parquet(df: DataFrame, path: str, partition_by=(), mode: str = "overwr
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file system that Spark knows has the path."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | StructType, required: str | None = None) -> DataFrame:
-    """JSON lines with a fixed schema; rows without the ``required`` field are skipped."""
-    df = spark.read.schema(schema).json(path)
+    """JSON lines with a fixed schema; rows without the ``required`` field are skipped.
+
+    A missing path is an empty result.
+    """
+    df = spark.read.schema(schema).json(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
     return df if required is None else df.filter(F.col(required).isNotNull())
 
 
+def read_parquet(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Parquet in the columns of ``schema``; a missing path is an empty result."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append runs to a Parquet log; columns may differ between appends."""
     df.write.mode("append").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The runs of a log; a log that was never written has none."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], RUN_LOG_SCHEMA)
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def read_csv_log(spark: SparkSession, path: str) -> DataFrame:
+    """A run log kept as CSV with a header, in the columns of ``RUN_LOG_SCHEMA``."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], RUN_LOG_SCHEMA)
+    return read_csv(spark, path, RUN_LOG_SCHEMA, fill_empty=())
+
+
 def write_markdown(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A small final report as one Markdown text file."""
-    text = to_markdown(df)
-    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
+    """A report as Markdown text, in one file."""
+    markdown_table(df, "value").coalesce(1).write.mode(mode).text(path)

@@ -22,7 +22,8 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_domain(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col("source").isin(LANG_OOD_SOURCES))
+    """Rows of all other sources; an unknown source is in-domain."""
+    return df.filter(~F.coalesce(F.col("source").isin(LANG_OOD_SOURCES), F.lit(False)))
 
 
 def out_of_domain(df: DataFrame) -> DataFrame:

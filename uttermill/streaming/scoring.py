@@ -20,6 +20,14 @@ def read_stream(
     return reader.parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of part files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return read_stream(spark, path, schema, files_per_trigger=files_per_trigger)
+    return read_stream(spark, place.getParent().toString(), schema, place.getName(), files_per_trigger)
+
+
 def score_stream(stream: DataFrame, path: str, checkpoint: str, **score) -> StreamingQuery:
     """Score every arriving text into a Parquet sink; stateless, exactly once."""
     return (
