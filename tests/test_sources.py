@@ -10,7 +10,8 @@ from uttermill.operators.scoring import keyword_scorer, score_batch
 from uttermill.plans import registry
 from uttermill.plans.staging import drop_staged, is_small, salted_left_join, spread, stage, staging_path, staging_root
 from uttermill.sources import files
-from uttermill.streaming.scoring import read_stream, route_stream, score_stream
+from uttermill.sources.tables import in_domain, out_of_domain
+from uttermill.streaming.scoring import read_stream, read_table_stream, route_stream, score_stream
 
 ROWS = [
     ("a_001", 'He said "hi",\nthen left ', "complaint", "x", "", 0, 0),
@@ -154,3 +155,36 @@ def test_worker_functions_need_no_copy_of_the_package(tmp_path):
         "assert 'uttermill' not in sys.modules"
     )
     subprocess.run([sys.executable, "-c", code, str(data)], cwd=tmp_path, check=True, timeout=60)
+
+
+def test_missing_logs_and_metrics_are_empty(spark, tmp_path):
+    assert files.read_log(spark, f"{tmp_path}/none").count() == 0
+    assert files.read_csv_log(spark, f"{tmp_path}/none.csv").columns[0] == "run_name"
+    assert files.read_json(spark, f"{tmp_path}/none.json", files.METRICS_SCHEMA, required="accuracy").count() == 0
+
+
+def test_csv_run_log_is_read(spark, tmp_path):
+    path = f"{tmp_path}/log.csv"
+    with open(path, "w") as f:
+        f.write("run_name,timestamp,model_name,learning_rate,lora_r,lora_alpha,lora_dropout,epochs,train_batch_size,")
+        f.write("train_loss,val_loss,val_accuracy,val_macro_f1,adapter_dir\nr1,2024-01-01 00:00:00,m,0.1,8,16,0.05,3,16,0.5,0.4,0.9,0.8,a\n")
+    r = files.read_csv_log(spark, path).first()
+    assert (r.run_name, r.epochs, r.val_macro_f1) == ("r1", 3, 0.8)
+
+
+def test_unknown_source_is_in_domain(spark):
+    df = spark.createDataFrame([(1, None), (2, "src18"), (3, "src1")], "ord long, source string")
+    assert [r.ord for r in in_domain(df).collect()] == [1, 3] and [r.ord for r in out_of_domain(df).collect()] == [2]
+
+
+def test_streams_read_a_file_a_folder_and_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(i, 0, f"some text {i}") for i in range(6)], "conv_id long, turn long, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder.parquet")
+    rows.limit(0).write.parquet(f"{tmp_path}/empty.parquet")
+    part = next(p for p in os.listdir(f"{tmp_path}/folder.parquet") if p.endswith(".parquet"))
+    for k, (path, n) in enumerate([(f"{tmp_path}/folder.parquet", 6), (f"{tmp_path}/folder.parquet/{part}", 2), (f"{tmp_path}/empty.parquet", 0)]):
+        stream = read_table_stream(spark, path, rows.schema)
+        out = f"{tmp_path}/out{k}"
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/c{k}")
+        q.trigger(availableNow=True).start().awaitTermination()
+        assert files.read_parquet(spark, out, rows.schema).count() == n

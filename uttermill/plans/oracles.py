@@ -31,6 +31,7 @@ from ..constants import (
     VARIATIONS,
 )
 from ..functions.text import ANY_WORD, EMOJI_RUN, SPACE_RUN, TAG, WORD
+from ..operators.contamination import MIN_SHARE, SHINGLE_WORDS
 
 LABELS = LANG_LABELS
 
@@ -129,6 +130,28 @@ SPLITS = [
     "LEFT JOIN assigned a ON k.base_id = a.base_id)",
 ]
 
+
+
+def shingle_ctes(src: str, out: str, key: str) -> list[str]:
+    """Distinct runs of words per row of ``src``."""
+    run = f"array_to_string(w[i:i+{SHINGLE_WORDS - 1}], ' ')"
+    return [
+        f"{out}_w AS (SELECT {key}, regexp_extract_all(lower(clean_text), {q(WORD)}) AS w FROM {src})",
+        f"{out}_i AS (SELECT {key}, w, unnest(range(1, greatest(len(w) - {SHINGLE_WORDS - 1}, 1) + 1)) AS i FROM {out}_w WHERE len(w) > 0)",
+        f"{out} AS (SELECT DISTINCT {key}, {run} AS gram FROM {out}_i)",
+    ]
+
+
+SHARED_NGRAMS = [
+    *clean_ctes("documents", "d"),
+    *clean_ctes("benchmark", "b"),
+    *shingle_ctes("d", "dg", "doc_id"),
+    *shingle_ctes("b", "bg", "item_id"),
+    "totals AS (SELECT item_id, count(*) AS total FROM bg GROUP BY item_id)",
+    "shared AS (SELECT doc_id, item_id, count(*) AS n_shared, round(count(*) / any_value(total), 6) AS share "
+    "FROM dg JOIN bg USING (gram) JOIN totals USING (item_id) GROUP BY doc_id, item_id)",
+]
+
 N_VAR = len(VARIATIONS)
 AUGMENTED = [
     *SPLITS,
@@ -431,6 +454,11 @@ def oracle_sql() -> dict[str, str]:
             "rows_ AS (SELECT clean_text, 'train' AS split FROM d UNION ALL SELECT clean_text, 'test' AS split FROM b)",
             select=overlap_sql("rows_", "clean_text", [("train", "test")]),
         ),
+        "leak_ngrams": with_(*SHARED_NGRAMS, select="SELECT doc_id, item_id, n_shared, share FROM shared"),
+        "decontaminate": with_(
+            *SHARED_NGRAMS,
+            select=f"SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM shared WHERE share >= {MIN_SHARE})",
+        ),
         # features
         "term_counts": with_(*ngram_ctes("documents", "g", "doc_id", "text"), select="SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL"),
         "vocab_topk": with_(*tfidf_ctes()[:5], select="SELECT term, corpus_tf::BIGINT AS corpus_tf FROM vocab"),

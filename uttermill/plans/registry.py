@@ -18,7 +18,7 @@ from ..constants import (
     STATUS_TUNED,
 )
 from ..functions import text as tx
-from ..operators import corpus, errors, features, fertility, leakage, metrics, models, reports, scoring, split
+from ..operators import contamination, corpus, errors, features, fertility, leakage, metrics, models, reports, scoring, split
 from ..operators.augment import augment
 from ..operators.classify import fit_naive_bayes, keyword_classify, with_keyword_scores
 from ..operators.dedup import dedup_counts as count_duplicates
@@ -327,6 +327,24 @@ def leak_benchmark(spark, sf_dir):
     return leakage.overlap_report(rows, kinds=("clean_text",), pairs=(("train", "test"),))
 
 
+def _shared_ngrams(spark, sf_dir) -> DataFrame:
+    docs = corpus.with_clean_columns(documents(spark, sf_dir, "doc_id", "text"))
+    return contamination.ngram_overlap(docs, corpus.with_clean_columns(table(spark, sf_dir, "benchmark")))
+
+
+@query
+def leak_ngrams(spark, sf_dir):
+    """Share of each benchmark item's word n-grams that a document holds."""
+    return _shared_ngrams(spark, sf_dir)
+
+
+@query
+def decontaminate(spark, sf_dir):
+    """Documents that do not hold half of a benchmark item's n-grams."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return contamination.decontaminate(docs, _shared_ngrams(spark, sf_dir))
+
+
 # --- features ----------------------------------------------------------------------
 
 
