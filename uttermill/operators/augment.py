@@ -25,7 +25,21 @@ def expand_variations(df: DataFrame, variations=VARIATIONS, order_col: str = "or
     return with_clean_columns(wide).select(*df.columns)
 
 
-def augment(df: DataFrame, variations=VARIATIONS, order_col: str = "ord") -> DataFrame:
-    """All variations of the given rows, deduplicated on cleaned text and class."""
+def augment_keys(df: DataFrame, variations=VARIATIONS, order_col: str = "ord") -> DataFrame:
+    """The variations that ``augment`` keeps, without their texts.
+
+    Every variation's digest is computed in one pass; digests and narrow columns are
+    staged and deduplicated, never the variations' texts.
+    """
     wide = expand_variations(df, variations, order_col).withColumn("_key", content_key(*KEYS))
-    return dedup_first(stage(wide, "augmented"), order_col=order_col, key_col="_key").drop("_key")
+    keys = stage(wide.drop("text", "clean_text", "emojis"), "augmented-keys")
+    return dedup_first(keys, order_col=order_col, key_col="_key").drop("_key")
+
+
+def augment(df: DataFrame, variations=VARIATIONS, order_col: str = "ord") -> DataFrame:
+    """All variations of the given rows, deduplicated on cleaned text and class.
+
+    The texts of variations are built for the reader, and only for those that stay.
+    """
+    kept = stage(augment_keys(df, variations, order_col).select(order_col), "augmented-kept")
+    return expand_variations(df, variations, order_col).join(kept, order_col, "left_semi")

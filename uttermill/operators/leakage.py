@@ -12,11 +12,15 @@ from .dedup import content_key
 PAIRS = [("train", "test"), ("train", "val"), ("val", "test")]
 OOD_PAIRS = [("train", "ood")]
 KINDS = ("base_id", "clean_text")
+DIGESTS = {"clean_text": "_text_key"}
 
 
 def overlap_keys(df: DataFrame, split_col: str = "split", kinds=KINDS, splits=("train", "val", "test", "ood")) -> DataFrame:
     """(kind, key, mask): in which splits each distinct value occurs, as bits.
 
+    A kind is a column; where ``df`` has its digest already (``_text_key`` for
+    clean_text), no text is read.
+
     One shuffle of digests serves all pairs and kinds; bits are combined on the
     map side, so a value with very many rows stays cheap.
     """
@@ -25,7 +29,8 @@ def overlap_keys(df: DataFrame, split_col: str = "split", kinds=KINDS, splits=("
         range(1, len(splits)),
         F.when(F.col(split_col) == splits[0], F.lit(1)),
     )
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), content_key(k).alias("key")) for k in kinds]))
+    key_of = lambda k: F.col(DIGESTS[k]) if DIGESTS.get(k) in df.columns else content_key(k)
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), key_of(k).alias("key")) for k in kinds]))
     return (
         df.select(bit.alias("_bit"), keys.alias("_k"))
         .filter(F.col("_bit").isNotNull())

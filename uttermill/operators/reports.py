@@ -80,17 +80,17 @@ def markdown_lines(df: DataFrame, out: str = "line") -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias(out))
 
 
-def markdown_table(df: DataFrame, out: str = "line") -> DataFrame:
-    """Header, rule and rows of a Markdown table, in this order."""
+def markdown_table(df: DataFrame, out: str = "line", place: str = "place") -> DataFrame:
+    """Header, rule and rows of a Markdown table, with their place in it."""
     head = "| " + " | ".join(df.columns) + " |"
     rule = "| " + " | ".join("---" for _ in df.columns) + " |"
-    lines = df.sparkSession.createDataFrame([(head,), (rule,)], f"`{out}` string").coalesce(1)
-    return lines.union(markdown_lines(df, out))
+    top = df.sparkSession.createDataFrame([(head, -2), (rule, -1)], f"`{out}` string, `{place}` bigint")
+    return top.union(markdown_lines(df, out).withColumn(place, F.monotonically_increasing_id()))
 
 
 def to_markdown(df: DataFrame) -> str:
     """A report as a Markdown table, read line by line."""
-    return "\n".join(r[0] for r in markdown_table(df).toLocalIterator())
+    return "\n".join(r[0] for r in markdown_table(df).orderBy("place").toLocalIterator())
 
 
 def metrics_document(overall: DataFrame, per_class: DataFrame, by: str) -> DataFrame:

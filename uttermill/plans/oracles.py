@@ -32,8 +32,10 @@ from ..constants import (
 )
 from ..functions.text import ANY_WORD, EMOJI_RUN, SPACE_RUN, TAG, WORD
 from ..operators.contamination import MIN_SHARE, SHINGLE_WORDS
+from ..operators.models import KEYWORD, LR, NAIVE_BAYES, RF, SVM
 
 LABELS = LANG_LABELS
+FIT_MODELS = [LR.name, SVM.name, RF.name, NAIVE_BAYES, KEYWORD]
 
 
 def q(s) -> str:
@@ -545,6 +547,16 @@ def oracle_sql() -> dict[str, str]:
             "wide_labels(label) AS (SELECT label FROM labels UNION ALL VALUES ('it'))",
             select="SELECT w.label, coalesce(round(\"precision\", 4), 0) AS \"precision\", coalesce(round(recall, 4), 0) AS recall, coalesce(round(f1_score, 4), 0) AS f1_score, coalesce(support, 0)::BIGINT AS support FROM wide_labels w LEFT JOIN m USING (label)",
         ),
+        # fits: the rows and runs that SQL can name; the checks of every fit must hold
+        **{name: with_(*SPLITS, select="SELECT ord, split, intent, TRUE AS listed, TRUE AS converged, TRUE AS accurate FROM rows_ WHERE split <> 'train'") for name in ("fit_lr", "fit_svm", "fit_rf")},
+        "fit_predict_eval": with_(*SPLITS, select=f"SELECT {q(FIT_MODELS[0])} AS model, split, count(*) AS dataset_size, TRUE AS accurate FROM rows_ WHERE split <> 'train' GROUP BY split"),
+        "baseline_summary": with_(
+            *SPLITS,
+            values([(m,) for m in FIT_MODELS], "model", "models"),
+            select="SELECT model, split, count(*) AS dataset_size, TRUE AS accurate FROM rows_, models WHERE split <> 'train' GROUP BY model, split",
+        ),
+        "sweep_runs": "SELECT c::DOUBLE AS c, max_features::INTEGER AS max_features, 1000::INTEGER AS epochs, TRUE AS ranked, TRUE AS converged, TRUE AS accurate "
+        "FROM (VALUES (0.1), (1.0)) a(c), (VALUES (1000), (5000)) b(max_features)",
         # runs
         "append_run_log": with_(
             *RUNS_SQL,

@@ -1,13 +1,15 @@
 """From raw corpus to labelled, cleaned, deduplicated and split rows.
 
-Texts are cleaned once and staged.  Ids, deduplication and the split are worked
-out on a manifest: narrow rows of order value, class, id and content digest.  The
-wide rows meet the manifest in one join on the unique order value, of which Spark
-reads and moves only the columns that a consumer uses.
+Texts are cleaned once.  Ids, deduplication and the split are worked out on a
+manifest: narrow rows of order value, class, id and content digest.  What a consumer
+derives from a text alone (a predicted class, say) is computed in the cleaning pass
+and travels in the manifest.  Only consumers of texts stage them; their rows meet the
+manifest in one join on the unique order value.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import INTENTS, MIN_CLEAN_CHARS, SEED, SPLIT_RATIOS, VARIATIONS
-from ..operators.augment import augment
+from ..operators.augment import augment, augment_keys
 from ..operators.corpus import (
     assign_base_id,
     assign_fallback_id,
@@ -28,20 +30,40 @@ from ..operators.dedup import content_key, dedup_first
 from ..operators.split import fit_group_split
 from .staging import stage
 
+TEXTS = ["text", "clean_text", "emojis"]
 PROCESSED = ["ord", "base_id", "text", "intent", "clean_text", "emojis", "excess_punct_count", "label"]
 
 
-def clean_stage(df: DataFrame, labels=INTENTS, name: str = "clean", group_col: str = "intent") -> DataFrame:
-    """Rows with a valid label, cleaned and staged with length and content digest.
+RowColumns = Callable[[DataFrame], DataFrame]
 
-    Equal texts count as duplicates within ``group_col``.
+
+def clean_stage(
+    df: DataFrame,
+    labels=INTENTS,
+    name: str = "clean",
+    group_col: str = "intent",
+    texts: bool = True,
+    derive: RowColumns | None = None,
+) -> DataFrame:
+    """Rows with a valid label, cleaned and staged with length and content digests.
+
+    Equal texts count as duplicates within ``group_col``; ``_text_key`` is the digest
+    of the cleaned text alone.  Without ``texts`` only narrow columns are staged.
+    ``derive`` adds columns that depend on their row alone.
     """
     require_columns(df, "text", "intent", "ord")
     cleaned = encode_label(with_clean_columns(filter_valid_labels(df, labels)), labels)
     extra = [c for c in ("base_id", group_col) if c in df.columns and c != "intent"]
     wide = cleaned.select(*[c for c in PROCESSED if c != "base_id"], *extra)
-    key = content_key("clean_text", group_col)
-    return stage(wide.withColumn("_chars", F.length("clean_text")).withColumn("_key", key), name)
+    wide = wide.withColumns(
+        {
+            "_chars": F.length("clean_text"),
+            "_key": content_key("clean_text", group_col),
+            "_text_key": content_key("clean_text"),
+        }
+    )
+    wide = derive(wide) if derive else wide
+    return stage(wide if texts else wide.drop(*TEXTS), name)
 
 
 def kept_ids(cleaned: DataFrame, group_col: str = "intent", by_position: bool = False) -> DataFrame:
@@ -51,7 +73,7 @@ def kept_ids(cleaned: DataFrame, group_col: str = "intent", by_position: bool =
     their own.  Short texts keep their number, and then leave with the duplicates.
     """
     own = ["base_id"] if "base_id" in cleaned.columns else []
-    manifest = cleaned.select(*dict.fromkeys(["ord", "intent", group_col, *own, "_chars", "_key"]))
+    manifest = cleaned.drop(*TEXTS)
     if not own:
         manifest = assign_fallback_id(manifest) if by_position else assign_base_id(manifest, label_col=group_col)
     long_enough = manifest.filter(F.col("_chars") >= MIN_CLEAN_CHARS)
@@ -71,9 +93,14 @@ def prepare_corpus(df: DataFrame, labels=INTENTS) -> DataFrame:
     return attach(cleaned, stage(kept_ids(cleaned, by_position=True), "kept"))
 
 
+def corpus_manifest(df: DataFrame, labels=INTENTS, derive: RowColumns | None = None) -> DataFrame:
+    """The rows that ``prepare_corpus`` keeps, without texts but with derived columns."""
+    return kept_ids(clean_stage(df, labels, texts=False, derive=derive), by_position=True)
+
+
 @dataclass
 class Prepared:
-    """Cleaned rows, and the manifest of those kept: ord, intent, base_id, split."""
+    """Cleaned rows, and the manifest of those kept: ord, intent, base_id, split, derived columns."""
 
     cleaned: DataFrame
     manifest: DataFrame
@@ -89,24 +116,37 @@ def plan_splits(
     labels=INTENTS,
     ratios=SPLIT_RATIOS,
     seed: int = SEED,
+    texts: bool = True,
+    derive: RowColumns | None = None,
 ) -> Prepared:
     """Clean both corpora in one pass and split the in-domain one.
 
     Ids and duplicates are worked out per corpus and class; OOD ids start with
-    ``ood_``.  ``ord`` must be unique over both corpora.
+    ``ood_``.  ``ord`` must be unique over both corpora, which is checked.  See
+    ``clean_stage`` for ``texts`` and ``derive``.
     """
     group = F.col("intent")
     frames = [in_domain.withColumn("_group", group)]
     if ood is not None:
         frames.append(ood.withColumn("_group", F.concat(F.lit("ood_"), group)))
-    cleaned = clean_stage(reduce(DataFrame.unionByName, frames), labels, group_col="_group")
+    cleaned = clean_stage(reduce(DataFrame.unionByName, frames), labels, "clean", "_group", texts, derive)
     kept = stage(kept_ids(cleaned, "_group"), "kept")
+    if not kept.groupBy("ord").count().filter("count > 1").isEmpty():
+        raise ValueError("ord must be unique over all rows")
     is_main = F.col("_group") == F.col("intent")
     fitted = fit_group_split(kept.filter(is_main), ratios=ratios, seed=seed)
     split = fitted.assign(kept).withColumn("split", F.when(is_main, F.col("split")).otherwise("ood"))
     return Prepared(cleaned, stage(split.drop("_group"), "split"))
 
 
+def augmented_manifest(rows: DataFrame, variations=VARIATIONS) -> DataFrame:
+    """(ord, base_id, intent, split) of ``augment_train``, of which only digests are staged."""
+    cols = ["ord", "base_id", "intent", "split"]
+    train = augment_keys(rows.filter("split = 'train'"), variations).select(*cols)
+    rest = rows.filter("split <> 'train'").withColumn("ord", F.col("ord") * len(variations))
+    return train.unionByName(rest.select(*cols))
+
+
 def augment_train(rows: DataFrame, variations=VARIATIONS) -> DataFrame:
     """Replace train rows by their variations; other splits stay as they are.
 

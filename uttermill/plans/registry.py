@@ -27,8 +27,7 @@ from ..sources import files
 from ..sources.tables import in_domain, out_of_domain, requests, table, utterances
 from ..streaming.scoring import read_table_stream, route_stream, score_stream
 from .oracles import CORPUS_TOKENIZERS, KS, SCORED_COLUMNS
-from .prepare import augment_train as with_augmented_train
-from .prepare import Prepared, plan_splits, prepare_corpus
+from .prepare import Prepared, augmented_manifest, corpus_manifest, plan_splits, prepare_corpus
 from .staging import spread, stage, staging_path
 
 LABELS = LANG_LABELS
@@ -49,18 +48,18 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select(*cols), "doc_id")
 
 
-def planned(spark: SparkSession, sf_dir: str) -> Prepared:
+def planned(spark: SparkSession, sf_dir: str, **options) -> Prepared:
     docs = utterances(spark, sf_dir)
-    return plan_splits(in_domain(docs), out_of_domain(docs), LABELS)
+    return plan_splits(in_domain(docs), out_of_domain(docs), LABELS, **options)
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned(spark, sf_dir).rows()
 
 
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ord, intent, base_id and split of every kept row; the texts stay unread."""
-    return planned(spark, sf_dir).manifest
+def manifest(spark: SparkSession, sf_dir: str, derive=None) -> DataFrame:
+    """ord, intent, base_id, split and derived columns of every kept row; no text is staged."""
+    return planned(spark, sf_dir, texts=False, derive=derive).manifest
 
 
 def classified(df: DataFrame, k: int | None = None, out: str = "predicted_intent") -> DataFrame:
@@ -68,32 +67,41 @@ def classified(df: DataFrame, k: int | None = None, out: str = "predicted_intent
     return keyword_classify(df, words, LANG_DEFAULT, out=out)
 
 
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``flagship`` without texts: classes are predicted in the cleaning pass."""
+    return corpus_manifest(utterances(spark, sf_dir), LABELS, derive=classified)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: labels, cleaning, length filter, dedup, keyword class."""
     return classified(prepare_corpus(utterances(spark, sf_dir), LABELS))
 
 
+def scored(df: DataFrame) -> DataFrame:
+    """Add keyword class and softmax confidence."""
+    rows = scoring.with_probabilities(with_keyword_scores(classified(df), LANG_KEYWORDS))
+    return rows.withColumn("confidence", F.round(F.array_max("probs"), 4)).drop("scores", "probs")
+
+
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split rows with keyword class and softmax confidence."""
-    rows = with_keyword_scores(classified(splits(spark, sf_dir)), LANG_KEYWORDS)
-    scored = (
-        scoring.with_probabilities(rows)
-        .withColumn("confidence", F.round(F.array_max("probs"), 4))
-        .drop("scores", "probs", "text", "emojis", "excess_punct_count")
-    )
-    return stage(scored, "scored")
+    """Split rows with class and confidence, without texts."""
+    return manifest(spark, sf_dir, scored)
+
+
+def with_variants(df: DataFrame) -> DataFrame:
+    """Add the prediction of every keyword list length."""
+    return reduce(lambda rows, k: classified(rows, k, f"_p{k}"), KS, df)
 
 
 def keyword_variants(rows: DataFrame) -> DataFrame:
-    """One row per (row, keyword list length) with its prediction."""
-    wide = reduce(lambda df, k: classified(df, k, f"_p{k}"), KS, rows)
+    """One row per (row with variants, keyword list length) with its prediction."""
     runs = F.array(*[F.struct(F.lit(f"keywords_{k}").alias("model"), F.col(f"_p{k}").alias("predicted_intent")) for k in KS])
-    return wide.select("split", "intent", F.inline(runs))
+    return rows.select("split", "intent", F.inline(runs))
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the keyword classifier, scored on the val split."""
-    variants = keyword_variants(splits(spark, sf_dir).filter("split = 'val'"))
+    variants = keyword_variants(manifest(spark, sf_dir, with_variants).filter("split = 'val'"))
     return metrics.overall_metrics(variants, LABELS, by=("model",)).select(
         F.col("model").alias("run_name"),
         F.substring("model", -1, 1).cast("int").alias("epochs"),
@@ -290,7 +298,7 @@ def augment_train(spark, sf_dir):
 
 @query
 def prepared_counts(spark, sf_dir):
-    rows = with_augmented_train(splits(spark, sf_dir))
+    rows = augmented_manifest(splits(spark, sf_dir))
     per_id = rows.groupBy("split", "base_id").agg(F.count(F.lit(1)).alias("k"))
     return per_id.groupBy("split").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_bases"))
 
@@ -313,7 +321,7 @@ def leak_texts(spark, sf_dir):
 
 @query
 def leak_ood(spark, sf_dir):
-    return leakage.overlap_report(splits(spark, sf_dir), pairs=tuple(leakage.OOD_PAIRS))
+    return leakage.overlap_report(manifest(spark, sf_dir), pairs=tuple(leakage.OOD_PAIRS))
 
 
 @query
@@ -392,7 +400,7 @@ def tfidf_vectors(spark, sf_dir):
 
 @query
 def keyword_classify_(spark, sf_dir):
-    return flagship(spark, sf_dir).select("ord", "intent", "predicted_intent")
+    return predicted(spark, sf_dir).select("ord", "intent", "predicted_intent")
 
 
 QUERIES["keyword_classify"] = QUERIES.pop("keyword_classify_")
@@ -405,10 +413,22 @@ def nb_predict(spark, sf_dir):
     return model.predict(store.held_out_counts).select("ord", "split", "intent", "predicted_intent")
 
 
+FLOOR = 0.9  # accuracy that every fitted model reaches on every split it has not seen
+
+
+def _good(floor: float):
+    return F.col("accuracy") >= floor
+
+
 def _fit(spec):
+    """Every held-out row with checks of the fit: a listed class, convergence, quality of its split."""
+
     def run(spark, sf_dir):
         store = models.FeatureStore(splits(spark, sf_dir), LABELS)
-        return models.fit_predict(spec, store).select("ord", "split", "intent", "predicted_intent")
+        rows = stage(models.fit_predict(spec, store).select("ord", "split", "intent", "predicted_intent", "converged"), "predicted")
+        quality = metrics.overall_metrics(rows, LABELS, by=("split",)).select("split", _good(FLOOR).alias("accurate"))
+        listed = F.col("predicted_intent").isin(LABELS).alias("listed")
+        return rows.join(quality, "split").select("ord", "split", "intent", listed, "converged", "accurate")
 
     return run
 
@@ -421,19 +441,22 @@ QUERIES["fit_rf"] = _fit(models.RF)
 @query
 def fit_predict_eval(spark, sf_dir):
     store = models.FeatureStore(splits(spark, sf_dir), LABELS)
-    return models.evaluate_model(models.LR, store)[0]
+    return models.evaluate_model(models.LR, store)[0].select("model", "split", "dataset_size", _good(FLOOR).alias("accurate"))
 
 
 @query
 def baseline_summary(spark, sf_dir):
-    return models.baseline_summary(splits(spark, sf_dir), LABELS, LANG_KEYWORDS, LANG_DEFAULT)
+    summary = models.baseline_summary(splits(spark, sf_dir), LABELS, LANG_KEYWORDS, LANG_DEFAULT)
+    return summary.select("model", "split", "dataset_size", _good(FLOOR).alias("accurate"))
 
 
 @query
 def sweep_runs(spark, sf_dir):
     grid = [{"c": c, "max_features": m, "epochs": 1000} for c in (0.1, 1.0) for m in (1000, 5000)]
     runs = models.sweep(splits(spark, sf_dir), grid, LABELS)
-    return reports.rank_runs(models.run_frame(spark, runs), columns=models.SWEEP_COLUMNS)
+    ranked = reports.rank_runs(models.run_frame(spark, runs), columns=[*models.SWEEP_COLUMNS, "converged"])
+    good = (F.col("val_accuracy") >= FLOOR).alias("accurate")
+    return ranked.select("c", "max_features", "epochs", F.col("Rank").between(1, len(grid)).alias("ranked"), "converged", good)
 
 
 # --- metrics and reports -----------------------------------------------------------
@@ -441,28 +464,28 @@ def sweep_runs(spark, sf_dir):
 
 @query
 def confusion_matrix(spark, sf_dir):
-    return metrics.confusion_matrix(flagship(spark, sf_dir), LABELS)
+    return metrics.confusion_matrix(predicted(spark, sf_dir), LABELS)
 
 
 @query
 def confusion_norm(spark, sf_dir):
-    cm = metrics.confusion_matrix(flagship(spark, sf_dir), LABELS)
+    cm = metrics.confusion_matrix(predicted(spark, sf_dir), LABELS)
     return metrics.normalize_confusion(cm).withColumn("share", F.round("share", 6))
 
 
 @query
 def per_class_metrics(spark, sf_dir):
-    return metrics.per_class_metrics(flagship(spark, sf_dir), LABELS)
+    return metrics.per_class_metrics(predicted(spark, sf_dir), LABELS)
 
 
 @query
 def overall_metrics(spark, sf_dir):
-    return metrics.overall_metrics(flagship(spark, sf_dir), LABELS)
+    return metrics.overall_metrics(predicted(spark, sf_dir), LABELS)
 
 
 @query
 def classification_report(spark, sf_dir):
-    report = metrics.classification_report(flagship(spark, sf_dir), LABELS)
+    report = metrics.classification_report(predicted(spark, sf_dir), LABELS)
     return report.select("label", *[F.round(c, 10).alias(c) for c in ("precision", "recall", "f1_score")], "support")
 
 
@@ -473,23 +496,26 @@ def metrics_by_split(spark, sf_dir):
 
 @query
 def class_balance(spark, sf_dir):
-    return metrics.class_balance(with_augmented_train(splits(spark, sf_dir)), LABELS)
+    return metrics.class_balance(augmented_manifest(splits(spark, sf_dir)), LABELS)
 
 
 @query
 def split_summary(spark, sf_dir):
-    return metrics.split_summary(with_augmented_train(splits(spark, sf_dir)))
+    return metrics.split_summary(augmented_manifest(splits(spark, sf_dir)))
 
 
 @query
 def quality_gate(spark, sf_dir):
-    rows = splits(spark, sf_dir)
-    overall = metrics.overall_metrics(classified(rows.filter("split = 'test'")), LABELS)
+    rows = manifest(spark, sf_dir, classified)
+    overall = metrics.overall_metrics(rows.filter("split = 'test'"), LABELS)
     return metrics.quality_gate(overall, leakage.overlap_report(rows, kinds=("base_id",)))
 
 
 def _errors(spark, sf_dir) -> DataFrame:
-    rows = evaluated(spark, sf_dir)
+    found = planned(spark, sf_dir, derive=scored)
+    wrong = found.manifest.filter("intent <> predicted_intent")
+    # texts are fetched for the wrong rows only
+    rows = found.cleaned.select("ord", "clean_text").join(wrong, "ord")
     return errors.misclassified(
         rows.filter("split = 'test'"), rows.filter("split = 'ood'"), pairs=LANG_ERROR_PAIRS
     )
@@ -516,7 +542,7 @@ def top_confusions(spark, sf_dir):
 @query
 def comparison_table(spark, sf_dir):
     """Markdown rows of keyword variants."""
-    rows = splits(spark, sf_dir).filter("split IN ('test', 'ood')")
+    rows = manifest(spark, sf_dir, with_variants).filter("split IN ('test', 'ood')")
     m = metrics.overall_metrics(keyword_variants(rows), LABELS, by=("split", "model"))
     m = stage(m, "variant-metrics")
     ood = m.filter("split = 'ood'")
@@ -526,7 +552,7 @@ def comparison_table(spark, sf_dir):
 
 @query
 def class_lookup(spark, sf_dir):
-    held = classified(splits(spark, sf_dir).filter("split = 'test'"))
+    held = manifest(spark, sf_dir, classified).filter("split = 'test'")
     return reports.per_class_lookup(metrics.per_class_metrics(held, LABELS), [*LABELS, "it"])
 
 

@@ -111,4 +111,5 @@ def read_csv_log(spark: SparkSession, path: str) -> DataFrame:
 
 def write_markdown(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A report as Markdown text, in one file."""
-    markdown_table(df, "value").coalesce(1).write.mode(mode).text(path)
+    lines = markdown_table(df, "value").coalesce(1).sortWithinPartitions("place")
+    lines.select("value").write.mode(mode).text(path)
