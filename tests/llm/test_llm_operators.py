@@ -315,6 +315,44 @@ def test_language_model_base_scores(docs, empty):
     assert language_model.lm_scores(empty).count() == 0
 
 
+def brute_scores(rows):
+    """Interpolated probabilities of all words from counts in dictionaries, none left out."""
+    tokens = [(i, WORD.findall((t or "").translate(UPPER)) + [None]) for i, t in rows]
+    c, follow = Counter(), defaultdict(Counter)
+    for i, ts in tokens:
+        if zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2:
+            c.update(ts)
+            for j, w in enumerate(ts):
+                for k in (1, 2):
+                    if j >= k:
+                        follow[tuple(ts[j - k : j])][w] += 1
+    total = sum(c.values()) + len(c) + 1
+
+    def p(context, w):
+        if not context:
+            return (c[w] + 1) / total
+        lower = p(context[1:], w)
+        if context not in follow:
+            return lower
+        n = follow[context]
+        return (max(n[w] - 0.75, 0) + 0.75 * len(n) * lower) / n.total()
+
+    return [(i, sum(log10(p(tuple(ts[max(0, j - 2) : j]), w)) for j, w in enumerate(ts))) for i, ts in tokens]
+
+
+def test_language_model_has_all_ngrams(spark, docs):
+    """Also of more than 131,072 tokens, where an n-gram seen once is below every share of the tokens."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3_000)]
+    large = [(i, " ".join(rng.choices(words, k=500))) for i in range(320)] + [(7_000, "the pair the pair the pair"), (7_000, "w1 w2")]
+    large_docs = spark.createDataFrame(large, "doc_id long, text string")
+    for rows, table in ((pairs_of(docs), docs), (large, large_docs)):
+        want = sorted(brute_scores(rows), key=repr)
+        got = sorted([(r.doc_id, r.score) for r in language_model.lm_scores(table).collect()], key=repr)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert all(abs(g[1] - w[1]) <= 1e-9 * abs(w[1]) for g, w in zip(got, want))
+
+
 def test_automaton_is_a_distribution(docs):
     """In every state the probabilities of all words, the unseen one included, add up to one."""
     counts, words, a = language_model.fit(docs.filter("length(text) < 2000"), max_arcs=400)

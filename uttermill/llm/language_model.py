@@ -9,14 +9,18 @@ of a text from left to right carries the state and adds up the weights it passes
     left(u)  = 1 - sum over kept w of (c(u w) - D) / c(u)
     p(w)     = (c(w) + 1) / (N + V + 1)
 
-All words are counted, in all training texts.  The automaton keeps the n-grams that
-make up at least ``1 / MAX_ARCS`` of the training tokens, so it has at most that many
-of each order whatever the input; the mass of the others is in ``left``.  Words of at
-least ``1 / MAX_WORDS`` of the tokens are known to every task.  The other words never
-begin or extend a kept n-gram: they lead back to the empty context, and their own
-probabilities come from a join with the full counts, so none is approximated.
-
-Words are told apart by 64-bit hashes.  Defined cases: a null text has the end token
+States and arcs are staged tables: every pair and triple of words of the training texts
+is an arc, at any size of the input, and every word and pair that another word follows a
+state.  Each distinct triple of the texts to score meets its last two words and its
+context there once, by joins that Spark splits for hot keys; the weight found then goes
+to the triple's occurrences.  A text begins with two start marks, which are no contexts.
+
+Only if a caller bounds the model (``max_words``, ``max_arcs``) an automaton in memory
+is used: words above ``1 / max_words`` and n-grams above ``1 / max_arcs`` of the
+training tokens, the mass of the others in ``left``.  Words below never begin or extend
+a kept n-gram; their own probabilities come from a join with the full counts.
+
+Words, pairs and triples are told apart by 64-bit hashes.  Defined cases: a null text has the end token
 only.  Rows that repeat id and text each get their row.  A null id trains or not by the
 checksum of the empty text.  Without training texts every probability is one.
 """
@@ -28,17 +32,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
 from .frames import NO_ID, crc_remainder, named, row_key
-from .kernels import LOWER, WHITE, RowIndex, SpanHasher, chunks, signed, spans
+from .kernels import LOWER, WHITE, RowIndex, SpanHasher, chunks, mix, signed, spans
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 MAX_WORDS, MAX_ARCS = 1 << 20, 1 << 17
 END = np.int64(1)  # hash that stands for the end of a text
+START = np.int64(2)  # and for the two tokens before its first
 FLUSH_TOKENS = 1 << 21
 _WORD_BITS = 20
 
@@ -278,14 +283,134 @@ def score_texts(
     )
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per row of ``docs``; the model is learned from the rows outside the held-out fold."""
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a sequence from the hash of all but its last word and that of its last."""
+    return signed(mix(mix(a.view(np.uint64)) + b.view(np.uint64)))
+
+
+def _ngrams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each token w and the two before it, u and v: hashes of (u v w), (u v), (v w); v; whether u is a start mark."""
+    begin = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(h)]
+    v = np.where(begin, START, np.roll(h, 1))
+    u = np.where(begin, START, np.roll(v, 1))
+    context = _joined(u, v)
+    return _joined(context, h), context, _joined(v, h), v, u == START
+
+
+def _arcs(columns_of, names: list[str]):
+    """mapInArrow function: (names, n) of distinct n-grams, n in training texts, counted in parts of bounded size.
+
+    ``columns_of`` makes the columns of ``names``, of which the first is distinct for
+    distinct n-grams, and the counts of a chunk's tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            order = np.argsort(columns[0])
+            key = columns[0][order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.add.reduceat(columns[-1][order].astype(np.int64), first)
+            return pa.RecordBatch.from_arrays([*(pa.array(c[order[first]]) for c in columns[:-1]), pa.array(n)], [*names, "n"])
+
+        for batch in batches:
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            for a, b, data, bounds in chunks(batch.column("text")):
+                h, doc = token_hashes(data, bounds)
+                held.append(columns_of(h, doc, train[a:b][doc]))
+                size += len(h)
+                if size >= FLUSH_TOKENS:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _distinct_arcs(texts: DataFrame, columns_of, names: list[str], name: str) -> DataFrame:
+    found = texts.mapInArrow(_arcs(columns_of, names), ", ".join(f"{c} long" for c in [*names, "n"]))
+    return stage(found.groupBy(*names).agg(F.sum("n").alias("n")), name)
+
+
+def _smoothed(n: str, lower: str) -> Column:
+    """p(w | context) from the arc's count, the state's (c, kinds) and the probability one word shorter."""
+    seen = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col("c") + DISCOUNT * F.col("kinds") / F.col("c") * F.col(lower)
+    return F.when(F.col("c") > 0, seen).otherwise(F.col(lower))
+
+
+def whole_scores(
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, int]:
+    """((doc, tag, copies, n_tokens, n_known, base_score, score) per distinct row, number of training tokens).
+
+    The model has all n-grams of the rows where ``train`` holds; see ``frames.row_key``
+    for doc and tag.
+    """
+
+    def pair_columns(h: np.ndarray, doc: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, ...]:
+        _, _, pair, v, _ = _ngrams(h, doc)
+        return pair, v, h, train
+
+    def triple_columns(h: np.ndarray, doc: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, ...]:
+        triple, context, pair, _, from_start = _ngrams(h, doc)
+        return triple, context, pair, train & ~from_start
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tag = (batch.column(k).to_numpy() for k in ("doc", "tag"))
+            for a, b, data, bounds in chunks(batch.column("text")):
+                h, row = token_hashes(data, bounds)
+                columns = _ngrams(h, row)[0], doc[a:b][row], tag[a:b][row]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["triple", "doc", "tag"])
+
+    texts = docs.select(*row_key(id_col, text_col), train.alias("train"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    learned = texts.select("train", "text")
+    pairs = _distinct_arcs(learned, pair_columns, ["pair", "v", "w"], "lm-pairs")
+    words = stage(pairs.groupBy("w").agg(F.sum("n").alias("c1")), "lm-words")
+    n_tokens, n_kinds = words.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.count_if(F.col("c1") > 0)).first()
+    p1 = ((F.col("c1") + 1) / F.lit(float(n_tokens + n_kinds + 1))).alias("p1")
+    state = [F.sum("n").alias("c"), F.count(F.lit(1)).alias("kinds")]
+    word_states = pairs.filter((F.col("n") > 0) & (F.col("v") != int(START))).groupBy("v").agg(*state)
+    known = pairs.join(words.select("w", "c1", p1), "w").join(word_states, "v", "left")
+    known = stage(known.select("pair", "c1", "p1", _smoothed("n", "p1").alias("p2")), "lm-pair-weights")
+
+    triples = _distinct_arcs(learned, triple_columns, ["triple", "context", "pair"], "lm-triples")
+    pair_states = triples.filter("n > 0").groupBy("context").agg(*state)
+    weights = triples.join(known, "pair").join(pair_states, "context", "left")
+    weights = weights.select(
+        "triple", (F.col("c1") > 0).cast("int").alias("known"), F.log10("p1").alias("base"), F.log10(_smoothed("n", "p2")).alias("score")
+    )
+    found = texts.select("doc", "tag", "text").mapInArrow(occurrences, "triple long, doc long, tag long")
+    sums = found.join(weights, "triple").groupBy("doc", "tag")
+    sums = sums.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("known", "base", "score")])
+    copies = texts.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("copies"))
+    once = lambda c: F.col(c) / F.col("copies")  # noqa: E731  rows that repeat add the same once more
+    sums = stage(sums.join(copies, ["doc", "tag"]), "lm-sums")
+    return sums.select(
+        "doc", "tag", "copies",
+        once("n").cast("long").alias("n_tokens"), once("known").cast("long").alias("n_known"),
+        once("base").alias("base_score"), once("score").alias("score"),
+    ), n_tokens
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
+    """One row per row of ``docs``; the model is learned from the rows outside the held-out fold.
+
+    It has all n-grams, unless ``bounds`` (see ``fit``) ask for a smaller one in memory.
+    """
     held_out = (crc_remainder(id_col, FOLDS) == HELD_OUT).alias("held_out")
-    model = fit(docs.filter(~held_out), text_col, **options)
-    found = score_texts(docs, *model, id_col, text_col)
+    if bounds:
+        model = fit(docs.filter(~held_out), text_col, **bounds)
+        found, n_tokens = score_texts(docs, *model, id_col, text_col), model[1].n_tokens
+    else:
+        found, n_tokens = whole_scores(docs, ~held_out, id_col, text_col)
     known_id = F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col)
     return (
         found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select(known_id, "n_tokens", "n_known", F.lit(model[1].n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        .select(known_id, "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
         .select(id_col, held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     )
