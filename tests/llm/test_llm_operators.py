@@ -507,6 +507,30 @@ def test_language_code_lengths(spark):
         assert np.allclose(bits, brute_bits(train, trees.languages, text), atol=1e-3)
 
 
+def test_language_trees_keep_all_grams(spark):
+    """Also where a gram seen once is below every share of the bytes, and where tasks do not know all blocks."""
+    rng = random.Random(3)
+    text = lambda letters, k: "".join(rng.choices(letters, k=k))
+    rows = [(i, text("abcdefghijklmnop ", 20_000), "en") for i in range(20)] + [(i, text("klmnopqrstuvwé ", 900), "fr") for i in range(20, 30)]
+    rows += [(i, text("abcdklmnopqrsé ", 12), None) for i in range(30, 36)] + [(30, None, None), (None, "zzz abq", None), (None, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [(x, t) for i, t, x in rows if x and zlib.crc32(str(i).encode()) % 4 != 2]
+    short = [(i, t) for i, t, x in rows if not x]
+    bits = [brute_bits(train, ["en", "fr"], t or "") for _, t in short]
+    for max_cells in (1 << 22, 40_000, 0):
+        trees = language_id.fit(docs, max_cells=max_cells)
+        assert trees.away.any() == (max_cells < 1 << 22)
+        out = language_id.predict(docs.filter("lang IS NULL"), trees).collect()
+        got = sorted([(r.doc_id, r.lang_pred, round(r.score, 4)) for r in out], key=repr)
+        want = []
+        for (i, t), (en, fr) in zip(short, bits):
+            share = 1 / (1 + 2.0 ** -abs(en - fr))
+            letters = any(c.isalpha() for c in t or "")
+            want.append((i, ("en" if en <= fr else "fr") if letters else "und", round(share, 4) if letters else 0.0))
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want, key=repr)]
+        assert all(abs(g[2] - w[2]) < 1e-3 for g, w in zip(got, sorted(want, key=repr)))
+
+
 def test_language_of_held_out_rows_and_odd_texts(spark, docs, empty):
     tables = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     trees = language_id.fit(tables)

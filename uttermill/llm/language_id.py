@@ -7,8 +7,11 @@ escape has as much weight as the context has distinct successors.  Statistics co
 all training texts and are frozen, so the code length of a byte is a function of it
 and the three bytes before it, which numpy looks up for a whole batch at once.
 
-A tree keeps the grams that make up at least ``1 / MAX_SHARE`` of their language's
-bytes; this bounds its size whatever the input's.
+No gram is left out at any size.  Orders 0 and 1 are whole in every task.  Grams of
+orders 2 and 3 fall into blocks by the two bytes before the predicted one; a block has
+all that the costs of its grams need beyond orders 0 and 1.  Tasks know the blocks with
+the most bytes per gram, up to ``MAX_CELLS`` grams times languages; if there are others,
+the bytes of texts that fall into them meet their costs in a join.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is
 every text if nothing can be learned.  Rows with a null language teach nothing.  Equal
@@ -19,9 +22,10 @@ blanks.  Every row has its own result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -31,7 +35,7 @@ from ..plans.staging import stage
 from .frames import crc_remainder, named
 from .kernels import RowIndex, chunks, per_row
 
-ORDER, MAX_SHARE = 3, 1 << 17
+ORDER, MAX_CELLS = 3, 1 << 22
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -75,7 +79,8 @@ class ContextTrees:
 
     ``seen[k]``/``cost[k]``: grams of order k that some language knows, and their cost
     in each, escapes included.  ``contexts[k]``/``escape[k]``: contexts of order k that
-    some language knows, and what leaving them costs.
+    some language knows, and what leaving them costs.  ``away``: whether the grams of a
+    block are not here but in ``rest`` (block, lang, gram, n), which tasks do not get.
     """
 
     languages: list[str]
@@ -83,6 +88,11 @@ class ContextTrees:
     cost: dict[int, np.ndarray]
     contexts: dict[int, RowIndex]
     escape: dict[int, np.ndarray]
+    away: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, bool))
+    rest: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}
 
     def bits(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
         """(gram, language) code lengths."""
@@ -98,10 +108,14 @@ class ContextTrees:
         return out
 
 
-def build_trees(counts: dict[int, dict[str, tuple[np.ndarray, np.ndarray]]], languages: list[str]) -> ContextTrees:
-    """Trees from (grams, counts) by order and language."""
+def build_trees(
+    counts: dict[int, dict[str, tuple[np.ndarray, np.ndarray]]], languages: list[str], lower: ContextTrees | None = None
+) -> ContextTrees:
+    """Trees from (grams, counts) by order and language, on top of the orders of ``lower``."""
     trees = ContextTrees(languages, {}, {}, {}, {})
-    for order in range(ORDER + 1):
+    if lower:
+        trees = ContextTrees(languages, dict(lower.seen), dict(lower.cost), dict(lower.contexts), dict(lower.escape))
+    for order in sorted(counts):
         grams = np.unique(np.concatenate([counts[order][x][0] for x in languages]))
         contexts = np.unique(grams >> 8)
         # one more row of zeros, which -1 selects: an unknown context costs nothing to leave
@@ -123,8 +137,19 @@ def build_trees(counts: dict[int, dict[str, tuple[np.ndarray, np.ndarray]]], lan
     return trees
 
 
+def _by_order(found: pd.DataFrame, orders: list[int], languages: list[str]) -> dict:
+    """(grams, counts) by order and language of rows (lang, gram, n), lang being a number."""
+    counts = {}
+    for order in orders:
+        own = found.assign(gram=found["gram"] & ((1 << 8 * (order + 1)) - 1)).groupby(["lang", "gram"], as_index=False)["n"].sum()
+        counts[order] = {
+            x: tuple(own.loc[own["lang"] == j, c].to_numpy(np.int64) for c in ("gram", "n")) for j, x in enumerate(languages)
+        }
+    return counts
+
+
 def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_share: int = MAX_SHARE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_cells: int = MAX_CELLS
 ) -> ContextTrees | None:
     """Trees from all rows outside the held-out fold with text and language; None if there are none."""
     rows = docs.filter(crc_remainder(id_col, FOLDS) != HELD_OUT).select(
@@ -132,18 +157,92 @@ def fit(
     )
     parts = rows.dropna().mapInArrow(_count_task, "lang string, gram long, n long")
     full = stage(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
-    totals = {r.lang: r.n for r in full.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(k for k, n in totals.items() if n)
+    languages = sorted(r.lang for r in full.select("lang").distinct().collect())
     if not languages:
         return None
-    counts = {}
-    least = F.broadcast(full.groupBy("lang").agg((F.sum("n") / max_share).alias("least")))  # a row per language
-    for order in range(ORDER + 1):
-        own = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
-        kept = full.groupBy("lang", own.alias("g")).agg(F.sum("n").alias("n")).join(least, "lang")
-        kept = kept.filter("n >= least").select("lang", "g", "n").toPandas()  # bounded by max_share per language
-        counts[order] = {x: tuple(kept.loc[kept["lang"] == x, c].to_numpy() for c in ("g", "n")) for x in languages}
-    return build_trees(counts, languages)
+    number = (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int").alias("lang")
+    block = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("block")
+    full = full.select(block, number, "gram", "n")
+    low = full.groupBy("lang", F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n"))
+    lower = build_trees(_by_order(low.toPandas(), [0, 1], languages), languages)  # at most 2**16 rows per language
+    sizes = full.groupBy("block").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grams")).toPandas()  # at most 2**16
+    sizes = sizes.assign(dense=sizes["n"] / sizes["grams"]).sort_values(["dense", "block"], ascending=[False, True])
+    here = (sizes["grams"].cumsum() * len(languages) <= max_cells).to_numpy()
+    away = np.zeros(1 << 16, bool)
+    away[sizes["block"].to_numpy()[~here]] = True
+    known = docs.sparkSession.createDataFrame(sizes.assign(here=here)[["block", "here"]], "block long, here boolean")
+    full = full.join(F.broadcast(known), "block")
+    own = full.filter("here").select("lang", "gram", "n").toPandas()  # at most max_cells rows
+    trees = build_trees(_by_order(own, [2, 3], languages), languages, lower)
+    trees.away, trees.rest = away, full.filter("NOT here").drop("here") if away.any() else None
+    return trees
+
+
+def _decided(trees: ContextTrees, total: np.ndarray, known: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of texts with the code lengths ``total``, of which the ``known`` have a letter."""
+    best = total.argmin(axis=1)
+    share = 1 / np.exp2(-(total - total.min(axis=1, keepdims=True))).sum(axis=1)
+    names = [trees.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist())]
+    return names, np.where(known, share, 0.0)
+
+
+def _letters(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.stack([per_row(values[:, j], bounds) for j in range(values.shape[1])], axis=1)
+
+
+def _with_rest(rows: DataFrame, trees: ContextTrees) -> DataFrame:
+    """(id, lang_pred, score) of ``rows`` (id, text), costs of grams that are not in ``trees`` joined from their rest."""
+    width = len(trees.languages)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "id", "known", "gram", "times", *(f"c{j}" for j in range(width))]
+        for batch in batches:
+            row, ids, letters = batch.column("row").to_numpy(), batch.column("id"), _letters(batch.column("text"))
+            for a, b, data, bounds in chunks(_folded(batch.column("text"))):
+                grams = _grams(data, bounds).astype(np.int64)
+                away = trees.away[grams >> 8 & 0xFFFF]
+                cost = trees.bits(grams)
+                cost[away] = 0
+                none = pa.nulls(b - a, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row[a:b]), ids[a:b], pa.array(letters[a:b]), none, none, *map(pa.array, _sums(cost, bounds).T.copy())], names
+                )
+                at = np.repeat(np.arange(b - a, dtype=np.int64), np.diff(bounds))[away]
+                key, times = np.unique(at << 32 | grams[away], return_counts=True)
+                empty = [pa.nulls(len(key), t) for t in (pa.int64(), pa.bool_(), *[pa.float64()] * width)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row[a:b][key >> 32]), *empty[:2], pa.array(key & 0xFFFFFFFF), pa.array(times.astype(np.int64)), *empty[2:]], names
+                )
+
+    def price(learned: pa.Table, asked: pa.Table) -> pa.Table:
+        """Costs of the asked grams of one block."""
+        block = build_trees(_by_order(learned.to_pandas(), [2, 3], trees.languages), trees.languages, trees)
+        grams = asked.column("gram").to_numpy()
+        cost = block.bits(grams).astype(np.float64)
+        return pa.table([pa.array(grams), *map(pa.array, cost.T.copy())], names=["gram", *(f"c{j}" for j in range(width))])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.stack([batch.column(f"c{j}").to_numpy() for j in range(width)], axis=1)
+            names, score = _decided(trees, total, batch.column("known").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+
+    costs = [f"c{j}" for j in range(width)]
+    typed = ", ".join(f"{c} double" for c in costs)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    parts = stage(rows.mapInArrow(split, f"row long, id long, known boolean, gram long, times long, {typed}"), "language-parts")
+    asked = parts.filter("gram IS NOT NULL").select("row", "gram", "times")
+    block = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("block")
+    distinct = asked.select("gram").distinct().select(block, "gram")
+    priced = trees.rest.groupBy("block").cogroup(distinct.groupBy("block")).applyInArrow(price, f"gram long, {typed}")
+    more = asked.join(stage(priced, "language-costs"), "gram").groupBy("row").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"m{c}") for c in costs])
+    whole = parts.filter("gram IS NULL").join(more, "row", "left")
+    whole = whole.select("id", "known", *[(F.col(c) + F.coalesce(f"m{c}", F.lit(0.0))).alias(c) for c in costs])
+    return whole.mapInArrow(decide, "id long, lang_pred string, score double")
 
 
 def predict(
@@ -154,25 +253,25 @@ def predict(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            letters = _letters(texts)
             names, scores = [], []
             for a, b, data, bounds in chunks(_folded(texts) if trees else texts):
                 if trees is None:
                     names += [UNKNOWN] * (b - a)
                     scores.append(np.zeros(b - a))
                     continue
-                cost = trees.bits(_grams(data, bounds).astype(np.int64))
-                total = np.stack([per_row(cost[:, j], bounds) for j in range(cost.shape[1])], axis=1)
-                best = total.argmin(axis=1)
-                share = 1 / np.exp2(-(total - total.min(axis=1, keepdims=True))).sum(axis=1)
-                known = letters[a:b]
-                names += [trees.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist())]
-                scores.append(np.where(known, share, 0.0))
+                total = _sums(trees.bits(_grams(data, bounds).astype(np.int64)), bounds)
+                found, share = _decided(trees, total, letters[a:b])
+                names += found
+                scores.append(share)
             score = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), score], ["id", "lang_pred", "score"])
 
     rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
-    found = rows.mapInArrow(run, "id long, lang_pred string, score double")
+    if trees is not None and trees.rest is not None:
+        found = _with_rest(rows, trees)
+    else:
+        found = rows.mapInArrow(run, "id long, lang_pred string, score double")
     return found.select(
         F.col("id").alias(id_col), (crc_remainder("id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score"
     )
