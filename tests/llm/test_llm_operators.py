@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from math import log10
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -659,6 +660,24 @@ def test_chat_texts(spark, block_turns):
     assert chat_format.chat_texts(turns.limit(0)).count() == 0
 
 
+def test_chat_prefixes_end_inside_equal_and_null_turn_numbers(spark):
+    """Against the query's own SQL: shorter logs hold the first or the last part of a tie of different texts."""
+    rows, conv = [], 0
+    for k in range(12):
+        for turn in (1, None):
+            tie = [("user", f"hi {k}"), ("assistant", f"yo {k}"), ("assistant", None), (None, f"who {k}")]
+            for part in (tie, tie[1:2], tie[:1], tie[1:3], [tie[0], tie[1]], tie[:3]):
+                rows += [(conv, turn, role, text) for role, text in part]
+                conv += 1
+    rows += [(conv, (1 << 63) - 1, "user", "late"), (conv, None, "user", "later"), (conv + 1, (1 << 63) - 1, "user", "late")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", turns.toArrow())
+    want = sorted(con.execute(SQL["op6_chat_format"]).fetchall())
+    got = [tuple(r) for r in chat_format.chat_texts(turns).collect()]
+    assert sorted(got) == want
+
+
 def test_chat_plan_is_native(spark):
     plan = QUERIES["op6_chat_format"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

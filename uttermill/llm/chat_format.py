@@ -9,8 +9,8 @@ The rolling hash is the exclusive-or of the hashes of (position, role, text), 12
 wide.  So it can be summed up in two levels, blocks of turns and then turns of a block,
 and a conversation with a large part of all rows is spread over many tasks.
 
-Defined cases: turns are ordered by number; null numbers come last, equal numbers in
-the order of role and text.  A null role is rendered as ``unknown``, a null text as an
+Defined cases: turns are ordered by number, role and text, nulls last in each, both for
+prefixes and in the rendered text.  A null role is rendered as ``unknown``, a null text as an
 empty one; both differ from their rendered forms when prefixes are compared.  Rows with
 a null id are one conversation, kept under that id unless an equal one has an id.
 Repeated rows are turns of their own.  Other columns are ignored.
@@ -29,10 +29,11 @@ OPEN, BETWEEN, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
 def rolling_hashes(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """(conv, at, size, x, y): hash (x, y) of the first ``at`` of the ``size`` turns of ``turns`` (conv, turn, a, b)."""
+    """(conv, at, size, x, y): hash (x, y) of the first ``at`` of the ``size`` turns of ``turns`` (conv, turn, role, text, a, b)."""
     block = ["conv", "block"]
-    inside = Window.partitionBy(*block).orderBy("turn", "a", "b")
-    blocked = turns.withColumn("block", F.floor(F.col("turn") / block_turns).cast("long"))
+    inside = Window.partitionBy(*block).orderBy(*[F.col(c).asc_nulls_last() for c in ("turn", "role", "text")])
+    number = F.floor(F.col("turn") / block_turns).cast("long")
+    blocked = turns.withColumn("block", F.coalesce(number, F.lit(NO_ID)))
     sizes = stage(blocked.groupBy(*block).agg(F.count(F.lit(1)).alias("n")), "chat-blocks")
     whole, before = Window.partitionBy("conv"), Window.partitionBy("conv").orderBy("block")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -80,21 +81,23 @@ def chat_texts(
     """(id, n_turns, n_copies, chat): one row per maximal conversation."""
     rows = turns.select(
         F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)).alias("conv"),
-        F.coalesce(named(turn_col).cast("long"), F.lit(NO_ID)).alias("turn"),
+        named(turn_col).cast("long").alias("turn"),
         named(role_col).alias("role"),
         named(text_col).alias("text"),
     )
     # a null is hashed as such: the hash function by itself would skip it
     part = [F.isnull("role"), F.coalesce("role", F.lit("")), F.isnull("text"), F.coalesce("text", F.lit(""))]
-    keys = rows.select("conv", "turn", F.xxhash64(*part).alias("a"), F.xxhash64(F.lit(1), *part[::-1]).alias("b"))
+    keys = rows.select("*", F.xxhash64(*part).alias("a"), F.xxhash64(F.lit(1), *part[::-1]).alias("b"))
     hashes = stage(rolling_hashes(keys, block_turns), "chat-hashes")
     kept = maximal(hashes)
-    turn = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    nulls_last = [x for c in ("turn", "role", "text") for x in (F.isnull(c).alias(f"no_{c}"), F.col(c))]
+    turn = F.struct(*nulls_last)
     listed = rows.join(kept, "conv").groupBy("conv").agg(
         F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_list(turn)).alias("turns")
     )
+    role, text = lambda t: F.coalesce(t["role"], F.lit("unknown")), lambda t: F.coalesce(t["text"], F.lit(""))
     rendered = F.transform(
-        "turns", lambda t: F.concat(F.lit(OPEN), _plain(t["role"]), F.lit(BETWEEN), _plain(t["text"]), F.lit(CLOSE))
+        "turns", lambda t: F.concat(F.lit(OPEN), _plain(role(t)), F.lit(BETWEEN), _plain(text(t)), F.lit(CLOSE))
     )
     return listed.select(
         F.when(F.col("conv") != NO_ID, F.col("conv")).alias(id_col),
