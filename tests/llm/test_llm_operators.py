@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from uttermill.llm import (
     chat_format,
@@ -208,6 +209,21 @@ def test_simhash_links_of_dense_fingerprints(spark, block_rows):
     assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_rows_of_one_id_whose_text_hashes_share_31_bits(spark):
+    """Nothing of one text is done to another: no line or document is lost, no score mixed."""
+    common = "a line that document one has too"
+    text = f"concat(md5(concat(id, 'a')), ' ', md5(concat(id, 'b')), '\n', if(id % 2 = 0, '{common}', md5(concat(id, 'c'))), if(id % 2 = 0, '', '\nlast'))"
+    many = spark.range(300_000).selectExpr("id % 2 AS odd", f"{text} AS text").selectExpr("*", "xxhash64(text) & 2147483647 AS low")
+    pairs = many.groupBy("low").agg(F.max(F.when(F.col("odd") == 0, F.col("text"))), F.max(F.when(F.col("odd") == 1, F.col("text"))))
+    _, even, odd = pairs.toDF("low", "even", "odd").dropna().orderBy("low").first()
+    docs = spark.createDataFrame([(1, f"another text\n{common}"), (None, even), (None, odd)], "doc_id long, text string")
+    got = {r.text for r in line_dedup.dedup_lines(docs).filter("doc_id IS NULL").collect()}
+    assert got == {even.replace("\n" + common, ""), odd}
+    assert {r.text for r in simhash.drop_near_copies(docs).filter("doc_id IS NULL").collect()} == {even, odd}
+    scores = language_model.lm_scores(docs).filter("doc_id IS NULL").collect()
+    assert sorted(r.n_tokens for r in scores) == sorted(len(t.split()) + 1 for t in (even, odd))
+
+
 def test_simhash_of_empty_table(empty):
     assert simhash.simhash_groups(empty).count() == 0 == simhash.drop_near_copies(empty).count()
 

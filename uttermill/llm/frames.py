@@ -15,7 +15,7 @@ def named(column: str) -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
-    """(doc, tag): a row's id and 31 bits of its text's hash.
+    """(doc, tag): a row's id and the 64-bit hash of its text.
 
     Rows that repeat an id with another text are thus told apart; rows that repeat
     both share whatever is computed for them.
@@ -23,7 +23,7 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     text = F.coalesce(named(text_col), F.lit(""))
     return [
         F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"),
+        F.xxhash64(text).alias("tag"),
     ]
 
 

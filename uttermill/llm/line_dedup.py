@@ -29,7 +29,7 @@ from .frames import named, packed, row_key
 from .kernels import LOWER, WHITE, chunks, line_spans
 
 MIN_CHARS = 10
-_KEYS = "h1 long, h2 long, doc long, spot long"  # spot: the row's tag, then 32 bits of position
+_KEYS = "h1 long, h2 long, doc long, tag long, pos int"
 _HEADER, _DROPPED, _OPEN, _FIRST = 0, 1, 2, 3
 
 
@@ -52,15 +52,15 @@ def _line_keys(min_chars: int):
                 digest = b"".join(xxhash.xxh3_128_digest(text[s:e]) for s, e in zip(begin.tolist(), end.tolist()))
                 h = np.frombuffer(digest, np.int64).reshape(-1, 2)
                 owner = row[some]
-                spot = (tag[a:b][owner] << 32) | (some - first[owner])
-                n_lines = np.diff(np.append(first, len(row)))
+                pos = (some - first[owner]).astype(np.int32)
+                n_lines = np.diff(np.append(first, len(row))).astype(np.int32)
+                names = ["h1", "h2", "doc", "tag", "pos"]
                 none = pa.nulls(b - a, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [none, none, pa.array(doc[a:b]), pa.array((tag[a:b] << 32) | n_lines)], ["h1", "h2", "doc", "spot"]
+                    [none, none, pa.array(doc[a:b]), pa.array(tag[a:b]), pa.array(n_lines)], names
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (h[:, 0].copy(), h[:, 1].copy(), doc[a:b][owner], spot)],
-                    ["h1", "h2", "doc", "spot"],
+                    [pa.array(x) for x in (h[:, 0].copy(), h[:, 1].copy(), doc[a:b][owner], tag[a:b][owner], pos)], names
                 )
 
     return run
@@ -69,13 +69,13 @@ def _line_keys(min_chars: int):
 def _stream_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decide the sorted rows of one partition, but for its first key, which may have begun before it."""
 
-    def rows(kind: int, h1, h2, doc, spot) -> pa.RecordBatch:
-        columns = [np.full(len(doc), kind, np.int32), h1, h2, doc, spot]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "h1", "h2", "doc", "spot"])
+    def rows(kind: int, h1, h2, doc, tag, pos) -> pa.RecordBatch:
+        columns = [np.full(len(doc), kind, np.int32), h1, h2, doc, tag, pos]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "h1", "h2", "doc", "tag", "pos"])
 
     lead = group = None  # (h1, h2, first document)
     for batch in batches:
-        h1, h2, doc, spot = (batch.column(k).to_numpy() for k in ("h1", "h2", "doc", "spot"))
+        h1, h2, doc, tag, pos = (batch.column(k).to_numpy() for k in ("h1", "h2", "doc", "tag", "pos"))
         if not len(doc):
             continue
         if lead is None:
@@ -88,11 +88,11 @@ def _stream_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         is_open = (h1 == lead[0]) & (h2 == lead[1])
         out = ~is_open & (doc != first)
         group = (h1[-1], h2[-1], first[-1])
-        yield rows(_DROPPED, h1[out], h2[out], doc[out], spot[out])
-        yield rows(_OPEN, h1[is_open], h2[is_open], doc[is_open], spot[is_open])
+        yield rows(_DROPPED, h1[out], h2[out], doc[out], tag[out], pos[out])
+        yield rows(_OPEN, h1[is_open], h2[is_open], doc[is_open], tag[is_open], pos[is_open])
     if lead is not None:
         ends = [np.array(x, np.int64) for x in zip(lead, group)]
-        yield rows(_FIRST, *ends, np.zeros(2, np.int64))
+        yield rows(_FIRST, *ends, np.zeros(2, np.int64), np.zeros(2, np.int32))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def keep_bitmaps(
     """
     texts = docs.select(*row_key(id_col, text_col), named(text_col).alias("text"))
     lines = stage(texts.mapInArrow(_line_keys(min_chars), _KEYS), "lines")
-    order = ["h1", "h2", "doc", "spot"]
+    order = ["h1", "h2", "doc", "tag", "pos"]
     decided = stage(
         lines.filter("h1 IS NOT NULL")
         .repartitionByRange(*order)
@@ -136,12 +136,12 @@ def keep_bitmaps(
         decided.filter(F.col("kind") == _OPEN)
         .join(F.broadcast(firsts), ["h1", "h2"])
         .filter("doc <> first")
-        .select("doc", "spot")
+        .select("doc", "tag", "pos")
     )
-    dropped = decided.filter(F.col("kind") == _DROPPED).select("doc", "spot").union(resolved)
-    tag, low = F.shiftright("spot", 32).alias("tag"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))
-    facts = lines.filter("h1 IS NULL").select("doc", tag, low.alias("n_lines"), F.lit(None).cast("long").alias("pos"))
-    facts = facts.union(dropped.select("doc", tag, F.lit(None).cast("long"), low))
+    dropped = decided.filter(F.col("kind") == _DROPPED).select("doc", "tag", "pos").union(resolved)
+    n_lines = F.col("pos").cast("long").alias("n_lines")  # in the row that stands for the text
+    facts = lines.filter("h1 IS NULL").select("doc", "tag", n_lines, F.lit(None).cast("int").alias("pos"))
+    facts = facts.union(dropped.select("doc", "tag", F.lit(None).cast("long"), "pos"))
     return (
         facts.groupBy("doc", "tag")
         .agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
