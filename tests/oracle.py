@@ -15,7 +15,7 @@ import duckdb
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-TABLES = ["documents", "benchmark", "labels", "pages", "conversations"]
+TABLES = ["documents", "embeddings", "benchmark", "labels", "pages", "conversations"]
 TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
     "boolean": "BOOLEAN", "tinyint": "TINYINT",
