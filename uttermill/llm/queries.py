@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import (
+    alignment,
+    centroids,
     chat_format,
     decontaminate,
     language_id,
     language_model,
     line_dedup,
+    pair_index,
     pieces,
     pii,
     quality_pu,
@@ -22,6 +25,8 @@ from . import (
 )
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_MODEL = "/opt/tokenizers/word_bpe_49k.json"
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +77,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str, model_file: str = WORD_MODEL) -> DataFrame:
+    docs, vocabulary = table(spark, sf_dir, "documents"), pair_index.WordVocabulary.load(model_file)
+    found = pair_index.encode(docs, vocabulary, carry=["doc_id"], as_bytes=True)
+    return pair_index.decode(found, vocabulary, out="decoded").select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str, a_file: str = BYTE_MODEL, b_file: str = PIECE_MODEL) -> DataFrame:
+    docs, sides = table(spark, sf_dir, "documents"), alignment.Tokenizers.load(a_file, b_file)
+    return alignment.link_report(docs, sides)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,5 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_quality_pu,
         op10_pii,
+        op11_word_bpe,
+        op12_centroids,
+        op13_alignment,
     )
 }

@@ -62,4 +62,41 @@ SELECT conv_id, CAST(len(e.turns) AS BIGINT) AS n_turns, n_copies,
 FROM ends e ANTI JOIN prefixes p ON e.turns = p.turns
 """
 
-SQL = {"op2_line_dedup": OP2, "op5_decontaminate": OP5, "op6_chat_format": OP6}
+
+def _rounds(n: int) -> str:
+    """Assignments and centroids of ``n`` rounds, and the last assignment ``a<n>``."""
+    parts = []
+    for k in range(n + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (
+  SELECT v.rid, any_value(v.vec_id) AS vec_id, min([CAST(list_sum(list_transform(list_zip(v.x, c.x),
+         lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), c.c]) AS best
+  FROM v, c{k} c GROUP BY v.rid
+)""")
+        if k < n:
+            parts.append(f"""s{k} AS (
+  SELECT c, j, sum(y) AS s, count(*) AS n
+  FROM (SELECT a.best[2] AS c, unnest(v.x) AS y, generate_subscripts(v.x, 1) AS j FROM a{k} a JOIN v USING (rid)) GROUP BY c, j
+), c{k + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(any_value(m.x), any_value(c.x)) AS x FROM c{k} c LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS x FROM s{k} GROUP BY c) m ON m.c = c.c
+  GROUP BY c.c
+)""")
+    return ", ".join(parts)
+
+
+OP12 = rf"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16
+), {_rounds(3)}
+SELECT a.vec_id, CAST(a.best[2] AS INTEGER) AS cluster, a.best[1] AS distance,
+       CAST(sum(a.best[1]) OVER (PARTITION BY a.best[2]) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON c.c = a.best[2]
+"""
+
+SQL = {"op2_line_dedup": OP2, "op5_decontaminate": OP5, "op6_chat_format": OP6, "op12_centroids": OP12}
