@@ -60,12 +60,15 @@ def brute_merge(ids, rank):
         ids[k : k + 2] = [rank[ids[k], ids[k + 1]][1]]
 
 
-def test_merged_words_equal_the_definition(words):
+def test_merged_words_equal_the_definition(monkeypatch, words):
     rng = random.Random(3)
     texts = ["".join(rng.choice("thaeinor") for _ in range(rng.randrange(1, 14))) for _ in range(500)] + ["a" * k for k in range(1, 30)]
     rank = {(a, b): (k, c) for k, (a, b, c) in enumerate(words.rules)}
     want = [brute_merge([words.first[c] for c in t[:-1]] + [words.last[t[-1]]], rank) for t in texts]
-    assert pair_index.merge_words(texts, words) == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in pair_index.merge_words(texts, words)] == want
+    monkeypatch.setattr(pair_index, "FEW", 0)
+    assert [np.frombuffer(x, "<u4").tolist() for x in pair_index.merge_words(["", "日", *texts], words)] == [[], [], *want]
+    assert pair_index.merge_words([], words) == []
 
 
 def test_encoding_and_decoding_equal_the_library(docs, empty, words):

@@ -35,13 +35,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType
 
 from .frames import named, packed, with_fields
-from .kernels import chunks
+from .kernels import RowIndex, chunks
 
-CHUNK, FRESH = 1 << 21, 1 << 18  # bytes of text, and characters of new words, that are handled at once
+CHUNK, FRESH = 1 << 22, 1 << 19  # bytes of text, and of new units, that are handled at once
+FEW = 48  # new pairs that are looked up one by one
 DECODED_ROWS = 1 << 9  # texts that are decoded at once
 MEMORY = 200_000  # units and words that a task remembers; only speed depends on it
 
 
+def _table(symbols: dict[str, int]) -> np.ndarray:
+    """Ids by code point; the last entry stands for all beyond."""
+    out = np.full(max(map(ord, symbols), default=0) + 2, -1, np.int64)
+    for c, i in symbols.items():
+        out[ord(c)] = i
+    return out
+
+
 class WordVocabulary:
     """Symbols, merge rules by rank and special tokens, as plain values that tasks can receive."""
 
@@ -54,7 +63,9 @@ class WordVocabulary:
         made = {c: rank for rank, (_, _, c) in enumerate(self.rules)}
         if len(made) < len(self.rules) or any(max(made.get(a, -1), made.get(b, -1)) >= k for k, (a, b, _) in enumerate(self.rules)):
             raise ValueError("each symbol must be made by one rule, which comes before those that join it")
-        self.rank = {a << 32 | b: rank for rank, (a, b, _) in enumerate(self.rules)}
+        keys = [a << 32 | b for a, b, _ in self.rules]
+        self.rank_of, self.rank = dict(zip(keys, range(len(keys)))), RowIndex(np.array(keys, np.int64))
+        self.first_table, self.last_table = (_table(x) for x in (self.first, self.last))
 
     @classmethod
     def load(cls, file: str) -> WordVocabulary:
@@ -85,60 +96,86 @@ class WordVocabulary:
         return [w for w, _ in self.splitter.pre_tokenize_str(text)]
 
 
-def merge_words(words: list[str], v: WordVocabulary) -> list[list[int]]:
-    """Ids of each word, all words merged together."""
-    symbol, before, after, begins = [], [], [], []
-    for word in words:
-        ids = [v.first[c] for c in word[:-1] if c in v.first]
-        if word and word[-1] in v.last:
-            ids.append(v.last[word[-1]])
-        at = len(symbol)
-        begins.append(at if ids else -1)
-        symbol += ids
-        before += [-1, *range(at, at + len(ids) - 1)] if ids else []
-        after += [*range(at + 1, at + len(ids)), -1] if ids else []
-    places: dict[int, list[int]] = {}
-    rank_of = v.rank.get
-    for p, q in enumerate(after):
-        if q >= 0:
-            rank = rank_of(symbol[p] << 32 | symbol[q])
-            if rank is not None:
-                places.setdefault(rank, []).append(p)
-    active = list(places)
+def _symbols(words: list[str], v: WordVocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """First symbols of all words, and the word of each; characters without a symbol are left out."""
+    point = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    size = np.array([len(w) for w in words], np.int64)
+    slot = np.minimum(point, len(v.first_table) - 1)
+    symbol, last = v.first_table[slot], np.cumsum(size)[size > 0] - 1
+    symbol[last] = v.last_table[slot[last]]
+    word = np.repeat(np.arange(len(words)), size)
+    return symbol[symbol >= 0], word[symbol >= 0]
+
+
+def _every_other(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which of the pairs of one symbol with itself merge: from left to right, none that overlaps the one before."""
+    out, taken = np.ones(len(p), bool), -1
+    for k, (a, b) in enumerate(zip(p.tolist(), q.tolist())):
+        out[k] = a != taken
+        taken = b if out[k] else taken
+    return out
+
+
+def merge_words(words: list[str], v: WordVocabulary) -> list[bytes]:
+    """Ids of each word as 32-bit little-endian numbers, all words merged together."""
+    symbol, word = _symbols(words, v)
+    n = len(symbol)
+    symbol = np.append(symbol, -1)  # position n stands before and after every word
+    inner = word[1:] == word[:-1]
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[np.append(~inner, True)[:n].nonzero()[0]] = n
+    before[np.append(True, ~inner)[:n].nonzero()[0]] = n
+    at = np.flatnonzero(inner)
+    rank = v.rank(symbol[at] << 32 | symbol[at + 1])
+    at, rank = at[rank >= 0], rank[rank >= 0]
+    order = np.argsort(rank, kind="stable")
+    ranks, begin = np.unique(rank[order], return_index=True)
+    first = dict(zip(ranks.tolist(), np.split(at[order], begin[1:])))  # rank to all positions of its pair
+    places: dict[int, list[int]] = {}  # and to those that merges have added
+    active = list(first)
     heapify(active)
+
+    def add(left: np.ndarray, right: np.ndarray, where: np.ndarray) -> None:
+        key = left << 32 | right
+        if len(key) < FEW:
+            found = [(v.rank_of.get(k, -1), p) for k, p in zip(key.tolist(), where.tolist())]
+        else:
+            r = v.rank(key)
+            found = zip(r[r >= 0].tolist(), where[r >= 0].tolist())
+        for new, p in found:
+            if new in places:
+                places[new].append(p)
+            elif new >= 0:
+                places[new] = [p]
+                if new not in first:
+                    heappush(active, new)
+
     while active:
-        rank = heappop(active)
-        left, right, made = v.rules[rank]
-        for p in sorted(places.pop(rank)):
-            q = after[p]
-            if symbol[p] != left or q < 0 or symbol[q] != right:
-                continue  # another merge took one of the two
-            symbol[p], symbol[q] = made, -1
-            after[p] = q = after[q]
-            if q >= 0:
-                before[q] = p
-                new = rank_of(made << 32 | symbol[q])
-                if new is not None:
-                    if new not in places:
-                        places[new] = []
-                        heappush(active, new)
-                    places[new].append(p)
-            o = before[p]
-            if o >= 0:
-                new = rank_of(symbol[o] << 32 | made)
-                if new is not None:
-                    if new not in places:
-                        places[new] = []
-                        heappush(active, new)
-                    places[new].append(o)
-    out = []
-    for p in begins:
-        ids = []
-        while p >= 0:
-            ids.append(symbol[p])
-            p = after[p]
-        out.append(ids)
-    return out
+        now = heappop(active)
+        left, right, made = v.rules[now]
+        p, more = first.pop(now, None), places.pop(now, None)
+        if more is not None:
+            more = np.array(sorted(more))
+            p = more if p is None else np.sort(np.concatenate([p, more]))
+        q = after[p]
+        stands = (symbol[p] == left) & (symbol[q] == right)  # another merge may have taken one of the two
+        p, q = p[stands], q[stands]
+        if left == right:
+            alone = _every_other(p, q)
+            p, q = p[alone], q[alone]
+        if not len(p):
+            continue
+        symbol[p], symbol[q] = made, -1
+        r = after[q]
+        after[p], before[r] = r, p
+        o = before[p]
+        inside = o != n
+        add(symbol[o[inside]], np.full(int(inside.sum()), made), o[inside])
+        inside = (r != n) & (symbol[r] != made)  # a neighbour made just now has reported the pair
+        add(np.full(int(inside.sum()), made), symbol[r[inside]], p[inside])
+    alive = symbol[:n] >= 0
+    ids, ends = symbol[:n][alive].astype("<u4").tobytes(), 4 * np.cumsum(np.bincount(word[alive], minlength=len(words)))
+    return [ids[s:e] for s, e in zip([0, *ends.tolist()], ends.tolist())]
 
 
 class Encoder:
@@ -153,25 +190,49 @@ class Encoder:
 
     def _parts(self, unit: bytes) -> list[tuple[str, bool]]:
         """Words of a unit, and special tokens, marked so."""
-        text = unit.decode()
-        if self.cut is None or not self.cut.search(text):
-            return [(w, False) for w in self.v.words(text)]
-        out = []
-        for k, part in enumerate(self.cut.split(text)):
+        text, out = unit.decode(), []
+        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             out += [(part, True)] if k % 2 else [(w, False) for w in self.v.words(part)]
         return out
 
+    def _words_of(self, units: list[bytes]) -> list[list[str]]:
+        """Words of units without white space and special tokens, all cut at once."""
+        text = b" ".join(units).decode()
+        if self.v.normalizer is not None:
+            text = self.v.normalizer.normalize_str(text)
+        edges = [m.start() for m in re.finditer(" ", text)] + [len(text)]
+        if len(edges) != len(units):
+            return [self.v.words(u.decode()) for u in units]
+        out: list[list[str]] = [[] for _ in units]
+        unit, edge, own = 0, edges[0], out[0]
+        for w, (begin, _) in self.v.splitter.pre_tokenize_str(text):
+            while begin > edge:
+                unit += 1
+                edge, own = edges[unit], out[unit]
+            own.append(w)
+        return out
+
+    def _remember(self, words: set[str]) -> None:
+        fresh = list(words - self.words.keys())
+        self.words.update(zip(fresh, merge_words(fresh, self.v)))
+
     def _learn(self, units: list[bytes]) -> None:
         """Add the encodings of ``units`` to those remembered."""
         if len(self.words) > MEMORY:
             self.words.clear()
-        parts = [self._parts(u) for u in units]
-        fresh = list({w for ps in parts for w, special in ps if not special and w not in self.words})
-        for word, ids in zip(fresh, merge_words(fresh, self.v)):
-            self.words[word] = np.array(ids, "<u4").tobytes()
-        one = {t: np.array([i], "<u4").tobytes() for t, i in self.v.special.items()}
-        for unit, ps in zip(units, parts):
-            self.units[unit] = b"".join([one[w] if special else self.words[w] for w, special in ps])
+        plain, odd = [], []
+        for u in units:
+            t = u.decode()
+            (odd if len(t.split()) != 1 or self.cut and self.cut.search(t) else plain).append(u)
+        found = self._words_of(plain) if plain else []
+        self._remember({w for ws in found for w in ws})
+        of = self.words.__getitem__
+        self.units.update((u, of(ws[0]) if len(ws) == 1 else b"".join(map(of, ws))) for u, ws in zip(plain, found))
+        special = {t: np.array([i], "<u4").tobytes() for t, i in self.v.special.items()}
+        for u in odd:
+            parts = self._parts(u)
+            self._remember({w for w, whole in parts if not whole})
+            self.units[u] = b"".join([special[w] if whole else of(w) for w, whole in parts])
 
     def encode_chunks(self, column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
         """(first row, end row, ids of each text as 32-bit little-endian numbers) of consecutive rows."""
