@@ -26,6 +26,7 @@ a task; shorter texts are handled in chunks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,56 +37,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from ..plans.staging import stage
-from .frames import named, packed, with_fields
+from .frames import batches_of, named, packed, with_fields
 from .kernels import chunks
 
-CHUNK = 1 << 19  # bytes of text that are handled at once
+CHUNK = 1 << 18  # bytes of text that are handled at once
 PIECE = 1 << 13  # steps of the merge path in a piece
 MAX_PAIRS = 1 << 21
-FLUSH = 1 << 21  # id pairs that a task counts before it hands the counts on
+FLUSH = 1 << 21  # id pairs that a task holds for counting
+ROWS = 1 << 9  # texts whose pairs are handled at once
 BLANK = "▁"
 
 
+# fixed value: how a byte-level vocabulary cuts a text before merging
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @dataclass
 class Tokenizers:
-    """Files of both tokenizers and the bytes of their entries, as plain values that tasks can receive."""
+    """What both tokenizers need, and the bytes of their entries, as plain values that tasks can receive."""
 
-    a_file: str
-    b_file: bytes
-    a_bytes: list[bytes]
+    a_bytes: list[bytes]  # by id, which is the rank of the entry's merge
+    b_model: bytes
     b_bytes: list[bytes]
 
     @classmethod
     def load(cls, a_file: str, b_file: str) -> Tokenizers:
         """A byte-level vocabulary (A) and a piece model that puts a blank first (B)."""
         import sentencepiece
-        from tokenizers import Tokenizer
 
         with open(a_file, encoding="utf-8") as f:
-            a_text = f.read()
+            whole = json.load(f)
         with open(b_file, "rb") as f:
             b_model = f.read()
+        model, cut = whole["model"], whole["pre_tokenizer"]
+        if model["type"] != "BPE" or whole["normalizer"] or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or not cut["use_regex"]:
+            raise ValueError("A must be a plain byte-level vocabulary of merges")
+        joined = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
+        order = [model["vocab"][t] for t in joined]
+        if order != sorted(order) or set(model["vocab"].values()) != set(range(len(model["vocab"]))):
+            raise ValueError("the ids of A must have no gaps and follow the ranks of its merges")
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
-        a_vocab = Tokenizer.from_str(a_text).get_vocab(with_added_tokens=False)
-        a_bytes = [b""] * (max(a_vocab.values()) + 1)
-        for token, i in a_vocab.items():
-            a_bytes[i] = bytes(byte_of[c] for c in token)
+        a_bytes = [bytes(byte_of[c] for c in t) for t in sorted(model["vocab"], key=model["vocab"].get)]
         m = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         b_bytes = [bytes([int(p[1:-1], 16)]) if m.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
-        return cls(a_text, b_model, a_bytes, b_bytes)
+        return cls(a_bytes, b_model, b_bytes)
 
     def encoders(self):
-        """Functions from texts to ids of A, which get the blank before each text, and of B."""
+        """Functions from a text to its ids in A, with the blank before it, and in B."""
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        a, b = Tokenizer.from_str(self.a_file), sentencepiece.SentencePieceProcessor(model_proto=self.b_file)
-        a.encode_special_tokens = True
-        a.no_truncation()
-        a.no_padding()
-        whole = lambda texts: [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return whole, lambda texts: b.encode(texts, num_threads=1)
+        a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={t: i for i, t in enumerate(self.a_bytes)}, special_tokens={})
+        b = sentencepiece.SentencePieceProcessor(model_proto=self.b_model)
+        return lambda text: a.encode_ordinary(" " + text), b.encode
 
 
 def byte_alphabet() -> list[str]:
@@ -156,7 +161,7 @@ class Aligner:
 
     def _tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B; none for texts that their bytes do not give back."""
-        a, b = self.encode_a(texts), self.encode_b(texts)
+        a, b = list(map(self.encode_a, texts)), list(map(self.encode_b, texts))
         a_of, b_of = self.sides.a_bytes.__getitem__, self.sides.b_bytes.__getitem__
         for k, text in enumerate(texts):
             want = b" " + text.encode()
@@ -190,19 +195,19 @@ class Aligner:
         return {
             "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(doc_a[both_a], minlength=n),
             "n_links": np.bincount(doc, minlength=n), "groups": groups,
-            "sizes": counted, "a": pairs % per_doc // width, "b": pairs % width, "times": times,
+            "sizes": counted, "pairs": pairs % per_doc, "times": times,
         }
 
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
-PAIRS = ("a_ids", "b_ids", "times")
+PAIRS = ("pairs", "times")
 
 
 def align(docs: DataFrame, sides: Tokenizers, text_col: str = "text", carry: list[str] | None = None, step: int = PIECE) -> DataFrame:
-    """(row, n_a, n_b, n_groups, n_links, groups, a_ids, b_ids, times) per row.
+    """(row, n_a, n_b, n_groups, n_links, groups, pairs, times) per row.
 
-    ``row`` holds the columns ``carry`` (default: all); the three lists are the distinct
-    id pairs that the text links and how often it does.
+    ``row`` holds the columns ``carry`` (default: all); the two lists are the distinct id
+    pairs that the text links, as ``A id * entries of B + B id``, and how often it does.
     """
     keep = docs.columns if carry is None else carry
 
@@ -213,59 +218,61 @@ def align(docs: DataFrame, sides: Tokenizers, text_col: str = "text", carry: lis
                 raw, edges = data.tobytes(), bounds.tolist()
                 found = aligner.align([raw[s:e].decode() for s, e in zip(edges, edges[1:])])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(found["sizes"])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(found[c].astype(np.int32))) for c in ("a", "b", "times")]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(found[c], t)) for c, t in zip(PAIRS, (pa.int64(), pa.int32()))]
                 counts = [pa.array(found[c], pa.int64()) for c in COUNTS]
                 columns = [batch.column("row").slice(a, b - a), *counts, pa.array(found["groups"], pa.string()), *lists]
                 yield pa.RecordBatch.from_arrays(columns, ["row", *COUNTS, "groups", *PAIRS])
 
     rows = docs.select(packed(docs.select(*[named(c) for c in keep])), named(text_col).alias("text"))
-    fields = {c: LongType() for c in COUNTS} | {"groups": StringType()} | {c: ArrayType(IntegerType()) for c in PAIRS}
+    fields = {c: LongType() for c in COUNTS} | {"groups": StringType(), "pairs": ArrayType(LongType()), "times": ArrayType(IntegerType())}
     return rows.mapInArrow(run, with_fields(rows, ["row"], **fields))
 
 
-def _flat(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row in the batch, pair number and multiplicity of every stored pair."""
-    a, b, times = (batch.column(c) for c in PAIRS)
-    sizes = np.diff(a.offsets.to_numpy())
-    one = lambda c: c.flatten().to_numpy().astype(np.int64)
-    return np.repeat(np.arange(batch.num_rows), sizes), one(a) * width + one(b), one(times)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of fewer rows; row in the batch, pair and multiplicity of every stored pair."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            pairs, times = (part.column(c) for c in PAIRS)
+            row = np.repeat(np.arange(part.num_rows), np.diff(pairs.offsets.to_numpy()))
+            yield part, row, pairs.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy().astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, n) of the rows of a task; what it holds is bounded by ``FLUSH`` pairs."""
+    keys, sums, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["pair", "n"])
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        fresh, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        both, total = np.concatenate([keys, fresh]), np.concatenate([sums, n])
+        order = np.argsort(both, kind="stable")
+        both, total = both[order], total[order]
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+        return both[first], np.add.reduceat(total, first) if len(first) else total
+
+    for _, _, pairs, _ in _parts(batches):
+        held.append(pairs)
+        size += len(pairs)
+        if size >= FLUSH // 2:
+            (keys, sums), size = fold(), 0
+            if len(keys) >= FLUSH // 2:
+                yield out()
+                keys, sums = keys[:0], sums[:0]
+    if held:
+        keys, sums = fold()
+    yield out()
 
 
 def pair_counts(aligned: DataFrame, width: int) -> DataFrame:
-    """(a, b, n, best): in how many rows each linked id pair is, and whether that is the most of its A id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts, size = [], [], 0
-
-        def flush() -> tuple[np.ndarray, np.ndarray]:
-            key, back = np.unique(np.concatenate(held), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
-            held.clear()
-            counts.clear()
-            return key, n
-
-        def out(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (key // width, key % width)), pa.array(n)], ["a", "b", "n"])
-
-        for batch in batches:
-            _, key, _ = _flat(batch, width)
-            held.append(key)
-            counts.append(np.ones(len(key)))
-            size += len(key)
-            if size >= FLUSH:
-                key, n = flush()
-                size = 0
-                if len(key) > FLUSH // 2:
-                    yield out(key, n)
-                else:  # few distinct ones: go on with their sums
-                    held, counts, size = [key], [n], len(key)
-        if held:
-            yield out(*flush())
-
-    parts = aligned.select(*PAIRS).mapInArrow(run, "a int, b int, n long")
-    counts = stage(parts.groupBy("a", "b").agg(F.sum("n").alias("n")), "pair-counts")
-    most = counts.groupBy("a").agg(F.max("n").alias("most"))  # one row per entry of A's vocabulary at most
-    return counts.join(F.broadcast(most), "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
+    """(pair, n, best): in how many rows each linked id pair is, and whether that is the most of its A id."""
+    parts = aligned.select(*PAIRS).mapInArrow(_counted, "pair long, n long")
+    counts = stage(parts.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
+    a = F.expr(f"pair div {width}").alias("a")
+    most = counts.groupBy(a).agg(F.max("n").alias("most"))  # one row per entry of A's vocabulary at most
+    best = (F.col("n") == F.col("most")).alias("best")
+    return counts.select("pair", "n", a).join(F.broadcast(most), "a").select("pair", "n", best)
 
 
 def _sums(n: Column, best: Column, times: Column) -> list[Column]:
@@ -277,51 +284,50 @@ def link_report(
     docs: DataFrame, sides: Tokenizers, id_col: str = "doc_id", text_col: str = "text", max_pairs: int = MAX_PAIRS
 ) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) per row of ``docs``."""
-    width = len(sides.b_bytes)
+    spark = docs.sparkSession
     digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
-    found = align(docs, sides, text_col, [id_col])
     number = F.monotonically_increasing_id().alias("at")  # staged, hence fixed
-    found = stage(found.select(number, F.col("row").getField(id_col).alias("id"), *COUNTS, digest, *PAIRS), "aligned")
-    counts = stage(pair_counts(found, width), "pair-counts-best")
-    here = counts.orderBy(F.desc("n"), "a", "b").limit(max_pairs).toPandas()  # bounded by the parameter
-    key = here["a"].to_numpy(np.int64) * width + here["b"].to_numpy(np.int64)
-    order = np.argsort(key)
-    known = key[order], here["n"].to_numpy(np.int64)[order], here["best"].to_numpy(bool)[order]
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    schema = "at long, id {}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
-    names = ["at", "id", *COUNTS, "groups_sha256", "n_best", "count_sum"]
-    kind = found.schema["id"].dataType.simpleString()
-
-    def price(batch: pa.RecordBatch) -> tuple[list[pa.Array], tuple[np.ndarray, ...]]:
-        """The batch's columns with the sums over known pairs, and (row, pair, multiplicity) of the others."""
-        keys, n, best = shared.value
-        row, pair, times = _flat(batch, width)
-        at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
-        hit = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
-        r, t, k = row[hit], times[hit], at[hit]
-        sums = np.zeros((2, batch.num_rows), np.int64)
-        np.add.at(sums[0], r, t * best[k])
-        np.add.at(sums[1], r, t * n[k])
-        kept = [batch.column(c) for c in ("at", "id", *COUNTS, "groups_sha256")]
-        return [*kept, *map(pa.array, sums)], (row[~hit], pair[~hit], times[~hit])
+    kept = ["at", "id", *COUNTS, "groups_sha256"]
+    with batches_of(spark, ROWS):  # a row holds all pairs of a text
+        found = align(docs, sides, text_col, [id_col]).select(number, F.col("row").getField(id_col).alias("id"), *COUNTS, digest, *PAIRS)
+        found = stage(found, "aligned")
+        counts = stage(pair_counts(found, len(sides.b_bytes)), "pair-counts-best")
+    here = counts.orderBy(F.desc("n"), "pair").limit(max_pairs).toPandas().sort_values("pair")  # bounded by the parameter
+    known = here["pair"].to_numpy(np.int64), here["n"].to_numpy(np.int64), here["best"].to_numpy(bool)
+    shared = spark.sparkContext.broadcast(known)
+
+    def look_up(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are known, and where those are."""
+        keys = shared.value[0]
+        if not len(keys):
+            return np.zeros(len(pairs), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        hit = keys[at] == pairs
+        return hit, at[hit]
 
     def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(price(batch)[0], names)
+        _, n, best = shared.value
+        for part, row, pairs, times in _parts(batches):
+            hit, at = look_up(pairs)
+            sums = np.zeros((2, part.num_rows), np.int64)
+            np.add.at(sums[0], row[hit], times[hit] * best[at])
+            np.add.at(sums[1], row[hit], times[hit] * n[at])
+            columns = [*(part.column(c) for c in kept), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "n_best", "count_sum"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, pair, times = price(batch)[1]
-            at = batch.column("at").to_numpy()[row]
-            ids = [pa.array(x.astype(np.int32)) for x in (pair // width, pair % width)]
-            yield pa.RecordBatch.from_arrays([pa.array(at), *ids, pa.array(times)], ["at", "a", "b", "times"])
-
-    out = found.mapInArrow(priced, schema.format(kind))
-    if counts.count() > len(key):
-        asked = found.select(*[c for c in found.columns if c != "groups_sha256"], F.lit("").alias("groups_sha256"))
-        more = asked.mapInArrow(others, "at long, a int, b int, times long").join(counts, ["a", "b"])
-        more = more.groupBy("at").agg(*_sums(F.col("n"), F.col("best"), F.col("times")))
-        more = more.select("at", F.col("n_best").alias("_best"), F.col("count_sum").alias("_sum"))
-        plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-        out = out.join(more, "at", "left").select("at", "id", *COUNTS, "groups_sha256", plus("n_best", "_best"), plus("count_sum", "_sum"))
+        for part, row, pairs, times in _parts(batches):
+            left = ~look_up(pairs)[0]
+            columns = [pa.array(part.column("at").to_numpy()[row[left]]), pa.array(pairs[left]), pa.array(times[left])]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "pair", "times"])
+
+    with batches_of(spark, ROWS):
+        out = found.mapInArrow(priced, with_fields(found, kept, n_best=LongType(), count_sum=LongType()))
+        out = stage(out, "priced")
+        if counts.count() > len(here):
+            rest = stage(found.select("at", *PAIRS).mapInArrow(others, "at long, pair long, times long"), "other-pairs")
+            more = rest.join(counts, "pair").groupBy("at").agg(*_sums(F.col("n"), F.col("best"), F.col("times")))
+            more = more.select("at", F.col("n_best").alias("_best"), F.col("count_sum").alias("_sum"))
+            plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
+            out = out.join(more, "at", "left").select(*kept, plus("n_best", "_best"), plus("count_sum", "_sum"))
     return out.select(F.col("id").alias(id_col), *COUNTS, "n_best", "count_sum", "groups_sha256")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -46,3 +49,15 @@ def bounded_share(rows: DataFrame, key: str, max_rows: int) -> DataFrame:
     """Rows whose hashed key falls into a share that is expected to hold ``max_rows`` of them."""
     share = min(1.0, max_rows / max(1, rows.count()))
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), named(key)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send tasks' Python workers so many rows at once, for rows that are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
