@@ -1,3 +1,4 @@
+import json
 import os
 import subprocess
 import sys
@@ -9,7 +10,8 @@ from uttermill.operators import fertility
 from uttermill.operators.scoring import keyword_scorer, score_batch
 from uttermill.plans import registry
 from uttermill.plans.staging import drop_staged, is_small, salted_left_join, spread, stage, staging_path, staging_root
-from uttermill.sources import files
+from uttermill.operators.reports import comparison_table, markdown_lines
+from uttermill.sources import delimited, files, model_metrics
 from uttermill.sources.tables import in_domain, out_of_domain
 from uttermill.streaming.scoring import read_stream, read_table_stream, route_stream, score_stream
 
@@ -188,3 +190,138 @@ def test_streams_read_a_file_a_folder_and_nothing(spark, tmp_path):
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/c{k}")
         q.trigger(availableNow=True).start().awaitTermination()
         assert files.read_parquet(spark, out, rows.schema).count() == n
+
+
+# csv bound by header
+
+
+def write_files(folder, **files):
+    for name, text in files.items():
+        (folder / f"{name}.csv").write_text(text, encoding="utf-8")
+    return str(folder)
+
+
+CORPUS = "base_id string, text string, intent string, n int"
+
+
+def test_csv_columns_are_bound_by_name_in_every_file(spark, tmp_path):
+    path = write_files(
+        tmp_path,
+        a='intent,base_id,text\nx,1,"he said ""hi""\nthere"\ny,2,b\nz,3\nw,4,d,e\n',
+        b='﻿text,intent,base_id,extra\nT1,I1,B1,E1\n"q,1",I2,B2,\n',
+        c='"text","in\ntent",intent,base_id,n\nT2,zz,I1,C1,5\nT3,zz,I1,C2,x\n',
+        empty="",
+    )
+    found = delimited.bind_csv(spark, path, CORPUS, ["text", "intent"])
+    want = {("1", 'he said "hi"\nthere', "x", None), ("2", "b", "y", None), ("B1", "T1", "I1", None), ("B2", "q,1", "I2", None), ("C1", "T2", "I1", 5)}
+    assert {tuple(r) for r in found.rows.collect()} == want and found.rows.count() == len(want)
+    # what fits does not depend on the columns that are read
+    assert sorted(r[0] for r in found.rows.select("base_id").collect()) == sorted(w[0] for w in want)
+    rejects = {(r.file[-5:], r.reason, r.record) for r in found.rejects().collect()}
+    assert rejects == {("a.csv", "cells", "z,3"), ("a.csv", "cells", "w,4,d,e"), ("c.csv", "n", "T3,zz,I1,C2,x")}
+    assert found.rejects().count() == 3
+
+
+@pytest.mark.parametrize("header", ["intent,base_id,text", "text,base_id,intent", "base_id,intent,text"])
+def test_csv_gives_the_same_rows_for_any_order(spark, tmp_path, header):
+    cells = {"intent": "complaint", "base_id": "b1", "text": "late again"}
+    path = write_files(tmp_path, one=header + "\n" + ",".join(cells[c] for c in header.split(",")) + "\n")
+    assert files.read_csv(spark, path, files.RAW_SCHEMA).collect() == [("b1", "late again", "complaint")]
+
+
+def test_csv_without_a_required_column_is_refused_by_name(spark, tmp_path):
+    path = write_files(tmp_path, good="base_id,text,intent\n1,a,b\n", bad="base_id,text\n1,a\n")
+    with pytest.raises(ValueError, match=r"missing column\(s\): intent in .*bad.csv"):
+        files.read_csv(spark, path, files.RAW_SCHEMA)
+    assert files.read_csv(spark, path, files.RAW_SCHEMA, required=["text"]).count() == 2
+    twice = write_files(tmp_path, bad="base_id,text,text,intent\n1,a,b,c\n")
+    with pytest.raises(ValueError, match="named twice: text"):
+        files.read_csv(spark, twice, files.RAW_SCHEMA)
+
+
+def test_csv_folder_columns_and_empty_folders(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a", "x", "train"), ("2", "b", "y", "a b=c")], "base_id string, text string, intent string, split string")
+    files.write_csv(df, f"{tmp_path}/parts", partition_by=["split"])
+    back = files.read_csv(spark, f"{tmp_path}/parts", files.RAW_SCHEMA + ", split string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    (tmp_path / "none").mkdir()
+    write_files(tmp_path / "none", e="")
+    none = delimited.bind_csv(spark, f"{tmp_path}/none", CORPUS)
+    assert none.rows.count() == 0 and none.rejects().count() == 0 and none.rows.columns == ["base_id", "text", "intent", "n"]
+
+
+def test_large_csv_header_is_read_from_the_first_block_only(spark, tmp_path):
+    path = write_files(tmp_path, big="a,b\n" + "x,1\n" * 50_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert [r.header for r in delimited.read_headers(spark, path).collect()] == [["a", "b"]]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert files.read_csv(spark, path, "b int, a string").count() == 50_000
+
+
+# metrics documents
+
+DOCUMENT = """{
+  "TF-IDF + Model": {
+    "model_name": "TF-IDF + Model", "test_accuracy": 0.9365, "test_macro_f1": 0.937,
+    "per_class": {"late": {"precision": 0.9, "recall": 1.0, "f1_score": 0.95, "support": 21}},
+    "classification_report": {"late": {"precision": 0.9, "recall": 1.0, "f1-score": 0.95, "support": 21.0}, "accuracy": 0.9365},
+    "ood_accuracy": 0.925
+  },
+  "note": "x", "list": [1, {"test_accuracy": 1}], "other": {"accuracy": 1}, "none": null
+}"""
+
+
+def test_metrics_document_is_read_by_model(spark, tmp_path):
+    (tmp_path / "m.json").write_text(DOCUMENT)
+    rows = model_metrics.read_model_metrics(spark, f"{tmp_path}/m.json").collect()
+    assert [(r.model, r.test_accuracy, r.ood_accuracy, r.ood_macro_f1, r.per_class["late"].support) for r in rows] == [("TF-IDF + Model", 0.9365, 0.925, None, 21)]
+    report = {r.label: tuple(r)[2:] for r in model_metrics.read_model_reports(spark, f"{tmp_path}/m.json").collect()}
+    assert report == {"late": (0.9, 1.0, 0.95, 21.0), "accuracy": (0.9365, 0.9365, 0.9365, None)}
+    for k, text in enumerate(["[1, 2]", "no json {", "", '"x"', "{}"]):
+        (tmp_path / f"bad{k}.json").write_text(text)
+        assert model_metrics.read_model_metrics(spark, f"{tmp_path}/bad{k}.json").count() == 0
+        assert model_metrics.read_model_reports(spark, f"{tmp_path}/bad{k}.json").count() == 0
+    assert model_metrics.read_model_metrics(spark, f"{tmp_path}/missing.json").count() == 0
+    table = comparison_table(*(model_metrics.by_split(model_metrics.read_model_metrics(spark, f"{tmp_path}/m.json"), s) for s in ("test", "ood")))
+    assert markdown_lines(table).first()[0] == "| TF-IDF + Model | 93.7% | 0.9370 | 92.5% | N/A | Baseline |"
+
+
+def test_metrics_document_is_written_as_one_object(spark, tmp_path):
+    entries = spark.createDataFrame([('a "q" | b', '{"test_accuracy":0.5}'), ("z", '{"test_accuracy":1.0}')], "model string, entry string")
+    model_metrics.write_document(model_metrics.document(entries, {"note": 'say "hi"'}), f"{tmp_path}/d")
+    text = "".join(p.read_text() for p in (tmp_path / "d").glob("part-*"))
+    assert json.loads(text) == {'a "q" | b': {"test_accuracy": 0.5}, "note": 'say "hi"', "z": {"test_accuracy": 1.0}}
+    assert {r.model for r in model_metrics.read_model_metrics(spark, f"{tmp_path}/d").collect()} == {'a "q" | b', "z"}
+
+
+def test_markdown_cells_stay_in_their_row(spark):
+    df = spark.createDataFrame([("a|b", "two\nlines\r\nmore")], "`x.y` string, t string")
+    assert markdown_lines(df).first()[0] == "| a\\|b | two<br>lines<br>more |"
+
+
+# run logs
+
+
+def test_log_widens_types_and_ignores_what_it_holds(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    add = lambda rows, schema, **how: files.append_log(spark.createDataFrame(rows, schema), path, **how)
+    assert add([("r1", 1, 1)], "run_name string, epochs int, tag int", token="a")
+    assert add([("r2", 2.5, "x")], "run_name string, epochs double, tag string", token="b")
+    assert not add([("r2", 2.5, "x")], "run_name string, epochs double, tag string", token="b")
+    assert add([("r3", 1 << 40)], "run_name string, epochs bigint")
+    assert add([("r3", 7), ("r4", 7), ("r4", 7)], "run_name string, epochs int", key="run_name")
+    assert add([], "run_name string, when date")
+    log = files.read_log(spark, path)
+    assert dict(log.dtypes) == {"run_name": "string", "epochs": "double", "tag": "string", "when": "date"}
+    assert sorted((r.run_name, r.epochs, r.tag) for r in log.collect()) == [("r1", 1.0, "1"), ("r2", 2.5, "x"), ("r3", float(1 << 40), None), ("r4", 7.0, None)]
+
+
+def test_two_writers_of_one_token_count_once(spark, tmp_path):
+    runs = spark.createDataFrame([("r", 1), ("r", 1)], "run_name string, epochs int")
+    files.append_log(runs, f"{tmp_path}/log", token="t")
+    again = f"{tmp_path}/other"
+    files.append_log(runs, again, token="t")
+    spark.read.parquet(f"{again}/*").write.mode("append").parquet(next(str(p) for p in (tmp_path / "log").iterdir()))
+    assert files.read_log(spark, f"{tmp_path}/log").count() == 2

@@ -75,8 +75,9 @@ def per_class_lookup(metrics: DataFrame, labels, label_col: str = "label") -> Da
 
 
 def markdown_lines(df: DataFrame, out: str = "line") -> DataFrame:
-    """Each row as a pipe-separated Markdown table row."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    """Each row as a pipe-separated Markdown table row; pipes in cells are escaped, line breaks become ``<br>``."""
+    plain = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\r\n|\r|\n", "<br>")
+    cells = [plain(f"`{c}`") for c in df.columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias(out))
 
 

@@ -560,7 +560,7 @@ def oracle_sql() -> dict[str, str]:
         # runs
         "append_run_log": with_(
             *RUNS_SQL,
-            select="SELECT run_name, CASE WHEN epochs <= 2 THEN epochs END AS epochs, val_accuracy, val_macro_f1, CASE WHEN epochs > 2 THEN 'appended' END AS note FROM runs",
+            select="SELECT run_name, CASE WHEN epochs <= 2 THEN epochs::DOUBLE WHEN epochs > 3 THEN epochs + 0.5 END AS epochs, val_accuracy, val_macro_f1, CASE WHEN epochs = 3 THEN 'appended' END AS note FROM runs",
         ),
         "rank_runs": with_(*RUNS_SQL, select="SELECT row_number() OVER (ORDER BY val_macro_f1 DESC, run_name)::INTEGER AS \"Rank\", run_name, epochs, val_accuracy, val_macro_f1 FROM runs"),
         "best_run": with_(*RUNS_SQL, select="SELECT run_name, epochs, val_accuracy, val_macro_f1, 'adapter' AS adapter_dir FROM runs ORDER BY val_macro_f1 DESC, run_name LIMIT 1"),

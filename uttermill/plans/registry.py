@@ -574,11 +574,15 @@ def metrics_json(spark, sf_dir):
 
 @query
 def append_run_log(spark, sf_dir):
-    """Two batches of runs with different columns, appended to one log."""
+    """Batches of runs with different columns and types, appended to one log; one is appended again."""
     runs = stage(run_log(spark, sf_dir), "runs")
     path = staging_path(spark, "run-log")
     files.append_log(runs.filter("epochs <= 2"), path)
-    files.append_log(runs.filter("epochs > 2").drop("epochs").withColumn("note", F.lit("appended")), path)
+    files.append_log(runs.filter("epochs = 3").drop("epochs").withColumn("note", F.lit("appended")), path)
+    halves = runs.filter("epochs > 3").withColumn("epochs", F.col("epochs") + F.lit(0.5))
+    for _ in range(2):
+        files.append_log(halves, path, token="halves")
+    files.append_log(runs.filter("epochs < 3"), path, key="run_name")
     return files.read_log(spark, path).select("run_name", "epochs", "val_accuracy", "val_macro_f1", "note")
 
 
