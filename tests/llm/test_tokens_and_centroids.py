@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from uttermill.llm import alignment, centroids, pair_index
+from uttermill.llm import alignment, centroids, kernels, pair_index
 from uttermill.llm.queries import BYTE_MODEL, PIECE_MODEL, QUERIES, WORD_MODEL
 
 from conftest import SF
@@ -62,12 +62,13 @@ def brute_merge(ids, rank):
 
 def test_merged_words_equal_the_definition(monkeypatch, words):
     rng = random.Random(3)
-    texts = ["".join(rng.choice("thaeinor") for _ in range(rng.randrange(1, 14))) for _ in range(500)] + ["a" * k for k in range(1, 30)]
+    texts = ["".join(rng.choice("thaeinor") for _ in range(rng.randrange(1, 14))).encode() for _ in range(500)]
+    texts += [b"a" * k for k in range(1, 30)] + [bytes([b]) for b in range(256)]
     rank = {(a, b): (k, c) for k, (a, b, c) in enumerate(words.rules)}
     want = [brute_merge([words.first[c] for c in t[:-1]] + [words.last[t[-1]]], rank) for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in pair_index.merge_words(texts, words)] == want
     monkeypatch.setattr(pair_index, "FEW", 0)
-    assert [np.frombuffer(x, "<u4").tolist() for x in pair_index.merge_words(["", "日", *texts], words)] == [[], [], *want]
+    assert [np.frombuffer(x, "<u4").tolist() for x in pair_index.merge_words([b"", *texts], words)] == [[], *want]
     assert pair_index.merge_words([], words) == []
 
 
@@ -79,6 +80,10 @@ def test_encoding_and_decoding_equal_the_library(docs, empty, words):
         want = whole.encode(r.text or "", add_special_tokens=False).ids
         assert (list(r.token_ids), r.n_tokens, r["x.y"]) == (want, len(want), 3)
         assert r.back == whole.decode(want, skip_special_tokens=False)
+    packed = pair_index.encode(docs, words, carry=["text", "n_tokens"], as_bytes=True, decoded="text")
+    assert packed.columns == ["n_tokens", "token_ids", "text"]
+    again = pair_index.decode(packed, words, out="again").collect()
+    assert all(r.again == r.text for r in again) and sorted(r.text for r in again) == sorted(r.back for r in out)
     assert pair_index.encode(empty, words).count() == 0
     assert pair_index.encode(docs, words).columns == ["doc_id", "text", "row", "a_ids", "x.y", "n_tokens", "token_ids"]
 
@@ -88,8 +93,21 @@ def test_chunks_and_small_memory_change_nothing(monkeypatch, words):
     texts = odd_texts()
     for name, value in (("CHUNK", 300), ("FRESH", 20), ("MEMORY", 5)):
         monkeypatch.setattr(pair_index, name, value)
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for plain in (True, False):
+        monkeypatch.setattr(words, "plain_ascii", plain)
+        got = [np.frombuffer(x, "<u4").tolist() for x in pair_index.Encoder(words).encode(pa.array(texts))]
+        assert got == want
+
+
+def test_ascii_is_cut_as_the_library_cuts_it(words):
+    assert words.plain_ascii
+    rng = random.Random(6)
+    whole = Tokenizer.from_file(WORD_MODEL)
+    texts = ["".join(chr(rng.randrange(128)) for _ in range(rng.randrange(30))) for _ in range(2_000)]
+    texts += ["".join(rng.choice(["'s", "'S", "'", "ll", "re", "x", "1", "Q", "<|", "|>", " "]) for _ in range(12)) for _ in range(2_000)]
     got = [np.frombuffer(x, "<u4").tolist() for x in pair_index.Encoder(words).encode(pa.array(texts))]
-    assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_rules_out_of_order_are_refused():
@@ -272,5 +290,5 @@ def test_alignment_query_equals_brute_force(spark):
 
 
 def test_byte_alphabet_has_all_bytes(sides):
-    assert len(set(alignment.byte_alphabet())) == 256 and alignment.byte_alphabet()[ord("A")] == "A"
+    assert len(set(kernels.byte_alphabet())) == 256 and kernels.byte_alphabet()[ord("A")] == "A"
     assert {bytes([b]) for b in range(256)} <= set(sides.a_bytes)

@@ -38,7 +38,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from ..plans.staging import stage
 from .frames import batches_of, named, packed, with_fields
-from .kernels import chunks
+from .kernels import byte_alphabet, chunks
 
 CHUNK = 1 << 18  # bytes of text that are handled at once
 PIECE = 1 << 13  # steps of the merge path in a piece
@@ -93,15 +93,6 @@ class Tokenizers:
         return lambda text: a.encode_ordinary(" " + text), b.encode
 
 
-def byte_alphabet() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: itself if it is
-    printable, or else the next one from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = (b for b in range(256) if b not in plain)
-    sign = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
-    return [sign[b] for b in range(256)]
-
-
 def cut_path(a: np.ndarray, b: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of A and B ends before each diagonal: 0, step, 2 * step, ... and the last one.
 

@@ -35,20 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType
 
 from .frames import named, packed, with_fields
-from .kernels import RowIndex, chunks
+from .kernels import RowIndex, byte_alphabet, chunks
 
-CHUNK, FRESH = 1 << 22, 1 << 19  # bytes of text, and of new units, that are handled at once
+CHUNK, FRESH = 1 << 21, 1 << 18  # bytes of text, and of new units, that are handled at once
 FEW = 48  # new pairs that are looked up one by one
+# fixed value: the words of lower-case ASCII without white space, as the vocabulary's file cuts them
+ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 DECODED_ROWS = 1 << 9  # texts that are decoded at once
-MEMORY = 200_000  # units and words that a task remembers; only speed depends on it
-
-
-def _table(symbols: dict[str, int]) -> np.ndarray:
-    """Ids by code point; the last entry stands for all beyond."""
-    out = np.full(max(map(ord, symbols), default=0) + 2, -1, np.int64)
-    for c, i in symbols.items():
-        out[ord(c)] = i
-    return out
+MEMORY = 150_000  # units and words that a task remembers; only speed depends on it
 
 
 class WordVocabulary:
@@ -56,8 +50,7 @@ class WordVocabulary:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, special: dict[str, int], normalizer, splitter):
         self.special, self.normalizer, self.splitter = special, normalizer, splitter
-        self.first = {t: i for t, i in vocab.items() if len(t) == 1}
-        self.last = {t: vocab[t + suffix] for t in self.first if t + suffix in vocab}
+        self.first, self.last = (np.array([vocab.get(c + x, -1) for c in byte_alphabet()], np.int64) for x in ("", suffix))
         self.names = {i: t for t, i in (vocab | special).items()}
         self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         made = {c: rank for rank, (_, _, c) in enumerate(self.rules)}
@@ -65,7 +58,8 @@ class WordVocabulary:
             raise ValueError("each symbol must be made by one rule, which comes before those that join it")
         keys = [a << 32 | b for a, b, _ in self.rules]
         self.rank_of, self.rank = dict(zip(keys, range(len(keys)))), RowIndex(np.array(keys, np.int64))
-        self.first_table, self.last_table = (_table(x) for x in (self.first, self.last))
+        self.bytes_of = {ord(c): b for b, c in enumerate(byte_alphabet())}
+        self.plain_ascii = self._cuts_ascii()
 
     @classmethod
     def load(cls, file: str) -> WordVocabulary:
@@ -86,23 +80,38 @@ class WordVocabulary:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         suffix, special = model.get("end_of_word_suffix") or "", {t["content"]: t["id"] for t in added}
         made = cls(model["vocab"], merges, suffix, special, whole.normalizer, whole.pre_tokenizer)
-        if made.words("a \t\n\r\x0b\x0cb") != ["a", "b"]:
+        if made.words("a \t\n\r\x0b\x0cb") != [b"a", b"b"]:
             raise ValueError("white space must end words and belong to none")
         return made
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[bytes]:
+        """Words of a text, as bytes."""
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
-        return [w for w, _ in self.splitter.pre_tokenize_str(text)]
-
-
-def _symbols(words: list[str], v: WordVocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """First symbols of all words, and the word of each; characters without a symbol are left out."""
-    point = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        return [self.word(w) for w, _ in self.splitter.pre_tokenize_str(text)]
+
+    def word(self, signs: str) -> bytes:
+        """The bytes that the signs of the byte alphabet stand for."""
+        return signs.translate(self.bytes_of).encode("latin-1")
+
+    def _cuts_ascii(self) -> bool:
+        """Whether ASCII is lower-cased and cut as ``ASCII_WORD`` says: tried on all pairs of characters, and more."""
+        if self.splitter is None:
+            return False
+        signs = [chr(c) for c in range(0x21, 0x7F)] + ["\x00", "\x1c", "\x7f", "'ll", "'RE", "'Ve", "abc", "12"]
+        for a in signs:
+            text = " ".join(f"{a}{b} {b}x{a}1" for b in signs)
+            if self.words(text) != [w for unit in text.encode().split() for w in ASCII_WORD.findall(unit.lower())]:
+                return False
+        return True
+
+
+def _symbols(words: list[bytes], v: WordVocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """First symbols of all words, and the word of each; bytes without a symbol are left out."""
+    data = np.frombuffer(b"".join(words), np.uint8)
     size = np.array([len(w) for w in words], np.int64)
-    slot = np.minimum(point, len(v.first_table) - 1)
-    symbol, last = v.first_table[slot], np.cumsum(size)[size > 0] - 1
-    symbol[last] = v.last_table[slot[last]]
+    symbol, last = v.first[data], np.cumsum(size)[size > 0] - 1
+    symbol[last] = v.last[data[last]]
     word = np.repeat(np.arange(len(words)), size)
     return symbol[symbol >= 0], word[symbol >= 0]
 
@@ -116,7 +125,7 @@ def _every_other(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_words(words: list[str], v: WordVocabulary) -> list[bytes]:
+def merge_words(words: list[bytes], v: WordVocabulary) -> list[bytes]:
     """Ids of each word as 32-bit little-endian numbers, all words merged together."""
     symbol, word = _symbols(words, v)
     n = len(symbol)
@@ -186,16 +195,16 @@ class Encoder:
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.units: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
-    def _parts(self, unit: bytes) -> list[tuple[str, bool]]:
+    def _parts(self, unit: bytes) -> list[tuple[bytes | str, bool]]:
         """Words of a unit, and special tokens, marked so."""
         text, out = unit.decode(), []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             out += [(part, True)] if k % 2 else [(w, False) for w in self.v.words(part)]
         return out
 
-    def _words_of(self, units: list[bytes]) -> list[list[str]]:
+    def _words_of(self, units: list[bytes]) -> list[list[bytes]]:
         """Words of units without white space and special tokens, all cut at once."""
         text = b" ".join(units).decode()
         if self.v.normalizer is not None:
@@ -203,16 +212,16 @@ class Encoder:
         edges = [m.start() for m in re.finditer(" ", text)] + [len(text)]
         if len(edges) != len(units):
             return [self.v.words(u.decode()) for u in units]
-        out: list[list[str]] = [[] for _ in units]
+        out: list[list[bytes]] = [[] for _ in units]
         unit, edge, own = 0, edges[0], out[0]
         for w, (begin, _) in self.v.splitter.pre_tokenize_str(text):
             while begin > edge:
                 unit += 1
                 edge, own = edges[unit], out[unit]
-            own.append(w)
+            own.append(self.v.word(w))
         return out
 
-    def _remember(self, words: set[str]) -> None:
+    def _remember(self, words: set[bytes]) -> None:
         fresh = list(words - self.words.keys())
         self.words.update(zip(fresh, merge_words(fresh, self.v)))
 
@@ -220,19 +229,26 @@ class Encoder:
         """Add the encodings of ``units`` to those remembered."""
         if len(self.words) > MEMORY:
             self.words.clear()
-        plain, odd = [], []
+        single, several, plain, odd = [], [], [], []
+        special = lambda t: self.cut is not None and self.cut.search(t)
         for u in units:
-            t = u.decode()
-            (odd if len(t.split()) != 1 or self.cut and self.cut.search(t) else plain).append(u)
-        found = self._words_of(plain) if plain else []
-        self._remember({w for ws in found for w in ws})
+            if self.v.plain_ascii and u.isalpha():  # letters of ASCII
+                single.append(u)
+            elif special(t := u.decode()) or len(t.split()) != 1:
+                odd.append(u)
+            else:
+                (several if self.v.plain_ascii and u.isascii() else plain).append(u)
+        low = [u.lower() for u in single]
+        cut = [ASCII_WORD.findall(u.lower()) for u in several] + (self._words_of(plain) if plain else [])
+        self._remember({w for ws in cut for w in ws}.union(low))
         of = self.words.__getitem__
-        self.units.update((u, of(ws[0]) if len(ws) == 1 else b"".join(map(of, ws))) for u, ws in zip(plain, found))
-        special = {t: np.array([i], "<u4").tobytes() for t, i in self.v.special.items()}
+        self.units.update(zip(single, map(of, low)))
+        self.units.update((u, b"".join(map(of, ws))) for u, ws in zip(several + plain, cut))
+        known = {t: np.array([i], "<u4").tobytes() for t, i in self.v.special.items()}
         for u in odd:
             parts = self._parts(u)
             self._remember({w for w, whole in parts if not whole})
-            self.units[u] = b"".join([special[w] if whole else of(w) for w, whole in parts])
+            self.units[u] = b"".join([known[w] if whole else self.words[w] for w, whole in parts])
 
     def encode_chunks(self, column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
         """(first row, end row, ids of each text as 32-bit little-endian numbers) of consecutive rows."""
@@ -257,10 +273,19 @@ class Encoder:
 RESULTS = ("n_tokens", "token_ids")
 
 
+def _text_of(names: dict[int, str], ids: list[int]) -> str:
+    return " ".join([names[i] for i in ids if i in names])
+
+
 def encode(
-    docs: DataFrame, vocabulary: WordVocabulary, text_col: str = "text", carry: list[str] | None = None, as_bytes: bool = False
+    docs: DataFrame,
+    vocabulary: WordVocabulary,
+    text_col: str = "text",
+    carry: list[str] | None = None,
+    as_bytes: bool = False,
+    decoded: str | None = None,
 ) -> DataFrame:
-    """Columns ``carry`` (default: all), then n_tokens and token_ids.
+    """Columns ``carry`` (default: all), then n_tokens and token_ids, and the decoded text if a name is given for it.
 
     The ids are an array of int, or with ``as_bytes`` unsigned 32-bit little-endian numbers
     one after another, which is how large tables are better kept.
@@ -277,13 +302,19 @@ def encode(
                 else:
                     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(sizes), ids], ["row", *RESULTS])
+                columns = [batch.column("row").slice(a, b - a), pa.array(sizes), ids]
+                if decoded:
+                    columns.append(pa.array([_text_of(vocabulary.names, np.frombuffer(x, "<u4").tolist()) for x in part], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(packed(docs.select(*[named(c) for c in keep])), named(text_col).alias("text"))
-    ids = BinaryType() if as_bytes else ArrayType(IntegerType())
-    out = rows.mapInArrow(run, with_fields(rows, ["row"], n_tokens=LongType(), token_ids=ids))
-    taken = [F.col("row").getField(c).alias(c) for c in keep if c not in RESULTS]
-    return out.select(*taken, *RESULTS)
+    fields = dict(zip(RESULTS, (LongType(), BinaryType() if as_bytes else ArrayType(IntegerType()))))
+    fields |= {"decoded": StringType()} if decoded else {}
+    names = ["row", *fields]
+    out = rows.mapInArrow(run, with_fields(rows, ["row"], **fields))
+    results = {c: decoded if c == "decoded" else c for c in fields}
+    taken = [F.col("row").getField(c).alias(c) for c in keep if c not in results.values()]
+    return out.select(*taken, *[F.col(c).alias(name) for c, name in results.items()])
 
 
 def decode(rows: DataFrame, vocabulary: WordVocabulary, ids_col: str = "token_ids", out: str = "text") -> DataFrame:
@@ -293,8 +324,7 @@ def decode(rows: DataFrame, vocabulary: WordVocabulary, ids_col: str = "token_id
     def text_of(ids) -> str | None:
         if ids is None:
             return None
-        found = np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids
-        return " ".join([names[i] for i in found if i in names])
+        return _text_of(names, np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -79,8 +79,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_word_bpe(spark: SparkSession, sf_dir: str, model_file: str = WORD_MODEL) -> DataFrame:
     docs, vocabulary = table(spark, sf_dir, "documents"), pair_index.WordVocabulary.load(model_file)
-    found = pair_index.encode(docs, vocabulary, carry=["doc_id"], as_bytes=True)
-    return pair_index.decode(found, vocabulary, out="decoded").select(
+    return pair_index.encode(docs, vocabulary, carry=["doc_id"], as_bytes=True, decoded="decoded").select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
