@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from uttermill.constants import KEYWORDS
 from uttermill.operators import features as ft
@@ -129,3 +130,18 @@ def test_naive_bayes_equals_brute_force(spark):
             scores.append(math.log(len(own) / 45) + sum(w.get((d, t), 0) * math.log(sums[t] / mass) for t in vocab))
         want[d] = "abc"[max(range(3), key=lambda k: scores[k])]
     assert got == want
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (1, 2), (1, 4), (2, 3), (3, 3)])
+@pytest.mark.parametrize("k", [5, 60, 100_000])
+def test_ngram_vocabulary_equals_full_counts(spark, sizes, k):
+    rng = random.Random(k)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"] + [f"w{i}" for i in range(20)]) for _ in range(rng.randrange(0, 15))) for _ in range(80)]
+    counts = Counter()
+    for t in texts:
+        words = t.split()
+        counts.update(" ".join(words[i : i + n]) for n in range(sizes[0], sizes[1] + 1) for i in range(len(words) - n + 1))
+    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:k]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "clean_text string")
+    assert [tuple(r) for r in ft.ngram_vocabulary(df, sizes, k).orderBy(F.desc("corpus_tf"), "term").collect()] == want
+    assert ft.ngram_vocabulary(df.limit(0), sizes, k).count() == 0

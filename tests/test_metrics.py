@@ -136,3 +136,30 @@ def test_append_runs_unions_columns(spark):
 def test_class_lookup_defaults(pairs):
     got = {r.label: (r.precision, r.support) for r in reports.per_class_lookup(metrics.per_class_metrics(pairs, ["a", "b"]), ["a", "z"]).collect()}
     assert got == {"a": (1.0, 2), "z": (0.0, 0)}
+
+
+# decision lists
+
+
+def test_rule_table_equals_the_fixed_list(spark):
+    truth = sorted({t for t, _, _ in ERROR_PAIRS} | {p for _, p, _ in ERROR_PAIRS})
+    rows = [(t, p, x) for t in truth for p in truth for x in ("Nahi chahiye", "plain words", None, "NO")]
+    df = spark.createDataFrame(rows, "intent string, predicted_intent string, clean_text string")
+    both = errors.error_rules(df, errors.rule_table(spark)).withColumn(
+        "want", errors.error_reason(F.coalesce("clean_text", F.lit("")), F.col("intent"), F.col("predicted_intent"))
+    )
+    assert both.count() == len(rows) and both.filter("NOT failure_analysis <=> want").count() == 0
+
+
+def test_first_rule_that_holds_wins(spark):
+    rules = [
+        (5, "a", "b", None, "pair"), (3, "a", "b", "Late", "pair and text"), (4, "a", None, None, "true class"),
+        (6, None, "b", None, "predicted class"), (1, None, None, "zz", "text"), (4, "a", None, None, "a second of one order"),
+    ]
+    cases = [("a", "b", "so late", "pair and text"), ("a", "b", "x", "a second of one order"), ("c", "b", "x", "predicted class"), ("a", "c", "", "a second of one order"),
+             ("c", "d", "zz", "text"), ("c", "d", None, None), (None, "b", "x", "predicted class"), (None, None, "ZZ", "text"), ("a", "b", "zz late", "text")]
+    df = spark.createDataFrame(cases * 2, "intent string, predicted_intent string, clean_text string, want string")
+    got = errors.error_rules(df, spark.createDataFrame(rules, errors.RULE_SCHEMA))
+    assert got.count() == 2 * len(cases) and got.filter("NOT failure_analysis <=> want").collect() == []
+    none = errors.error_rules(df, spark.createDataFrame([], errors.RULE_SCHEMA))
+    assert none.filter("failure_analysis IS NULL").count() == 2 * len(cases) and none.columns == [*df.columns, "failure_analysis"]

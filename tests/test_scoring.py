@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from uttermill.constants import ACTIONS, DEFAULT_ACTION, INTENTS
+from uttermill.constants import ACTIONS, DEFAULT_ACTION, INTENTS, KEYWORDS
 from uttermill.operators import scoring
+from uttermill.operators.scoring import classify_batches, python_list_scorer, score_batch, text_lists
 
 TEXTS = ["Thoda discount de do na bhai price bohot zyada hai", "Order deliver nahi hua, refund do", " 😀 ", "hello"]
 
@@ -91,3 +92,47 @@ def test_routing(spark):
     assert got["complaint"].action == ACTIONS["complaint"][0] and got["complaint"].fallback_intent is None
     assert got["other"].action == DEFAULT_ACTION[0] and got["other"].fallback_intent == "callback request (26%)"
     assert "<" not in got["complaint"].action_text and got["complaint"].display_intent == "complaint"
+
+
+# request lists
+
+
+def test_batches_equal_single_texts(spark):
+    words = [KEYWORDS[x] for x in INTENTS]
+
+    def keyword_model():
+        return lambda texts: [[float(sum(w in t.lower() for w in ws)) for ws in words] for t in texts]
+
+    texts = ["Refund kab aayega??", "", "  ", "😀😀", "Thoda discount de do na", "call me   later", "haan done", "x" * 900, "NO\tthanks"]
+    lists = [texts, texts[:1], texts[3:5], ["haan"] * 100]
+    bad = [None, [], ["a"] * 101, ["ok", None]]
+    df = spark.createDataFrame(list(enumerate(lists + bad)), "id int, texts array<string>")
+    singles = score_batch(spark.createDataFrame([(t,) for t in {*texts, "haan"}], "text string")).collect()
+    names = ["intent", "confidence", "is_uncertain", "fallback", "secondary_intent", "secondary_confidence", "cleaned_text", "all_scores"]
+    want = {r.text: tuple(r[c] for c in names) for r in singles}
+    for scorer in (None, python_list_scorer(keyword_model, batch_size=4)):
+        got = {r.id: r for r in classify_batches(df, scorer=scorer).collect()}
+        for k, ts in enumerate(lists):
+            assert got[k].total == len(ts) and got[k].reject_reason is None
+            assert [tuple(r[c] for c in names) for r in got[k].results] == [want[t] for t in ts]
+        assert [(got[k].reject_reason, got[k].results, got[k].total) for k in range(4, 8)] == [
+            (reason, None, None) for reason in ("no_texts", "no_texts", "too_many_texts", "null_text")
+        ]
+    out = classify_batches(df)
+    assert out.columns == ["id", "texts", "reject_reason", "results", "total"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_threshold_of_a_list_may_be_its_own(spark):
+    df = spark.createDataFrame([(["refund"], 0.0), (["refund"], 1.0)], "texts array<string>, confidence_threshold double")
+    assert [r.results[0].fallback for r in classify_batches(df, threshold="confidence_threshold").collect()] == [False, True]
+    with pytest.raises(ValueError, match="threshold"):
+        classify_batches(df, threshold=1.5)
+
+
+def test_text_lists_keep_order_and_never_gather_large_requests(spark):
+    rows = [(1, 2, "b"), (1, 1, "a"), (1, 3, None), (None, 1, "n"), (2, 1, "x")] + [(3, k, "y") for k in range(7)]
+    df = spark.createDataFrame(rows, "id int, turn int, text string")
+    got = {r.id: r.texts for r in text_lists(df, "id", ["turn"], limit=5).collect()}
+    assert got == {1: ["a", "b", None], None: ["n"], 2: ["x"], 3: [""] * 6}

@@ -76,6 +76,53 @@ def vocabulary(df: DataFrame, max_features: int = MAX_FEATURES, text_col: str =
     return _top(frequent.unionByName(doubles), max_features)
 
 
+def ngram_vocabulary(
+    df: DataFrame, sizes: tuple[int, int] = (1, 2), max_features: int = MAX_FEATURES, text_col: str = "clean_text"
+) -> DataFrame:
+    """The ``max_features`` most frequent runs of ``sizes[0]`` to ``sizes[1]`` words, ties by term.
+
+    Runs are counted size by size.  A run is at most as frequent as its two runs of one
+    word less, so from the second size on only runs are counted of which both parts reach
+    the count of the ``max_features``-th most frequent term so far; no run that could
+    belong to the result is left out.  A run is not counted if none of its size can reach it.
+    """
+    least, most = sizes
+    if not 1 <= least <= most:
+        raise ValueError("sizes must be 1 or more, the smaller first")
+    words = df.select(tx.words(text_col).alias("_words"))
+    n = F.size("_words")
+    run = lambda i, k: F.array_join(F.slice("_words", i, F.lit(k)), " ")
+
+    def whole(k: int):
+        return lambda i: run(i, k)
+
+    def halves(k: int):
+        return lambda i: F.struct(
+            run(i, k - 1).alias("head"), run(i + 1, k - 1).alias("tail"), F.element_at("_words", i + (k - 1)).alias("last")
+        )
+
+    found, parts = None, None
+    for k in range(least, most + 1):
+        places = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
+        if k == 1:
+            rows = explode_rows(words, [], "_words", "term")
+        elif parts is None:
+            rows = explode_rows(words.select(F.transform(places, whole(k)).alias("_r")), [], "_r", "term")
+        else:
+            rows = inline_rows(words.select(F.transform(places, halves(k)).alias("_r")), [], "_r", "head")
+            for side in ("head", "tail"):
+                rows = rows.join(parts.withColumnRenamed("term", side), side, "left_semi")
+            rows = rows.select(F.concat("head", F.lit(" "), "last").alias("term"))
+        counts = stage(_count(rows), "run-counts")
+        found = counts if found is None else found.unionByName(counts)
+        top = stage(_top(found, max_features), "top-runs")
+        size, bound = top.agg(F.count(F.lit(1)), F.min("corpus_tf")).first()
+        bound = bound if size == max_features else 1
+        parts = stage(counts.filter(F.col("corpus_tf") >= bound).select("term"), "frequent-runs")
+        found = top
+    return found
+
+
 def literal_doubles(values) -> Column:
     """A constant array of doubles."""
     return F.from_json(F.lit(json.dumps(list(values))), "array<double>")

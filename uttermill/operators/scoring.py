@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ from ..constants import (
 from ..functions import text as tx
 from ..functions.rows import divide_all
 from ..functions.scores import all_scores, label_at, ranked
-from .classify import with_keyword_scores
+from .classify import keyword_scores, with_keyword_scores
 
 
 def check_threshold(threshold: float) -> float:
@@ -131,6 +134,116 @@ def score_batch(
     )
 
 
+def batch_reject_reason(texts: Column, limit: int = MAX_BATCH_TEXTS) -> Column:
+    """Why a request with a list of texts is refused; null if it is accepted."""
+    return (
+        F.when(texts.isNull() | (F.size(texts) < 1), "no_texts")
+        .when(F.size(texts) > limit, "too_many_texts")
+        .when(F.exists(texts, lambda t: t.isNull()), "null_text")
+    )
+
+
+def keyword_list_scorer(keywords: KeywordTable = KEYWORDS) -> Callable[[Column], Column]:
+    """Scorer from an array of cleaned texts to an array of raw class scores, from keyword hits."""
+    return lambda texts: F.transform(texts, lambda t: keyword_scores(keywords, F.lower(t)))
+
+
+def python_list_scorer(make_predict: Callable[[], Callable], batch_size: int = SCORING_BATCH) -> Callable[[Column], Column]:
+    """As ``python_scorer`` for arrays of texts: the model sees the texts of many rows at once."""
+
+    @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = make_predict()
+        for lists in batches:
+            flat = [t for texts in lists if texts is not None for t in texts]
+            scores = [row.tolist() for k in range(0, len(flat), batch_size) for row in np.asarray(predict(np.array(flat[k : k + batch_size], object)))]
+            rows = iter(scores)
+            yield pd.Series([None if texts is None else [next(rows) for _ in texts] for texts in lists], dtype=object)
+
+    return apply
+
+
+def _results(df: DataFrame, labels: list[str], threshold: Column) -> DataFrame:
+    """Add ``results`` from ``_cleaned`` and ``_scores``, item by item; each step is its own projection."""
+    df = df.withColumn("_top", F.transform("_scores", lambda s: F.array_repeat(F.array_max(s), F.size(s))))
+    df = df.withColumn("_exp", F.zip_with("_scores", "_top", lambda s, m: F.zip_with(s, m, lambda x, y: F.exp(x - y))))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+    df = df.withColumn("_probs", F.transform("_exp", lambda e: divide_all(e, total(e))))
+    df = df.withColumn("_ranked", F.transform("_probs", ranked))
+    second = lambda r: F.when(F.size(r) > 1, label_at(labels, F.get(r, F.lit(1))["id"]))
+    df = df.withColumn(
+        "_two",
+        F.transform(
+            "_ranked",
+            lambda r: F.struct(
+                label_at(labels, r[0]["id"]).alias("intent"),
+                F.round(r[0]["p"], 4).alias("confidence"),
+                second(r).alias("secondary_intent"),
+                F.round(F.get(r, F.lit(1))["p"], 4).alias("secondary_confidence"),
+            ),
+        ),
+    )
+    items = F.arrays_zip(F.col("_two"), F.col("_cleaned"), F.col("_probs"))
+    low = lambda i: i["_two"]["confidence"] < threshold
+    return df.withColumn(
+        "results",
+        F.transform(
+            items,
+            lambda i: F.struct(
+                i["_two"]["intent"].alias("intent"), i["_two"]["confidence"].alias("confidence"),
+                low(i).alias("is_uncertain"), low(i).alias("fallback"),
+                i["_two"]["secondary_intent"].alias("secondary_intent"),
+                i["_two"]["secondary_confidence"].alias("secondary_confidence"),
+                i["_cleaned"].alias("cleaned_text"), all_scores(labels, i["_probs"]).alias("all_scores"),
+            ),
+        ),
+    ).drop("_top", "_exp", "_probs", "_ranked", "_two")
+
+
+def classify_batches(
+    df: DataFrame,
+    labels: list[str] = INTENTS,
+    scorer: Callable[[Column], Column] | None = None,
+    threshold: float | str = CONFIDENCE_THRESHOLD,
+    texts_col: str = "texts",
+    limit: int = MAX_BATCH_TEXTS,
+) -> DataFrame:
+    """Add ``results`` (one struct per text, in order), ``total`` and ``reject_reason`` to rows of text lists.
+
+    A list is scored inside its row: it is neither taken apart nor shuffled.  A list that
+    is null, empty, longer than ``limit`` or holds a null is rejected as a whole, with
+    null results; an empty text is scored like any other.  ``threshold`` is a number or
+    the name of a column.
+    """
+    limit_p = F.col(threshold) if isinstance(threshold, str) else F.lit(check_threshold(threshold))
+    scorer = scorer or keyword_list_scorer()
+    checked = df.withColumn("reject_reason", batch_reject_reason(F.col(texts_col), limit))
+    kept = F.when(F.col("reject_reason").isNull(), F.col(texts_col))
+    checked = checked.withColumn("_kept", kept).withColumn("_clean", F.transform("_kept", tx.clean_text))
+    plain = F.zip_with("_clean", "_kept", lambda c, t: F.when(c == "", tx.strip(t)).otherwise(c))
+    scored = checked.withColumn("_cleaned", plain).withColumn("_scores", scorer(F.col("_cleaned")))
+    found = _results(scored, labels, limit_p).withColumn("total", F.size("results").cast("int"))
+    found = found.withColumn("total", F.when(F.col("reject_reason").isNull(), F.col("total")))
+    return found.drop("_kept", "_clean", "_cleaned", "_scores")
+
+
+def text_lists(df: DataFrame, id_col: str, order: list[str], text_col: str = "text", limit: int = MAX_BATCH_TEXTS) -> DataFrame:
+    """(id, texts): the texts of each request in order, as ``classify_batches`` takes them.
+
+    Requests are counted first, so that one with more than ``limit`` texts, which will be
+    rejected, never gathers in a task: it gets ``limit + 1`` empty ones.  A null id is a request.
+    """
+    rows = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], F.col(text_col).alias("_text"))
+    sizes = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > limit).select(F.col("_id").alias("_large"))
+    small = rows.join(large, rows["_id"].eqNullSafe(F.col("_large")), "left_anti")
+    keys = [f"_o{k}" for k in range(len(order))]
+    lists = small.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct(*keys, "_text"))).alias("_l"))
+    lists = lists.select("_id", F.transform("_l", lambda x: x["_text"]).alias("texts"))
+    over = large.select(F.col("_large").alias("_id"), F.array_repeat(F.lit(""), limit + 1).alias("texts"))
+    return lists.unionByName(over).withColumnRenamed("_id", id_col)
+
+
 def score_ranking(scored: DataFrame, id_cols: list[str]) -> DataFrame:
     """One row per (request, class), best score first, the predicted class marked."""
     entries = F.transform(

@@ -349,8 +349,9 @@ def leak_ngrams(spark, sf_dir):
 @query
 def decontaminate(spark, sf_dir):
     """Documents that do not hold half of a benchmark item's n-grams."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return contamination.decontaminate(docs, _shared_ngrams(spark, sf_dir))
+    docs = corpus.with_clean_columns(documents(spark, sf_dir, "doc_id", "lang", "n_chars", "text"))
+    items = corpus.with_clean_columns(table(spark, sf_dir, "benchmark"))
+    return contamination.decontaminate(docs, items).select("doc_id", "lang", "n_chars")
 
 
 # --- features ----------------------------------------------------------------------

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import LANG_OOD_SOURCES
-from ..operators import metrics
+from ..constants import LANG_DEFAULT, LANG_ERROR_PAIRS, LANG_KEYWORDS, LANG_OOD_SOURCES
+from ..functions import text as tx
+from ..functions.rows import explode_rows
+from ..operators import corpus, errors, features, keywords, metrics, scoring
 from ..sources import delimited, files, model_metrics
-from ..sources.tables import table
-from .registry import LABELS, keyword_variants, manifest, query, with_variants
+from ..sources.tables import requests, table
+from .registry import LABELS, documents, flagship, keyword_variants, manifest, query, with_variants
 from .staging import stage, staging_path
 
 # --- stored inputs -------------------------------------------------------------------
@@ -60,3 +62,46 @@ def metrics_document(spark, sf_dir):
     figures = ["test_accuracy", "test_macro_f1", "test_macro_precision", "test_weighted_f1", "ood_accuracy", "ood_macro_f1"]
     wide = models.select("model", *figures, "label", "m.*")
     return report.join(wide, ["model", "label"], "left")
+
+
+# --- request lists, rules, keywords ----------------------------------------------------
+
+
+@query
+def classify_batches(spark, sf_dir):
+    """Conversations as requests with a list of texts; every text of a list is scored inside its row."""
+    asked = scoring.text_lists(requests(spark, sf_dir), "conv_id", ["turn"])
+    found = scoring.classify_batches(asked, LABELS, scoring.keyword_list_scorer(LANG_KEYWORDS))
+    one = lambda r: F.concat_ws(
+        "|", r["intent"], F.round(r["confidence"] * 10_000).cast("int").cast("string"), r["fallback"].cast("string"), r["secondary_intent"], r["cleaned_text"]
+    )
+    return found.select("conv_id", "total", "reject_reason", F.md5(F.array_join(F.transform("results", one), "\n").cast("binary")).alias("results"))
+
+
+@query
+def error_rules(spark, sf_dir):
+    """The decision list as a table, over all wrong predictions."""
+    scored = stage(flagship(spark, sf_dir).select("ord", "intent", "predicted_intent", "clean_text"), "predicted")
+    rules = errors.rule_table(spark, LANG_ERROR_PAIRS)
+    return errors.error_rules(scored.filter("intent <> predicted_intent"), rules).select("ord", "failure_analysis")
+
+
+KEYWORDS_PER_CLASS = 2_500
+
+
+@query
+def keyword_table(spark, sf_dir):
+    """Classes of documents by the commonest words of each class, some 10,000 keywords."""
+    docs = corpus.filter_valid_labels(documents(spark, sf_dir, "doc_id", "lang", "text").withColumnRenamed("lang", "intent"), LABELS)
+    words = docs.select("intent", tx.all_words("text").alias("words"))
+    counts = explode_rows(words, ["intent"], "words", "keyword").groupBy("intent", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("intent").orderBy(F.desc("n"), "keyword")
+    table_ = counts.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= KEYWORDS_PER_CLASS).select("intent", "keyword")
+    found = keywords.classify_by_table(docs, stage(table_, "keywords"), LABELS, LANG_DEFAULT, "text")
+    return found.select("doc_id", "intent", "predicted_intent", *[F.col("scores")[k].cast("bigint").alias(f"hits_{x}") for k, x in enumerate(LABELS)])
+
+
+@query
+def vocab_ngrams(spark, sf_dir):
+    """The commonest runs of one to four words."""
+    return features.ngram_vocabulary(documents(spark, sf_dir, "doc_id", "text"), (1, 4), text_col="text")
