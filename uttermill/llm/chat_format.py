@@ -6,14 +6,18 @@ anti-join keeps the maximal conversations, of equal ones the smallest id, and on
 these are rendered.  Everything is DataFrame operations.
 
 The rolling hash is the exclusive-or of the hashes of (position, role, text), 128 bits
-wide.  So it can be summed up in two levels, blocks of turns and then turns of a block,
-and a conversation with a large part of all rows is spread over many tasks.
+wide.  So it can be summed up in two levels, blocks of turns and then turns of a block.
+Turns are put in order by range partitions, numbered by their place in the partition and the
+partition's offset in the conversation, and cut into blocks by that number: a conversation
+with a large part of all rows is spread over many tasks, whatever its turn numbers are.
 
 Defined cases: turns are ordered by number, role and text, nulls last in each, both for
 prefixes and in the rendered text.  A null role is rendered as ``unknown``, a null text as an
 empty one; both differ from their rendered forms when prefixes are compared.  Rows with
 a null id are one conversation, kept under that id unless an equal one has an id.
-Repeated rows are turns of their own.  Other columns are ignored.
+Repeated rows are turns of their own.  An empty table gives an empty result.  Texts of any
+length are compared by their hashes and rendered whole; a kept conversation must fit into a
+row.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,22 +35,27 @@ OPEN, BETWEEN, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 def rolling_hashes(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """(conv, at, size, x, y): hash (x, y) of the first ``at`` of the ``size`` turns of ``turns`` (conv, turn, role, text, a, b)."""
     block = ["conv", "block"]
-    inside = Window.partitionBy(*block).orderBy(*[F.col(c).asc_nulls_last() for c in ("turn", "role", "text")])
-    number = F.floor(F.col("turn") / block_turns).cast("long")
-    blocked = turns.withColumn("block", F.coalesce(number, F.lit(NO_ID)))
-    sizes = stage(blocked.groupBy(*block).agg(F.count(F.lit(1)).alias("n")), "chat-blocks")
-    whole, before = Window.partitionBy("conv"), Window.partitionBy("conv").orderBy("block")
+    order = [F.col("conv"), *[F.col(c).asc_nulls_last() for c in ("turn", "role", "text")]]
+    # rows that are equal in all of it are interchangeable; the salt lets a range end among them
+    salted = turns.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)))
+    ranged = salted.repartitionByRange(*order, "salt").sortWithinPartitions(*order)
+    part, number = F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("number")
+    ranged = stage(ranged.select("conv", part, number, "a", "b"), "chat-order")
+    parts = ranged.groupBy("conv", "part").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n"))
+    whole, before = Window.partitionBy("conv"), Window.partitionBy("conv").orderBy("part")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *block, F.sum("n").over(whole).alias("size"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    starts = parts.select(
+        "conv", "part", "first", F.sum("n").over(whole).alias("size"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )
-    placed = blocked.withColumn("rank", F.row_number().over(inside)).join(starts, block)
-    placed = placed.withColumn("at", F.col("start") + F.col("rank"))
+    placed = ranged.join(stage(starts, "chat-parts"), ["conv", "part"])
+    placed = placed.withColumn("at", F.col("number") - F.col("first") + F.col("start") + 1)
     hashed = placed.select(
-        *block, "at", "size", F.xxhash64("at", "a", "b").alias("x"), F.xxhash64("b", "at", "a").alias("y")
-    )
+        "conv", F.floor((F.col("at") - 1) / block_turns).alias("block"), "at", "size",
+        F.xxhash64("at", "a", "b").alias("x"), F.xxhash64("b", "at", "a").alias("y"),
+    )
     hashed = stage(hashed, "chat-turns")
     xor = lambda c, w: F.bit_xor(c).over(w)
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = hashed.groupBy(*block).agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
     earlier = totals.select(*block, *[F.coalesce(xor(c, before), F.lit(0)).alias(f"{c}0") for c in "xy"])
     running = Window.partitionBy(*block).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)

@@ -51,6 +51,15 @@ def bounded_share(rows: DataFrame, key: str, max_rows: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), named(key)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def one_row_each(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """One row per combination of ``keys``: that of the text with the least hash.
+
+    Combined on the map side, so an id with any number of rows never gathers in a task.
+    """
+    first = F.min_by(F.col(text_col), F.struct(F.xxhash64(text_col), F.length(text_col)))
+    return rows.groupBy(*keys).agg(first.alias(text_col))
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that run inside send tasks' Python workers so many rows at once, for rows that are wide."""

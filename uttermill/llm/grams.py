@@ -1,6 +1,6 @@
 """Hashed n-gram frequencies of texts, for linear models.
 
-Families of grams have index ranges of their own: byte trigrams, words, pairs of words,
+Families of grams have index ranges of their own: trigrams of code points, words, pairs of words,
 and repeats.  A family's frequencies are counts over its number of grams in the text.
 A pair of equal words has one index for all words, as repetition itself is what it
 tells; repeats are these pairs alone, over the number of all pairs.
@@ -18,20 +18,21 @@ from pyspark.sql import DataFrame
 from .frames import named
 from .kernels import WHITE, SpanHasher, chunks, mix, spans
 
-ALL = ("bytes", "words", "pairs")
+ALL = ("chars", "words", "pairs")
 Grams = tuple[np.ndarray, np.ndarray, np.ndarray]  # index and row of every gram, number of grams by row
 
 
 def gram_ids(data: np.ndarray, bounds: np.ndarray, bits: int, families: tuple[str, ...] = ALL) -> list[Grams]:
     n_rows, shift = len(bounds) - 1, np.uint64(64 - bits)
     found = {}
-    if "bytes" in families:
-        sizes = np.maximum(np.diff(bounds) - 2, 0)
+    if "chars" in families:
+        point = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+        edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+        sizes = np.maximum(np.diff(edges) - 2, 0)
         row = np.repeat(np.arange(n_rows), sizes)
-        at = np.arange(len(row)) + np.repeat(bounds[:-1] - np.cumsum(sizes) + sizes, sizes)
-        wide = data.astype(np.uint64)
-        three = (wide[at] << np.uint64(16)) | (wide[at + 1] << np.uint64(8)) | wide[at + 2]
-        found["bytes"] = mix(three) >> shift, row, sizes
+        at = np.arange(len(row)) + np.repeat(edges[:-1] - np.cumsum(sizes) + sizes, sizes)
+        three = (point[at] << np.uint64(42)) | (point[at + 1] << np.uint64(21)) | point[at + 2]
+        found["chars"] = mix(three) >> shift, row, sizes
     starts, ends, doc = spans(~WHITE[data], bounds)
     word = SpanHasher(data)(starts, ends)
     found["words"] = word >> shift, doc, np.bincount(doc, minlength=n_rows)
@@ -44,14 +45,19 @@ def gram_ids(data: np.ndarray, bounds: np.ndarray, bits: int, families: tuple[st
     return [(found[f][0].astype(np.int64) + (k << bits), *found[f][1:]) for k, f in enumerate(families)]
 
 
+def margins_of(grams: list[Grams], weights: np.ndarray, n_rows: int) -> np.ndarray:
+    """Sum of weight times frequency, per row, of the grams that ``gram_ids`` has found."""
+    total = np.zeros(n_rows)
+    for index, row, count in grams:
+        total += np.bincount(row, weights=weights[index], minlength=n_rows) / np.maximum(count, 1)
+    return total
+
+
 def margins(
     data: np.ndarray, bounds: np.ndarray, weights: np.ndarray, bits: int, families: tuple[str, ...] = ALL
 ) -> np.ndarray:
     """Sum of weight times frequency, per row."""
-    total = np.zeros(len(bounds) - 1)
-    for index, row, count in gram_ids(data, bounds, bits, families):
-        total += np.bincount(row, weights=weights[index], minlength=len(total)) / np.maximum(count, 1)
-    return total
+    return margins_of(gram_ids(data, bounds, bits, families), weights, len(bounds) - 1)
 
 
 class Matrix:

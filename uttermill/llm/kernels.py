@@ -15,9 +15,9 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+# two primes below 2**31 and a base for each, drawn once: a span's hash is a polynomial of its bytes modulo both
+_FIELDS = ((2147483647, 1284397553), (2147483629, 1950340681))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,13 +64,19 @@ def line_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.sort(owner, kind="stable")
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get(0, ())) < n:
-        for key, base in ((0, _BASE), (1, _BASE_INVERSE)):
-            table = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-            table[0] = 1
-            _powers[key] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+def _power_table(field: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to ``n`` or more of a field's base and of its inverse."""
+    if field not in _powers or len(_powers[field][0]) <= n:
+        prime, base = _FIELDS[field]
+        tables = []
+        for factor in (base, pow(base, -1, prime)):
+            table = np.ones(1, np.uint64)
+            while len(table) <= max(n, CHUNK_BYTES):
+                step = np.uint64(pow(factor, len(table), prime))
+                table = np.concatenate([table, table * step % np.uint64(prime)])
+            tables.append(table)
+        _powers[field] = tables[0], tables[1]
+    return _powers[field]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,15 +87,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class SpanHasher:
-    """64-bit hashes of arbitrary spans of one byte array, by prefix sums of a polynomial."""
+    """64-bit hashes of arbitrary spans of one byte array, by prefix sums of polynomials modulo two primes."""
 
     def __init__(self, data: np.ndarray):
-        powers, self._inverse = _power_table(len(data) + 1)
-        self._prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=self._prefix[1:])
+        self._parts = []
+        for field, (prime, _) in enumerate(_FIELDS):
+            powers, inverse = _power_table(field, len(data) + 1)
+            terms = (data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)]
+            if len(data) > 1 << 24:  # sums of that many terms could pass 64 bits
+                terms %= np.uint64(prime)
+            prefix = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(terms, out=prefix[1:])
+            self._parts.append((prefix, inverse, np.uint64(prime)))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._prefix[ends] - self._prefix[starts]) * self._inverse[starts])
+        a, b = ((prefix[ends] - prefix[starts]) % prime * inverse[starts] % prime for prefix, inverse, prime in self._parts)
+        return mix(a << np.uint64(32) | b)
 
 
 def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -90,8 +90,7 @@ def pattern_spans(text: str) -> list[Span]:
 @lru_cache(maxsize=20_000)
 def shape(token: str) -> tuple[str, str]:
     """A word's outline (runs of like characters as one) and the same with lengths of digit runs."""
-    core = token if len(token) <= 64 else token[:64]  # outline only; longer words are nothing of ours
-    plain = re.sub(r"[^\W\d_]+", "a", core)
+    plain = re.sub(r"[^\W\d_]+", "a", token)
     return _DIGITS.sub("9", plain), _DIGITS.sub(lambda m: f"{len(m.group())}#", plain)
 
 

@@ -1,13 +1,15 @@
 """Quality rules: text statistics with fixed limits, and a calibrated linear model.
 
-Method: logistic regression over hashed word and byte n-gram frequencies, fitted on
-labelled rows (a bounded sample, in one task); its margins are turned into probabilities by a sigmoid fitted on rows
+Method: logistic regression over hashed word and character n-gram frequencies, fitted on
+labelled rows (a bounded sample of ids with one row each, in one task); its margins are turned into probabilities by a sigmoid fitted on rows
 left out of the first fit; texts are scored in Arrow batches against a fixed limit.
 
 Defined cases: a null text has no words and fails the word limit.  Several labels of
 one document are averaged, half or more is 1; null labels do not count.  With labels
 of one class only (or none) there is nothing to fit: the verdict is then the limits'
-alone.  Every row has its own result; an empty table gives an empty one.
+alone.  Every row has its own result, however often its id repeats; an empty table gives an
+empty one.  A text of any length is handled whole, as a chunk by itself.  Columns with any other
+names are not read.  Equal probabilities at the limit are kept.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from .frames import bounded_share, named
+from .frames import bounded_share, named, one_row_each
 from .grams import descend, margins, read_vectors, sparse_rows
 from .kernels import WHITE, SpanHasher, chunks, line_spans, mix, per_row, spans
 
@@ -120,7 +122,7 @@ def fit(
     chosen = bounded_share(known, "id", max_labelled)  # bounded, hence broadcast
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(CALIBRATION_FOLD)) == 0)
     texts = docs.select(named(id_col).cast("long").alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id")
+    rows = one_row_each(texts.join(F.broadcast(chosen), "id"), ["id", "y", "fold"], "text")  # at most as many as ids
     sample = stage(sparse_rows(rows, "text", ["y", "fold"], BITS), "quality-sample")
     columns = "weights binary, intercept double, margins binary, labels binary"
     found = sample.repartition(1).mapInArrow(_fit_task, columns).collect()
