@@ -10,6 +10,7 @@ from math import log10
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -324,7 +325,7 @@ def brute_base(rows):
 
 def test_language_model_base_scores(docs, empty):
     want, _ = brute_base(pairs_of(docs))
-    for options in ({}, {"max_words": 30, "max_arcs": 50}):
+    for options in ({}, {"group_bytes": 40_000}):
         got = sorted([tuple(r) for r in language_model.lm_scores(docs, **options).collect()], key=repr)
         assert [g[:5] for g in got] == [w[:5] for w in want]
         assert all(abs(g[5] - w[5]) <= 1e-9 * abs(w[5]) for g, w in zip(got, want))
@@ -363,31 +364,76 @@ def test_language_model_has_all_ngrams(spark, docs):
     words = [f"w{k}" for k in range(3_000)]
     large = [(i, " ".join(rng.choices(words, k=500))) for i in range(320)] + [(7_000, "the pair the pair the pair"), (7_000, "w1 w2")]
     large_docs = spark.createDataFrame(large, "doc_id long, text string")
-    for rows, table in ((pairs_of(docs), docs), (large, large_docs)):
+    for rows, table, size in ((pairs_of(docs), docs, 50_000), (large, large_docs, 1 << 23), (large, large_docs, 60_000)):
         want = sorted(brute_scores(rows), key=repr)
-        got = sorted([(r.doc_id, r.score) for r in language_model.lm_scores(table).collect()], key=repr)
+        got = sorted([(r.doc_id, r.score) for r in language_model.lm_scores(table, group_bytes=size).collect()], key=repr)
         assert [g[0] for g in got] == [w[0] for w in want]
         assert all(abs(g[1] - w[1]) <= 1e-9 * abs(w[1]) for g, w in zip(got, want))
 
 
-def test_automaton_is_a_distribution(docs):
+def model_of(texts, train):
+    """The grams of a group and the model that its own texts teach."""
+    grams = language_model.Grams(pa.chunked_array([pa.array(texts)]))
+    counts = [grams.counts(k, np.array(train)) for k in range(3)]
+    kinds = [np.bincount(x[c > 0], minlength=len(grams.keys[k])) for k, (x, c) in enumerate(((grams.head, counts[1]), (grams.context, counts[2])))]
+    return grams, language_model.Model(counts, kinds, int(counts[0].sum()), int((counts[0] > 0).sum()))
+
+
+def small_texts():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", f"w{k % 5}"]) for _ in range(rng.randrange(12))) for k in range(60)]
+    return texts, [k % 7 != 2 for k in range(60)]
+
+
+@pytest.mark.parametrize("lane", [1, 3, 2_048])
+def test_automaton_passes_texts_as_defined(lane):
+    texts, train = small_texts()
+    rows = list(enumerate(texts))
+    ids = [i for i in range(1_000) if zlib.crc32(str(i).encode()) % 7 != 2], [i for i in range(1_000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(ids[0].pop() if t else ids[1].pop(), x) for t, x in zip(train, texts)]
+    grams, model = model_of(texts, train)
+    assert np.allclose(model.scores(grams, len(texts), lane), [s for _, s in brute_scores(rows)], rtol=1e-12)
+
+
+def test_automaton_is_a_distribution():
     """In every state the probabilities of all words, the unseen one included, add up to one."""
-    counts, words, a = language_model.fit(docs.filter("length(text) < 2000"), max_arcs=400)
-    rest = [r.n for r in counts.filter(f"n < {words.counts.min()}").collect()]
-    tail = sum((n + 1) / (words.n_tokens + words.n_kinds + 1) for n in rest) + 1 / (words.n_tokens + words.n_kinds + 1)
-    assert len(a.fail) > 20 and max(a.fail) > 0
-    for state in range(len(a.fail)):
-        total, leave, at = 0.0, 0.0, state
+    texts, train = small_texts()
+    grams, model = model_of(texts, train)
+    machine, after_word, _ = model.automaton(grams)
+    words = np.arange(len(grams.keys[0]))
+    assert len(machine.fail) > 20 and machine.fail.max() > 0
+    known = model.counts[0] > 0
+    for state in range(len(machine.fail)):
+        one = np.ones(len(words), np.int64)
+        got = 10 ** machine.run(words, words, one, np.full(len(words), state))
+        leave, at = 0.0, state
         while at:
-            leave += a.fail_weight[at]
-            at = a.fail[at]
-        for w in range(len(words.counts)):
-            at, weight = state, 0.0
-            while at and (at << 20 | w) not in a.arcs:
-                weight, at = weight + a.fail_weight[at], a.fail[at]
-            weight += a.weight[a.arcs[at << 20 | w]] if at else a.root_weight[w]
-            total += 10**weight
-        assert abs(total + tail * 10**leave - 1) < 1e-9
+            leave, at = leave + machine.fail_weight[at], machine.fail[at]
+        unseen = 10 ** (leave - np.log10(model.n_tokens + model.n_kinds + 1))
+        assert abs(got[known].sum() + unseen - 1) < 1e-9 and np.allclose(got[~known], unseen)
+
+
+def test_exchange_adds_up_and_names_one_owner():
+    rng = np.random.default_rng(3)
+    parts = []
+    for g in range(5):
+        keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 40) // (1 << 57))
+        parts.append((g, keys, rng.integers(0, 3, len(keys)) * 300))
+    for buckets in (1, 3, 8):
+        asked = pa.concat_tables([language_model.ask(g, buckets, {1: (k, n)}) for g, k, n in reversed(parts)])
+        answers = [language_model._answer(asked.filter(pa.compute.equal(asked.column("bucket"), b))) for b in set(asked.column("bucket").to_pylist())]
+        answers = pa.concat_tables(answers)
+        want, owners = Counter(), {}
+        for g, keys, n in parts:
+            for k, x in zip(keys.tolist(), n.tolist()):
+                want[k] += x
+                if x:
+                    owners.setdefault(k, g)
+        for g, keys, _ in parts:
+            total, owned = language_model.read_answers(answers.filter(pa.compute.equal(answers.column("g"), g)), 1, keys, buckets)
+            assert total.tolist() == [want[k] for k in keys.tolist()] and owned.tolist() == [owners.get(k) == g for k in keys.tolist()]
+        assert sum(answers.column("every").to_pylist()) == sum(want.values())
+        assert sum(answers.column("distinct").to_pylist()) == len(owners)
 
 
 def test_language_model_beats_its_base_on_held_out_texts(spark):

@@ -1,51 +1,54 @@
 """Scoring of texts by a smoothed n-gram model in the form of a backoff automaton.
 
-Method: states are contexts (none, one word, two words), arcs the n-grams kept of the
-training corpus with their interpolated log-probability, and each state has a failure
-arc to the context one word shorter with the log of the mass left to it.  One traversal
-of a text from left to right carries the state and adds up the weights it passes.
+Method: states are contexts (none, one word, two words), arcs the n-grams of the training
+texts with their interpolated log-probability, and each state has a failure arc to the
+context one word shorter with the log of the mass left to it.  One traversal of a text from
+left to right carries the state and adds up the weights it passes.
 
     p(w | u) = max(c(u w) - D, 0) / c(u) + left(u) * p(w | u without its first word)
-    left(u)  = 1 - sum over kept w of (c(u w) - D) / c(u)
+    left(u)  = D * kinds(u) / c(u), kinds(u) being the number of words seen after u
     p(w)     = (c(w) + 1) / (N + V + 1)
 
-States and arcs are staged tables: every pair and triple of words of the training texts
-is an arc, at any size of the input, and every word and pair that another word follows a
-state.  Each distinct triple of the texts to score meets its last two words and its
-context there once, by joins that Spark splits for hot keys; the weight found then goes
-to the triple's occurrences.  A text begins with two start marks, which are no contexts.
-
-Only if a caller bounds the model (``max_words``, ``max_arcs``) an automaton in memory
-is used: words above ``1 / max_words`` and n-grams above ``1 / max_arcs`` of the
-training tokens, the mass of the others in ``left``.  Words below never begin or extend
-a kept n-gram; their own probabilities come from a join with the full counts.
-
-Words, pairs and triples are told apart by 64-bit hashes.  Defined cases: a null text has the end token
-only.  Rows that repeat id and text each get their row.  A null id trains or not by the
-checksum of the empty text.  Without training texts every probability is one.
+All n-grams of all training texts count, at any size of the input.  Texts are dealt into groups
+of about ``GROUP_BYTES``.  A group asks for the counts of its distinct n-grams: sorted hashes
+go out in one row per bucket of the hash range, a bucket adds up what all groups have, and
+the totals come back in the order asked, so no n-gram is a row of its own and none is sent
+back.  One group of those that hold an n-gram in training text is told to count it as a kind; the
+kinds of each context are added up by a second exchange of the same form.  From both, each
+group builds the part of the automaton that its texts pass through (their states, arcs, failure
+arcs and weights are those of the whole model) and runs its texts through it.
+
+Buckets follow hashes of whole n-grams, so a common word, pair or context is no hot bucket: of
+an n-gram there is one entry per group at most.
+
+Words and n-grams are told apart by 64-bit hashes.  Defined cases: a null text has the end token
+only.  Rows that repeat, or share an id, are scored and learned each for itself.  A null id trains
+or not by the checksum of the empty text.  Without training texts every probability is one.
+An empty table gives an empty result.  There are no ties: weights are sums and quotients of
+counts.  A text of any length is scored whole; a group holds one text at least.  Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from .frames import NO_ID, crc_remainder, named, row_key
+from .frames import crc_remainder, named, row_key
 from .kernels import LOWER, WHITE, RowIndex, SpanHasher, chunks, mix, signed, spans
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
-MAX_WORDS, MAX_ARCS = 1 << 20, 1 << 17
 END = np.int64(1)  # hash that stands for the end of a text
-START = np.int64(2)  # and for the two tokens before its first
-FLUSH_TOKENS = 1 << 21
-_WORD_BITS = 20
+GROUP_BYTES = 8 << 20
+LANE = 2_048  # tokens of a text that one lane of the traversal passes
 
 
 def token_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,360 +60,302 @@ def token_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return np.insert(signed(SpanHasher(low)(starts, ends)), stops, END), np.insert(doc, stops, np.arange(n_rows))
 
 
-@dataclass
-class Words:
-    """Frequent words: ids by hash, counts by id; and the totals of all words."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    n_tokens: int
-    n_kinds: int
-    index: RowIndex = field(init=False)
-
-    def __post_init__(self):
-        self.index = RowIndex(self.hashes)
-
-    def log_p(self, count):
-        return np.log10((count + 1.0) / (self.n_tokens + self.n_kinds + 1.0))
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a sequence from the hash of all but its last word and that of its last."""
+    return signed(mix(mix(a.view(np.uint64)) + b.view(np.uint64)))
 
 
-def _counter(keys_of):
-    """mapInArrow function: (key, n) of what ``keys_of`` makes of a chunk, counted in parts of bounded size."""
+class Grams:
+    """Tokens of a group's texts and its distinct n-grams of one, two and three words, in hash order."""
+
+    def __init__(self, texts: pa.ChunkedArray, orders: int = 3):
+        parts = [(h, doc + a) for a, _, data, bounds in chunks(texts) for h, doc in [token_hashes(data, bounds)]]
+        h, self.doc = (np.concatenate(x) for x in zip(*parts))
+        n = len(h)
+        self.keys, self.of, self.at = [], [], []  # by order: distinct hashes, their numbers, and at which tokens
+        inner = np.append(False, self.doc[1:] == self.doc[:-1])[:n]
+        first, key = [], h
+        for k in range(orders):
+            at = np.arange(n) if k == 0 else np.flatnonzero(inner if k == 1 else inner & np.append(False, inner[:-1]))
+            if k:  # all but the last word end at the token before
+                whole = np.zeros(n, np.int64)
+                whole[at] = _joined(key[at - 1], h[at])
+                key = whole
+            found, begin, number = np.unique(key[at], return_index=True, return_inverse=True)
+            self.keys.append(found)
+            self.of.append(number)
+            self.at.append(at)
+            first.append(at[begin])
+        self.word = self.of[0]
+        if orders > 1:
+            pair_at = np.full(n, -1)
+            pair_at[self.at[1]] = self.of[1]
+            self.head, self.last = self.word[first[1] - 1], self.word[first[1]]  # words of each distinct pair
+            self.pair_at = pair_at
+        if orders > 2:  # pairs that begin and end each distinct triple, and its last word
+            self.context, self.tail, self.third = pair_at[first[2] - 1], pair_at[first[2]], self.word[first[2]]
+
+    def counts(self, order: int, train: np.ndarray) -> np.ndarray:
+        """Occurrences of each distinct n-gram in the rows that ``train``."""
+        return np.bincount(self.of[order], weights=train[self.doc[self.at[order]]], minlength=len(self.keys[order])).astype(np.int64)
+
+
+# exchanges: groups ask, buckets answer
+
+ASK = "kind int, bucket int, g int, keys binary, n binary"
+ANSWER = "g int, kind int, bucket int, totals binary, owned binary, every long, distinct long"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    top = int(values.max(initial=0))
+    return values.astype(next(t for t in ("<u1", "<u2", "<u4", "<i8") if top <= np.iinfo(t).max)).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<{'u' if len(raw) < 8 * n else 'i'}{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def ask(g: int, buckets: int, asked: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """Rows of one group: by kind and bucket, keys and what the group adds to each."""
+    rows = {"kind": [], "bucket": [], "g": [], "keys": [], "n": []}
+    edges = np.array([(b << 64) // buckets - (1 << 63) for b in range(1, buckets)], np.int64)
+    for kind, (keys, n) in asked.items():
+        cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+        for b, (s, e) in enumerate(zip(cuts, cuts[1:])):
+            if e > s:
+                for name, value in zip(rows, (kind, b, g, keys[s:e].tobytes(), _packed(n[s:e]))):
+                    rows[name].append(value)
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), kinds)})
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Totals of a bucket's keys for each group that asked, in the order asked; and for which of
+    them the group is the first to add something."""
+    table = table.sort_by("g")
+    keys = [np.frombuffer(x.as_py(), np.int64) for x in table.column("keys")]
+    n = np.concatenate([_unpacked(x.as_py(), len(k)) for x, k in zip(table.column("n"), keys)])
+    cuts = np.cumsum([len(k) for k in keys])
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")  # entries of a key by group
+    begin = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
+    total = np.add.reduceat(n[order], begin)
+    number = np.empty(len(flat), np.int64)
+    number[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(flat))))
+    adds = np.flatnonzero(n[order] > 0)
+    owner = adds[np.append(True, number[order][adds][1:] != number[order][adds][:-1])[: len(adds)]]
+    owned = np.zeros(len(flat), bool)
+    owned[order[owner]] = True
+    totals = [_packed(x) for x in np.split(total[number], cuts[:-1])]
+    marks = [np.packbits(x).tobytes() for x in np.split(owned, cuts[:-1])]
+    once = [int(total.sum()), int((total > 0).sum())]  # of the bucket, on its first row
+    rest = [0] * (len(keys) - 1)
+    return pa.table(
+        {
+            "g": table.column("g"), "kind": table.column("kind"), "bucket": table.column("bucket"),
+            "totals": pa.array(totals, pa.binary()), "owned": pa.array(marks, pa.binary()),
+            "every": pa.array([once[0], *rest], pa.int64()), "distinct": pa.array([once[1], *rest], pa.int64()),
+        }
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+def read_answers(answers: pa.Table, kind: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of a group's keys of one kind, and which of them it owns."""
+    edges = np.array([(b << 64) // buckets - (1 << 63) for b in range(1, buckets)], np.int64)
+    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    total, owned = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    for k, b, t, o in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "totals", "owned"))):
+        if k == kind:
+            s, e = cuts[b], cuts[b + 1]
+            total[s:e] = _unpacked(t, e - s)
+            owned[s:e] = np.unpackbits(np.frombuffer(o, np.uint8), count=e - s)
+    return total, owned
 
-        for batch in batches:
-            for _, _, data, bounds in chunks(batch.column("text")):
-                held.append(keys_of(*token_hashes(data, bounds)))
-                size += len(held[-1])
-                if size >= FLUSH_TOKENS:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
 
-    return run
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside remove their shuffle files when they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def _counted(texts: DataFrame, keys_of, least: float = 0) -> DataFrame:
-    counts = texts.mapInArrow(_counter(keys_of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return stage(counts.filter(F.col("n") >= least) if least else counts, "lm-counts")
+def _exchange(asks: DataFrame, name: str) -> DataFrame:
+    return stage(asks.groupBy("kind", "bucket").applyInArrow(_answer, ANSWER), name)
 
 
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts in key order, at the driver; the caller has bounded their number."""
-    found = df.toPandas().sort_values("key")
-    return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+# the automaton
 
 
 @dataclass
 class Automaton:
-    """Arcs by (state, word); state 0 is the empty context."""
-
-    root_weight: list[float]
-    root_next: list[int]
-    arcs: dict[int, int]  # state and word to the number of the arc
-    weight: list[float]
-    target: list[int]
-    fail_weight: list[float]
-    fail: list[int]
-
-    def score(self, ids: list[int]) -> float:
-        """Log10 probability of a text but for the words without id (-1), whose own weights are added elsewhere."""
-        total, state = 0.0, 0
-        arcs, weight, target = self.arcs, self.weight, self.target
-        fail, fail_weight, root_weight, root_next = self.fail, self.fail_weight, self.root_weight, self.root_next
-        for w in ids:
-            if w < 0:
-                while state:
-                    total += fail_weight[state]
-                    state = fail[state]
-                continue
-            while state:
-                k = arcs.get(state << _WORD_BITS | w)
-                if k is not None:
-                    total += weight[k]
-                    state = target[k]
-                    break
-                total += fail_weight[state]
-                state = fail[state]
-            else:
-                total += root_weight[w]
-                state = root_next[w]
-        return total
-
-
-def build_automaton(words: Words, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]) -> Automaton:
-    """``pairs``: keys word << 20 | word; ``triples``: keys pair number << 20 | word; each with counts, sorted."""
-    mask = (1 << _WORD_BITS) - 1
-    root = words.log_p(words.counts)
-    (pair, pair_n), (triple, triple_n) = pairs, triples
-    first, second = pair >> _WORD_BITS, pair & mask
-    head, last = triple >> _WORD_BITS, triple & mask
-    # states: 0, then words that begin a pair, then pairs that begin a triple
-    word_ids, pair_ids = np.unique(first), np.unique(head)
-    word_state = np.zeros(len(words.counts), np.int64)
-    word_state[word_ids] = np.arange(1, len(word_ids) + 1)
-    pair_state = np.zeros(len(pair), np.int64)
-    pair_state[pair_ids] = np.arange(1, len(pair_ids) + 1) + len(word_ids)
-
-    share = (pair_n - DISCOUNT) / words.counts[first]
-    left_word = 1 - np.bincount(first, weights=share, minlength=len(words.counts))
-    left_word = np.maximum(left_word, 1e-12)
-    p_pair = share + left_word[first] * 10 ** root[second]
-    after = np.where(pair_state > 0, pair_state, word_state[second])
-
-    share3 = (triple_n - DISCOUNT) / pair_n[head]
-    left_pair = np.maximum(1 - np.bincount(head, weights=share3, minlength=len(pair)), 1e-12)
-    inner = np.searchsorted(pair, second[head] << _WORD_BITS | last)  # the triple's last two words, a kept pair
-    p_triple = share3 + left_pair[head] * p_pair[inner]
-
-    states = np.concatenate([word_state[first], pair_state[head]])
-    arc_words = np.concatenate([second, last])
-    keys = (states << _WORD_BITS | arc_words).tolist()
-    return Automaton(
-        root.tolist(),
-        word_state.tolist(),
-        dict(zip(keys, range(len(keys)))),
-        np.log10(np.concatenate([p_pair, p_triple])).tolist(),
-        np.concatenate([after, after[inner]]).tolist(),
-        [0.0, *np.log10(left_word[word_ids]).tolist(), *np.log10(left_pair[pair_ids]).tolist()],
-        [0] * (1 + len(word_ids)) + word_state[second[pair_ids]].tolist(),
-    )
-
-
-def fit(docs: DataFrame, text_col: str = "text", max_words: int = MAX_WORDS, max_arcs: int = MAX_ARCS):
-    """(counts of all words, frequent words, automaton) of the texts of ``docs``."""
-    texts = docs.select(F.coalesce(named(text_col), F.lit("")).alias("text"))
-    counts = _counted(texts, lambda h, doc: h)
-    n_tokens, n_kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    words = Words(*_arrays(counts.filter(F.col("n") >= n_tokens / min(max_words, 1 << _WORD_BITS))), n_tokens, n_kinds)
-    least = n_tokens / max_arcs
-    index = words.index
-
-    def follow(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a chunk's tokens, and of each but the last whether the next is of the same text."""
-        return index(h), doc[1:] == doc[:-1]
-
-    often = words.counts >= least  # a pair is at most as frequent as its words
-
-    def pairs_of(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        ids, same = follow(h, doc)
-        same &= (ids[1:] >= 0) & (ids[:-1] >= 0)
-        a, b = ids[:-1][same].astype(np.int64), ids[1:][same].astype(np.int64)
-        both = often[a] & often[b]
-        return a[both] << _WORD_BITS | b[both]
-
-    pairs = _arrays(_counted(texts, pairs_of, max(least, 1)))
-    pair_index = RowIndex(pairs[0])
-
-    def triples_of(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        ids, same = follow(h, doc)
-        ids = ids.astype(np.int64)
-        number = np.full(len(ids), -1, np.int64)  # of the kept pair that begins here
-        at = np.flatnonzero(same & (ids[1:] >= 0) & (ids[:-1] >= 0))
-        number[at] = pair_index(ids[at] << _WORD_BITS | ids[at + 1])
-        go = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0))
-        return number[go] << _WORD_BITS | ids[go + 2]
-
-    triples = _arrays(_counted(texts, triples_of, max(least, 1)))
-    return counts, words, build_automaton(words, pairs, triples)
-
-
-def score_texts(
-    docs: DataFrame,
-    counts: DataFrame,
-    words: Words,
-    automaton: Automaton,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """(doc, tag, copies, n_tokens, n_known, base_score, score) per distinct row; see ``frames.row_key``."""
-    log_p = words.log_p(words.counts)
-    names = ["h", "doc", "tag", "n", "known", "base", "score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tag = (batch.column(k).to_numpy() for k in ("doc", "tag"))
-            for a, b, data, bounds in chunks(batch.column("text")):
-                h, row = token_hashes(data, bounds)
-                ids = words.index(h)
-                known = ids >= 0
-                n = np.bincount(row, minlength=b - a)
-                ends = np.cumsum(n).tolist()
-                flat = ids.tolist()
-                total = np.array([automaton.score(flat[i:j]) for i, j in zip([0, *ends], ends)])
-                base = np.bincount(row[known], weights=log_p[ids[known]], minlength=b - a).astype(np.float64)
-                n_known = np.bincount(row[known], minlength=b - a)
-                columns = [doc[a:b], tag[a:b], n, n_known, base, total]
-                yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), *map(pa.array, columns)], names)
-                # the other words: one row per word and text, to meet the full counts
-                rare, at = h[~known], row[~known]
-                order = np.lexsort((rare, at))
-                rare, at = rare[order], at[order]
-                first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (at[1:] != at[:-1])])[: len(at)])
-                times = np.diff(np.append(first, len(at)))
-                rare, at = rare[first], a + at[first]
-                none = pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64())
-                columns = [pa.array(rare), pa.array(doc[at]), pa.array(tag[at]), pa.array(times), none[0], none[1], none[1]]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    texts = docs.select(*row_key(id_col, text_col), named(text_col).alias("text"))
-    found = texts.mapInArrow(run, "h long, doc long, tag long, n long, known long, base double, score double")
-    found = stage(found, "lm-scores")
-    rare = found.filter("h IS NOT NULL").select("h", "doc", "tag", "n")
-    total = float(words.n_tokens + words.n_kinds + 1)
-    c = F.coalesce(F.col("c"), F.lit(0))
-    joined = rare.join(counts.select(F.col("key").alias("h"), F.col("n").alias("c")), "h", "left").select(
-        "doc", "tag", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n"),
-        F.when(c > 0, F.col("n")).otherwise(F.lit(0)).alias("known"),
-        (F.col("n") * F.log10((c + 1) / F.lit(total))).alias("base"),
-    )
-    whole = found.filter("h IS NULL").select("doc", "tag", F.lit(1).alias("copies"), "n", "known", "base", "score")
-    every = whole.union(joined.withColumn("score", F.col("base")))
-    sums = every.groupBy("doc", "tag").agg(*[F.sum(x).alias(x) for x in ("copies", "n", "known", "base", "score")])
-    once = lambda x: F.col(x) / F.col("copies")  # noqa: E731  rows that repeat add the same once more
-    return sums.select(
-        "doc", "tag", "copies",
-        once("n").cast("long").alias("n_tokens"), once("known").cast("long").alias("n_known"),
-        once("base").alias("base_score"), once("score").alias("score"),
-    )
+    """Arcs by (state, word); state 0 is the empty context, whose arcs are the words themselves."""
+
+    root_weight: np.ndarray
+    root_target: np.ndarray
+    arcs: RowIndex  # state << 32 | word to the number of the arc
+    weight: np.ndarray
+    target: np.ndarray
+    fail_weight: np.ndarray
+    fail: np.ndarray
+
+    def run(self, words: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Sum of the weights that lanes of tokens pass from their first states, all lanes in step."""
+        order = np.argsort(-size, kind="stable")  # lanes that have ended are the last
+        begin, size, state = begin[order], size[order], state[order].copy()
+        total = np.zeros(len(begin))
+        for step in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -step, "left"))
+            word = words[begin[:live] + step]
+            todo = np.arange(live)
+            while len(todo):
+                here = state[todo]
+                root = here == 0
+                done = todo[root]
+                total[done] += self.root_weight[word[done]]
+                state[done] = self.root_target[word[done]]
+                todo, here = todo[~root], here[~root]
+                arc = self.arcs(here << 32 | word[todo])
+                hit = arc >= 0
+                done, arc = todo[hit], arc[hit]
+                total[done] += self.weight[arc]
+                state[done] = self.target[arc]
+                todo, here = todo[~hit], here[~hit]
+                total[todo] += self.fail_weight[here]
+                state[todo] = self.fail[here]
+        out = np.empty(len(total))
+        out[order] = total
+        return out
 
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash of a sequence from the hash of all but its last word and that of its last."""
-    return signed(mix(mix(a.view(np.uint64)) + b.view(np.uint64)))
-
-
-def _ngrams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each token w and the two before it, u and v: hashes of (u v w), (u v), (v w); v; whether u is a start mark."""
-    begin = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(h)]
-    v = np.where(begin, START, np.roll(h, 1))
-    u = np.where(begin, START, np.roll(v, 1))
-    context = _joined(u, v)
-    return _joined(context, h), context, _joined(v, h), v, u == START
-
-
-def _arcs(columns_of, names: list[str]):
-    """mapInArrow function: (names, n) of distinct n-grams, n in training texts, counted in parts of bounded size.
-
-    ``columns_of`` makes the columns of ``names``, of which the first is distinct for
-    distinct n-grams, and the counts of a chunk's tokens.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            held.clear()
-            order = np.argsort(columns[0])
-            key = columns[0][order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            n = np.add.reduceat(columns[-1][order].astype(np.int64), first)
-            return pa.RecordBatch.from_arrays([*(pa.array(c[order[first]]) for c in columns[:-1]), pa.array(n)], [*names, "n"])
-
-        for batch in batches:
-            train = batch.column("train").to_numpy(zero_copy_only=False)
-            for a, b, data, bounds in chunks(batch.column("text")):
-                h, doc = token_hashes(data, bounds)
-                held.append(columns_of(h, doc, train[a:b][doc]))
-                size += len(h)
-                if size >= FLUSH_TOKENS:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    return run
-
-
-def _distinct_arcs(texts: DataFrame, columns_of, names: list[str], name: str) -> DataFrame:
-    found = texts.mapInArrow(_arcs(columns_of, names), ", ".join(f"{c} long" for c in [*names, "n"]))
-    return stage(found.groupBy(*names).agg(F.sum("n").alias("n")), name)
+@dataclass
+class Model:
+    """What a group knows of the model: the counts of its n-grams and the kinds after its contexts."""
 
+    counts: list[np.ndarray]
+    kinds: list[np.ndarray]  # after each word, after each pair
+    n_tokens: int
+    n_kinds: int
 
-def _smoothed(n: str, lower: str) -> Column:
-    """p(w | context) from the arc's count, the state's (c, kinds) and the probability one word shorter."""
-    seen = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col("c") + DISCOUNT * F.col("kinds") / F.col("c") * F.col(lower)
-    return F.when(F.col("c") > 0, seen).otherwise(F.col(lower))
+    def automaton(self, grams: Grams) -> tuple[Automaton, np.ndarray, np.ndarray]:
+        """The automaton, and the state after each word alone and after each pair."""
+        (c1, c2, c3), (k1, k2) = self.counts, self.kinds
+        head, last, context, tail = grams.head, grams.last, grams.context, grams.tail
+        p1 = (c1 + 1.0) / (self.n_tokens + self.n_kinds + 1.0)
+        open1, open2 = k1 > 0, k2 > 0  # contexts that a word follows in training text
+        left1, left2 = (DISCOUNT * k / np.maximum(c, 1) for k, c in ((k1, c1), (k2, c2)))
+        seen = lambda c, whole, left, lower: np.maximum(c - DISCOUNT, 0) / np.maximum(whole, 1) + left * lower
+        p2 = np.where(open1[head], seen(c2, c1[head], left1[head], p1[last]), p1[last])
+        p3 = np.where(open2[context], seen(c3, c2[context], left2[context], p2[tail]), p2[tail])
+        word_state, pair_state = np.zeros(len(c1), np.int64), np.zeros(len(c2), np.int64)
+        word_state[open1] = 1 + np.arange(int(open1.sum()))
+        pair_state[open2] = 1 + int(open1.sum()) + np.arange(int(open2.sum()))
+        after = np.where(open2, pair_state, word_state[last])
+        two, three = c2 > 0, c3 > 0
+        states = np.concatenate([word_state[head[two]], pair_state[context[three]]])
+        words = np.concatenate([last[two], grams.third[three]])
+        return (
+            Automaton(
+                np.log10(p1),
+                word_state,
+                RowIndex(states << 32 | words),
+                np.log10(np.concatenate([p2[two], p3[three]])),
+                np.concatenate([after[two], after[tail[three]]]),
+                np.concatenate([[0.0], np.log10(left1[open1]), np.log10(left2[open2])]),
+                np.concatenate([np.zeros(1 + int(open1.sum()), np.int64), word_state[last[open2]]]),
+            ),
+            word_state,
+            np.where(two, after, word_state[last]),
+        )
+
+    def scores(self, grams: Grams, n_texts: int, lane: int = LANE) -> np.ndarray:
+        """Log10 probability of each text.  A long text is passed in lanes: a later one begins in
+        the state that the words before it lead to."""
+        machine, after_word, after_pair = self.automaton(grams)
+        size = np.bincount(grams.doc, minlength=n_texts)
+        lanes = -(-size // lane)
+        text = np.repeat(np.arange(n_texts), lanes)
+        offset = (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * lane
+        begin = (np.cumsum(size) - size)[text] + offset
+        before = np.maximum(begin - 1, 0)
+        pair = grams.pair_at[before]
+        state = np.where(pair >= 0, after_pair[pair] if len(after_pair) else 0, after_word[grams.word[before]])
+        state = np.where(offset > 0, state, 0)
+        total = machine.run(grams.word, begin, np.minimum(lane, size[text] - offset), state)
+        return np.bincount(text, weights=total, minlength=n_texts)
+
+
+def lm_scores(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES
+) -> DataFrame:
+    """One row per row of ``docs``; the model is learned from the rows outside the held-out fold."""
+    found, n_tokens = scored(docs, crc_remainder(id_col, FOLDS) != HELD_OUT, id_col, text_col, group_bytes)
+    return found.select(
+        F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
 
 
-def whole_scores(
-    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text"
+def scored(
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES
 ) -> tuple[DataFrame, int]:
-    """((doc, tag, copies, n_tokens, n_known, base_score, score) per distinct row, number of training tokens).
-
-    The model has all n-grams of the rows where ``train`` holds; see ``frames.row_key``
-    for doc and tag.
-    """
-
-    def pair_columns(h: np.ndarray, doc: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, ...]:
-        _, _, pair, v, _ = _ngrams(h, doc)
-        return pair, v, h, train
-
-    def triple_columns(h: np.ndarray, doc: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, ...]:
-        triple, context, pair, _, from_start = _ngrams(h, doc)
-        return triple, context, pair, train & ~from_start
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tag = (batch.column(k).to_numpy() for k in ("doc", "tag"))
-            for a, b, data, bounds in chunks(batch.column("text")):
-                h, row = token_hashes(data, bounds)
-                columns = _ngrams(h, row)[0], doc[a:b][row], tag[a:b][row]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["triple", "doc", "tag"])
-
-    texts = docs.select(*row_key(id_col, text_col), train.alias("train"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    learned = texts.select("train", "text")
-    pairs = _distinct_arcs(learned, pair_columns, ["pair", "v", "w"], "lm-pairs")
-    words = stage(pairs.groupBy("w").agg(F.sum("n").alias("c1")), "lm-words")
-    n_tokens, n_kinds = words.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.count_if(F.col("c1") > 0)).first()
-    p1 = ((F.col("c1") + 1) / F.lit(float(n_tokens + n_kinds + 1))).alias("p1")
-    state = [F.sum("n").alias("c"), F.count(F.lit(1)).alias("kinds")]
-    word_states = pairs.filter((F.col("n") > 0) & (F.col("v") != int(START))).groupBy("v").agg(*state)
-    known = pairs.join(words.select("w", "c1", p1), "w").join(word_states, "v", "left")
-    known = stage(known.select("pair", "c1", "p1", _smoothed("n", "p1").alias("p2")), "lm-pair-weights")
-
-    triples = _distinct_arcs(learned, triple_columns, ["triple", "context", "pair"], "lm-triples")
-    pair_states = triples.filter("n > 0").groupBy("context").agg(*state)
-    weights = triples.join(known, "pair").join(pair_states, "context", "left")
-    weights = weights.select(
-        "triple", (F.col("c1") > 0).cast("int").alias("known"), F.log10("p1").alias("base"), F.log10(_smoothed("n", "p2")).alias("score")
-    )
-    found = texts.select("doc", "tag", "text").mapInArrow(occurrences, "triple long, doc long, tag long")
-    sums = found.join(weights, "triple").groupBy("doc", "tag")
-    sums = sums.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("known", "base", "score")])
-    copies = texts.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("copies"))
-    once = lambda c: F.col(c) / F.col("copies")  # noqa: E731  rows that repeat add the same once more
-    sums = stage(sums.join(copies, ["doc", "tag"]), "lm-sums")
-    return sums.select(
-        "doc", "tag", "copies",
-        once("n").cast("long").alias("n_tokens"), once("known").cast("long").alias("n_known"),
-        once("base").alias("base_score"), once("score").alias("score"),
-    ), n_tokens
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
-    """One row per row of ``docs``; the model is learned from the rows outside the held-out fold.
-
-    It has all n-grams, unless ``bounds`` (see ``fit``) ask for a smaller one in memory.
-    """
-    held_out = (crc_remainder(id_col, FOLDS) == HELD_OUT).alias("held_out")
-    if bounds:
-        model = fit(docs.filter(~held_out), text_col, **bounds)
-        found, n_tokens = score_texts(docs, *model, id_col, text_col), model[1].n_tokens
-    else:
-        found, n_tokens = whole_scores(docs, ~held_out, id_col, text_col)
-    known_id = F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col)
-    return (
-        found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select(known_id, "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
-        .select(id_col, held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    )
+    """((id, train, n_tokens, n_known, base_score, score) per row, number of training tokens)."""
+    spark = docs.sparkSession
+    text = F.coalesce(named(text_col), F.lit(""))
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 8), F.lit(0))).first()[0]
+    groups = buckets = int(-(-n_bytes // group_bytes)) or 1
+    dealt = F.pmod(F.xxhash64(*row_key(id_col, text_col), F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    texts = docs.select(dealt.alias("g"), named(id_col).cast("long").alias("id"), train.alias("train"), text.alias("text"))
+    texts = stage(texts, "lm-texts")  # the groups are fixed from here on
+    learned = texts.select("g", "train", "text")
+
+    def ask_counts(orders: tuple[int, ...]):
+        def run(table: pa.Table) -> pa.Table:
+            grams = Grams(table.column("text"), max(orders) + 1)
+            learns = table.column("train").to_numpy()
+            return ask(table.column("g")[0].as_py(), buckets, {k: (grams.keys[k], grams.counts(k, learns)) for k in orders})
+
+        return run
+
+    def ask_kinds(left: pa.Table, answers: pa.Table) -> pa.Table:
+        """Distinct n-grams that the group owns, counted by their contexts."""
+        grams = Grams(left.column("text"))
+        pairs, triples = (read_answers(answers, k, grams.keys[k], buckets)[1] for k in (1, 2))
+        after_words = np.bincount(grams.head[pairs], minlength=len(grams.keys[0]))
+        after_pairs = np.bincount(grams.context[triples], minlength=len(grams.keys[1]))
+        asked = {3: (grams.keys[0], after_words), 4: (grams.keys[1], after_pairs)}
+        return ask(left.column("g")[0].as_py(), buckets, asked)
+
+    with _shuffles_removed(spark):
+        counts = [_exchange(learned.groupBy("g").applyInArrow(ask_counts(k), ASK), "lm-counts") for k in ((0, 1), (2,))]
+        counts = counts[0].unionByName(counts[1])
+        kinds = learned.select("g", "text").groupBy("g").cogroup(counts.filter("kind > 0").groupBy("g"))
+        kinds = _exchange(kinds.applyInArrow(ask_kinds, ASK), "lm-kinds")
+        every = counts.filter("kind = 0").agg(F.sum("every"), F.sum("distinct")).first()
+        n_tokens, n_kinds = every[0] or 0, every[1] or 0
+
+        def score(left: pa.Table, answers: pa.Table) -> pa.Table:
+            grams, n = Grams(left.column("text")), left.num_rows
+            get = lambda kind, order: read_answers(answers, kind, grams.keys[order], buckets)[0]
+            model = Model([get(k, k) for k in range(3)], [get(3, 0), get(4, 1)], n_tokens, n_kinds)
+            c = model.counts[0]
+            base = np.log10((c + 1.0) / (n_tokens + n_kinds + 1.0))
+            by_text = lambda x: np.bincount(grams.doc, weights=x[grams.word], minlength=n)
+            return pa.table(
+                {
+                    "id": left.column("id"), "train": left.column("train"),
+                    "n_tokens": pa.array(np.bincount(grams.doc, minlength=n), pa.int64()),
+                    "n_known": pa.array(by_text(c > 0).astype(np.int64)),
+                    "base_score": pa.array(by_text(base)), "score": pa.array(model.scores(grams, n)),
+                }
+            )
+
+        answers = counts.unionByName(kinds).drop("every", "distinct")
+        found = texts.groupBy("g").cogroup(answers.groupBy("g"))
+        schema = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+        return stage(found.applyInArrow(score, schema), "lm-scores"), n_tokens
