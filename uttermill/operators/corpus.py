@@ -54,6 +54,17 @@ def assign_base_id(
     )
 
 
+def assign_base_ids(
+    df: DataFrame, second: str, prefix: str, order_col: str = "ord", label_col: str = "intent", out: str = "base_id"
+) -> DataFrame:
+    """As ``assign_base_id`` for two corpora in one pass: rows where ``second`` holds are numbered by
+    themselves and get the prefix.  A null class is a class of each corpus."""
+    group = F.concat_ws("\u0000", F.col(second).cast("string"), label_col)
+    numbered = with_ordinal(df.withColumn("_both", group), order_col, "_both", "_k")
+    name = F.format_string("%s%s_%03d", F.when(F.col(second), prefix).otherwise(""), F.col(label_col), F.col("_k"))
+    return numbered.withColumn(out, name).drop("_both", "_k")
+
+
 def assign_fallback_id(
     df: DataFrame,
     order_col: str = "ord",

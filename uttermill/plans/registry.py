@@ -24,7 +24,7 @@ from ..operators.classify import fit_naive_bayes, keyword_classify, with_keyword
 from ..operators.dedup import dedup_counts as count_duplicates
 from ..operators.dedup import distinct_base as first_of_base
 from ..sources import files
-from ..sources.tables import in_domain, out_of_domain, requests, table, utterances
+from ..sources.tables import in_domain, out_of_domain, out_of_domain_row, requests, table, utterances
 from ..streaming.scoring import read_table_stream, route_stream, score_stream
 from .oracles import CORPUS_TOKENIZERS, KS, SCORED_COLUMNS
 from .prepare import Prepared, augmented_manifest, corpus_manifest, plan_splits, prepare_corpus
@@ -143,9 +143,9 @@ def encode_label(spark, sf_dir):
 
 @query
 def assign_base_id(spark, sf_dir):
-    docs = utterances(spark, sf_dir).drop("text")
-    main = corpus.assign_base_id(in_domain(docs))
-    return main.unionByName(corpus.assign_base_id(out_of_domain(docs), prefix="ood_")).select("ord", "intent", "base_id")
+    """Both corpora numbered in one pass, the classes of the out-of-domain one by themselves."""
+    docs = utterances(spark, sf_dir).drop("text").select("ord", "intent", out_of_domain_row().alias("is_ood"))
+    return corpus.assign_base_ids(docs, "is_ood", "ood_").select("ord", "intent", "base_id")
 
 
 @query
@@ -359,7 +359,7 @@ def decontaminate(spark, sf_dir):
 
 @query
 def term_counts(spark, sf_dir):
-    return features.term_counts(table(spark, sf_dir, "documents"), text_col="text")
+    return features.term_counts(documents(spark, sf_dir, "doc_id", "text"), text_col="text")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import LANG_OOD_SOURCES
@@ -21,13 +21,17 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(docs, "ord")
 
 
+def out_of_domain_row() -> Column:
+    return F.coalesce(F.col("source").isin(LANG_OOD_SOURCES), F.lit(False))
+
+
 def in_domain(df: DataFrame) -> DataFrame:
     """Rows of all other sources; an unknown source is in-domain."""
-    return df.filter(~F.coalesce(F.col("source").isin(LANG_OOD_SOURCES), F.lit(False)))
+    return df.filter(~out_of_domain_row())
 
 
 def out_of_domain(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("source").isin(LANG_OOD_SOURCES))
+    return df.filter(out_of_domain_row())
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
