@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from uttermill.operators import models, reports
+from uttermill.operators import models, newton, reports
 
 WORDS = {"a": ["refund", "broken", "late"], "b": ["price", "discount", "offer"], "c": ["call", "later", "busy"]}
 
@@ -52,3 +54,46 @@ def test_sweep_logs_one_row_per_setting(rows, spark):
     ranked = reports.rank_runs(log, columns=models.SWEEP_COLUMNS).collect()
     assert [r.Rank for r in ranked] == [1, 2] and ranked[0].val_macro_f1 >= ranked[1].val_macro_f1
     assert all(r["val_loss"] > 0 for r in runs)
+
+
+# squared hinge
+
+
+def dense_squared_hinge(x, y, c):
+    """Newton steps on the whole matrix."""
+    w = np.zeros(x.shape[1])
+    value = lambda v: v @ v / 2 + c * (np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+    for _ in range(200):
+        short = np.maximum(0, 1 - y * (x @ w))
+        g = w - 2 * c * x.T @ (y * short)
+        inside = x[short > 0]
+        step, size = np.linalg.solve(np.eye(len(w)) + 2 * c * inside.T @ inside, g), 1.0
+        while value(w - size * step) > value(w) and size > 1e-9:
+            size /= 2
+        w = w - size * step
+    return w
+
+
+@pytest.mark.parametrize("c", [0.1, 1.0, 20.0])
+def test_squared_hinge_equals_a_dense_solve(spark, c):
+    rng = np.random.default_rng(7)
+    n, size, labels = 150, 12, ["a", "b", "c"]
+    x = rng.normal(size=(n, size)) * (rng.random((n, size)) < 0.4)
+    label = (x[:, :3] + 0.5 * rng.normal(size=(n, 3))).argmax(axis=1)
+    rows = [(int(k), np.flatnonzero(v).tolist(), v[v != 0].tolist()) for k, v in zip(label, x)]
+    df = spark.createDataFrame(rows, "label int, indices array<int>, weights array<double>").repartition(5)
+    model = newton.fit_squared_hinge(df, labels, size, c, tolerance=1e-9)
+    whole = np.hstack([x, np.ones((n, 1))])
+    want = np.stack([dense_squared_hinge(whole, np.where(label == k, 1.0, -1.0), c) for k in range(3)])
+    assert model.converged and np.allclose(model.weights, want, atol=1e-6)
+    predicted = model.predict(df.withColumn("truth", F.col("label")))
+    margins = whole @ want.T
+    agree = {(tuple(r.indices), tuple(r.weights)): r.predicted_intent for r in predicted.collect()}
+    assert all(agree[tuple(i), tuple(w)] == labels[m.argmax()] for (_, i, w), m in zip(rows, margins))
+
+
+def test_squared_hinge_of_one_class_and_of_no_rows(spark):
+    df = spark.createDataFrame([(0, [0], [1.0])] * 3 + [(None, [1], [1.0])], "label int, indices array<int>, weights array<double>")
+    assert newton.fit_squared_hinge(df, ["a"], 2).converged
+    none = newton.fit_squared_hinge(df.limit(0), ["a", "b"], 2)
+    assert none.converged and not none.weights.any()

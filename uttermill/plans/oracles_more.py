@@ -42,6 +42,7 @@ def oracle_sql() -> dict[str, str]:
             "chr(10) ORDER BY turn, text)) AS results FROM sized GROUP BY conv_id, n)",
             select="SELECT conv_id, reject_reason, CASE WHEN reject_reason IS NULL THEN total END AS total, CASE WHEN reject_reason IS NULL THEN results END AS results FROM reasons",
         ),
+        "svm_squared_hinge": first_oracles()["fit_svm"],
         "error_rules": first_oracles()["error_reason"],
         "keyword_table": with_(
             f"docs AS (SELECT doc_id, lang AS intent, lower(coalesce(text, '')) AS t FROM documents WHERE lang IN ({', '.join(map(q, LABELS))}))",

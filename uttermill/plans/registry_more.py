@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..constants import LANG_DEFAULT, LANG_ERROR_PAIRS, LANG_KEYWORDS, LANG_OOD_SOURCES
 from ..functions import text as tx
 from ..functions.rows import explode_rows
-from ..operators import corpus, errors, features, keywords, metrics, scoring
+from ..operators import corpus, errors, features, keywords, metrics, models, scoring
 from ..sources import delimited, files, model_metrics
 from ..sources.tables import requests, table
-from .registry import LABELS, documents, flagship, keyword_variants, manifest, query, with_variants
+from .registry import FLOOR, LABELS, documents, flagship, keyword_variants, manifest, query, splits, with_variants
 from .staging import stage, staging_path
 
 # --- stored inputs -------------------------------------------------------------------
@@ -105,3 +105,13 @@ def keyword_table(spark, sf_dir):
 def vocab_ngrams(spark, sf_dir):
     """The commonest runs of one to four words."""
     return features.ngram_vocabulary(documents(spark, sf_dir, "doc_id", "text"), (1, 4), text_col="text")
+
+
+@query
+def svm_squared_hinge(spark, sf_dir):
+    """Machines with squared hinge loss and C = 1: checks of the fit on every held-out row."""
+    store = models.FeatureStore(splits(spark, sf_dir), LABELS)
+    rows = stage(models.fit_predict_squared_hinge(store).select("ord", "split", "intent", "predicted_intent", "converged"), "predicted")
+    quality = metrics.overall_metrics(rows, LABELS, by=("split",)).select("split", (F.col("accuracy") >= FLOOR).alias("accurate"))
+    listed = F.col("predicted_intent").isin(LABELS).alias("listed")
+    return rows.join(quality, "split").select("ord", "split", "intent", listed, "converged", "accurate")
