@@ -373,7 +373,7 @@ def test_language_model_has_all_ngrams(spark, docs):
 
 def model_of(texts, train):
     """The grams of a group and the model that its own texts teach."""
-    grams = language_model.Grams(pa.chunked_array([pa.array(texts)]))
+    grams = language_model.Grams(pa.array(texts))
     counts = [grams.counts(k, np.array(train)) for k in range(3)]
     kinds = [np.bincount(x[c > 0], minlength=len(grams.keys[k])) for k, (x, c) in enumerate(((grams.head, counts[1]), (grams.context, counts[2])))]
     return grams, language_model.Model(counts, kinds, int(counts[0].sum()), int((counts[0] > 0).sum()))
@@ -433,6 +433,7 @@ def test_exchange_adds_up_and_names_one_owner():
             total, owned = language_model.read_answers(answers.filter(pa.compute.equal(answers.column("g"), g)), 1, keys, buckets)
             assert total.tolist() == [want[k] for k in keys.tolist()] and owned.tolist() == [owners.get(k) == g for k in keys.tolist()]
         assert sum(answers.column("every").to_pylist()) == sum(want.values())
+        assert all((language_model.unpack_keys(language_model.pack_keys(k)) == k).all() for _, k, _ in parts)
         assert sum(answers.column("distinct").to_pylist()) == len(owners)
 
 

@@ -14,7 +14,8 @@ of about ``GROUP_BYTES``.  A group asks for the counts of its distinct n-grams:
 go out in one row per bucket of the hash range, a bucket adds up what all groups have, and
 the totals come back in the order asked, so no n-gram is a row of its own and none is sent
 back.  One group of those that hold an n-gram in training text is told to count it as a kind; the
-kinds of each context are added up by a second exchange of the same form.  From both, each
+kinds of each context seen more than once are added up by a second exchange of the same form; a
+context seen once has one kind.  From both, each
 group builds the part of the automaton that its texts pass through (their states, arcs, failure
 arcs and weights are those of the whole model) and runs its texts through it.
 
@@ -41,13 +42,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from .frames import crc_remainder, named, row_key
+from .frames import batches_of, crc_remainder, named, row_key
 from .kernels import LOWER, WHITE, RowIndex, SpanHasher, chunks, mix, signed, spans
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 END = np.int64(1)  # hash that stands for the end of a text
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 LANE = 2_048  # tokens of a text that one lane of the traversal passes
 
 
@@ -68,7 +69,7 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Grams:
     """Tokens of a group's texts and its distinct n-grams of one, two and three words, in hash order."""
 
-    def __init__(self, texts: pa.ChunkedArray, orders: int = 3):
+    def __init__(self, texts: pa.Array, orders: int = 3):
         parts = [(h, doc + a) for a, _, data, bounds in chunks(texts) for h, doc in [token_hashes(data, bounds)]]
         h, self.doc = (np.concatenate(x) for x in zip(*parts))
         n = len(h)
@@ -100,6 +101,37 @@ class Grams:
         return np.bincount(self.of[order], weights=train[self.doc[self.at[order]]], minlength=len(self.keys[order])).astype(np.int64)
 
 
+    def kinds(self, counts: list[np.ndarray], answers: pa.Table, buckets: int) -> list[np.ndarray]:
+        """Words seen after each word and each pair; one after a context seen once, none after an end."""
+        out = []
+        for k, last in ((0, self.keys[0]), (1, self.keys[0][self.last])):
+            n = ((counts[k] == 1) & (last != END)).astype(np.int64)
+            often = counts[k] > 1
+            n[often] = read_answers(answers, 3 + k, self.keys[k][often], buckets)[0]
+            out.append(n)
+        return out
+
+
+PACKED = "g int, id array<long>, train array<boolean>, text array<string>"
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    """All rows of a group as one."""
+    ends = pa.array([0, rows.num_rows], pa.int32())
+    lists = {c: pa.ListArray.from_arrays(ends, rows.column(c).combine_chunks()) for c in ("id", "train", "text")}
+    return pa.table({"g": rows.column("g")[:1], **lists})
+
+
+def _group(row: pa.Table | pa.RecordBatch) -> tuple[int, pa.Array, np.ndarray, pa.Array]:
+    """Number, ids, whether they train, and texts of the group that a packed row holds."""
+    flat = {c: row.column(c).to_pylist()[0] if c == "g" else _flat(row.column(c)) for c in row.schema.names}
+    return flat["g"], flat.get("id"), flat["train"].to_numpy(zero_copy_only=False), flat["text"]
+
+
+def _flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+
+
 # exchanges: groups ask, buckets answer
 
 ASK = "kind int, bucket int, g int, keys binary, n binary"
@@ -116,6 +148,18 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"<{'u' if len(raw) < 8 * n else 'i'}{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as steps from one to the next, first bytes of all before second ones: the
+    high bytes are zeros, which the shuffle's compression takes out."""
+    steps = np.diff(keys.view(np.uint64), prepend=np.uint64(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    return np.cumsum(steps, dtype=np.uint64).view(np.int64)
+
+
 def ask(g: int, buckets: int, asked: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     """Rows of one group: by kind and bucket, keys and what the group adds to each."""
     rows = {"kind": [], "bucket": [], "g": [], "keys": [], "n": []}
@@ -124,7 +168,7 @@ def ask(g: int, buckets: int, asked: dict[int, tuple[np.ndarray, np.ndarray]]) -
         cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
         for b, (s, e) in enumerate(zip(cuts, cuts[1:])):
             if e > s:
-                for name, value in zip(rows, (kind, b, g, keys[s:e].tobytes(), _packed(n[s:e]))):
+                for name, value in zip(rows, (kind, b, g, pack_keys(keys[s:e]), _packed(n[s:e]))):
                     rows[name].append(value)
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), kinds)})
@@ -134,7 +178,7 @@ def _answer(table: pa.Table) -> pa.Table:
     """Totals of a bucket's keys for each group that asked, in the order asked; and for which of
     them the group is the first to add something."""
     table = table.sort_by("g")
-    keys = [np.frombuffer(x.as_py(), np.int64) for x in table.column("keys")]
+    keys = [unpack_keys(x.as_py()) for x in table.column("keys")]
     n = np.concatenate([_unpacked(x.as_py(), len(k)) for x, k in zip(table.column("n"), keys)])
     cuts = np.cumsum([len(k) for k in keys])
     flat = np.concatenate(keys)
@@ -310,45 +354,49 @@ def scored(
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 8), F.lit(0))).first()[0]
     groups = buckets = int(-(-n_bytes // group_bytes)) or 1
     dealt = F.pmod(F.xxhash64(*row_key(id_col, text_col), F.monotonically_increasing_id()), F.lit(groups)).cast("int")
-    texts = docs.select(dealt.alias("g"), named(id_col).cast("long").alias("id"), train.alias("train"), text.alias("text"))
-    texts = stage(texts, "lm-texts")  # the groups are fixed from here on
-    learned = texts.select("g", "train", "text")
+    rows = docs.select(dealt.alias("g"), named(id_col).cast("long").alias("id"), train.alias("train"), text.alias("text"))
 
     def ask_counts(orders: tuple[int, ...]):
-        def run(table: pa.Table) -> pa.Table:
-            grams = Grams(table.column("text"), max(orders) + 1)
-            learns = table.column("train").to_numpy()
-            return ask(table.column("g")[0].as_py(), buckets, {k: (grams.keys[k], grams.counts(k, learns)) for k in orders})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    g, _, learns, texts = _group(batch.slice(k, 1))
+                    grams = Grams(texts, max(orders) + 1)
+                    asked = ask(g, buckets, {o: (grams.keys[o], grams.counts(o, learns)) for o in orders})
+                    yield from asked.combine_chunks().to_batches()
 
         return run
 
     def ask_kinds(left: pa.Table, answers: pa.Table) -> pa.Table:
         """Distinct n-grams that the group owns, counted by their contexts."""
-        grams = Grams(left.column("text"))
-        pairs, triples = (read_answers(answers, k, grams.keys[k], buckets)[1] for k in (1, 2))
-        after_words = np.bincount(grams.head[pairs], minlength=len(grams.keys[0]))
-        after_pairs = np.bincount(grams.context[triples], minlength=len(grams.keys[1]))
-        asked = {3: (grams.keys[0], after_words), 4: (grams.keys[1], after_pairs)}
-        return ask(left.column("g")[0].as_py(), buckets, asked)
-
-    with _shuffles_removed(spark):
-        counts = [_exchange(learned.groupBy("g").applyInArrow(ask_counts(k), ASK), "lm-counts") for k in ((0, 1), (2,))]
+        g, _, _, texts = _group(left)
+        grams = Grams(texts)
+        (words, _), (pairs, own2), (_, own3) = (read_answers(answers, k, grams.keys[k], buckets) for k in range(3))
+        after = np.bincount(grams.head[own2], minlength=len(words)), np.bincount(grams.context[own3], minlength=len(pairs))
+        often = [c > 1 for c in (words, pairs)]
+        return ask(g, buckets, {3 + k: (grams.keys[k][o], n[o]) for k, (o, n) in enumerate(zip(often, after))})
+
+    with _shuffles_removed(spark), batches_of(spark, 1):  # a row holds a group of texts
+        # the groups are fixed from here on
+        texts = stage(rows.groupBy("g").applyInArrow(_pack, PACKED), "lm-texts")
+        counts = [_exchange(texts.drop("id").mapInArrow(ask_counts(k), ASK), "lm-counts") for k in ((0, 1), (2,))]
         counts = counts[0].unionByName(counts[1])
-        kinds = learned.select("g", "text").groupBy("g").cogroup(counts.filter("kind > 0").groupBy("g"))
-        kinds = _exchange(kinds.applyInArrow(ask_kinds, ASK), "lm-kinds")
+        kinds = texts.drop("id").groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(ask_kinds, ASK)
+        kinds = _exchange(kinds, "lm-kinds")
         every = counts.filter("kind = 0").agg(F.sum("every"), F.sum("distinct")).first()
         n_tokens, n_kinds = every[0] or 0, every[1] or 0
 
         def score(left: pa.Table, answers: pa.Table) -> pa.Table:
-            grams, n = Grams(left.column("text")), left.num_rows
-            get = lambda kind, order: read_answers(answers, kind, grams.keys[order], buckets)[0]
-            model = Model([get(k, k) for k in range(3)], [get(3, 0), get(4, 1)], n_tokens, n_kinds)
+            _, ids, learns, texts = _group(left)
+            grams, n = Grams(texts), len(ids)
+            counts = [read_answers(answers, k, grams.keys[k], buckets)[0] for k in range(3)]
+            model = Model(counts, grams.kinds(counts, answers, buckets), n_tokens, n_kinds)
             c = model.counts[0]
             base = np.log10((c + 1.0) / (n_tokens + n_kinds + 1.0))
             by_text = lambda x: np.bincount(grams.doc, weights=x[grams.word], minlength=n)
             return pa.table(
                 {
-                    "id": left.column("id"), "train": left.column("train"),
+                    "id": ids, "train": pa.array(learns),
                     "n_tokens": pa.array(np.bincount(grams.doc, minlength=n), pa.int64()),
                     "n_known": pa.array(by_text(c > 0).astype(np.int64)),
                     "base_score": pa.array(by_text(base)), "score": pa.array(model.scores(grams, n)),
