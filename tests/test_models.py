@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from uttermill.operators import models, newton, reports
+from uttermill.operators import models, newton, reports, sweeps
 
 WORDS = {"a": ["refund", "broken", "late"], "b": ["price", "discount", "offer"], "c": ["call", "later", "busy"]}
 
@@ -97,3 +97,50 @@ def test_squared_hinge_of_one_class_and_of_no_rows(spark):
     assert newton.fit_squared_hinge(df, ["a"], 2).converged
     none = newton.fit_squared_hinge(df.limit(0), ["a", "b"], 2)
     assert none.converged and not none.weights.any()
+
+
+# many settings in one scan
+
+
+def sparse_rows(spark, n=200, size=20, seed=9):
+    rng = np.random.default_rng(seed)
+    x = np.abs(rng.normal(size=(n, size))) * (rng.random((n, size)) < 0.3)
+    label = (x[:, :3] + 0.3 * rng.normal(size=(n, 3))).argmax(axis=1)
+    norm = np.sqrt((x**2).sum(axis=1))
+    x = x / np.where(norm > 0, norm, 1)[:, None]
+    rows = [(i, int(k), np.flatnonzero(v).tolist(), v[v != 0].tolist()) for i, (k, v) in enumerate(zip(label, x))]
+    return x, label, spark.createDataFrame(rows, "ord bigint, label int, indices array<int>, weights array<double>")
+
+
+def dense_loss_and_gradient(x, label, w, c):
+    z = x @ w[:, :-1].T + w[:, -1]
+    logs = z - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - z.max(axis=1, keepdims=True)
+    miss = np.exp(logs)
+    miss[np.arange(len(x)), label] -= 1
+    g = np.hstack([miss.T @ x, miss.sum(axis=0)[:, None]]) / len(x)
+    g[:, :-1] += w[:, :-1] / (c * len(x))
+    return -logs[np.arange(len(x)), label].mean() + (w[:, :-1] ** 2).sum() / (2 * c * len(x)), g
+
+
+def test_all_settings_reach_their_own_optimum(spark):
+    x, label, df = sparse_rows(spark)
+    asked = [(0.1, 20, 500), (10.0, 20, 500), (1.0, 7, 500), (1.0, 20, 2)]
+    fitted = sweeps.fit_all(df.repartition(4), asked, 3, tolerance=1e-7)
+    assert [s.converged for s in fitted] == [True, True, True, False] and fitted[3].iterations == 2
+    for s in fitted[:3]:
+        part = x[:, : s.size]
+        norm = np.sqrt((part**2).sum(axis=1))
+        part = part / np.where(norm > 0, norm, 1)[:, None]
+        loss, g = dense_loss_and_gradient(part, label, s.weights, s.c)
+        assert abs(loss - s.loss) < 1e-9 and np.linalg.norm(g) < 1e-4
+    alone = sweeps.fit_all(df.repartition(4), asked[1:2], 3, tolerance=1e-7)[0]
+    assert np.allclose(alone.weights, fitted[1].weights, atol=1e-6)
+    out = sweeps.predict_all(df, fitted).collect()
+    assert len(out) == 4 * len(x)
+    z = x @ fitted[1].weights[:, :-1].T + fitted[1].weights[:, -1]
+    assert {r.ord: r.prediction for r in out if r.run == 1} == dict(enumerate(z.argmax(axis=1).tolist()))
+
+
+def test_settings_without_rows(spark):
+    _, _, df = sparse_rows(spark, 5)
+    assert all(s.converged and not s.weights.any() for s in sweeps.fit_all(df.limit(0), [(1.0, 5, 10)], 2))
