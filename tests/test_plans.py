@@ -23,7 +23,7 @@ def test_leak_ood_reads_digests(spark):
     assert lines and not any("clean_text#" in x or "ReadSchema" in x and "clean_text:" in x for x in lines)
 
 
-@pytest.mark.parametrize("name", ["stratified_split", "leak_ids", "leak_ood", "overall_metrics", "quality_gate"])
+@pytest.mark.parametrize("name", ["stratified_split", "leak_ids", "leak_ood", "overall_metrics", "quality_gate", "class_balance", "split_summary", "prepared_counts"])
 def test_narrow_queries_stage_no_texts(spark, name, monkeypatch):
     staged, real = [], prepare.stage
     monkeypatch.setattr(prepare, "stage", lambda df, *a, **k: staged.append(set(df.columns)) or real(df, *a, **k))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import VARIATIONS
-from ..functions.text import strip
+from ..functions.text import clean_text, strip
 from ..plans.staging import stage
 from .corpus import with_clean_columns
 from .dedup import KEYS, content_key, dedup_first
@@ -25,21 +25,38 @@ def expand_variations(df: DataFrame, variations=VARIATIONS, order_col: str = "or
     return with_clean_columns(wide).select(*df.columns)
 
 
-def augment_keys(df: DataFrame, variations=VARIATIONS, order_col: str = "ord") -> DataFrame:
-    """The variations that ``augment`` keeps, without their texts.
+DIGESTS = "_variants"
 
-    Every variation's digest is computed in one pass; digests and narrow columns are
-    staged and deduplicated, never the variations' texts.
+
+def with_variation_digests(df: DataFrame, variations=VARIATIONS) -> DataFrame:
+    """Add the content digest of every variation of a row, in order.
+
+    Depends on its row alone, so it can be part of the cleaning pass; a digest is that of the
+    variation's cleaned text and class.
+    """
+    text = lambda p, s: clean_text(strip(F.concat(F.lit(p), F.col("text"), F.lit(s))))
+    return df.withColumn(DIGESTS, F.array(*[content_key(text(p, s), "intent") for p, s in variations]))
+
+
+def kept_variations(df: DataFrame, variations=VARIATIONS, order_col: str = "ord") -> DataFrame:
+    """One row per variation that stays, without texts; ``df`` has the digests of its variations.
+
+    Only digests and narrow columns are staged and deduplicated.
     """
-    wide = expand_variations(df, variations, order_col).withColumn("_key", content_key(*KEYS))
-    keys = stage(wide.drop("text", "clean_text", "emojis"), "augmented-keys")
-    return dedup_first(keys, order_col=order_col, key_col="_key").drop("_key")
+    own = [c for c in df.columns if c not in (DIGESTS, order_col)]
+    rows = df.select(F.col(order_col).alias("_o"), *own, F.posexplode(DIGESTS).alias("_v", "_key"))
+    rows = rows.withColumn(order_col, F.col("_o") * len(variations) + F.col("_v")).drop("_o", "_v")
+    return dedup_first(stage(rows, "augmented-keys"), order_col=order_col, key_col="_key").drop("_key")
 
 
-def augment(df: DataFrame, variations=VARIATIONS, order_col: str = "ord") -> DataFrame:
+def augment(df: DataFrame, variations=VARIATIONS, order_col: str = "ord", kept: DataFrame | None = None) -> DataFrame:
     """All variations of the given rows, deduplicated on cleaned text and class.
 
-    The texts of variations are built for the reader, and only for those that stay.
+    The texts of variations are built for the reader, and only for those that stay; ``kept``
+    names these where they are known.
     """
-    kept = stage(augment_keys(df, variations, order_col).select(order_col), "augmented-kept")
+    if kept is None:
+        wide = expand_variations(df, variations, order_col).withColumn("_key", content_key(*KEYS))
+        keys = stage(wide.select(order_col, "_key"), "augmented-keys")
+        kept = stage(dedup_first(keys, order_col=order_col, key_col="_key").select(order_col), "augmented-kept")
     return expand_variations(df, variations, order_col).join(kept, order_col, "left_semi")

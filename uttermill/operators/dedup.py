@@ -10,9 +10,10 @@ from ..plans.staging import stage
 KEYS = ("clean_text", "intent")
 
 
-def content_key(*cols: str) -> Column:
+def content_key(*cols: str | Column) -> Column:
     """32-byte digest of the columns: a small shuffle key.  Null and empty text differ."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in cols]
+    values = [F.col(c) if isinstance(c, str) else c for c in cols]
+    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in values]
     return F.unhex(F.sha2(F.concat_ws("\u0000", *parts), 256))
 
 

@@ -87,7 +87,7 @@ class Setting:
             self.steps = [*self.steps, (moved, gradient - self.gradient)][-MEMORY:]
             self.weights = self.weights + moved
             self.iterations += 1
-            small = abs(self.loss - loss) <= 0.01 * tolerance * max(abs(loss), 1e-12)
+            small = abs(self.loss - loss) <= 0.1 * tolerance * max(abs(loss), 1e-12)
             self.converged = bool(small or np.linalg.norm(gradient) <= self.goal)
         self.loss, self.gradient = loss, gradient
         self.converged = self.converged or not bool(gradient.any())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import INTENTS, KEYWORD_DEFAULT, KEYWORDS, SEED, SPLIT_RATIOS, STATUS_BASELINE, STATUS_TUNED, VARIATIONS
+from ..operators.augment import with_variation_digests
 from ..operators.corpus import class_counts
 from ..operators.errors import error_table, misclassified
 from ..operators.leakage import assert_no_leakage
@@ -22,7 +23,7 @@ from ..operators.metrics import (
 from ..operators.models import LR, RF, SVM, baseline_summary
 from ..operators.reports import best_run, comparison_table, metrics_document, rank_runs
 from ..sources import files
-from .prepare import augment_train, plan_splits
+from .prepare import augmented, plan_splits
 from .staging import stage
 
 
@@ -48,8 +49,9 @@ def prepare_dataset(
     Nothing is written when the check fails.  Rows land in ``out`` partitioned by
     split, as Parquet or CSV.
     """
-    # cleaned and augmented texts are staged already, so each use of rows only scans
-    rows = augment_train(plan_splits(raw, ood, labels, ratios, seed).rows(), variations)
+    # staged once: the check, the written splits and both reports scan the same rows
+    planned = plan_splits(raw, ood, labels, ratios, seed, derive=lambda df: with_variation_digests(df, variations))
+    rows = stage(augmented(planned, variations), "augmented")
     assert_no_leakage(rows)
     if csv:
         files.write_csv(rows.drop("ord"), out, ["split"])

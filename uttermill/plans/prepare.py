@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import INTENTS, MIN_CLEAN_CHARS, SEED, SPLIT_RATIOS, VARIATIONS
-from ..operators.augment import augment, augment_keys
+from ..operators.augment import DIGESTS, augment, kept_variations
 from ..operators.corpus import (
     assign_base_id,
     assign_fallback_id,
@@ -139,19 +139,29 @@ def plan_splits(
     return Prepared(cleaned, stage(split.drop("_group"), "split"))
 
 
-def augmented_manifest(rows: DataFrame, variations=VARIATIONS) -> DataFrame:
-    """(ord, base_id, intent, split) of ``augment_train``, of which only digests are staged."""
+def augmented_manifest(manifest: DataFrame, variations=VARIATIONS) -> DataFrame:
+    """(ord, base_id, intent, split) of ``augmented``, from a manifest with the digests of variations."""
     cols = ["ord", "base_id", "intent", "split"]
-    train = augment_keys(rows.filter("split = 'train'"), variations).select(*cols)
-    rest = rows.filter("split <> 'train'").withColumn("ord", F.col("ord") * len(variations))
+    train = kept_variations(manifest.filter("split = 'train'").select(*cols, DIGESTS), variations).select(*cols)
+    rest = manifest.filter("split <> 'train'").withColumn("ord", F.col("ord") * len(variations))
     return train.unionByName(rest.select(*cols))
 
 
-def augment_train(rows: DataFrame, variations=VARIATIONS) -> DataFrame:
-    """Replace train rows by their variations; other splits stay as they are.
+def augmented(prepared: Prepared, variations=VARIATIONS) -> DataFrame:
+    """Wide rows in which those of train are replaced by their variations; other splits stay as they are.
 
-    The order of every row is scaled alike, so it stays unique.
+    ``prepared`` has the digests of variations in its manifest, so which ones stay is known before any
+    text is moved.  The order of every row is scaled alike, so it stays unique.
     """
+    rows, narrow = prepared.rows(), prepared.manifest
+    kept = kept_variations(narrow.filter("split = 'train'").select("ord", DIGESTS), variations).select("ord")
+    train = augment(rows.filter("split = 'train'"), variations, kept=stage(kept, "augmented-kept"))
+    rest = rows.filter("split <> 'train'").withColumn("ord", F.col("ord") * len(variations))
+    return train.unionByName(rest)
+
+
+def augment_train(rows: DataFrame, variations=VARIATIONS) -> DataFrame:
+    """As ``augmented``, for wide rows that come without a manifest."""
     train = augment(rows.filter("split = 'train'"), variations)
     rest = rows.filter("split <> 'train'").withColumn("ord", F.col("ord") * len(variations))
     return train.unionByName(rest)

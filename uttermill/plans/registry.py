@@ -19,7 +19,7 @@ from ..constants import (
 )
 from ..functions import text as tx
 from ..operators import contamination, corpus, errors, features, fertility, leakage, metrics, models, reports, scoring, split
-from ..operators.augment import augment
+from ..operators.augment import augment, with_variation_digests
 from ..operators.classify import fit_naive_bayes, keyword_classify, with_keyword_scores
 from ..operators.dedup import dedup_counts as count_duplicates
 from ..operators.dedup import distinct_base as first_of_base
@@ -27,7 +27,7 @@ from ..sources import files
 from ..sources.tables import in_domain, out_of_domain, out_of_domain_row, requests, table, utterances
 from ..streaming.scoring import read_table_stream, route_stream, score_stream
 from .oracles import CORPUS_TOKENIZERS, KS, SCORED_COLUMNS
-from .prepare import Prepared, augmented_manifest, corpus_manifest, plan_splits, prepare_corpus
+from .prepare import Prepared, augmented, augmented_manifest, corpus_manifest, plan_splits, prepare_corpus
 from .staging import spread, stage, staging_path
 
 LABELS = LANG_LABELS
@@ -284,8 +284,8 @@ def hash_split(spark, sf_dir):
 
 @query
 def augment_train(spark, sf_dir):
-    train = splits(spark, sf_dir).filter("split = 'train'")
-    return augment(train).select(
+    train = augmented(planned(spark, sf_dir, derive=with_variation_digests)).filter("split = 'train'")
+    return train.select(
         "ord",
         "base_id",
         "intent",
@@ -298,7 +298,7 @@ def augment_train(spark, sf_dir):
 
 @query
 def prepared_counts(spark, sf_dir):
-    rows = augmented_manifest(splits(spark, sf_dir))
+    rows = augmented_manifest(manifest(spark, sf_dir, with_variation_digests))
     per_id = rows.groupBy("split", "base_id").agg(F.count(F.lit(1)).alias("k"))
     return per_id.groupBy("split").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_bases"))
 
@@ -498,12 +498,12 @@ def metrics_by_split(spark, sf_dir):
 
 @query
 def class_balance(spark, sf_dir):
-    return metrics.class_balance(augmented_manifest(splits(spark, sf_dir)), LABELS)
+    return metrics.class_balance(augmented_manifest(manifest(spark, sf_dir, with_variation_digests)), LABELS)
 
 
 @query
 def split_summary(spark, sf_dir):
-    return metrics.split_summary(augmented_manifest(splits(spark, sf_dir)))
+    return metrics.split_summary(augmented_manifest(manifest(spark, sf_dir, with_variation_digests)))
 
 
 @query
