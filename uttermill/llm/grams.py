@@ -19,6 +19,7 @@ from .frames import named
 from .kernels import WHITE, SpanHasher, chunks, mix, spans
 
 ALL = ("chars", "words", "pairs")
+PART_BYTES = 1 << 18  # of texts whose grams are held at once
 Grams = tuple[np.ndarray, np.ndarray, np.ndarray]  # index and row of every gram, number of grams by row
 
 
@@ -130,7 +131,7 @@ def sparse_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, bounds in chunks(batch.column("text")):
+            for a, b, data, bounds in chunks(batch.column("text"), PART_BYTES):
                 keys, values = [], []
                 for index, row, total in gram_ids(data, bounds, bits, families):
                     key, count = np.unique(row * size + index, return_counts=True)

@@ -34,8 +34,8 @@ from pyspark.sql.types import DoubleType
 
 from ..plans.combine import array_sum
 from ..plans.staging import stage
-from .frames import bounded_share, crc_remainder, named, one_row_each, packed, with_fields
-from .grams import descend, gram_ids, margins, margins_of, read_vectors, sparse_rows
+from .frames import batches_of, bounded_share, crc_remainder, named, one_row_each, packed, with_fields
+from .grams import PART_BYTES, descend, gram_ids, margins, margins_of, read_vectors, sparse_rows
 from .kernels import chunks
 from .quality_rules import labelled_ids
 
@@ -43,6 +43,7 @@ BITS, FAMILIES = 15, ("chars", "repeats")
 FOLDS, HELD_OUT = 5, 0  # rows whose crc32 remainder is HELD_OUT teach nothing
 MAX_POSITIVES, MAX_START = 2_500, 5_000
 KEEP_AT = 0.3
+BATCH_ROWS = 1 << 10  # texts that a task receives at once in full rounds
 FULL_ROUNDS, BOLD = 4, 256  # rounds over all training rows, and how much longer than safe their first step is
 ROUNDS, RATE, DECAY = 80, 12.0, 1e-7
 
@@ -103,7 +104,7 @@ def _sums_of(model: PuModel, weigh: Callable[[np.ndarray], list[np.ndarray]], n:
 
     def of_batch(batch: pa.RecordBatch) -> np.ndarray:
         total = np.zeros(1 + n * (size + 1))
-        for _, _, data, bounds in chunks(batch.column("text")):
+        for _, _, data, bounds in chunks(batch.column("text"), PART_BYTES):
             found = gram_ids(data, bounds, BITS, FAMILIES)
             z = model.intercept + margins_of(found, model.weights, len(bounds) - 1)
             total[0] += np.logaddexp(0, z).sum()
@@ -184,7 +185,8 @@ def fit(
     if not found:
         return PuModel(np.zeros(len(FAMILIES) << BITS), log_odds(prior), prior)
     start = PuModel(np.frombuffer(found[0].weights, np.float64), found[0].intercept, prior)
-    return refine(start, rows.filter("positive").select("text"), texts.select("text"), rounds)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return refine(start, rows.filter("positive").select("text"), texts.select("text"), rounds)
 
 
 def score(docs: DataFrame, model: PuModel, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -192,7 +194,7 @@ def score(docs: DataFrame, model: PuModel, text_col: str = "text", carry: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.score(data, bounds) for _, _, data, bounds in chunks(batch.column("text"))]
+            parts = [model.score(data, bounds) for _, _, data, bounds in chunks(batch.column("text"), PART_BYTES)]
             p = pa.array(np.concatenate(parts) if parts else np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), p], ["row", "text", "score"])
 

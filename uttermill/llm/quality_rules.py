@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import stage
 from .frames import bounded_share, named, one_row_each
-from .grams import descend, margins, read_vectors, sparse_rows
+from .grams import PART_BYTES, descend, margins, read_vectors, sparse_rows
 from .kernels import WHITE, SpanHasher, chunks, line_spans, mix, per_row, spans
 
 BITS = 15
@@ -169,7 +169,7 @@ def apply_rules(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, bounds in chunks(batch.column("text")):
+            for a, b, data, bounds in chunks(batch.column("text"), PART_BYTES):
                 s = text_statistics(data, bounds)
                 failed = (s["n_words"] < min_words) | (100 * s["n_repeat_words"] > max_repeat_percent * s["n_words"])
                 if model is None:
