@@ -11,7 +11,9 @@ previous one ends, so together they are one scan.
 Defined cases: null texts have no words; items without words have no pattern; items
 shorter than a window are one pattern.  Items that repeat an id are one item, an item
 with a null id hits but is never listed.  Every row of ``docs`` has its own result.  An
-empty benchmark hits nothing.  Other columns are carried.
+empty benchmark hits nothing, an empty table gives an empty result.  A text of any length is
+searched whole.  Item ids are listed in the order of their strings, each once.  Other columns,
+whatever their names, are carried.
 """
 
 from __future__ import annotations

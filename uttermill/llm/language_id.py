@@ -16,7 +16,10 @@ the bytes of texts that fall into them meet their costs in a join.
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is
 every text if nothing can be learned.  Rows with a null language teach nothing.  Equal
 code lengths go to the alphabetically first language.  A text's first byte follows three
-blanks.  Every row has its own result; other columns are ignored.
+blanks.  Every row has its own result, however often it repeats; an empty table gives an empty
+one.  A text of any length is read whole, as a chunk by itself.  Other columns, whatever their
+names, are ignored.  The distinct languages come to the driver: their number is assumed to be
+that of a label set (hundreds), and each is a column of the tables in a task.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Texts are not part of any of these steps.
 Defined cases: a null or empty text is one empty line, which stays.  Keys below
 ``min_chars`` code points always stay.  A null id counts as one document after all
 others.  Rows that repeat an id are one document; each gets its own bitmap.  An empty
-table gives an empty result.  Columns other than id and text are carried or ignored.
+table gives an empty result.  Of lines of one key in the first document all stay.  A text of any
+length is cut into lines whole; a document's bitmap must fit into a row.  Columns other than id and text are carried or ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,14 @@ and each distinct one only once per batch.
 
 Defined cases: null and empty texts have no pieces.  Characters without a piece become
 byte pieces, or the unknown piece if there are none.  The blank sign U+2581 is read as
-a blank, as the library does; any other text comes back unchanged from decoding.
+a blank, as the library does; any other text comes back unchanged from decoding.  Of merges of
+one score the leftmost goes first.  A text of any length is encoded whole, as a chunk by itself.
+Rows that repeat are encoded alike, each for itself; an empty table gives an empty one.  Carried
+columns of any name and type come back unchanged, but for those named like the results
+(n_tokens, token_ids, round_trip), which replace them.
+
+Suffixes are sorted by their first eight bytes; a piece's range is exact for these, and the
+rest of a longer piece is compared occurrence by occurrence.
 """
 
 from __future__ import annotations

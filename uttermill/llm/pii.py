@@ -11,8 +11,11 @@ pass the same plausibility rules (digits, check digit, number ranges).  So it fi
 patterns miss because they run on into a following number.
 
 Defined cases: null texts are empty and have no spans.  Positions count code points.
-Pattern search is linear in the text, so very long texts and long runs are no problem.
-Every row has its own result; other columns are ignored.
+Pattern search is linear in the text, so very long texts and long runs are no problem; the
+outline of a word is that of the whole word.  Pattern spans of different kinds may overlap and all
+stay; of spans that begin together the kind listed first comes first.  Of overlapping model spans
+there are none, as a word has one label.  Every row has its own result, however often it repeats; an
+empty table gives an empty one.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

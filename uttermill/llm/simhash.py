@@ -14,7 +14,10 @@ member with the smallest member of its connected group, never all pairs.
 
 Defined cases: a null or wordless text has fingerprint zero, which links like any
 other.  Fewer words than a shingle are one shingle.  Rows that share a fingerprint are
-one node.  A null id never names a group unless no other id is in it.
+one node.  A null id never names a group unless no other id is in it.  A text of any length is
+read whole, as a chunk by itself.  Rows that repeat are of one group, and each has its result; an
+empty table gives an empty one.  A bit that is set in exactly half of the hashes is 0.  Columns of
+other names are carried or not read.
 """
 
 from __future__ import annotations
