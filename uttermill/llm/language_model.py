@@ -48,7 +48,8 @@ from .kernels import LOWER, WHITE, RowIndex, SpanHasher, chunks, mix, signed, sp
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 END = np.int64(1)  # hash that stands for the end of a text
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 3 << 20
+PART_BYTES = 1 << 18  # of a group's texts that are hashed at once
 LANE = 2_048  # tokens of a text that one lane of the traversal passes
 
 
@@ -70,8 +71,9 @@ class Grams:
     """Tokens of a group's texts and its distinct n-grams of one, two and three words, in hash order."""
 
     def __init__(self, texts: pa.Array, orders: int = 3):
-        parts = [(h, doc + a) for a, _, data, bounds in chunks(texts) for h, doc in [token_hashes(data, bounds)]]
-        h, self.doc = (np.concatenate(x) for x in zip(*parts))
+        parts = [(h, doc + a) for a, _, data, bounds in chunks(texts, PART_BYTES) for h, doc in [token_hashes(data, bounds)]]
+        h, self.doc = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]).astype(np.int32)
+        del parts
         n = len(h)
         self.keys, self.of, self.at = [], [], []  # by order: distinct hashes, their numbers, and at which tokens
         inner = np.append(False, self.doc[1:] == self.doc[:-1])[:n]
@@ -84,12 +86,13 @@ class Grams:
                 key = whole
             found, begin, number = np.unique(key[at], return_index=True, return_inverse=True)
             self.keys.append(found)
-            self.of.append(number)
-            self.at.append(at)
+            self.of.append(number.astype(np.int32))
+            self.at.append(at.astype(np.int32))
             first.append(at[begin])
         self.word = self.of[0]
+        del key
         if orders > 1:
-            pair_at = np.full(n, -1)
+            pair_at = np.full(n, -1, np.int32)
             pair_at[self.at[1]] = self.of[1]
             self.head, self.last = self.word[first[1] - 1], self.word[first[1]]  # words of each distinct pair
             self.pair_at = pair_at
@@ -302,7 +305,7 @@ class Model:
         after = np.where(open2, pair_state, word_state[last])
         two, three = c2 > 0, c3 > 0
         states = np.concatenate([word_state[head[two]], pair_state[context[three]]])
-        words = np.concatenate([last[two], grams.third[three]])
+        words = np.concatenate([last[two], grams.third[three]]).astype(np.int64)
         return (
             Automaton(
                 np.log10(p1),
