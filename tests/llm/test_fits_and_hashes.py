@@ -1,7 +1,6 @@
 """Span hashes, samples, gradients and orders against plain versions."""
 
 import re
-from collections import Counter
 
 import duckdb
 import numpy as np
