@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from uttermill.operators import models, newton, reports, sweeps
+from uttermill.operators import epochs, models, newton, reports, sweeps
 
 WORDS = {"a": ["refund", "broken", "late"], "b": ["price", "discount", "offer"], "c": ["call", "later", "busy"]}
 
@@ -144,3 +144,43 @@ def test_all_settings_reach_their_own_optimum(spark):
 def test_settings_without_rows(spark):
     _, _, df = sparse_rows(spark, 5)
     assert all(s.converged and not s.weights.any() for s in sweeps.fit_all(df.limit(0), [(1.0, 5, 10)], 2))
+
+
+# epochs
+
+
+def test_epochs_see_every_row_in_an_order_of_their_own():
+    buckets = list(range(23))
+    orders = [epochs.epoch_batches(buckets, e, 5) for e in (1, 2, 1)]
+    assert orders[0] == orders[2] != orders[1]
+    assert all(sorted(b for batch in o for b in batch) == buckets and max(map(len, o)) == 4 for o in orders)
+
+
+def test_training_repeats_on_any_layout_and_after_a_cut(spark, tmp_path):
+    _, label, df = sparse_rows(spark, 240, 15)
+    train, val = df.filter("ord < 180"), df.filter("ord >= 180")
+    run = lambda rows, name, n: epochs.train_epochs(rows, val, 15, f"{tmp_path}/{name}", ["a", "b", "c"], n, 40, 0.2)
+    whole = run(train.repartition(5), "whole", 4)
+    other = run(train.repartition(2, "label"), "other", 4)
+    assert np.array_equal(whole.weights, other.weights) and whole.history == other.history
+    cut = run(train, "cut", 2)
+    taken_up = run(train, "cut", 4)
+    assert taken_up.history[:2] == cut.history and taken_up.history == whole.history
+    assert np.array_equal(taken_up.weights, whole.weights)
+    best = max(r["val_macro_f1"] for r in whole.history)
+    assert whole.history[whole.best_epoch - 1]["val_macro_f1"] == best and best > 0.6
+    assert all(r["rows_seen"] == 180 for r in whole.history) and whole.history[0]["train_loss"] > whole.history[-1]["train_loss"]
+
+
+def test_an_epoch_that_was_not_finished_is_trained_again(spark, tmp_path):
+    _, _, df = sparse_rows(spark, 60, 8)
+    run = lambda: epochs.train_epochs(df, df, 8, str(tmp_path), ["a", "b", "c"], 2, 20)
+    first = run()
+    (tmp_path / "epoch-2" / "_SUCCESS").unlink()
+    assert run().history == first.history
+
+
+def test_epochs_without_rows(spark, tmp_path):
+    _, _, df = sparse_rows(spark, 5, 4)
+    none = epochs.train_epochs(df.limit(0), df, 4, str(tmp_path), ["a", "b", "c"], 2)
+    assert not none.weights.any() and none.best_epoch == 1

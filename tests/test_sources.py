@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from uttermill.operators import fertility
 from uttermill.operators.scoring import keyword_scorer, score_batch
 from uttermill.plans import registry
-from uttermill.plans.staging import drop_staged, is_small, salted_left_join, spread, stage, staging_path, staging_root
+from uttermill.plans.staging import drop_staged, spread, stage, staging_path, staging_root
 from uttermill.operators.reports import comparison_table, markdown_lines
 from uttermill.sources import delimited, files, model_metrics
 from uttermill.sources.tables import in_domain, out_of_domain
@@ -48,18 +48,6 @@ def test_stage_reads_back_and_cuts_lineage(spark):
     assert staging_path(spark, "a").startswith(staging_root(spark))
 
 
-def test_row_count_check(spark):
-    assert is_small(spark.range(10), 10) and not is_small(spark.range(10), 9)
-
-
-def test_salted_join_is_a_left_join(spark):
-    rows = spark.range(300).selectExpr("id AS ord", "IF(id % 3 = 0, 'hot', concat('k', id % 7)) AS k")
-    narrow = spark.createDataFrame([("hot", 1), ("k1", 2), ("unused", 3)], "k string, v int")
-    got = {r.ord: r.v for r in salted_left_join(rows, narrow, "k", "ord", 4).collect()}
-    want = {r.ord: {"hot": 1, "k1": 2}.get(r.k) for r in rows.collect()}
-    assert got == want
-
-
 @pytest.fixture()
 def folder(spark, tmp_path):
     path = str(tmp_path / "in")

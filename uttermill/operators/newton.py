@@ -98,7 +98,7 @@ class SquaredHingeModel:
 
 
 def _directions(
-    rows: DataFrame, weights: dict[int, np.ndarray], gradient: dict[int, np.ndarray], c: float, size: int
+    rows: DataFrame, weights: dict[int, np.ndarray], gradient: dict[int, np.ndarray], c: float, size: int, parts: int
 ) -> dict[int, np.ndarray]:
     """Newton directions by conjugate gradients, all classes in step; each as exact as its gradient asks for."""
     steps = {k: np.zeros(size) for k in gradient}
@@ -108,7 +108,7 @@ def _directions(
     live = list(gradient)
     for _ in range(MAX_INNER):
         here = {k: along[k] for k in live}
-        curved = array_sum(rows, _curvature({k: weights[k] for k in live}, here, size), size * len(live)).reshape(len(live), size)
+        curved = array_sum(rows, _curvature({k: weights[k] for k in live}, here, size), size * len(live), parts=parts).reshape(len(live), size)
         for k, h in zip(list(live), curved):
             bent = along[k] + c * h
             norm = rest[k] @ rest[k]
@@ -133,9 +133,10 @@ def fit_squared_hinge(
     """
     size, n = n_features + 1, len(labels)
     rows = train.select("indices", "weights", F.coalesce(F.col("label").cast("int"), F.lit(-1)).alias("label"))
+    parts = rows.rdd.getNumPartitions()
 
     def evaluate(weights: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
-        found = array_sum(rows, _loss_and_gradient(weights, size), (size + 1) * len(weights)).reshape(len(weights), size + 1)
+        found = array_sum(rows, _loss_and_gradient(weights, size), (size + 1) * len(weights), parts=parts).reshape(len(weights), size + 1)
         return {k: (w @ w / 2 + c * f[-1], w + c * f[:-1]) for (k, w), f in zip(weights.items(), found)}
 
     at = {k: np.zeros(size) for k in range(n)}
@@ -145,7 +146,7 @@ def fit_squared_hinge(
     for _ in range(max_steps):
         if not live:
             break
-        steps = _directions(rows, at, {k: now[k][1] for k in live}, c, size)
+        steps = _directions(rows, at, {k: now[k][1] for k in live}, c, size, parts)
         scale = dict.fromkeys(live, 1.0)
         trying = list(live)
         while trying:

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..plans.combine import array_sum
 
-TOLERANCE = 1e-4  # change of the loss, and norm of the gradient, relative to the loss and to the norm at zero
+TOLERANCE = 1e-4  # mean change of the loss by iteration, and norm of the gradient, relative to the loss and to the norm at zero
+SPAN = 5  # iterations over which the change of the loss is averaged
 MEMORY = 8  # steps that L-BFGS remembers
 
 
@@ -70,6 +71,7 @@ class Setting:
     scale: float = 1.0
     goal: float = 0.0
     steps: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    past: list[float] = field(default_factory=list)
 
     def trial(self) -> np.ndarray:
         return self.weights if self.direction is None else self.weights + self.scale * self.direction
@@ -87,7 +89,8 @@ class Setting:
             self.steps = [*self.steps, (moved, gradient - self.gradient)][-MEMORY:]
             self.weights = self.weights + moved
             self.iterations += 1
-            small = abs(self.loss - loss) <= 0.1 * tolerance * max(abs(loss), 1e-12)
+            self.past = [*self.past, self.loss][-SPAN:]
+            small = len(self.past) == SPAN and (self.past[0] - loss) / SPAN <= tolerance * max(abs(loss), 1e-12)
             self.converged = bool(small or np.linalg.norm(gradient) <= self.goal)
         self.loss, self.gradient = loss, gradient
         self.converged = self.converged or not bool(gradient.any())
@@ -133,12 +136,12 @@ def _pass(points: list[tuple[int, np.ndarray]]) -> Callable[[pa.RecordBatch], np
 def fit_all(train: DataFrame, settings: list[tuple[float, int, int]], classes: int, tolerance: float = TOLERANCE) -> list[Setting]:
     """The fitted settings (C, vocabulary size, limit of iterations) from staged rows (indices, weights, label id)."""
     rows = train.select("indices", "weights", F.col("label").cast("int").alias("label")).filter("label IS NOT NULL")
-    n = max(1, rows.count())
+    n, parts = max(1, rows.count()), rows.rdd.getNumPartitions()
     live = fitted = [Setting(c, size, limit, np.zeros((classes, size + 1))) for c, size, limit in settings]
     while live:
         points = [(s.size, s.trial()) for s in live]
         lengths = [1 + classes * (size + 1) for size, _ in points]
-        found = np.split(array_sum(rows, _pass(points), sum(lengths)) / n, np.cumsum(lengths)[:-1])
+        found = np.split(array_sum(rows, _pass(points), sum(lengths), parts=parts) / n, np.cumsum(lengths)[:-1])
         for s, (_, w), f in zip(live, points, found):
             penalty = np.hstack([w[:, :-1], np.zeros((classes, 1))]) / (s.c * n)
             loss = f[0] + (penalty * w).sum() / 2

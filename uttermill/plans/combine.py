@@ -22,7 +22,9 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([table.column("group")[0].as_py()], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 
 
-def array_sum(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], size: int, fan: int = FAN) -> np.ndarray:
+def array_sum(
+    rows: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], size: int, fan: int = FAN, parts: int | None = None
+) -> np.ndarray:
     """Sum over all batches of the arrays of ``size`` doubles that ``of_batch`` makes.
 
     A task adds up its own batches; groups of ``fan`` tasks' arrays are then added up level
@@ -35,7 +37,7 @@ def array_sum(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray],
             total += of_batch(batch)
         yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.rdd.getNumPartitions()
+    parts = parts or rows.rdd.getNumPartitions()  # callers of many passes count once
     sums = rows.mapInArrow(run, "v binary").select(F.spark_partition_id().alias("part"), "v")
     while parts > fan:
         parts = -(-parts // fan)

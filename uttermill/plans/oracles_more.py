@@ -42,6 +42,11 @@ def oracle_sql() -> dict[str, str]:
             "chr(10) ORDER BY turn, text)) AS results FROM sized GROUP BY conv_id, n)",
             select="SELECT conv_id, reject_reason, CASE WHEN reject_reason IS NULL THEN total END AS total, CASE WHEN reject_reason IS NULL THEN results END AS results FROM reasons",
         ),
+        "train_epochs": with_(
+            *SPLITS,
+            "n AS (SELECT count(*) AS rows_seen FROM rows_ WHERE split = 'train')",
+            select="SELECT e.epoch::INTEGER AS epoch, rows_seen, TRUE AS best_kept, TRUE AS taken_up, TRUE AS accurate FROM n, unnest([1, 2, 3, 4]) AS e(epoch)",
+        ),
         "svm_squared_hinge": first_oracles()["fit_svm"],
         "error_rules": first_oracles()["error_reason"],
         "keyword_table": with_(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import LANG_DEFAULT, LANG_ERROR_PAIRS, LANG_KEYWORDS, LANG_OOD_SOURCES
 from ..functions import text as tx
 from ..functions.rows import explode_rows
-from ..operators import corpus, errors, features, keywords, metrics, models, scoring
+from ..operators import corpus, epochs, errors, features, keywords, metrics, models, scoring
 from ..sources import delimited, files, model_metrics
 from ..sources.tables import requests, table
 from .registry import FLOOR, LABELS, documents, flagship, keyword_variants, manifest, query, splits, with_variants
@@ -115,3 +115,20 @@ def svm_squared_hinge(spark, sf_dir):
     quality = metrics.overall_metrics(rows, LABELS, by=("split",)).select("split", (F.col("accuracy") >= FLOOR).alias("accurate"))
     listed = F.col("predicted_intent").isin(LABELS).alias("listed")
     return rows.join(quality, "split").select("ord", "split", "intent", listed, "converged", "accurate")
+
+
+@query
+def train_epochs(spark, sf_dir):
+    """Mini-batch training by epochs, taken up again after half of them: checks of every epoch."""
+    store = models.FeatureStore(splits(spark, sf_dir), LABELS)
+    rows, size = store.arrays(features.MAX_FEATURES, True), len(store.tfidf.vocab)
+    train, val, path = rows.filter("split = 'train'"), rows.filter("split = 'val'"), staging_path(spark, "epochs")
+    half = epochs.train_epochs(train, val, size, path, LABELS, 2)
+    run = epochs.train_epochs(train, val, size, path, LABELS, 4)
+    best = max(r["val_macro_f1"] for r in run.history)
+    records = [
+        (r["epoch"], r["rows_seen"], run.history[run.best_epoch - 1]["val_macro_f1"] == best, run.history[:2] == half.history)
+        for r in run.history
+    ]
+    good = F.lit(max(r["val_accuracy"] for r in run.history) >= FLOOR).alias("accurate")
+    return spark.createDataFrame(records, "epoch int, rows_seen bigint, best_kept boolean, taken_up boolean").select("*", good)

@@ -1,4 +1,4 @@
-"""Staged tables, spreading of small inputs and size-checked broadcasts."""
+"""Staged tables and spreading of small inputs."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BROADCAST_ROWS = 500_000
 _local_root: list[str] = []
 
 
@@ -66,18 +64,3 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores, key)
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; stops counting beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def salted_left_join(df: DataFrame, narrow: DataFrame, key: str, spread_col: str, salts: int = 32) -> DataFrame:
-    """Left join in which the rows of one key are spread over ``salts`` tasks.
-
-    ``narrow`` has one small row per key and is repeated once per salt.
-    """
-    copies = narrow.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_col), F.lit(salts)).cast("int"))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
