@@ -35,6 +35,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 END = np.int64(1)  # hash that stands for the end of a text
 GROUP_BYTES = 3 << 20
+SLICES = 4  # of the groups, scored one after another
 PART_BYTES = 1 << 18  # of a group's texts that are hashed at once
 LANE = 2_048  # tokens of a text that one lane of the traversal passes
 
@@ -407,6 +409,10 @@ def scored(
             )
 
         answers = counts.unionByName(kinds).drop("every", "distinct")
-        found = texts.groupBy("g").cogroup(answers.groupBy("g"))
         schema = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
-        return stage(found.applyInArrow(score, schema), "lm-scores"), n_tokens
+        found = []
+        for k in range(SLICES):  # the shuffle files of a slice of the groups go before the next
+            mine = F.col("g") % SLICES == k
+            both = texts.filter(mine).groupBy("g").cogroup(answers.filter(mine).groupBy("g"))
+            found.append(stage(both.applyInArrow(score, schema), "lm-scores"))
+        return reduce(DataFrame.unionByName, found), n_tokens
