@@ -62,6 +62,15 @@ def test_term_counts(spark):
     assert got == {(d, g): n for d, t in enumerate(TEXTS) for g, n in grams(t).items()}
 
 
+def test_term_counts_of_repeated_and_null_ids(spark):
+    texts = [(1, "red red blue"), (1, "red"), (None, "blue blue"), (None, "blue"), (2, "green"), (3, None), (4, "")]
+    found = ft.term_counts(spark.createDataFrame(texts, "doc_id bigint, clean_text string"))
+    want = {(1, "red"): 3, (1, "blue"): 1, (1, "red red"): 1, (1, "red blue"): 1, (None, "blue"): 3, (None, "blue blue"): 1, (2, "green"): 1}
+    rows = found.collect()
+    assert {(r.doc_id, r.term): r.tf for r in rows} == want and len(rows) == len(want)
+    assert dict(found.dtypes) == {"doc_id": "bigint", "term": "string", "tf": "bigint"}
+
+
 @pytest.mark.parametrize("sublinear", [False, True])
 @pytest.mark.parametrize("size", [3, 50])
 def test_tfidf_equals_brute_force(spark, sublinear, size):

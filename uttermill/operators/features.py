@@ -28,14 +28,38 @@ def with_ngrams(df: DataFrame, text_col: str = "clean_text", out: str = "ngrams"
     )
 
 
+def _runs(sorted_terms: Column) -> Column:
+    """Array of struct(term, tf) from a sorted array of terms."""
+    n = F.size(sorted_terms)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: ~F.get(sorted_terms, i).eqNullSafe(F.get(sorted_terms, i - 1)))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n))
+    return F.zip_with(
+        F.slice(ends, F.lit(1), F.size(starts)),
+        starts,
+        lambda end, start: F.struct(F.get(sorted_terms, start).alias("term"), (end - start).cast("bigint").alias("tf")),
+    )
+
+
 def term_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "clean_text") -> DataFrame:
     """Count of every n-gram in every document.
 
-    The n-grams of a document are rows of one task, so nearly all of them are added up
-    before the shuffle; an input that is dealt by its id already is not shuffled at all.
+    A row's n-grams are sorted and counted inside the row; nothing is shuffled.  Ids are counted
+    first, by themselves: only the counts of rows whose id others have too are added up.
     """
-    grams = with_ngrams(df.select(id_col, text_col), text_col).select(id_col, "ngrams")
-    return explode_rows(grams, [id_col], "ngrams", "term").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    repeated = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated = stage(repeated.select(F.col(id_col).alias("_id")), "repeated-ids")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        grams = with_ngrams(rows, text_col).withColumn("_sorted", F.sort_array("ngrams"))
+        return inline_rows(grams.withColumn("_terms", _runs(F.col("_sorted"))), [id_col], "_terms", "term")
+
+    rows = df.select(id_col, text_col)
+    if repeated.isEmpty():
+        return counted(rows)
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    added = counted(rows.join(repeated, same, "left_semi")).groupBy(id_col, "term").agg(F.sum("tf").alias("tf"))
+    return counted(rows.join(repeated, same, "left_anti")).unionByName(added)
 
 
 def _top(counts: DataFrame, max_features: int) -> DataFrame:
