@@ -184,3 +184,19 @@ def test_epochs_without_rows(spark, tmp_path):
     _, _, df = sparse_rows(spark, 5, 4)
     none = epochs.train_epochs(df.limit(0), df, 4, str(tmp_path), ["a", "b", "c"], 2)
     assert not none.weights.any() and none.best_epoch == 1
+
+
+def test_steps_share_jobs_and_files(spark, tmp_path, monkeypatch):
+    _, _, df = sparse_rows(spark, 400, 8)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    found = []
+    for name, runs in (("one", 64), ("many", 3)):
+        monkeypatch.setattr(epochs, "BATCHES_PER_TASK", runs)
+        spark.sparkContext.setJobGroup(f"epochs-{name}", name)
+        found.append(epochs.train_epochs(df, df, 8, f"{tmp_path}/{name}", ["a", "b", "c"], 2, 10))
+        jobs.append(len(tracker.getJobIdsForGroup(f"epochs-{name}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0].history == found[1].history and np.array_equal(found[0].weights, found[1].weights)
+    assert jobs[0] < 40 <= jobs[1]
+    assert not list((tmp_path / "one" / "buckets").glob("bucket=*"))
+    assert found[0].history[-1]["steps"] > 60
