@@ -48,6 +48,38 @@ def test_pruned_vocabulary_is_the_same(spark, size):
     assert [tuple(r) for r in pruned] == sorted(total.items(), key=lambda kv: (-kv[1], kv[0]))[:size]
 
 
+@pytest.mark.parametrize("numbered", [1, 2, 4])
+@pytest.mark.parametrize("size", [1, 2, 4, 7])
+def test_words_that_tie_at_the_bound(spark, size, numbered):
+    texts = ["aa zz aa zz", "bb yy", "bb yy", "cc xx", "cc xx aa", "dd", "dd ww ww", "bb", None, "é é éé ßß"]
+    total = sum((grams(t) for t in texts if t), Counter())
+    want = sorted(total.items(), key=lambda kv: (-kv[1], kv[0].encode()))[:size]
+    rows = ft.number_words(ft.stage_words(docs(spark, texts), ["doc_id"]), ["doc_id"], size, numbered=numbered)
+    assert [tuple(r) for r in rows.vocabulary().collect()] == want
+    vocab = [t for t, _ in want]
+    got = {r.doc_id: (r.indices, r.counts) for r in rows.counts(vocab, ["doc_id"]).collect()}
+    same = {r.doc_id: (r.indices, r.counts) for r in ft.with_counts(docs(spark, texts), vocab).collect()}
+    assert got == same and len(got) == len(texts)
+
+
+def test_texts_are_cut_into_words_once(spark):
+    calls, stage = [], ft.stage
+    ft.stage = lambda df, *a: (calls.append(df._jdf.queryExecution().optimizedPlan().toString()), stage(df, *a))[1]
+    try:
+        model, counts = ft.fit_tfidf_counts(docs(spark), ["doc_id"], 5)
+        plan = model.transform(counts)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        ft.stage = stage
+    assert sum("regexp_extract_all" in p for p in [*calls, plan]) == 1
+
+
+def test_rows_with_many_words_are_counted_in_slices(spark, monkeypatch):
+    vocab, want = ft.fit_counts(docs(spark), ["doc_id"], 50)
+    monkeypatch.setattr(ft, "SLICE", 1)
+    assert ft.fit_counts(docs(spark), ["doc_id"], 50)[0] == vocab
+    assert sorted(ft.fit_counts(docs(spark), ["doc_id"], 50)[1].collect()) == sorted(want.collect())
+
+
 def test_vocabulary_of_no_words(spark):
     assert ft.vocabulary(docs(spark, ["", " "]), 5).count() == 0
 
