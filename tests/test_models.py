@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from uttermill.operators import epochs, models, newton, reports, sweeps
+from uttermill.operators import blocks, epochs, models, newton, reports, sweeps
 
 WORDS = {"a": ["refund", "broken", "late"], "b": ["price", "discount", "offer"], "c": ["call", "later", "busy"]}
 
@@ -200,3 +200,28 @@ def test_steps_share_jobs_and_files(spark, tmp_path, monkeypatch):
     assert jobs[0] < 40 <= jobs[1]
     assert not list((tmp_path / "one" / "buckets").glob("bucket=*"))
     assert found[0].history[-1]["steps"] > 60
+
+
+# blocks, tasks of a fit
+
+
+def test_blocks_hold_every_row_and_multiply_as_dense_ones(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    x, label, df = sparse_rows(spark, 120, 20, 4)
+    x[[0, 7, 119]], z = 0, np.linspace(-1, 1, 120)
+    rows = [(int(k), np.flatnonzero(v).tolist(), v[v != 0].tolist()) for k, v in zip(label, x)]
+    df = spark.createDataFrame(rows, "label int, indices array<int>, weights array<double>").coalesce(1)
+    staged = blocks.stage_blocks(df, [lambda b: b, lambda b: b.first(7)])
+    assert 10 < staged.count() < 60  # blocks, not rows
+    w = np.arange(21.0)
+    found, dots, back, short = [], [], np.zeros(21), []
+    for batch in staged.toArrow().to_batches():
+        for ids, views in blocks.read_blocks(batch, [0, 1]):
+            back += views[0].back(z[len(found) : len(found) + len(ids)], 20)
+            found += ids.tolist()
+            dots += views[0].dot(w).tolist()
+            short += views[1].dot(w[:8]).tolist()
+    assert found == label.tolist() and np.allclose(dots, x @ w[:-1] + w[-1])
+    assert np.allclose(back, np.append(x.T @ z, z.sum()))
+    norm = np.sqrt((x[:, :7] ** 2).sum(axis=1))
+    assert np.allclose(short, x[:, :7] @ w[:7] / np.where(norm > 0, norm, 1) + w[7])

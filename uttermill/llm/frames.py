@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from ..plans.staging import batches_of  # noqa: F401
+
 NO_ID = (1 << 63) - 1  # stands for a null id: after every other
 
 
@@ -58,15 +57,3 @@ def one_row_each(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """
     first = F.min_by(F.col(text_col), F.struct(F.xxhash64(text_col), F.length(text_col)))
     return rows.groupBy(*keys).agg(first.alias(text_col))
-
-
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run inside send tasks' Python workers so many rows at once, for rows that are wide."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -6,8 +6,8 @@ For each class, against all others, the fit minimises
 
 where ``x`` ends with a constant 1 for the intercept, which is penalised like any weight.
 Every pass over the rows serves all classes that are not done: one pass for loss and
-gradient, one for each product of their Hessians with a direction.  Tasks add up arrays of
-their rows; these are added up in a tree, so the driver holds classes times features numbers.
+gradient, one for each product of their Hessians with a direction.  Rows are staged as blocks
+first, which the passes read.  Tasks add up arrays of their rows; these are added up in a tree, so the driver holds classes times features numbers.
 """
 
 from __future__ import annotations
@@ -22,43 +22,29 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, label_at
 from ..plans.combine import array_sum
+from ..plans.staging import batches_of
+from .blocks import AT_ONCE, read_blocks, stage_blocks
 from .features import literal_doubles
 
 TOLERANCE = 1e-4  # of the gradient's norm, as a share of its norm at zero
 MAX_STEPS, MAX_INNER = 50, 60
 
 
-class Rows:
-    """Sparse rows of an Arrow batch, with a constant 1 as last feature."""
-
-    def __init__(self, batch: pa.RecordBatch, size: int):
-        index, weight = batch.column("indices"), batch.column("weights")
-        n = batch.num_rows
-        lengths = np.diff(index.offsets.to_numpy())
-        self.row = np.concatenate([np.repeat(np.arange(n), lengths), np.arange(n)])
-        self.at = np.concatenate([index.flatten().to_numpy().astype(np.int64), np.full(n, size - 1)])
-        self.value = np.concatenate([weight.flatten().to_numpy().astype(np.float64), np.ones(n)])
-        self.n, self.size = n, size
-        self.label = batch.column("label").to_numpy().astype(np.int64)
-
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.at] * self.value, minlength=self.n)
-
-    def back(self, z: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weights=z[self.row] * self.value, minlength=self.size)
-
-    def sign(self, c: int) -> np.ndarray:
-        return np.where(self.label == c, 1.0, -1.0)
+def _sign(label: np.ndarray, c: int) -> np.ndarray:
+    return np.where(label == c, 1.0, -1.0)
 
 
 def _loss_and_gradient(weights: dict[int, np.ndarray], size: int) -> Callable[[pa.RecordBatch], np.ndarray]:
     def of_batch(batch: pa.RecordBatch) -> np.ndarray:
-        rows, out = Rows(batch, size), []
-        for c, w in weights.items():
-            y = rows.sign(c)
-            short = np.maximum(0, 1 - y * rows.dot(w))
-            out.append(np.append(rows.back(-2 * y * short), (short**2).sum()))
-        return np.concatenate(out)
+        total = np.zeros((len(weights), size + 1))
+        for label, views in read_blocks(batch, [0]):
+            rows = views[0]
+            for out, (c, w) in zip(total, weights.items()):
+                y = _sign(label, c)
+                short = np.maximum(0, 1 - y * rows.dot(w))
+                out[:-1] += rows.back(-2 * y * short, size - 1)
+                out[-1] += (short**2).sum()
+        return total.ravel()
 
     return of_batch
 
@@ -67,11 +53,13 @@ def _curvature(weights: dict[int, np.ndarray], directions: dict[int, np.ndarray]
     """Products of the loss's Hessians with a direction for each class: rows inside the margin count."""
 
     def of_batch(batch: pa.RecordBatch) -> np.ndarray:
-        rows, out = Rows(batch, size), []
-        for c, d in directions.items():
-            inside = rows.sign(c) * rows.dot(weights[c]) < 1
-            out.append(rows.back(2 * inside * rows.dot(d)))
-        return np.concatenate(out)
+        total = np.zeros((len(directions), size))
+        for label, views in read_blocks(batch, [0]):
+            rows = views[0]
+            for out, (c, d) in zip(total, directions.items()):
+                inside = _sign(label, c) * rows.dot(weights[c]) < 1
+                out += rows.back(2 * inside * rows.dot(d), size - 1)
+        return total.ravel()
 
     return of_batch
 
@@ -98,7 +86,7 @@ class SquaredHingeModel:
 
 
 def _directions(
-    rows: DataFrame, weights: dict[int, np.ndarray], gradient: dict[int, np.ndarray], c: float, size: int, parts: int
+    blocks: DataFrame, weights: dict[int, np.ndarray], gradient: dict[int, np.ndarray], c: float, size: int, parts: int
 ) -> dict[int, np.ndarray]:
     """Newton directions by conjugate gradients, all classes in step; each as exact as its gradient asks for."""
     steps = {k: np.zeros(size) for k in gradient}
@@ -108,7 +96,7 @@ def _directions(
     live = list(gradient)
     for _ in range(MAX_INNER):
         here = {k: along[k] for k in live}
-        curved = array_sum(rows, _curvature({k: weights[k] for k in live}, here, size), size * len(live), parts=parts).reshape(len(live), size)
+        curved = array_sum(blocks, _curvature({k: weights[k] for k in live}, here, size), size * len(live), parts=parts).reshape(len(live), size)
         for k, h in zip(list(live), curved):
             bent = along[k] + c * h
             norm = rest[k] @ rest[k]
@@ -133,10 +121,16 @@ def fit_squared_hinge(
     """
     size, n = n_features + 1, len(labels)
     rows = train.select("indices", "weights", F.coalesce(F.col("label").cast("int"), F.lit(-1)).alias("label"))
-    parts = rows.rdd.getNumPartitions()
+    blocks = stage_blocks(rows, [lambda b: b])
+    with batches_of(train.sparkSession, AT_ONCE):
+        return _fit(blocks, labels, size, n, c, tolerance, max_steps)
+
+
+def _fit(blocks: DataFrame, labels: list[str], size: int, n: int, c: float, tolerance: float, max_steps: int) -> SquaredHingeModel:
+    parts = blocks.rdd.getNumPartitions()
 
     def evaluate(weights: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
-        found = array_sum(rows, _loss_and_gradient(weights, size), (size + 1) * len(weights), parts=parts).reshape(len(weights), size + 1)
+        found = array_sum(blocks, _loss_and_gradient(weights, size), (size + 1) * len(weights), parts=parts).reshape(len(weights), size + 1)
         return {k: (w @ w / 2 + c * f[-1], w + c * f[:-1]) for (k, w), f in zip(weights.items(), found)}
 
     at = {k: np.zeros(size) for k in range(n)}
@@ -146,7 +140,7 @@ def fit_squared_hinge(
     for _ in range(max_steps):
         if not live:
             break
-        steps = _directions(rows, at, {k: now[k][1] for k in live}, c, size, parts)
+        steps = _directions(blocks, at, {k: now[k][1] for k in live}, c, size, parts)
         scale = dict.fromkeys(live, 1.0)
         trying = list(live)
         while trying:

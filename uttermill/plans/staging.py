@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -41,16 +43,16 @@ def drop_staged(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def stage(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, schema: StructType | None = None, **options: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so a lost executor re-reads files instead of repeating the
     upstream work, and lets every later pass read only the columns it needs.
-    ``schema`` may name a logical type for a column's stored form.
+    ``schema`` may name a logical type for a column's stored form, ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
@@ -64,3 +66,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores, key)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send tasks' Python workers so many rows at once, for rows that are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
