@@ -225,3 +225,15 @@ def test_blocks_hold_every_row_and_multiply_as_dense_ones(spark, monkeypatch):
     assert np.allclose(back, np.append(x.T @ z, z.sum()))
     norm = np.sqrt((x[:, :7] ** 2).sum(axis=1))
     assert np.allclose(short, x[:, :7] @ w[:7] / np.where(norm > 0, norm, 1) + w[7])
+
+
+def test_passes_of_a_fit_read_blocks(spark, monkeypatch):
+    _, label, df = sparse_rows(spark, 90, 12)
+    read = {"newton": set(), "sweeps": set()}
+    for module in (newton, sweeps):
+        name = module.__name__.rsplit(".", 1)[1]
+        add = module.array_sum
+        monkeypatch.setattr(module, "array_sum", lambda rows, *a, add=add, name=name, **k: read[name].update(t for _, t in rows.dtypes) or add(rows, *a, **k))
+    assert newton.fit_squared_hinge(df, ["a", "b", "c"], 12).converged
+    assert sweeps.fit_all(df, [(1.0, 12, 100)], 3)[0].converged
+    assert read == {"newton": {"binary"}, "sweeps": {"binary"}}

@@ -2,7 +2,7 @@
 
 Each setting has its own penalty, vocabulary size and limit of iterations.  The settings share
 one table of weights for the largest vocabulary: terms of a smaller one come first, and their
-weights are brought back to length one inside the task.  A setting minimises
+weights are brought back to length one as rows are staged in blocks, once per size.  A setting minimises
 
     mean of -log p(class) + |W|^2 / (2 C n)        (intercepts are not penalised)
 
@@ -21,37 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.combine import array_sum
+from ..plans.staging import batches_of
+from .blocks import AT_ONCE, Block, only, read_blocks, stage_blocks
 
 TOLERANCE = 1e-4  # mean change of the loss by iteration, and norm of the gradient, relative to the loss and to the norm at zero
 SPAN = 5  # iterations over which the change of the loss is averaged
 MEMORY = 8  # steps that L-BFGS remembers
 
 
-class Batch:
-    """Sparse rows and label ids of an Arrow batch."""
+def log_probabilities(rows: Block, w: np.ndarray) -> np.ndarray:
+    """(class, row); ``w`` is (class, term), the intercept last."""
+    z = np.stack([rows.dot(k) for k in w])
+    z -= z.max(axis=0)
+    return z - np.log(np.exp(z).sum(axis=0))
 
-    def __init__(self, batch: pa.RecordBatch):
-        index, weight = batch.column("indices"), batch.column("weights")
-        self.n = batch.num_rows
-        self.row = np.repeat(np.arange(self.n), np.diff(index.offsets.to_numpy()))
-        self.at = index.flatten().to_numpy().astype(np.int64)
-        self.value = weight.flatten().to_numpy().astype(np.float64)
-        self.label = batch.column("label").to_numpy().astype(np.int64)
 
-    def first(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, term and weight of the first ``size`` terms, each row of length one."""
-        keep = self.at < size
-        row, at, value = self.row[keep], self.at[keep], self.value[keep]
-        norm = np.sqrt(np.bincount(row, weights=value**2, minlength=self.n))
-        return row, at, value / np.where(norm > 0, norm, 1.0)[row]
-
-
-def log_probabilities(batch: Batch, w: np.ndarray, terms: tuple) -> np.ndarray:
-    """(row, class); ``w`` is (class, term), the intercept last."""
-    row, at, value = terms
-    z = np.stack([np.bincount(row, weights=k[at] * value, minlength=batch.n) + k[-1] for k in w], axis=1)
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _labels(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("label").to_numpy().astype(np.int64)
 
 
 @dataclass
@@ -113,21 +99,42 @@ class Setting:
         return -q
 
 
+def _add(out: np.ndarray, label: np.ndarray, rows: Block, w: np.ndarray) -> None:
+    """Add the rows' loss and gradient at ``w`` to ``out``."""
+    logs = log_probabilities(rows, w)
+    own = label, np.arange(len(label))
+    out[0] -= logs[own].sum()
+    miss = np.exp(logs)
+    miss[own] -= 1
+    out[1:] += np.concatenate([rows.back(m, w.shape[1] - 1) for m in miss])
+
+
+def _length(w: np.ndarray) -> int:
+    return 1 + w.size
+
+
 def _pass(points: list[tuple[int, np.ndarray]]) -> Callable[[pa.RecordBatch], np.ndarray]:
-    """Sums of loss and gradient over a batch, for each (size, weights)."""
+    """Sums of loss and gradient over a batch of rows, for each (size, weights)."""
 
     def of_batch(batch: pa.RecordBatch) -> np.ndarray:
-        rows, out, cut = Batch(batch), [], {}
-        for size, w in points:
-            terms = cut.setdefault(size, None) or rows.first(size)
-            cut[size] = terms
-            logs = log_probabilities(rows, w, terms)
-            own = np.arange(rows.n), rows.label
-            miss = np.exp(logs)
-            miss[own] -= 1
-            row, at, value = terms
-            g = [np.append(np.bincount(at, weights=m[row] * value, minlength=size), m.sum()) for m in miss.T]
-            out += [[-logs[own].sum()], *g]
+        label, rows, out = _labels(batch), Block.of(batch), [np.zeros(_length(w)) for _, w in points]
+        cut = {size: rows.first(size) for size, _ in points}
+        for total, (size, w) in zip(out, points):
+            _add(total, label, cut[size], w)
+        return np.concatenate(out)
+
+    return of_batch
+
+
+def _block_pass(points: list[tuple[int, np.ndarray]]) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """The same over blocks, for each (view, weights)."""
+    asked = sorted({view for view, _ in points})
+
+    def of_batch(batch: pa.RecordBatch) -> np.ndarray:
+        out = [np.zeros(_length(w)) for _, w in points]
+        for label, views in read_blocks(batch, asked):
+            for total, (view, w) in zip(out, points):
+                _add(total, label, views[view], w)
         return np.concatenate(out)
 
     return of_batch
@@ -136,12 +143,22 @@ def _pass(points: list[tuple[int, np.ndarray]]) -> Callable[[pa.RecordBatch], np
 def fit_all(train: DataFrame, settings: list[tuple[float, int, int]], classes: int, tolerance: float = TOLERANCE) -> list[Setting]:
     """The fitted settings (C, vocabulary size, limit of iterations) from staged rows (indices, weights, label id)."""
     rows = train.select("indices", "weights", F.col("label").cast("int").alias("label")).filter("label IS NOT NULL")
-    n, parts = max(1, rows.count()), rows.rdd.getNumPartitions()
+    n, sizes = max(1, rows.count()), sorted({size for _, size, _ in settings})
+    blocks = stage_blocks(rows, [lambda b, size=size: b.first(size) for size in sizes])
+    with batches_of(train.sparkSession, AT_ONCE):
+        return _fit(blocks, sizes, n, settings, classes, tolerance)
+
+
+def _fit(
+    blocks: DataFrame, sizes: list[int], n: int, settings: list[tuple[float, int, int]], classes: int, tolerance: float
+) -> list[Setting]:
+    parts = blocks.rdd.getNumPartitions()
     live = fitted = [Setting(c, size, limit, np.zeros((classes, size + 1))) for c, size, limit in settings]
     while live:
-        points = [(s.size, s.trial()) for s in live]
-        lengths = [1 + classes * (size + 1) for size, _ in points]
-        found = np.split(array_sum(rows, _pass(points), sum(lengths), parts=parts) / n, np.cumsum(lengths)[:-1])
+        points = [(sizes.index(s.size), s.trial()) for s in live]
+        lengths = [_length(w) for _, w in points]
+        rows = only(blocks, sorted({view for view, _ in points}))
+        found = np.split(array_sum(rows, _block_pass(points), sum(lengths), parts=parts) / n, np.cumsum(lengths)[:-1])
         for s, (_, w), f in zip(live, points, found):
             penalty = np.hstack([w[:, :-1], np.zeros((classes, 1))]) / (s.c * n)
             loss = f[0] + (penalty * w).sum() / 2
@@ -156,14 +173,14 @@ def predict_all(df: DataFrame, settings: list[Setting]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = Batch(batch)
+            label, rows = _labels(batch), Block.of(batch)
             for k, (size, w) in enumerate(models):
-                logs = log_probabilities(rows, w, rows.first(size))
-                loss = -logs[np.arange(rows.n), rows.label]
+                logs = log_probabilities(rows.first(size), w)
+                loss = -logs[label, np.arange(len(label))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(rows.n, k, np.int32)), batch.column("ord"), pa.array(rows.label.astype(np.int32)),
-                        pa.array(logs.argmax(axis=1).astype(np.int32)), pa.array(loss),
+                        pa.array(np.full(len(label), k, np.int32)), batch.column("ord"), pa.array(label.astype(np.int32)),
+                        pa.array(logs.argmax(axis=0).astype(np.int32)), pa.array(loss),
                     ],
                     ["run", "ord", "label", "prediction", "loss"],
                 )
