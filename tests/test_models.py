@@ -237,3 +237,8 @@ def test_passes_of_a_fit_read_blocks(spark, monkeypatch):
     assert newton.fit_squared_hinge(df, ["a", "b", "c"], 12).converged
     assert sweeps.fit_all(df, [(1.0, 12, 100)], 3)[0].converged
     assert read == {"newton": {"binary"}, "sweeps": {"binary"}}
+
+
+def test_tasks_of_a_fit_follow_its_rows():
+    assert [models.fit_tasks(n, 20_000) for n in (0, 2_001, 64_000, 155_000, 640_000, 1_900_000)] == [1, 2, 32, 32, 32, 95]
+    assert models.fit_tasks(155_000, models.RF.max_rows) == 78
