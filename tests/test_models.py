@@ -1,10 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from uttermill.operators import blocks, epochs, models, newton, reports, sweeps
+from uttermill.operators import blocks, epochs, forest, models, newton, reports, sweeps
 
 WORDS = {"a": ["refund", "broken", "late"], "b": ["price", "discount", "offer"], "c": ["call", "later", "busy"]}
 
@@ -242,3 +245,81 @@ def test_passes_of_a_fit_read_blocks(spark, monkeypatch):
 def test_tasks_of_a_fit_follow_its_rows():
     assert [models.fit_tasks(n, 20_000) for n in (0, 2_001, 64_000, 155_000, 640_000, 1_900_000)] == [1, 2, 32, 32, 32, 95]
     assert models.fit_tasks(155_000, models.RF.max_rows) == 78
+
+
+# forest
+
+
+def forest_block(rng, n, size, classes, trees):
+    """Codes of rows as a matrix and as a block in which each tree has each row one to three times."""
+    dense = rng.integers(-2, 4, (n, size)) * (rng.random((n, size)) < 0.3)
+    row, at = np.nonzero(dense)
+    block = {
+        "ends": np.append(0, np.cumsum((dense != 0).sum(axis=1))), "at": at, "code": dense[row, at], "label": rng.integers(0, classes, n),
+        "row": np.repeat(np.arange(n), trees), "node": np.tile(np.arange(trees), n), "count": rng.integers(1, 4, n * trees),
+    }
+    return dense, block
+
+
+def forest_sums(block, tried, size, classes):
+    """Sums of a pass over the roots of trees without splits, from two tasks."""
+    n = len(tried)
+    trees = forest.Trees(np.full(n, -1), np.zeros(n, int), np.full(n, -1))
+    run = forest._sums(trees, np.arange(n), tried, size, 2, 6, classes)
+    return pa.concat_tables([pa.Table.from_batches(list(run(iter([forest._write(block)])))) for _ in range(2)])
+
+
+def test_forest_takes_the_best_split(spark):
+    rng, size, classes, n_trees = np.random.default_rng(3), 7, 3, 20
+    dense, block = forest_block(rng, 60, size, classes, n_trees)
+    tried = forest.candidates(rng, n_trees, size, 3)
+    sums = forest_sums(block, tried, size, classes)
+    found = {}
+    for b in (0, 1):
+        part = sums.filter(pa.compute.equal(sums.column("bucket"), b))
+        cells = forest._best(3, 2, 6, classes)(part).column("found")[0].as_py()
+        found |= {b * forest.BUCKET + i: x for i, x in enumerate(np.frombuffer(cells).reshape(forest.BUCKET, -1))}
+    for t in range(n_trees):
+        weight = 2 * block["count"].reshape(60, n_trees)[:, t]
+        square = lambda rows: (np.bincount(block["label"][rows], weight[rows], classes) ** 2).sum() / max(weight[rows].sum(), 1)
+        whole = square(np.full(60, True))
+        gains = [[square(dense[:, f] <= c) + square(dense[:, f] > c) - whole for c in range(-2, 4)] for f in tried[t]]
+        assert np.isclose(found[t][2], np.max(gains)) and np.isclose(gains[int(found[t][0])][int(found[t][1]) + 2], np.max(gains))
+        assert found[t][-classes:].tolist() == np.bincount(block["label"], weight, classes).tolist()
+
+
+def test_forest_exchanges_no_more_than_its_rows_hold():
+    """Dense statistics would be 60 numbers for every feature tried at each of 400 nodes."""
+    rng, size, n, n_trees = np.random.default_rng(4), 400, 5, 400
+    dense, block = forest_block(rng, n, size, 10, n_trees)
+    dense[:, 8:] = 0
+    row, at = np.nonzero(dense)
+    block |= {"ends": np.append(0, np.cumsum((dense != 0).sum(axis=1))), "at": at, "code": dense[row, at]}
+    sums = forest_sums(block, forest.candidates(rng, n_trees, size, 20), size, 10)
+    assert sum(len(k.as_py()) // 4 for k in sums.column("keys")) <= 2 * n * n_trees * (1 + 8)
+
+
+def test_forest_candidates_and_bootstrap():
+    rng = np.random.default_rng(5)
+    tried = np.sort(forest.candidates(rng, 20_000, 10, 4), axis=1)
+    assert (np.diff(tried, axis=1) > 0).all() and np.abs(np.bincount(tried.ravel()) / 20_000 - 0.4).max() < 0.02
+    counts = forest.bootstrap(rng.random(5_000), 20, 42)
+    assert abs(counts.mean() - 1) < 0.02 and abs((counts == 0).mean() - np.exp(-1)) < 0.01
+    assert np.abs(np.corrcoef(counts.T) - np.eye(20)).max() < 0.08
+
+
+def test_forest_learns_vectors_of_any_kind(spark):
+    """A class between two others needs several cuts of a feature with values of both signs; some rows are dense."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    rows = [(float(abs(v[0]) < 0.6), Vectors.dense(v) if i % 2 else Vectors.sparse(3, [0, 1, 2], v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (0.0, Vectors.sparse(3, [], []))], StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])).repartition(3)
+    model = models.random_forest(401, 2, trees=25).fit(df)
+    found = model.transform(df)
+    assert found.filter("prediction = label").count() >= 385
+    assert found.filter("abs(aggregate(probability, 0D, (a, p) -> a + p) - 1) > 1e-9").isEmpty()
+    for bad in (None, 2.0, 0.5):
+        with pytest.raises(Exception, match="labels must be"):
+            models.random_forest(1, 2).fit(spark.createDataFrame([(bad, Vectors.dense([1.0]))], df.schema))
+    with pytest.raises(ValueError, match="needs rows"):
+        models.random_forest(0, 2).fit(df.limit(0))

@@ -33,16 +33,15 @@ whatever their names, are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import shuffles_removed, stage
 from .frames import batches_of, crc_remainder, named, row_key
 from .kernels import LOWER, WHITE, RowIndex, SpanHasher, chunks, mix, signed, spans
 
@@ -222,18 +221,6 @@ def read_answers(answers: pa.Table, kind: int, keys: np.ndarray, buckets: int) -
     return total, owned
 
 
-@contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside remove their shuffle files when they end."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _exchange(asks: DataFrame, name: str) -> DataFrame:
     return stage(asks.groupBy("kind", "bucket").applyInArrow(_answer, ANSWER), name)
 
@@ -381,7 +368,7 @@ def scored(
         often = [c > 1 for c in (words, pairs)]
         return ask(g, buckets, {3 + k: (grams.keys[k][o], n[o]) for k, (o, n) in enumerate(zip(often, after))})
 
-    with _shuffles_removed(spark), batches_of(spark, 1):  # a row holds a group of texts
+    with shuffles_removed(spark), batches_of(spark, 1):  # a row holds a group of texts
         # the groups are fixed from here on
         texts = stage(rows.groupBy("g").applyInArrow(_pack, PACKED), "lm-texts")
         counts = [_exchange(texts.drop("id").mapInArrow(ask_counts(k), ASK), "lm-counts") for k in ((0, 1), (2,))]
