@@ -437,6 +437,33 @@ def test_exchange_adds_up_and_names_one_owner():
         assert sum(answers.column("distinct").to_pylist()) == len(owners)
 
 
+def test_keys_are_put_in_order_whatever_their_leading_bits():
+    rng = np.random.default_rng(8)
+    spread = rng.integers(-(1 << 63), (1 << 63) - 1, 500)
+    for keys in (spread, rng.choice(spread, 2_000), rng.integers(-3, 3, 300), (1 << 40) + rng.integers(0, 90, 700), spread[:1], spread[:0]):
+        assert (language_model.in_order(keys) == np.argsort(keys, kind="stable")).all()
+        found, first, number = language_model.distinct(keys)
+        want = np.unique(keys, return_index=True, return_inverse=True)
+        assert all((a == b).all() for a, b in zip((found, first, number), want))
+
+
+def test_language_model_asks_for_kinds_slice_by_slice(spark, monkeypatch):
+    """Neither all groups nor all buckets lie shuffled at once; the scores are those of one group."""
+    staged, real = [], language_model.stage
+
+    def spy(df, name, *rest, **options):
+        staged.append(name)
+        return real(df, name, *rest, **options)
+
+    monkeypatch.setattr(language_model, "stage", spy)
+    texts = [(i, f"a b c w{i % 7} d a b w{i % 5} c") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    many = {r.doc_id: r.score for r in language_model.lm_scores(docs, group_bytes=100).collect()}
+    assert [staged.count(n) for n in ("lm-asks", "lm-kinds", "lm-scores")] == [language_model.SLICES] * 3
+    one = {r.doc_id: r.score for r in language_model.lm_scores(docs, group_bytes=1 << 20).collect()}
+    assert many.keys() == one.keys() and all(abs(many[k] - one[k]) < 1e-9 for k in many)
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark):
     out = QUERIES["op4_language_model"](spark, SF).filter("held_out").selectExpr("sum(score)", "sum(base_score)").first()
     assert out[0] > out[1]

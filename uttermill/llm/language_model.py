@@ -49,7 +49,7 @@ FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
 END = np.int64(1)  # hash that stands for the end of a text
 GROUP_BYTES = 3 << 20
-SLICES = 4  # of the groups, scored one after another
+SLICES = 4  # of the groups, which ask for kinds and are scored one after another, and of the buckets that answer
 PART_BYTES = 1 << 18  # of a group's texts that are hashed at once
 LANE = 2_048  # tokens of a text that one lane of the traversal passes
 
@@ -68,6 +68,28 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return signed(mix(mix(a.view(np.uint64)) + b.view(np.uint64)))
 
 
+def in_order(keys: np.ndarray) -> np.ndarray:
+    """Places of the keys in ascending order, equal ones as they come.  Leading bits and place are sorted as one
+    number; only if keys that differ share these bits out of order are whole keys compared."""
+    n = len(keys)
+    bits = np.uint64(n.bit_length())
+    both = ((keys.view(np.uint64) ^ np.uint64(1 << 63)) >> bits << bits) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    found = keys[order]
+    return order if (found[1:] >= found[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, the place where each comes first, and the number of each key."""
+    order = in_order(keys)
+    found = keys[order]
+    new = np.append(True, found[1:] != found[:-1])[: len(keys)]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return found[new], order[new], number
+
+
 class Grams:
     """Tokens of a group's texts and its distinct n-grams of one, two and three words, in hash order."""
 
@@ -85,9 +107,9 @@ class Grams:
                 whole = np.zeros(n, np.int64)
                 whole[at] = _joined(key[at - 1], h[at])
                 key = whole
-            found, begin, number = np.unique(key[at], return_index=True, return_inverse=True)
+            found, begin, number = distinct(key[at])
             self.keys.append(found)
-            self.of.append(number.astype(np.int32))
+            self.of.append(number)
             self.at.append(at.astype(np.int32))
             first.append(at[begin])
         self.word = self.of[0]
@@ -186,7 +208,7 @@ def _answer(table: pa.Table) -> pa.Table:
     n = np.concatenate([_unpacked(x.as_py(), len(k)) for x, k in zip(table.column("n"), keys)])
     cuts = np.cumsum([len(k) for k in keys])
     flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")  # entries of a key by group
+    order = in_order(flat)  # entries of a key by group
     begin = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
     total = np.add.reduceat(n[order], begin)
     number = np.empty(len(flat), np.int64)
@@ -373,8 +395,12 @@ def scored(
         texts = stage(rows.groupBy("g").applyInArrow(_pack, PACKED), "lm-texts")
         counts = [_exchange(texts.drop("id").mapInArrow(ask_counts(k), ASK), "lm-counts") for k in ((0, 1), (2,))]
         counts = counts[0].unionByName(counts[1])
-        kinds = texts.drop("id").groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(ask_kinds, ASK)
-        kinds = _exchange(kinds, "lm-kinds")
+        mine = [F.col("g") % SLICES == k for k in range(SLICES)]  # the shuffle files of a slice go before the next
+        asks = [texts.drop("id").filter(m).groupBy("g").cogroup(counts.filter(m).groupBy("g")).applyInArrow(ask_kinds, ASK) for m in mine]
+        asks = reduce(DataFrame.unionByName, [stage(x, "lm-asks") for x in asks])
+        cuts = [k * buckets // SLICES for k in range(SLICES + 1)]
+        kinds = [_exchange(asks.filter(F.col("bucket").between(a, b - 1)), "lm-kinds") for a, b in zip(cuts, cuts[1:]) if a < b]
+        kinds = reduce(DataFrame.unionByName, kinds)
         every = counts.filter("kind = 0").agg(F.sum("every"), F.sum("distinct")).first()
         n_tokens, n_kinds = every[0] or 0, every[1] or 0
 
@@ -398,8 +424,7 @@ def scored(
         answers = counts.unionByName(kinds).drop("every", "distinct")
         schema = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
         found = []
-        for k in range(SLICES):  # the shuffle files of a slice of the groups go before the next
-            mine = F.col("g") % SLICES == k
-            both = texts.filter(mine).groupBy("g").cogroup(answers.filter(mine).groupBy("g"))
+        for m in mine:
+            both = texts.filter(m).groupBy("g").cogroup(answers.filter(m).groupBy("g"))
             found.append(stage(both.applyInArrow(score, schema), "lm-scores"))
         return reduce(DataFrame.unionByName, found), n_tokens
