@@ -464,6 +464,46 @@ def test_language_model_asks_for_kinds_slice_by_slice(spark, monkeypatch):
     assert many.keys() == one.keys() and all(abs(many[k] - one[k]) < 1e-9 for k in many)
 
 
+def test_language_model_has_a_bucket_for_several_groups(spark, monkeypatch):
+    """Each group meets each bucket in a row, so buckets are fewer than groups, and a task gets many such rows at once."""
+    buckets, at_once, real = {}, [], language_model.stage
+
+    def spy(df, name, *rest, **options):
+        at_once.append(int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        out = real(df, name, *rest, **options)
+        if name == "lm-texts":
+            buckets["groups"] = out.count()
+        if name == "lm-counts":
+            buckets[name] = max(buckets.get(name, 0), out.select("bucket").distinct().count())
+        return out
+
+    monkeypatch.setattr(language_model, "stage", spy)
+    docs = spark.createDataFrame([(i, f"a b c w{i % 7} d a b w{i % 5} c x{i}") for i in range(90)], "doc_id long, text string")
+    assert language_model.lm_scores(docs, group_bytes=100).count() == 90
+    assert buckets["groups"] > 20 and 1 < buckets["lm-counts"] <= buckets["groups"] / 2
+    assert min(at_once) > 100
+
+
+def test_automaton_finds_arcs_by_the_ngrams_that_end_at_a_token():
+    texts, train = small_texts()
+    grams, model = model_of(texts, train)
+    machine, _, _ = model.automaton(grams)
+    size = np.bincount(grams.doc, minlength=len(texts))
+    looked_up = machine.run(grams.word, np.cumsum(size) - size, size, np.zeros(len(texts), np.int64))
+    assert np.allclose(model.scores(grams, len(texts)), looked_up, rtol=1e-12) and "arcs" in vars(machine)
+
+
+def test_counted_ngrams_are_those_of_the_group():
+    texts, train = small_texts()
+    for some in (texts, [""], ["a"], ["a b", ""]):
+        grams, learns = language_model.Grams(pa.array(some)), np.array(train[: len(some)])
+        for orders in ((0, 1), (2,)):
+            found = language_model.Grams.counted(pa.array(some), learns, orders)
+            assert set(found) == set(orders)
+            for k, (keys, n) in found.items():
+                assert (keys == grams.keys[k]).all() and (n == grams.counts(k, learns)).all() and len(n) == len(keys)
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark):
     out = QUERIES["op4_language_model"](spark, SF).filter("held_out").selectExpr("sum(score)", "sum(base_score)").first()
     assert out[0] > out[1]

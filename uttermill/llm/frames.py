@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from ..plans.staging import batches_of  # noqa: F401
+from ..plans.staging import batches_of, batches_up_to  # noqa: F401
 
 NO_ID = (1 << 63) - 1  # stands for a null id: after every other
 

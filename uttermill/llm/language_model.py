@@ -20,7 +20,9 @@ group builds the part of the automaton that its texts pass through (their states
 arcs and weights are those of the whole model) and runs its texts through it.
 
 Buckets follow hashes of whole n-grams, so a common word, pair or context is no hot bucket: of
-an n-gram there is one entry per group at most.
+an n-gram there is one entry per group at most.  Rows of groups and buckets are the one thing
+that grows with the square of the input; a bucket serves ``BUCKET_GROUPS`` groups' worth of
+n-grams, and workers get such rows many at once.
 
 Words and n-grams are told apart by 64-bit hashes.  Defined cases: a null text has the end token
 only.  Rows that repeat, or share an id, are scored and learned each for itself.  A null id trains
@@ -34,7 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import shuffles_removed, stage
-from .frames import batches_of, crc_remainder, named, row_key
+from .frames import batches_up_to, crc_remainder, named, row_key
 from .kernels import LOWER, WHITE, RowIndex, SpanHasher, chunks, mix, signed, spans
 
 FOLDS, HELD_OUT = 7, 2
@@ -51,7 +53,9 @@ END = np.int64(1)  # hash that stands for the end of a text
 GROUP_BYTES = 3 << 20
 SLICES = 4  # of the groups, which ask for kinds and are scored one after another, and of the buckets that answer
 PART_BYTES = 1 << 18  # of a group's texts that are hashed at once
-LANE = 2_048  # tokens of a text that one lane of the traversal passes
+BATCH_BYTES = 1 << 20  # that a Python worker gets at once; a row that holds a group of texts comes alone
+BUCKET_GROUPS = 4  # groups' worth of n-grams that meet in a bucket
+LANE = 64  # tokens of a text that one lane of the traversal passes
 
 
 def token_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,42 +94,63 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found[new], order[new], number
 
 
+def _hashed(texts: pa.Array, orders: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Row of every token, and by order the tokens at which n-grams end and the hashes of these."""
+    parts = [(h, doc + a) for a, _, data, bounds in chunks(texts, PART_BYTES) for h, doc in [token_hashes(data, bounds)]]
+    h, doc = (np.concatenate([x[k] for x in parts]) for k in range(2))
+    doc = doc.astype(np.int32)
+
+    def hashes() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        inner = np.append(False, doc[1:] == doc[:-1])[: len(h)]
+        whole, ends = h, np.ones(len(h), bool)
+        for k in range(orders):
+            if k:  # all but the last word end at the token before
+                ends = inner & np.append(False, ends[:-1])
+                before, whole = whole, np.zeros(len(h), np.int64)
+                whole[1:] = _joined(before[:-1], h[1:])
+            at = np.flatnonzero(ends).astype(np.int32)
+            yield at, whole[at] if k else h
+
+    return doc, hashes()
+
+
 class Grams:
     """Tokens of a group's texts and its distinct n-grams of one, two and three words, in hash order."""
 
-    def __init__(self, texts: pa.Array, orders: int = 3):
-        parts = [(h, doc + a) for a, _, data, bounds in chunks(texts, PART_BYTES) for h, doc in [token_hashes(data, bounds)]]
-        h, self.doc = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]).astype(np.int32)
-        del parts
-        n = len(h)
+    def __init__(self, texts: pa.Array):
+        self.doc, hashes = _hashed(texts, 3)
         self.keys, self.of, self.at = [], [], []  # by order: distinct hashes, their numbers, and at which tokens
-        inner = np.append(False, self.doc[1:] == self.doc[:-1])[:n]
-        first, key = [], h
-        for k in range(orders):
-            at = np.arange(n) if k == 0 else np.flatnonzero(inner if k == 1 else inner & np.append(False, inner[:-1]))
-            if k:  # all but the last word end at the token before
-                whole = np.zeros(n, np.int64)
-                whole[at] = _joined(key[at - 1], h[at])
-                key = whole
-            found, begin, number = distinct(key[at])
+        first = []
+        for at, key in hashes:
+            found, begin, number = distinct(key)
             self.keys.append(found)
             self.of.append(number)
-            self.at.append(at.astype(np.int32))
+            self.at.append(at)
             first.append(at[begin])
         self.word = self.of[0]
-        del key
-        if orders > 1:
-            pair_at = np.full(n, -1, np.int32)
-            pair_at[self.at[1]] = self.of[1]
-            self.head, self.last = self.word[first[1] - 1], self.word[first[1]]  # words of each distinct pair
-            self.pair_at = pair_at
-        if orders > 2:  # pairs that begin and end each distinct triple, and its last word
-            self.context, self.tail, self.third = pair_at[first[2] - 1], pair_at[first[2]], self.word[first[2]]
+        self.pair_at, self.triple_at = (np.full(len(self.doc), -1, np.int32) for _ in range(2))  # that end at each token
+        self.pair_at[self.at[1]], self.triple_at[self.at[2]] = self.of[1:]
+        self.head, self.last = self.word[first[1] - 1], self.word[first[1]]  # words of each distinct pair
+        # pairs that begin and end each distinct triple, and its last word
+        self.context, self.tail, self.third = self.pair_at[first[2] - 1], self.pair_at[first[2]], self.word[first[2]]
 
     def counts(self, order: int, train: np.ndarray) -> np.ndarray:
         """Occurrences of each distinct n-gram in the rows that ``train``."""
         return np.bincount(self.of[order], weights=train[self.doc[self.at[order]]], minlength=len(self.keys[order])).astype(np.int64)
 
+    @staticmethod
+    def counted(texts: pa.Array, train: np.ndarray, orders: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By order, the distinct n-grams in hash order and their ``counts``, without the rest."""
+        doc, hashes = _hashed(texts, max(orders) + 1)
+        out = {}
+        for k, (at, key) in enumerate(hashes):
+            if k in orders:
+                order = in_order(key)
+                key = key[order]
+                begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                n = train[doc[at]][order].astype(np.int64)
+                out[k] = key[begin], np.add.reduceat(n, begin) if len(n) else n
+        return out
 
     def kinds(self, counts: list[np.ndarray], answers: pa.Table, buckets: int) -> list[np.ndarray]:
         """Words seen after each word and each pair; one after a context seen once, none after an end."""
@@ -252,24 +277,36 @@ def _exchange(asks: DataFrame, name: str) -> DataFrame:
 
 @dataclass
 class Automaton:
-    """Arcs by (state, word); state 0 is the empty context, whose arcs are the words themselves."""
+    """Arcs by (state, word); state 0 is the empty context, whose arcs are the words themselves.
+    States of one word come next, then those of two."""
 
     root_weight: np.ndarray
     root_target: np.ndarray
-    arcs: RowIndex  # state << 32 | word to the number of the arc
+    keys: np.ndarray  # state << 32 | word of every arc
     weight: np.ndarray
     target: np.ndarray
     fail_weight: np.ndarray
     fail: np.ndarray
+    one_word: int  # states of one word
+
+    @cached_property
+    def arcs(self) -> RowIndex:
+        return RowIndex(self.keys)
+
+    def run(
+        self, words: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray, ends: tuple[np.ndarray, np.ndarray] | None = None
+    ) -> np.ndarray:
+        """Sum of the weights that lanes of tokens pass from their first states, all lanes in step.
 
-    def run(self, words: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """Sum of the weights that lanes of tokens pass from their first states, all lanes in step."""
+        ``ends`` are the arcs, or -1, of the pair and the triple that end at each token of texts of which the
+        automaton knows all n-grams: a state's arc for the next word is one of these, and need not be looked up."""
         order = np.argsort(-size, kind="stable")  # lanes that have ended are the last
         begin, size, state = begin[order], size[order], state[order].copy()
         total = np.zeros(len(begin))
         for step in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -step, "left"))
-            word = words[begin[:live] + step]
+            at = begin[:live] + step
+            word = words[at]
             todo = np.arange(live)
             while len(todo):
                 here = state[todo]
@@ -278,7 +315,10 @@ class Automaton:
                 total[done] += self.root_weight[word[done]]
                 state[done] = self.root_target[word[done]]
                 todo, here = todo[~root], here[~root]
-                arc = self.arcs(here << 32 | word[todo])
+                if ends is None:
+                    arc = self.arcs(here << 32 | word[todo])
+                else:
+                    arc = np.where(here <= self.one_word, ends[0][at[todo]], ends[1][at[todo]])
                 hit = arc >= 0
                 done, arc = todo[hit], arc[hit]
                 total[done] += self.weight[arc]
@@ -321,11 +361,12 @@ class Model:
             Automaton(
                 np.log10(p1),
                 word_state,
-                RowIndex(states << 32 | words),
+                states << 32 | words,
                 np.log10(np.concatenate([p2[two], p3[three]])),
                 np.concatenate([after[two], after[tail[three]]]),
                 np.concatenate([[0.0], np.log10(left1[open1]), np.log10(left2[open2])]),
                 np.concatenate([np.zeros(1 + int(open1.sum()), np.int64), word_state[last[open2]]]),
+                int(open1.sum()),
             ),
             word_state,
             np.where(two, after, word_state[last]),
@@ -344,7 +385,9 @@ class Model:
         pair = grams.pair_at[before]
         state = np.where(pair >= 0, after_pair[pair] if len(after_pair) else 0, after_word[grams.word[before]])
         state = np.where(offset > 0, state, 0)
-        total = machine.run(grams.word, begin, np.minimum(lane, size[text] - offset), state)
+        two, three = (np.append(c > 0, False) for c in self.counts[1:])  # arcs are numbered in the order of their n-grams
+        ends = np.where(two, np.cumsum(two) - 1, -1)[grams.pair_at], np.where(three, two.sum() + np.cumsum(three) - 1, -1)[grams.triple_at]
+        total = machine.run(grams.word, begin, np.minimum(lane, size[text] - offset), state, ends)
         return np.bincount(text, weights=total, minlength=n_texts)
 
 
@@ -366,7 +409,8 @@ def scored(
     spark = docs.sparkSession
     text = F.coalesce(named(text_col), F.lit(""))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 8), F.lit(0))).first()[0]
-    groups = buckets = int(-(-n_bytes // group_bytes)) or 1
+    groups = int(-(-n_bytes // group_bytes)) or 1
+    buckets = -(-groups // BUCKET_GROUPS)
     dealt = F.pmod(F.xxhash64(*row_key(id_col, text_col), F.monotonically_increasing_id()), F.lit(groups)).cast("int")
     rows = docs.select(dealt.alias("g"), named(id_col).cast("long").alias("id"), train.alias("train"), text.alias("text"))
 
@@ -375,8 +419,7 @@ def scored(
             for batch in batches:
                 for k in range(batch.num_rows):
                     g, _, learns, texts = _group(batch.slice(k, 1))
-                    grams = Grams(texts, max(orders) + 1)
-                    asked = ask(g, buckets, {o: (grams.keys[o], grams.counts(o, learns)) for o in orders})
+                    asked = ask(g, buckets, Grams.counted(texts, learns, orders))
                     yield from asked.combine_chunks().to_batches()
 
         return run
@@ -390,7 +433,7 @@ def scored(
         often = [c > 1 for c in (words, pairs)]
         return ask(g, buckets, {3 + k: (grams.keys[k][o], n[o]) for k, (o, n) in enumerate(zip(often, after))})
 
-    with shuffles_removed(spark), batches_of(spark, 1):  # a row holds a group of texts
+    with shuffles_removed(spark), batches_up_to(spark, BATCH_BYTES):
         # the groups are fixed from here on
         texts = stage(rows.groupBy("g").applyInArrow(_pack, PACKED), "lm-texts")
         counts = [_exchange(texts.drop("id").mapInArrow(ask_counts(k), ASK), "lm-counts") for k in ((0, 1), (2,))]

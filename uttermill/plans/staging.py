@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -69,17 +69,25 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run inside send tasks' Python workers so many rows at once, for rows that are wide."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _set(spark: SparkSession, name: str, value: object) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, rows)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def batches_of(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """Jobs that run inside send tasks' Python workers so many rows at once, for rows that are wide."""
+    return _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def batches_up_to(spark: SparkSession, n_bytes: int) -> AbstractContextManager[None]:
+    """Jobs that run inside send tasks' Python workers rows of about so many bytes at once, for rows of unlike widths."""
+    return _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", n_bytes)
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Queries that run inside remove their shuffle files when they end."""
