@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -299,6 +300,19 @@ def test_forest_exchanges_no_more_than_its_rows_hold():
     assert sum(len(k.as_py()) // 4 for k in sums.column("keys")) <= 2 * n * n_trees * (1 + 8)
 
 
+def test_forest_sums_of_keys_and_numbers_of_any_size():
+    rng = np.random.default_rng(6)
+    for most, top in ((5, 12), (1 << 20, 1 << 30), (1 << 45, 1 << 30), (1 << 62, 12)):  # sorted as one, and apart
+        keys = [rng.integers(0, most, 400), rng.integers(most - 5, most, 50), np.zeros(0, np.int64)]
+        n = [rng.integers(0, 12, 400).astype(np.uint8), rng.integers(0, top, 50), np.zeros(0, np.uint8)]
+        want = Counter()
+        for k, x in zip(np.concatenate(keys).tolist(), np.concatenate([x.astype(np.int64) for x in n]).tolist()):
+            want[k] += x
+        found, sums = forest._added(keys, n)
+        assert found.tolist() == sorted(want) and sums.tolist() == [want[k] for k in sorted(want)]
+    assert [len(x) for x in forest._added([np.zeros(0, np.int64)], [np.zeros(0, np.uint8)])] == [0, 0]
+
+
 def test_forest_candidates_and_bootstrap():
     rng = np.random.default_rng(5)
     tried = np.sort(forest.candidates(rng, 20_000, 10, 4), axis=1)
